@@ -98,3 +98,14 @@ def shannon_entropy(w: Column) -> Column:
 def alnum_tokens(text: Column) -> Column:
     """Maximal runs of Unicode letters/digits, in order (empty runs dropped)."""
     return F.filter(F.split(text, NON_ALNUM_RUN, -1), lambda t: F.length(t) > 0)
+
+
+def explode_rows(df, arr: Column, keep: list, pos: str = "pos", item: str = "item"):
+    """One row per element of ``arr`` (rows with an empty array vanish).
+
+    Uses ``posexplode_outer`` + a null filter rather than ``explode``: for a
+    plain explode Catalyst infers ``size(arr) > 0`` and pushes it below the
+    projection, which would evaluate an expensive ``arr`` (a detector) twice.
+    """
+    g = df.select(*keep, F.posexplode_outer(arr).alias(pos, item))
+    return g.where(F.col(pos).isNotNull())

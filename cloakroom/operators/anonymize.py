@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakroom.functions.crypto import lookup_key
+from cloakroom.functions.text import explode_rows
 from cloakroom.operators.detect import Profile
 from cloakroom.operators.vault import intern_durable, intern_session
 from cloakroom.session import materialize
@@ -27,8 +28,8 @@ BROADCAST_ENTITY_ROWS = 2_000_000
 
 def detect_entities(texts: DataFrame, profile: Profile, text_col: str = "text") -> DataFrame:
     """Entity table E: one row per kept span (text keys, pos, candidate fields)."""
-    d = texts.select(*TEXT_KEYS, profile.detect(F.col(text_col)).alias("_ents")).where(F.size("_ents") > 0)
-    return d.select(*TEXT_KEYS, F.posexplode("_ents").alias("pos", "_e")).select(*TEXT_KEYS, "pos", "_e.*")
+    rows = explode_rows(texts, profile.detect(F.col(text_col)), TEXT_KEYS, "pos", "_e")
+    return rows.select(*TEXT_KEYS, "pos", "_e.*")
 
 
 def splice(text: Column, spans: Column) -> Column:

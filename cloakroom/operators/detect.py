@@ -145,6 +145,14 @@ def _cand(s: Column, v: Column, kind: Kind, score: float, detector: str, pri: in
     )
 
 
+BUILTIN_DIGIT_KINDS = {"ssn", "credit_card", "ip_address", "iban", "phone"}
+
+
+def _only_if(cond: Column, arr: Column) -> Column:
+    """``arr`` where ``cond`` holds, else an empty candidate array (CASE is lazy)."""
+    return F.when(cond, arr.cast(CANDS_TYPE)).otherwise(F.array().cast(CANDS_TYPE))
+
+
 def _builder(kind: Kind, score: float, detector: str, pri: int, ins: int):
     """One-argument lambda for ``transform`` (PySpark counts every parameter)."""
 
@@ -194,13 +202,16 @@ class Email:
     priority: int = EMAIL_PRIORITY
 
     def candidates(self, text: Column, base: int) -> list[Column]:
-        pattern = f"({EMAIL_LOCAL_CLASS}*)@(?=({EMAIL_DOMAIN_CLASS}*))"
-        spans = regex_spans(text, pattern, groups=(1, 2))
+        # One match per '@': the whole local run before it (anchored at the run
+        # start, possessive, so the scan stays linear) and, by lookahead, the
+        # domain run after it — a domain may also be the next address's local part.
+        pattern = f"(?<!{EMAIL_LOCAL_CLASS}){EMAIL_LOCAL_CLASS}*+@(?=({EMAIL_DOMAIN_CLASS}*))"
+        spans = regex_spans(text, pattern, groups=(1,))
 
         def build(m):
-            dom = F.regexp_replace(m["g2"], r"\.+\z", "")
-            v = F.concat(m["g1"], F.lit("@"), dom)
-            return F.struct(m["s"].alias("s"), v.alias("v"), m["g1"].alias("loc"), dom.alias("dom"))
+            dom = F.regexp_replace(m["g1"], r"\.+\z", "")
+            loc = F.substring(m["v"], 1, F.length(m["v"]) - 1)
+            return F.struct(m["s"].alias("s"), F.concat(loc, F.lit("@"), dom).alias("v"), loc.alias("loc"), dom.alias("dom"))
 
         parts = F.transform(spans, build)
         valid = F.filter(
@@ -211,7 +222,8 @@ class Email:
             & ~p["dom"].startswith("."),
         )
         kind = kind_of("email")
-        return [F.transform(valid, lambda p: _cand(p["s"], p["v"], kind, EMAIL_SCORE, self.name, self.priority, base))]
+        found = F.transform(valid, lambda p: _cand(p["s"], p["v"], kind, EMAIL_SCORE, self.name, self.priority, base))
+        return [_only_if(text.contains("@"), found)]
 
 
 @dataclass
@@ -235,6 +247,9 @@ class RegexSet:
             kind = kind_of(label)
             spans = regex_spans(text, "(?U)" + p)
             out.append(F.transform(spans, _builder(kind, REGEX_SCORE, self.name, self.priority, base + j)))
+        # All built-in patterns need a digit; skip the scans for digit-free texts.
+        if all(label in BUILTIN_DIGIT_KINDS for _, label in self.patterns):
+            out = [_only_if(text.rlike(r"(?U)\d"), c) for c in out]
         return out
 
 
@@ -248,7 +263,7 @@ class Entropy:
     priority: int = ENTROPY_PRIORITY
 
     def candidates(self, text: Column, base: int) -> list[Column]:
-        spans = regex_spans(text, f"{TOKEN_CLASS}{{{self.min_len},}}")
+        spans = regex_spans(text, f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}{{{self.min_len},}}")
         hot = F.filter(spans, lambda m: shannon_entropy(m["v"]) >= F.lit(self.min_bits))
         kind = kind_of("secret")
         return [F.transform(hot, lambda m: _cand(m["s"], m["v"], kind, ENTROPY_SCORE, self.name, self.priority, base))]
@@ -269,10 +284,29 @@ class Profile:
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     def detect(self, text: Column) -> Column:
-        """Reconciled, non-overlapping, left-to-right entities of ``text``."""
+        """Reconciled, non-overlapping, left-to-right entities of ``text``.
+
+        The built expression is cached per (profile, input column): building
+        the tree over py4j costs seconds, evaluating it does not.
+        """
         from cloakroom.operators.reconcile import reconcile
 
-        return reconcile(self.candidates(text))
+        key = (repr(self), str(text))
+        hit = _DETECT_CACHE.get(key)
+        if hit is None or hit[0] is not _jvm_id():
+            hit = (_jvm_id(), reconcile(self.candidates(text)))
+            _DETECT_CACHE[key] = hit
+        return hit[1]
+
+
+_DETECT_CACHE: dict = {}
+
+
+def _jvm_id():
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    return sc._jsc if sc is not None else None
 
 
 def floor_profile(terms: list[tuple[str, str]] | None = None, discovered: list[tuple[str, str]] | None = None) -> Profile:

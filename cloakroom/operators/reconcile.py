@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cloakroom.functions.text import let
+
 
 def _desc(a: Column, b: Column) -> Column:
     return F.when(a > b, -1).when(a < b, 1)
@@ -37,13 +39,16 @@ def by_start(l: Column, r: Column) -> Column:
 
 
 def reconcile(cands: Column) -> Column:
-    ranked = F.array_sort(cands, rank_order)
-    empty = F.slice(ranked, 1, 0)
-    kept = F.aggregate(
-        ranked,
-        empty,
-        lambda acc, x: F.when(
-            F.exists(acc, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"])), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.array_sort(kept, by_start)
+    def greedy(b):
+        ranked = b["r"]
+        return F.aggregate(
+            ranked,
+            F.slice(ranked, 1, 0),
+            lambda acc, x: F.when(
+                F.exists(acc, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"])), acc
+            ).otherwise(F.concat(acc, F.array(x))),
+        )
+
+    # ``let`` keeps the sorted candidate array (and so every detector) from
+    # being evaluated once per reference.
+    return F.array_sort(let({"r": F.array_sort(cands, rank_order)}, greedy), by_start)
