@@ -151,3 +151,115 @@ def detection_oracles() -> dict[str, str]:
         FROM tok JOIN vocab ON translate(w, '{UP}', '{LO}') = translate(term, '{UP}', '{LO}')
         GROUP BY doc_id, term"""
     return o
+
+
+def _memories_sql() -> str:
+    return """
+    mem AS (SELECT item_id, substr(sha256(CAST(item_id AS VARCHAR) || ':' || text), 1, 16) AS id, text AS content,
+                   'fact' AS kind, CASE WHEN item_id % 4 = 0 THEN 'local_only' ELSE 'anonymized' END AS egress_policy,
+                   CAST(1700000000000 + item_id * 60000 AS BIGINT) AS created_ms
+            FROM benchmark),
+    q AS (SELECT conv_id AS qid, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+
+
+def _bm25_sql() -> str:
+    return f"""
+    mw AS (SELECT id, unnest(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM mem),
+    mt AS (SELECT id, strip_accents(lower(w)) AS term FROM mw WHERE length(w) > 0),
+    dl AS (SELECT m.id, count(mt.term) AS dl FROM mem m LEFT JOIN mt ON mt.id = m.id GROUP BY m.id),
+    stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+    post AS (SELECT id, term, count(*) AS tf FROM mt GROUP BY id, term),
+    dfq AS (SELECT term, count(*) AS nhit FROM post GROUP BY term),
+    qw AS (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+           FROM (SELECT qid, regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+') AS ws FROM q)),
+    qa AS (SELECT qid, translate(w, '{UP}', '{LO}') AS aw, min(i) AS fi FROM qw WHERE strlen(w) >= 3 GROUP BY qid, aw),
+    qt AS (SELECT qid, strip_accents(lower(aw)) AS term
+           FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fi) AS r FROM qa) WHERE r <= 32),
+    sc AS (SELECT qt.qid, post.id,
+                  round(sum(CASE WHEN ln((stats.n - dfq.nhit + 0.5) / (dfq.nhit + 0.5)) <= 0 THEN 1e-6
+                                 ELSE ln((stats.n - dfq.nhit + 0.5) / (dfq.nhit + 0.5)) END
+                            * post.tf * 2.2 / (post.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / stats.avgdl))), 9) AS score
+           FROM qt JOIN post ON post.term = qt.term JOIN dfq ON dfq.term = qt.term JOIN dl ON dl.id = post.id, stats
+           GROUP BY qt.qid, post.id),
+    kw AS (SELECT qid, id, rk FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM sc) WHERE rk <= 8)"""
+
+
+def _hash_sql(src: str, key: str, text: str, name: str) -> str:
+    """CTE ``name``(key, b, x): non-zero cells of the normalised hash embedding."""
+    return f"""
+    {name}_t AS (SELECT {key} AS k, md5(translate(w, '{UP}', '{LO}')) AS h
+                 FROM (SELECT {key}, unnest(regexp_split_to_array({text}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {src})
+                 WHERE strlen(w) >= 2),
+    {name}_r AS (SELECT k, CAST(('0x' || substr(h, 1, 8))::BIGINT % 64 AS BIGINT) AS b,
+                        sum(CASE WHEN ('0x' || substr(h, 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x
+                 FROM {name}_t GROUP BY k, b),
+    {name} AS (SELECT r.k, r.b, r.x / sqrt(s.ss) AS x FROM {name}_r r
+               JOIN (SELECT k, sum(x * x) AS ss FROM {name}_r GROUP BY k) s ON s.k = r.k
+               WHERE r.x <> 0)"""
+
+
+def _semantic_hash_sql() -> str:
+    return f"""
+    {_hash_sql('q', 'qid', 'text', 'qv')},
+    {_hash_sql('mem', 'id', 'content', 'mv')},
+    ss AS (SELECT qv.k AS qid, mv.k AS id, round(sum(qv.x * mv.x), 9) AS score FROM qv JOIN mv ON qv.b = mv.b GROUP BY qv.k, mv.k),
+    sem AS (SELECT qid, id, rk FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk
+                                     FROM ss WHERE score > 0) WHERE rk <= 8)"""
+
+
+def _fused_sql() -> str:
+    return f"""WITH {_memories_sql()}, {_bm25_sql()}, {_semantic_hash_sql()},
+    fused AS (SELECT qid, id, CAST(rk AS BIGINT) AS rank FROM kw
+              UNION ALL
+              SELECT s.qid, s.id, CAST(s.rk + 8 AS BIGINT) FROM sem s
+              WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.qid = s.qid AND kw.id = s.id)),
+    sel AS (SELECT * FROM (SELECT f.qid, f.id, f.rank, m.content,
+                                  sum(CAST(floor(strlen(m.content) / 4) + 2 AS BIGINT)) OVER (PARTITION BY f.qid ORDER BY f.rank
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+                           FROM fused f JOIN mem m ON m.id = f.id WHERE m.egress_policy = 'anonymized')
+            WHERE used <= 400)"""
+
+
+def memory_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    o["chat_gather_text"] = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
+    o["memory_recall_bm25"] = f"WITH {_memories_sql()}, {_bm25_sql()} SELECT qid AS conv_id, id, CAST(rk AS BIGINT) AS rk FROM kw"
+    o["memory_semantic_topk"] = """
+        WITH u AS (SELECT label, i, avg(embedding[i]) AS a
+                   FROM (SELECT label, embedding, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+             c AS (SELECT label, list(a ORDER BY i) AS cen FROM u GROUP BY label),
+             s AS (SELECT c.label, e.vec_id, round(list_cosine_similarity(c.cen, CAST(e.embedding AS DOUBLE[])), 9) AS score
+                   FROM c, embeddings e)
+        SELECT label, vec_id, CAST(rk AS BIGINT) AS rk
+        FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rk FROM s WHERE score > 0)
+        WHERE rk <= 8"""
+    o["hash_embed_memories"] = f"WITH {_memories_sql()}, {_hash_sql('mem', 'id', 'content', 'mv')} SELECT k AS id, b, round(x, 6) AS x FROM mv"
+    o["memory_semantic_hash"] = f"WITH {_memories_sql()}, {_semantic_hash_sql()} SELECT qid AS conv_id, id, CAST(rk AS BIGINT) AS rk FROM sem"
+    o["memory_fuse_budget"] = f"{_fused_sql()} SELECT qid AS conv_id, id, rank, used FROM sel"
+    o["memory_block"] = (
+        f"{_fused_sql()} SELECT qid AS conv_id, 'Relevant context about the user (use only if helpful):' || chr(10) "
+        "|| string_agg('- ' || content, chr(10) ORDER BY rank) AS block FROM sel GROUP BY qid"
+    )
+    promote = f"""WITH {_memories_sql()},
+        ev AS (SELECT m.id, CAST(epoch_us(e.ts) // 1000 AS BIGINT) AS ts_ms, e.event_id FROM events e JOIN mem m ON e.user_id = m.item_id
+               WHERE e.event_type = 'view'),
+        agg AS (SELECT id, count(*) AS n, max(ts_ms) AS last FROM ev GROUP BY id),
+        third AS (SELECT id, ts_ms FROM (SELECT id, ts_ms, row_number() OVER (PARTITION BY id ORDER BY ts_ms, event_id) AS r FROM ev) WHERE r = 3),
+        pm AS (SELECT m.id, m.content, m.kind, m.egress_policy, m.created_ms, CAST(coalesce(a.n, 0) AS BIGINT) AS recall_count,
+                      coalesce(a.last, m.created_ms) AS accessed_ms, coalesce(a.n, 0) >= 3 AS promoted, t.ts_ms AS promoted_at_ms
+               FROM mem m LEFT JOIN agg a ON a.id = m.id LEFT JOIN third t ON t.id = m.id)"""
+    o["memory_promote"] = f"{promote} SELECT id, recall_count, accessed_ms, promoted, promoted_at_ms FROM pm"
+    o["memory_export"] = f"""{promote}
+        SELECT CAST(line_no AS BIGINT) AS line_no, line FROM (
+          SELECT 1 AS line_no, '# Memory' AS line UNION ALL SELECT 2, '' UNION ALL
+          SELECT 3, 'Auditable view of what is remembered. `local_only` entries never leave the device.' UNION ALL SELECT 4, ''
+          UNION ALL
+          SELECT 4 + row_number() OVER (ORDER BY promoted DESC, recall_count DESC, created_ms DESC, id),
+                 '- ' || CASE WHEN promoted THEN '* ' ELSE '' END || content || '  _(' || kind || ', ' || egress_policy
+                 || ', recalled ' || CAST(recall_count AS VARCHAR) || 'x)_'
+          FROM pm)"""
+    o["memory_list"] = f"WITH {_memories_sql()} SELECT id, content, kind, egress_policy, created_ms FROM mem"
+    o["memory_local_terms"] = f"WITH {_memories_sql()} SELECT content FROM mem WHERE egress_policy = 'local_only'"
+    o["memory_delete"] = f"""WITH {_memories_sql()}
+        SELECT id, created_ms FROM mem WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+    return o

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakroom.plans import detection as det
-from cloakroom.plans.oracles import detection_oracles
+from cloakroom.plans import memory_queries as mq
+from cloakroom.plans.oracles import detection_oracles, memory_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,19 @@ def queries() -> dict[str, Query]:
         "rehydrate_roundtrip": det.rehydrate_roundtrip,
         "egress_guard_blocked": det.egress_guard_blocked,
         "leak_audit_documents": det.leak_audit_documents,
+        "chat_gather_text": mq.chat_gather_text,
+        "memory_recall_bm25": mq.memory_recall_bm25,
+        "memory_semantic_topk": mq.memory_semantic_topk,
+        "hash_embed_memories": mq.hash_embed_memories,
+        "memory_semantic_hash": mq.memory_semantic_hash,
+        "memory_fuse_budget": mq.memory_fuse_budget,
+        "memory_block": mq.memory_block,
+        "memory_promote": mq.memory_promote,
+        "memory_export": mq.memory_export,
+        "memory_list": mq.memory_list,
+        "memory_local_terms": mq.memory_local_terms,
+        "memory_delete": mq.memory_delete,
+        "memory_json": mq.memory_json,
     }
     return q
 
@@ -35,4 +49,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     o = {}
     o.update(detection_oracles())
+    o.update(memory_oracles())
     return o
