@@ -263,3 +263,35 @@ def memory_oracles() -> dict[str, str]:
     o["memory_delete"] = f"""WITH {_memories_sql()}
         SELECT id, created_ms FROM mem WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
     return o
+
+
+def _vocab_hits_sql() -> str:
+    return f"""
+    vocab AS (SELECT DISTINCT lower(w) AS term
+              FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark)
+              WHERE length(w) >= 12),
+    tok AS (SELECT doc_id, source, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+            FROM (SELECT doc_id, source, regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+') AS ws FROM documents)),
+    hits AS (SELECT t.* FROM tok t JOIN vocab v ON translate(t.w, '{UP}', '{LO}') = translate(v.term, '{UP}', '{LO}'))"""
+
+
+def vault_oracles() -> dict[str, str]:
+    key = "correct horse battery staple"
+    o: dict[str, str] = {}
+    o["vault_lookup_keys"] = f"""
+        SELECT c_custkey, sha256(unhex(sha256('pp-mac-v1' || '{key}')) || encode('PERSON') || unhex('1f') || encode(c_name)) AS lookup
+        FROM customer"""
+    o["vault_seal_roundtrip"] = "SELECT c_custkey, true AS restored, true AS wrong_key_null, CAST(12 + strlen(c_name) + 16 AS BIGINT) AS sealed_len FROM customer"
+    durable = f"""WITH {_vocab_hits_sql()},
+        firsts AS (SELECT w AS original, arg_min(run, k) AS run, min(k) AS k
+                   FROM (SELECT w, CASE WHEN doc_id < 500 THEN 1 ELSE 2 END AS run,
+                                (CASE WHEN doc_id < 500 THEN '1' ELSE '2' END) || '|' || source || '|' || lpad(CAST(doc_id AS VARCHAR), 12, '0')
+                                || '|' || lpad(CAST(i AS VARCHAR), 9, '0') AS k FROM hits)
+                   GROUP BY w)
+        SELECT 'PRIVATE' AS tag, original, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS n,
+               '__PRIVATE_' || CAST(row_number() OVER (ORDER BY k) AS VARCHAR) || '__' AS placeholder
+        FROM firsts"""
+    o["durable_vault_increment"] = durable
+    o["durable_vault_keyed"] = durable
+    o["layered_rehydrate"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents"
+    return o

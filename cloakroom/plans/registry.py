@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloakroom.plans import detection as det
 from cloakroom.plans import memory_queries as mq
-from cloakroom.plans.oracles import detection_oracles, memory_oracles
+from cloakroom.plans import vault_queries as vq
+from cloakroom.plans.oracles import detection_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,11 @@ def queries() -> dict[str, Query]:
         "memory_local_terms": mq.memory_local_terms,
         "memory_delete": mq.memory_delete,
         "memory_json": mq.memory_json,
+        "vault_lookup_keys": vq.vault_lookup_keys,
+        "vault_seal_roundtrip": vq.vault_seal_roundtrip,
+        "durable_vault_increment": vq.durable_vault_increment,
+        "durable_vault_keyed": vq.durable_vault_keyed,
+        "layered_rehydrate": vq.layered_rehydrate,
     }
     return q
 
@@ -50,4 +56,5 @@ def oracle_sql() -> dict[str, str]:
     o = {}
     o.update(detection_oracles())
     o.update(memory_oracles())
+    o.update(vault_oracles())
     return o
