@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cloakroom.plans import detection as det
 from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
+from cloakroom.plans import stream_queries as sq
 from cloakroom.plans.oracles import detection_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,7 @@ def queries() -> dict[str, Query]:
         "durable_vault_increment": vq.durable_vault_increment,
         "durable_vault_keyed": vq.durable_vault_keyed,
         "layered_rehydrate": vq.layered_rehydrate,
+        "stream_rehydrate": sq.stream_rehydrate,
     }
     return q
 
@@ -57,4 +59,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(detection_oracles())
     o.update(memory_oracles())
     o.update(vault_oracles())
+    o["stream_rehydrate"] = o["rehydrate_roundtrip"]
     return o
