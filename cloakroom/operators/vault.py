@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakroom.functions.crypto import lookup_key, seal
+from cloakroom.session import materialize
 
 # Placeholder layout (fixed): two underscores, tag, underscore, number, two underscores.
 PLACEHOLDER_FORMAT = "__%s_%d__"
@@ -39,8 +40,11 @@ def number_by_first(df: DataFrame, keys: list[str], order: str, parts: int | Non
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(order)).withColumn(
-        "_pid", F.spark_partition_id()
+    # Materialized once: the counts below and the local numbering must see the
+    # very same range partitions, and two planned copies of the range exchange
+    # (pruned differently) can sample different bounds.
+    ranged = materialize(
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(order)).withColumn("_pid", F.spark_partition_id())
     )
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(order))
