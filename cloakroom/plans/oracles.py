@@ -92,6 +92,16 @@ def _floor_ctes() -> str:
 
 
 def _splice(only_secrets: bool = False) -> str:
+    return _splice_ctes(only_secrets) + _SPLICE_SELECT
+
+
+_SPLICE_SELECT = """
+    SELECT CAST(d.doc_id AS BIGINT) AS doc_id,
+           CASE WHEN a.doc_id IS NULL THEN d.text ELSE a.body || substring(d.text, a.last_e + 1) END AS text
+    FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""
+
+
+def _splice_ctes(only_secrets: bool = False) -> str:
     cond = "WHERE vt.is_secret" if only_secrets else ""
     return f"""
     ph AS (SELECT k.doc_id, k.s, k.e, vt.placeholder FROM kept k JOIN documents d ON d.doc_id = k.doc_id
@@ -99,10 +109,7 @@ def _splice(only_secrets: bool = False) -> str:
     pieces AS (SELECT doc_id, s, e, placeholder, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM ph),
     agg AS (SELECT p.doc_id, string_agg(substring(d.text, p.prev + 1, p.s - p.prev) || p.placeholder, '' ORDER BY p.s) AS body,
                    max(p.e) AS last_e
-            FROM pieces p JOIN documents d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
-    SELECT CAST(d.doc_id AS BIGINT) AS doc_id,
-           CASE WHEN a.doc_id IS NULL THEN d.text ELSE a.body || substring(d.text, a.last_e + 1) END AS text
-    FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""
+            FROM pieces p JOIN documents d ON d.doc_id = p.doc_id GROUP BY p.doc_id)"""
 
 
 def _derived_id_text() -> str:
@@ -295,3 +302,41 @@ def vault_oracles() -> dict[str, str]:
     o["durable_vault_keyed"] = durable
     o["layered_rehydrate"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents"
     return o
+
+
+def chat_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    o["rescue_tool_calls"] = """
+        SELECT o_orderkey, 'lookup_order' AS name, CAST(o_orderkey AS VARCHAR) AS order_arg FROM orders WHERE o_orderkey % 4 <> 3"""
+    o["llm_reply_terms"] = """
+        SELECT c_custkey, trim(c_name) AS term,
+               CASE WHEN c_custkey % 3 = 0 THEN 'person' WHEN c_custkey % 3 = 1 THEN 'org' ELSE 'private' END AS kind
+        FROM customer WHERE c_custkey % 5 <> 4"""
+    o["eval_outcomes"] = f"""WITH {_floor_ctes()}, {_splice_ctes(only_secrets=True)}, restored AS ({_SPLICE_SELECT}),
+        sens AS (SELECT k.doc_id, list(DISTINCT k.v) AS sensitive FROM kept k GROUP BY k.doc_id)
+        SELECT CAST(d.doc_id AS BIGINT) AS doc_id,
+               contains(lower(d.text), lower(regexp_extract(d.text, '[A-Za-z]{{4,}}'))) AS baseline_pass,
+               contains(lower(r.text), lower(regexp_extract(d.text, '[A-Za-z]{{4,}}'))) AS anon_pass,
+               false AS leaked, CAST(NULL AS VARCHAR) AS error
+        FROM documents d JOIN restored r ON r.doc_id = d.doc_id"""
+    o["eval_report"] = f"""WITH outc AS ({o['eval_outcomes']})
+        SELECT CAST(count(*) AS BIGINT) AS scenarios, round(avg(baseline_pass::INT::DOUBLE), 6) AS baseline_rate,
+               round(avg(anon_pass::INT::DOUBLE), 6) AS anon_rate,
+               round(CASE WHEN avg(baseline_pass::INT::DOUBLE) = 0 THEN 1.0
+                          ELSE least(avg(anon_pass::INT::DOUBLE) / avg(baseline_pass::INT::DOUBLE), 1.0) END, 6) AS retention,
+               CAST(count(*) FILTER (WHERE leaked) AS BIGINT) AS leaks
+        FROM outc"""
+    models = [
+        ("nvidia/nemotron-3-ultra-550b-a55b:free", 1, True),
+        ("openai/gpt-oss-120b:free", 2, True),
+        ("qwen/qwen3-next-80b-a3b-instruct:free", 3, True),
+        ("meta-llama/llama-3.3-70b-instruct:free", 4, True),
+        ("google/gemma-4-31b-it:free", 5, False),
+    ]
+    vals = ", ".join(f"('{m}', {p}, {str(t).lower()})" for m, p, t in models)
+    o["route_candidates"] = f"""
+        WITH models(model_id, priority, tools) AS (VALUES {vals}),
+             req AS (SELECT conv_id, bool_or(role = 'system') AS needs_tools FROM conversations GROUP BY conv_id)
+        SELECT conv_id, model_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY priority) AS BIGINT) AS pref
+        FROM req JOIN models ON (NOT needs_tools) OR tools"""
+    return o

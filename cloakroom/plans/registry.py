@@ -10,7 +10,8 @@ from cloakroom.plans import detection as det
 from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
-from cloakroom.plans.oracles import detection_oracles, memory_oracles, vault_oracles
+from cloakroom.plans import chat_queries as cq
+from cloakroom.plans.oracles import chat_oracles, detection_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +51,11 @@ def queries() -> dict[str, Query]:
         "durable_vault_keyed": vq.durable_vault_keyed,
         "layered_rehydrate": vq.layered_rehydrate,
         "stream_rehydrate": sq.stream_rehydrate,
+        "rescue_tool_calls": cq.rescue_tool_calls,
+        "llm_reply_terms": cq.llm_reply_terms,
+        "eval_outcomes": cq.eval_outcomes,
+        "eval_report": cq.eval_report,
+        "route_candidates": cq.route_candidates,
     }
     return q
 
@@ -60,4 +66,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(memory_oracles())
     o.update(vault_oracles())
     o["stream_rehydrate"] = o["rehydrate_roundtrip"]
+    o.update(chat_oracles())
     return o
