@@ -79,3 +79,62 @@ def route_candidates(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     req = c.groupBy(F.col("conv_id").alias("request_id")).agg(F.max(F.col("role") == "system").alias("needs_tools"))
     return candidates(req, models_table(spark)).select(F.col("request_id").alias("conv_id"), "model_id", "pref")
+
+
+def block_dialect_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations rendered as block-dialect request bodies.
+
+    System turns form ``system``; every 4th assistant turn (turn % 4 = 1) carries
+    a text block plus a tool_use block, every 4th user turn (turn % 4 = 2) a
+    tool_result for the previous turn's call plus a text block; other turns
+    are plain strings.
+    """
+    c = table(spark, sf, "conversations")
+    tid = F.concat(F.lit("toolu_"), F.col("conv_id").cast("string"), F.lit("_"))
+    def js(*fields):
+        return F.to_json(F.struct(*fields))
+
+    text_block = js(F.lit("text").alias("type"), F.col("text").alias("text"))
+    blocks_a = F.concat(F.lit("["), text_block, F.lit(","), js(
+        F.lit("tool_use").alias("type"), F.concat(tid, F.col("turn").cast("string")).alias("id"),
+        F.lit("lookup").alias("name"), F.struct(F.col("turn").alias("turn")).alias("input"),
+    ), F.lit("]"))
+    blocks_u = F.concat(F.lit("["), js(
+        F.lit("tool_result").alias("type"), F.concat(tid, (F.col("turn") - 1).cast("string")).alias("tool_use_id"),
+        F.array(F.struct(F.lit("text").alias("type"), F.lit("ok").alias("text"))).alias("content"),
+    ), F.lit(","), text_block, F.lit("]"))
+    content = (
+        F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), F.parse_json(blocks_a))
+        .when((F.col("role") == "user") & (F.col("turn") % 4 == 2), F.parse_json(blocks_u))
+        .otherwise(F.col("text").cast("variant"))
+    )
+    msg = F.to_json(F.struct(F.col("role").alias("role"), content.alias("content")))
+    msgs = c.where(F.col("role") != "system").groupBy("conv_id").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", msg.alias("m")))), lambda x: x["m"]), ","), F.lit("]")).alias("messages")
+    )
+    system = c.where(F.col("role") == "system").groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("system")
+    )
+    j = msgs.join(system, "conv_id", "full_outer").select(
+        "conv_id",
+        F.concat(
+            F.lit('{"model":"m","system":'), F.coalesce(F.to_json(F.col("system").cast("variant")), F.lit('""')),
+            F.lit(',"messages":'), F.coalesce(F.col("messages"), F.lit("[]")), F.lit("}"),
+        ).alias("body"),
+    )
+    return j
+
+
+def normalize_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    from cloakroom.operators.dialect import to_canonical_messages
+
+    b = block_dialect_requests(spark, sf)
+    m = b.select("conv_id", F.posexplode(to_canonical_messages(F.col("body"))).alias("ord", "m"))
+    return m.select(
+        "conv_id",
+        F.col("ord").cast("bigint").alias("ord"),
+        F.col("m.role").alias("role"),
+        F.col("m.content").alias("content"),
+        F.col("m.tool_call_id").alias("tool_call_id"),
+        F.get_json_object(F.try_element_at(F.col("m.tool_calls"), F.lit(1))["function"]["arguments"], "$.turn").alias("call_turn"),
+    )

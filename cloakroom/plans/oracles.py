@@ -340,3 +340,27 @@ def chat_oracles() -> dict[str, str]:
         SELECT conv_id, model_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY priority) AS BIGINT) AS pref
         FROM req JOIN models ON (NOT needs_tools) OR tools"""
     return o
+
+
+def dialect_oracles() -> dict[str, str]:
+    return {
+        "normalize_transcripts": """
+        WITH sys AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id),
+        rows AS (
+          SELECT conv_id, -1 AS turn, 0 AS sub, 'system' AS role, text AS content, NULL AS tool_call_id, NULL AS call_turn
+          FROM sys WHERE text <> ''
+          UNION ALL
+          SELECT conv_id, turn, 0, 'assistant', CASE WHEN text = '' THEN NULL ELSE text END, NULL,
+                 CASE WHEN turn % 4 = 1 THEN CAST(turn AS VARCHAR) END
+          FROM conversations WHERE role = 'assistant'
+          UNION ALL
+          SELECT conv_id, turn, 0, 'user', text, NULL, NULL FROM conversations WHERE role = 'user' AND turn % 4 <> 2
+          UNION ALL
+          SELECT conv_id, turn, 0, 'tool', 'ok', 'toolu_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn - 1 AS VARCHAR), NULL
+          FROM conversations WHERE role = 'user' AND turn % 4 = 2
+          UNION ALL
+          SELECT conv_id, turn, 1, 'user', text, NULL, NULL FROM conversations WHERE role = 'user' AND turn % 4 = 2 AND text <> '')
+        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub) - 1 AS BIGINT) AS ord,
+               role, content, tool_call_id, call_turn
+        FROM rows"""
+    }

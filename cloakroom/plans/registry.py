@@ -11,7 +11,7 @@ from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
-from cloakroom.plans.oracles import chat_oracles, detection_oracles, memory_oracles, vault_oracles
+from cloakroom.plans.oracles import chat_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,7 @@ def queries() -> dict[str, Query]:
         "eval_outcomes": cq.eval_outcomes,
         "eval_report": cq.eval_report,
         "route_candidates": cq.route_candidates,
+        "normalize_transcripts": cq.normalize_transcripts,
     }
     return q
 
@@ -67,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(vault_oracles())
     o["stream_rehydrate"] = o["rehydrate_roundtrip"]
     o.update(chat_oracles())
+    o.update(dialect_oracles())
     return o
