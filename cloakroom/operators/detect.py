@@ -21,7 +21,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakroom.functions.text import ALNUM_CLASS, java_quote, regex_spans, shannon_entropy
+from cloakroom.functions import sqltext as Q
+from cloakroom.operators.reconcile import reconcile_sql
+from cloakroom.functions.text import ALNUM_CLASS, LOWER, UPPER, java_quote
 
 CAND_TYPE = T.StructType(
     [
@@ -128,47 +130,64 @@ def _java_regex_ok(pattern: str) -> bool:
         return False
 
 
-def _cand(s: Column, v: Column, kind: Kind, score: float, detector: str, pri: int, ins: int) -> Column:
-    return F.struct(
-        s.cast("int").alias("s"),
-        (s + F.length(v)).cast("int").alias("e"),
-        v.alias("v"),
-        F.lit(kind.name).alias("kind"),
-        F.lit(kind.tag).alias("tag"),
-        F.lit(kind.secret).alias("secret"),
-        F.lit(kind.custom).alias("custom"),
-        F.lit(score).cast("float").alias("score"),
-        F.lit(detector).alias("detector"),
-        F.lit(pri).alias("pri"),
-        F.lit(ins).alias("ins"),
-        F.octet_length(v).cast("int").alias("blen"),
-    )
-
-
 BUILTIN_DIGIT_KINDS = {"ssn", "credit_card", "ip_address", "iban", "phone"}
+CANDS_SQL = CANDS_TYPE.simpleString()
+EMPTY_SQL = f"CAST(array() AS {CANDS_SQL})"
 
 
-def _only_if(cond: Column, arr: Column) -> Column:
+def _only_if(cond: str, arr: str) -> str:
     """``arr`` where ``cond`` holds, else an empty candidate array (CASE is lazy)."""
-    return F.when(cond, arr.cast(CANDS_TYPE)).otherwise(F.array().cast(CANDS_TYPE))
+    return f"CASE WHEN {cond} THEN CAST({arr} AS {CANDS_SQL}) ELSE {EMPTY_SQL} END"
+
+
+def _cand(s: str, v: str, kind: Kind, score: float, detector: str, pri: int, ins: int) -> str:
+    return (
+        f"named_struct('s', CAST({s} AS INT), 'e', CAST({s} + length({v}) AS INT), 'v', {v}, "
+        f"'kind', {Q.lit(kind.name)}, 'tag', {Q.lit(kind.tag)}, 'secret', {str(kind.secret).lower()}, "
+        f"'custom', {str(kind.custom).lower()}, 'score', CAST({score} AS FLOAT), 'detector', {Q.lit(detector)}, "
+        f"'pri', {pri}, 'ins', {ins}, 'blen', CAST(octet_length({v}) AS INT))"
+    )
+
+
+def _to_cands(spans: str, kind: Kind, score: float, detector: str, pri: int, ins: int) -> str:
+    m = Q.var("m")
+    return f"transform({spans}, {m} -> {_cand(f'{m}.s', f'{m}.v', kind, score, detector, pri, ins)})"
 
 
-def _builder(kind: Kind, score: float, detector: str, pri: int, ins: int):
-    """One-argument lambda for ``transform`` (PySpark counts every parameter)."""
+def term_hits(t: str, term: str) -> str:
+    """Word-bounded occurrences of ``term`` in SQL text ``t``: array<struct<s, v>>.
 
-    def build(m):
-        return _cand(m["s"], m["v"], kind, score, detector, pri, ins)
+    One case-insensitive (ASCII) literal ``split``: occurrences are leftmost
+    and non-overlapping, and since ASCII case folding keeps the length every
+    occurrence is ``len(term)`` long, so the gaps alone give the offsets. An
+    occurrence whose neighbours are letters/digits is dropped after the scan,
+    having consumed its span like any other occurrence.
+    """
+    n = len(term)
+    alnum = Q.lit(f"^{ALNUM_CLASS}$")
+
+    def body(b):
+        i, st, h = Q.var("i"), Q.var("st"), Q.var("h")
+        idx = f"CASE WHEN size({b}.g) > 1 THEN sequence(0, size({b}.g) - 2) ELSE CAST(array() AS array<int>) END"
+        start = f"{Q.sum_lengths(f'slice({b}.g, 1, {i} + 1)')} + {i} * {n}"
+        left = f"({st} = 0 OR NOT coalesce(substring({t}, {st}, 1) RLIKE {alnum}, false))"
+        right = f"NOT coalesce(substring({t}, {st} + {n + 1}, 1) RLIKE {alnum}, false)"
+        hits = (
+            f"transform(transform({idx}, {i} -> {start}), {st} -> named_struct('s', {st}, "
+            f"'v', substring({t}, {st} + 1, {n}), 'ok', {left} AND {right}))"
+        )
+        return f"transform(filter({hits}, {h} -> {h}.ok), {h} -> named_struct('s', {h}.s, 'v', {h}.v))"
 
-    return build
+    return Q.let({"g": f"split({t}, {Q.lit('(?i)' + java_quote(term))}, -1)"}, body)
 
 
 def gazetteer_pattern(term: str) -> str:
-    """Term scan with a boundary flag.
+    """Term scan with a boundary flag (regex form of the gazetteer rule).
 
     ASCII-case-insensitive (``(?i)`` without Unicode case), leftmost and
-    non-overlapping per term, and a hit that is not word-bounded still
-    consumes its span. Group 1 takes part only when both neighbours are not
-    letters/digits, so a non-empty group 1 marks a kept hit.
+    non-overlapping per term; group 1 takes part only when both neighbours
+    are not letters/digits. Used by callers that need a single pattern; the
+    detector itself uses the cheaper ``term_hits``.
     """
     q = java_quote(term)
     return f"(?i)(?:((?<!{ALNUM_CLASS}){q}(?!{ALNUM_CLASS}))|{q})"
@@ -182,16 +201,24 @@ class Gazetteer:
     priority: int = GAZETTEER_PRIORITY
     name: str = "gazetteer"
 
+    def sql(self, t: str, base: int) -> list[str]:
+        terms = [(j, term, label) for j, (term, label) in enumerate(self.terms) if term]
+        if not terms:
+            return []
+        lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+        def body(b):
+            parts = []
+            for j, term, label in terms:
+                found = _to_cands(term_hits(t, term), kind_of(label), GAZETTEER_SCORE, self.name, self.priority, base + j)
+                # A plain substring test on the ASCII-lowercased text gates the scan.
+                parts.append(_only_if(f"contains({b}.lo, {Q.lit(term.translate(lower))})", found))
+            return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+        return [Q.let({"lo": f"translate({t}, {Q.lit(UPPER)}, {Q.lit(LOWER)})"}, body)]
+
     def candidates(self, text: Column, base: int) -> list[Column]:
-        out = []
-        for j, (term, label) in enumerate(self.terms):
-            if not term:
-                continue
-            kind = kind_of(label)
-            spans = regex_spans(text, gazetteer_pattern(term), groups=(1,))
-            kept = F.filter(spans, lambda m: F.length(m["g1"]) > 0)
-            out.append(F.transform(kept, _builder(kind, GAZETTEER_SCORE, self.name, self.priority, base + j)))
-        return out
+        return [F.expr(x) for x in self.sql(Q.name_of(text), base)]
 
 
 @dataclass
@@ -201,29 +228,27 @@ class Email:
     name: str = "email"
     priority: int = EMAIL_PRIORITY
 
-    def candidates(self, text: Column, base: int) -> list[Column]:
+    def sql(self, t: str, base: int) -> list[str]:
         # One match per '@': the whole local run before it (anchored at the run
         # start, possessive, so the scan stays linear) and, by lookahead, the
         # domain run after it — a domain may also be the next address's local part.
         pattern = f"(?<!{EMAIL_LOCAL_CLASS}){EMAIL_LOCAL_CLASS}*+@(?=({EMAIL_DOMAIN_CLASS}*))"
-        spans = regex_spans(text, pattern, groups=(1,))
-
-        def build(m):
-            dom = F.regexp_replace(m["g1"], r"\.+\z", "")
-            loc = F.substring(m["v"], 1, F.length(m["v"]) - 1)
-            return F.struct(m["s"].alias("s"), F.concat(loc, F.lit("@"), dom).alias("v"), loc.alias("loc"), dom.alias("dom"))
-
-        parts = F.transform(spans, build)
-        valid = F.filter(
-            parts,
-            lambda p: (F.length(p["loc"]) > 0)
-            & (F.length(p["dom"]) >= 3)
-            & p["dom"].contains(".")
-            & ~p["dom"].startswith("."),
+        spans = Q.regex_spans(t, pattern, groups=(1,))
+        m, p = Q.var("m"), Q.var("p")
+        parts = (
+            f"transform({spans}, {m} -> named_struct('s', {m}.s, 'loc', substring({m}.v, 1, length({m}.v) - 1), "
+            f"'dom', regexp_replace({m}.g1, {Q.lit(chr(92) + '.+' + chr(92) + 'z')}, '')))"
         )
-        kind = kind_of("email")
-        found = F.transform(valid, lambda p: _cand(p["s"], p["v"], kind, EMAIL_SCORE, self.name, self.priority, base))
-        return [_only_if(text.contains("@"), found)]
+        valid = (
+            f"filter({parts}, {p} -> length({p}.loc) > 0 AND length({p}.dom) >= 3 "
+            f"AND contains({p}.dom, '.') AND NOT startswith({p}.dom, '.'))"
+        )
+        q = Q.var("q")
+        found = f"transform({valid}, {q} -> {_cand(f'{q}.s', f'concat({q}.loc, {chr(39)}@{chr(39)}, {q}.dom)', kind_of('email'), EMAIL_SCORE, self.name, self.priority, base)})"
+        return [_only_if(f"contains({t}, '@')", found)]
+
+    def candidates(self, text: Column, base: int) -> list[Column]:
+        return [F.expr(x) for x in self.sql(Q.name_of(text), base)]
 
 
 @dataclass
@@ -241,16 +266,18 @@ class RegexSet:
     def __post_init__(self):
         self.patterns = [(p, label) for p, label in self.patterns if _java_regex_ok("(?U)" + p)]
 
-    def candidates(self, text: Column, base: int) -> list[Column]:
-        out = []
-        for j, (p, label) in enumerate(self.patterns):
-            kind = kind_of(label)
-            spans = regex_spans(text, "(?U)" + p)
-            out.append(F.transform(spans, _builder(kind, REGEX_SCORE, self.name, self.priority, base + j)))
+    def sql(self, t: str, base: int) -> list[str]:
+        out = [
+            _to_cands(Q.regex_spans(t, "(?U)" + p), kind_of(label), REGEX_SCORE, self.name, self.priority, base + j)
+            for j, (p, label) in enumerate(self.patterns)
+        ]
         # All built-in patterns need a digit; skip the scans for digit-free texts.
         if all(label in BUILTIN_DIGIT_KINDS for _, label in self.patterns):
-            out = [_only_if(text.rlike(r"(?U)\d"), c) for c in out]
-        return out
+            return [_only_if(f"{t} RLIKE {Q.lit('(?U)' + chr(92) + 'd')}", c) for c in out]
+        return [f"CAST({c} AS {CANDS_SQL})" for c in out]
+
+    def candidates(self, text: Column, base: int) -> list[Column]:
+        return [F.expr(x) for x in self.sql(Q.name_of(text), base)]
 
 
 @dataclass
@@ -262,11 +289,14 @@ class Entropy:
     name: str = "entropy"
     priority: int = ENTROPY_PRIORITY
 
+    def sql(self, t: str, base: int) -> list[str]:
+        spans = Q.regex_spans(t, f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}{{{self.min_len},}}")
+        m = Q.var("m")
+        hot = f"filter({spans}, {m} -> {Q.entropy(f'{m}.v')} >= {self.min_bits})"
+        return [f"CAST({_to_cands(hot, kind_of('secret'), ENTROPY_SCORE, self.name, self.priority, base)} AS {CANDS_SQL})"]
+
     def candidates(self, text: Column, base: int) -> list[Column]:
-        spans = regex_spans(text, f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}{{{self.min_len},}}")
-        hot = F.filter(spans, lambda m: shannon_entropy(m["v"]) >= F.lit(self.min_bits))
-        kind = kind_of("secret")
-        return [F.transform(hot, lambda m: _cand(m["s"], m["v"], kind, ENTROPY_SCORE, self.name, self.priority, base))]
+        return [F.expr(x) for x in self.sql(Q.name_of(text), base)]
 
 
 @dataclass
@@ -275,38 +305,20 @@ class Profile:
 
     detectors: list
 
-    def candidates(self, text: Column) -> Column:
-        parts: list[Column] = []
+    def candidates_sql(self, t: str) -> str:
+        parts: list[str] = []
         for i, d in enumerate(self.detectors):
-            parts += [c.cast(CANDS_TYPE) for c in d.candidates(text, i * 1000)]
+            parts += d.sql(t, i * 1000)
         if not parts:
-            return F.array().cast(CANDS_TYPE)
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-    def detect(self, text: Column) -> Column:
-        """Reconciled, non-overlapping, left-to-right entities of ``text``.
+            return EMPTY_SQL
+        return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
-        The built expression is cached per (profile, input column): building
-        the tree over py4j costs seconds, evaluating it does not.
-        """
-        from cloakroom.operators.reconcile import reconcile
-
-        key = (repr(self), str(text))
-        hit = _DETECT_CACHE.get(key)
-        if hit is None or hit[0] is not _jvm_id():
-            hit = (_jvm_id(), reconcile(self.candidates(text)))
-            _DETECT_CACHE[key] = hit
-        return hit[1]
-
-
-_DETECT_CACHE: dict = {}
-
-
-def _jvm_id():
-    from pyspark import SparkContext
+    def candidates(self, text: Column) -> Column:
+        return F.expr(self.candidates_sql(Q.name_of(text)))
 
-    sc = SparkContext._active_spark_context
-    return sc._jsc if sc is not None else None
+    def detect(self, text: Column) -> Column:
+        """Reconciled, non-overlapping, left-to-right entities of ``text``."""
+        return F.expr(reconcile_sql(self.candidates_sql(Q.name_of(text))))
 
 
 def floor_profile(terms: list[tuple[str, str]] | None = None, discovered: list[tuple[str, str]] | None = None) -> Profile:

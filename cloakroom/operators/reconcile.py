@@ -4,51 +4,35 @@ Rank candidates by priority (high first), byte length (long first), score
 (high first), start (early first) and finally the insertion ordinal; walk the
 ranking and keep every candidate that overlaps nothing kept so far; return the
 kept spans left to right. Runs as ``array_sort`` + ``aggregate`` on the
-candidate array of the row, so it needs no shuffle.
+candidate array of the row, so it needs no shuffle. The sorted array is bound
+once (``let``) so the candidate expression is not evaluated per reference.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from cloakroom.functions import sqltext as Q
 
-from cloakroom.functions.text import let
 
-
-def _desc(a: Column, b: Column) -> Column:
-    return F.when(a > b, -1).when(a < b, 1)
-
-
-def _asc(a: Column, b: Column) -> Column:
-    return F.when(a < b, -1).when(a > b, 1)
-
-
-def rank_order(l: Column, r: Column) -> Column:
-    return F.coalesce(
-        _desc(l["pri"], r["pri"]),
-        _desc(l["blen"], r["blen"]),
-        _desc(l["score"], r["score"]),
-        _asc(l["s"], r["s"]),
-        _asc(l["ins"], r["ins"]),
-        F.lit(0),
+def reconcile_sql(cands: str) -> str:
+    """Rank (priority, byte length, score desc; start, ordinal asc), keep greedily, sort by start."""
+    l, r = Q.var("l"), Q.var("r")
+    order = (
+        f"({l}, {r}) -> CASE WHEN {l}.pri > {r}.pri THEN -1 WHEN {l}.pri < {r}.pri THEN 1 "
+        f"WHEN {l}.blen > {r}.blen THEN -1 WHEN {l}.blen < {r}.blen THEN 1 "
+        f"WHEN {l}.score > {r}.score THEN -1 WHEN {l}.score < {r}.score THEN 1 "
+        f"WHEN {l}.s < {r}.s THEN -1 WHEN {l}.s > {r}.s THEN 1 "
+        f"WHEN {l}.ins < {r}.ins THEN -1 WHEN {l}.ins > {r}.ins THEN 1 ELSE 0 END"
     )
 
-
-def by_start(l: Column, r: Column) -> Column:
-    return F.coalesce(_asc(l["s"], r["s"]), F.lit(0))
-
-
-def reconcile(cands: Column) -> Column:
     def greedy(b):
-        ranked = b["r"]
-        return F.aggregate(
-            ranked,
-            F.slice(ranked, 1, 0),
-            lambda acc, x: F.when(
-                F.exists(acc, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"])), acc
-            ).otherwise(F.concat(acc, F.array(x))),
+        acc, x, k = Q.var("acc"), Q.var("x"), Q.var("k")
+        return (
+            f"aggregate({b}.r, slice({b}.r, 1, 0), ({acc}, {x}) -> CASE WHEN exists({acc}, {k} -> {x}.s < {k}.e AND {k}.s < {x}.e) "
+            f"THEN {acc} ELSE concat({acc}, array({x})) END)"
         )
 
-    # ``let`` keeps the sorted candidate array (and so every detector) from
-    # being evaluated once per reference.
-    return F.array_sort(let({"r": F.array_sort(cands, rank_order)}, greedy), by_start)
+    kept = Q.let({"r": f"array_sort({cands}, {order})"}, greedy)
+    l2, r2 = Q.var("l"), Q.var("r")
+    return f"array_sort({kept}, ({l2}, {r2}) -> CASE WHEN {l2}.s < {r2}.s THEN -1 WHEN {l2}.s > {r2}.s THEN 1 ELSE 0 END)"
+
+

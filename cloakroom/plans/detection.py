@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakroom.functions.text import explode_rows, regex_spans
+from cloakroom.functions import sqltext as Q
+from cloakroom.functions.text import explode_rows
 from cloakroom.operators.anonymize import anonymize, detect_entities
 from cloakroom.operators.detect import (
     DEFAULT_PATTERNS,
@@ -28,7 +29,7 @@ AMEX = DEFAULT_PATTERNS[2][0]
 
 
 def _spans_query(texts: DataFrame, pattern: str) -> DataFrame:
-    m = explode_rows(texts, regex_spans(F.col("text"), pattern), ["ord"], "_p", "m")
+    m = explode_rows(texts, F.expr(Q.regex_spans("`text`", pattern)), ["ord"], "_p", "m")
     return m.select(
         F.col("ord").alias("doc_id"),
         F.col("m.s").cast("bigint").alias("start_pos"),
