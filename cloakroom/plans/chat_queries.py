@@ -138,3 +138,65 @@ def normalize_transcripts(spark: SparkSession, sf: str) -> DataFrame:
         F.col("m.tool_call_id").alias("tool_call_id"),
         F.get_json_object(F.try_element_at(F.col("m.tool_calls"), F.lit(1))["function"]["arguments"], "$.turn").alias("call_turn"),
     )
+
+
+def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as canonical chat requests with tool calls and a tool schema.
+
+    Turn 0 mentions the user's address; every assistant turn with turn % 4 = 1
+    carries a send_mail tool call whose JSON arguments hold the address; the
+    tool schema's descriptions mention an operations address and the user's.
+    """
+    c = table(spark, sf, "conversations")
+    user_mail = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@mail.example.com"))
+    ops_mail = F.concat(F.lit("ops"), (F.col("conv_id") % 7).cast("string"), F.lit("@corp.example.org"))
+    content = F.when(F.col("turn") == 0, F.concat(F.col("text"), F.lit(" mail "), user_mail)).otherwise(F.col("text"))
+    args = F.concat(F.lit('{"to":"'), user_mail, F.lit('","n":'), F.col("turn").cast("string"), F.lit("}"))
+    call = F.array(F.struct(
+        F.concat(F.lit("c"), F.col("turn").cast("string")).alias("id"), F.lit("function").alias("type"),
+        F.struct(F.lit("send_mail").alias("name"), args.alias("arguments")).alias("function"),
+    ))
+    calls = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), call)
+    msg = F.to_json(F.struct(F.col("role").alias("role"), content.alias("content"), calls.alias("tool_calls")))
+    tools = F.to_json(F.array(F.struct(
+        F.lit("function").alias("type"),
+        F.struct(
+            F.lit("send_mail").alias("name"),
+            F.concat(F.lit("Send mail via "), ops_mail).alias("description"),
+            F.struct(
+                F.lit("object").alias("type"),
+                F.struct(F.struct(F.lit("string").alias("type"), F.concat(F.lit("recipient, e.g. "), user_mail).alias("description")).alias("to")).alias("properties"),
+            ).alias("parameters"),
+        ).alias("function"),
+    )))
+    per_turn = c.select("conv_id", "turn", msg.alias("m"), tools.alias("t"))
+    return per_turn.groupBy("conv_id").agg(
+        F.concat(
+            F.lit('{"model":"m","messages":['),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"]), ","),
+            F.lit('],"tools":'), F.first("t"), F.lit("}"),
+        ).alias("body")
+    ).withColumnRenamed("conv_id", "request_id")
+
+
+def _anonymized_requests(spark: SparkSession, sf: str):
+    from cloakroom.operators.chat_fields import request_fields
+
+    req = chat_requests(spark, sf)
+    fields = request_fields(req)
+    return req, anonymize(fields, floor_profile())
+
+
+def chat_fields_anonymize(spark: SparkSession, sf: str) -> DataFrame:
+    _, a = _anonymized_requests(spark, sf)
+    return a.sanitized.select("session", "path", "text")
+
+
+def chat_requests_sanitized(spark: SparkSession, sf: str) -> DataFrame:
+    """Sanitized request JSON: the fields written back into each request body."""
+    from cloakroom.operators.chat_fields import set_fields
+
+    req, a = _anonymized_requests(spark, sf)
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("path", "text")).alias("fields"))
+    j = req.withColumn("session", F.col("request_id").cast("string")).join(per, "session", "left")
+    return j.select(F.col("request_id").alias("conv_id"), set_fields(F.col("body"), F.col("fields")).alias("body"))

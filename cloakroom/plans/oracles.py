@@ -364,3 +364,21 @@ def dialect_oracles() -> dict[str, str]:
                role, content, tool_call_id, call_turn
         FROM rows"""
     }
+
+
+def chat_field_oracles() -> dict[str, str]:
+    return {
+        "chat_fields_anonymize": """
+        WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS mi FROM conversations),
+        f AS (
+          SELECT conv_id, 'messages[' || CAST(mi AS VARCHAR) || '].content' AS path,
+                 CASE WHEN turn = 0 THEN text || ' mail __EMAIL_1__' ELSE text END AS text FROM c
+          UNION ALL
+          SELECT conv_id, 'messages[' || CAST(mi AS VARCHAR) || '].tool_calls[0].function.arguments',
+                 '{"to":"__EMAIL_1__","n":' || CAST(turn AS VARCHAR) || '}' FROM c WHERE role = 'assistant' AND turn % 4 = 1
+          UNION ALL
+          SELECT DISTINCT conv_id, 'tools[0].function.description', 'Send mail via __EMAIL_2__' FROM c
+          UNION ALL
+          SELECT DISTINCT conv_id, 'tools[0].function.parameters.properties.to.description', 'recipient, e.g. __EMAIL_1__' FROM c)
+        SELECT CAST(conv_id AS VARCHAR) AS session, path, text FROM f"""
+    }

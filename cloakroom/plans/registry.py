@@ -11,7 +11,7 @@ from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
-from cloakroom.plans.oracles import chat_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
+from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,8 @@ def queries() -> dict[str, Query]:
         "eval_report": cq.eval_report,
         "route_candidates": cq.route_candidates,
         "normalize_transcripts": cq.normalize_transcripts,
+        "chat_fields_anonymize": cq.chat_fields_anonymize,
+        "chat_requests_sanitized": cq.chat_requests_sanitized,
     }
     return q
 
@@ -69,4 +71,5 @@ def oracle_sql() -> dict[str, str]:
     o["stream_rehydrate"] = o["rehydrate_roundtrip"]
     o.update(chat_oracles())
     o.update(dialect_oracles())
+    o.update(chat_field_oracles())
     return o
