@@ -51,6 +51,7 @@ def queries() -> dict[str, Query]:
         "durable_vault_keyed": vq.durable_vault_keyed,
         "layered_rehydrate": vq.layered_rehydrate,
         "stream_rehydrate": sq.stream_rehydrate,
+        "stream_deltas": sq.stream_deltas,
         "rescue_tool_calls": cq.rescue_tool_calls,
         "llm_reply_terms": cq.llm_reply_terms,
         "eval_outcomes": cq.eval_outcomes,
@@ -69,6 +70,7 @@ def oracle_sql() -> dict[str, str]:
     o.update(memory_oracles())
     o.update(vault_oracles())
     o["stream_rehydrate"] = o["rehydrate_roundtrip"]
+    o["stream_deltas"] = o["rehydrate_roundtrip"]
     o.update(chat_oracles())
     o.update(dialect_oracles())
     o.update(chat_field_oracles())
