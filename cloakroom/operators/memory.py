@@ -167,10 +167,9 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_sc
     top ``k`` per query, so at most partitions x queries x k rows are
     shuffled into the final ranking — never all query x item pairs.
     """
-    n = queries.limit(MAX_QUERY_VECTORS + 1).count()
-    if n > MAX_QUERY_VECTORS:
+    qrows = queries.select("qid", "vec").limit(MAX_QUERY_VECTORS + 1).collect()
+    if len(qrows) > MAX_QUERY_VECTORS:
         raise ValueError("too many query vectors for one pass; split the query set")
-    qrows = queries.select("qid", "vec").collect()
     qids = [r["qid"] for r in qrows]
     qmat = np.array([np.asarray(r["vec"], dtype=np.float64) for r in qrows]) if qrows else np.zeros((0, 1))
     qn = np.linalg.norm(qmat, axis=1, keepdims=True) if len(qrows) else qmat
