@@ -299,6 +299,10 @@ class Entropy:
         return [F.expr(x) for x in self.sql(Q.name_of(text), base)]
 
 
+# Ordinal range of one detector (terms / patterns of a detector are numbered inside it).
+DETECTOR_ORDINAL_STRIDE = 100_000_000
+
+
 @dataclass
 class Profile:
     """An ordered detector ensemble; the order fixes the tie-break ordinal."""
@@ -308,7 +312,7 @@ class Profile:
     def candidates_sql(self, t: str) -> str:
         parts: list[str] = []
         for i, d in enumerate(self.detectors):
-            parts += d.sql(t, i * 1000)
+            parts += d.sql(t, i * DETECTOR_ORDINAL_STRIDE)
         if not parts:
             return EMPTY_SQL
         return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]

@@ -187,3 +187,30 @@ def detect_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 
 def structured_guard_profile() -> Profile:
     return Profile([RegexSet()])
+
+
+def benchmark_vocab_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary derived from benchmark, kept distributed: lower-cased words of
+    8+ chars and two-word phrases (distinct words of 6+ chars, one space apart)."""
+    b = table(spark, sf, "benchmark")
+    runs = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+"), 0)
+    r = b.select(F.posexplode(runs).alias("i", "w"), runs.alias("r"))
+    word = r["w"]
+    is_tok = word.rlike(r"^[\p{IsAlphabetic}\p{N}]")
+    nxt = F.try_element_at(F.col("r"), F.col("i") + 2)
+    nxt2 = F.try_element_at(F.col("r"), F.col("i") + 3)
+    single = r.where(is_tok & (F.length(word) >= 8)).select(F.lower(word).alias("term"))
+    pair = r.where(
+        is_tok & (nxt == " ") & (F.length(word) >= 6) & (F.length(nxt2) >= 6) & (F.lower(word) != F.lower(nxt2))
+    ).select(F.lower(F.concat(word, F.lit(" "), nxt2)).alias("term"))
+    v = single.unionByName(pair).distinct()
+    return v.select("term", F.lit("private").alias("label"), F.pmod(F.xxhash64("term"), F.lit(100_000_000)).cast("int").alias("ins"))
+
+
+def detect_gazetteer_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits per (document, term) for a table-sized vocabulary (token equi-join path)."""
+    from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
+
+    t = attach_terms(document_texts(spark, sf), benchmark_vocab_table(spark, sf))
+    c = explode_rows(t, Profile([JoinedGazetteer()]).candidates(F.col("text")), ["ord"], "_p", "c")
+    return c.groupBy(F.col("ord").alias("doc_id"), F.lower(F.col("c.v")).alias("term")).agg(F.count(F.lit(1)).cast("bigint").alias("hits"))

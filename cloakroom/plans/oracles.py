@@ -57,10 +57,10 @@ def _floor_ctes() -> str:
     ]
     for j, (p, tag) in enumerate(zip((SSN, CARD, AMEX, IP, IBAN, PHONE), ("SSN", "CARD", "CARD", "IP", "IBAN", "PHONE"))):
         parts.append(
-            f"SELECT id, start_pos, start_pos + length(value), value, '{tag}', 'regex', 3, 0.9, {1000 + j} FROM {_positions('documents', 'doc_id', 'text', p)}"
+            f"SELECT id, start_pos, start_pos + length(value), value, '{tag}', 'regex', 3, 0.9, {100000000 + j} FROM {_positions('documents', 'doc_id', 'text', p)}"
         )
     parts.append(
-        f"SELECT id, start_pos, start_pos + length(value), value, 'SECRET', 'entropy', 1, 0.6, 2000 FROM {_entropy_tokens('documents', 'doc_id', 'text')}"
+        f"SELECT id, start_pos, start_pos + length(value), value, 'SECRET', 'entropy', 1, 0.6, 200000000 FROM {_entropy_tokens('documents', 'doc_id', 'text')}"
     )
     union = "\n UNION ALL ".join(parts)
     above = (
@@ -382,3 +382,27 @@ def chat_field_oracles() -> dict[str, str]:
           SELECT DISTINCT conv_id, 'tools[0].function.parameters.properties.to.description', 'recipient, e.g. __EMAIL_1__' FROM c)
         SELECT CAST(conv_id AS VARCHAR) AS session, path, text FROM f"""
     }
+
+
+def joined_gazetteer_oracles() -> dict[str, str]:
+    runs = "regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')"
+    return {
+        "detect_gazetteer_joined": f"""
+        WITH br AS (SELECT {runs} AS r FROM benchmark),
+        bi AS (SELECT r, generate_subscripts(r, 1) AS i FROM br),
+        vocab AS (
+          SELECT DISTINCT lower(r[i]) AS term FROM bi WHERE length(r[i]) >= 8 AND regexp_matches(r[i], '^[\\p{{L}}\\p{{N}}]')
+          UNION
+          SELECT DISTINCT lower(r[i] || ' ' || r[i + 2]) FROM bi
+          WHERE i + 2 <= len(r) AND r[i + 1] = ' ' AND length(r[i]) >= 6 AND length(r[i + 2]) >= 6
+            AND regexp_matches(r[i], '^[\\p{{L}}\\p{{N}}]') AND lower(r[i]) <> lower(r[i + 2])),
+        dr AS (SELECT doc_id, {runs} AS r FROM documents),
+        di AS (SELECT doc_id, r, generate_subscripts(r, 1) AS i FROM dr),
+        hits AS (
+          SELECT doc_id, translate(r[i], '{UP}', '{LO}') AS k FROM di
+          UNION ALL
+          SELECT doc_id, translate(r[i] || ' ' || r[i + 2], '{UP}', '{LO}') FROM di WHERE i + 2 <= len(r) AND r[i + 1] = ' ')
+        SELECT CAST(h.doc_id AS BIGINT) AS doc_id, v.term, CAST(count(*) AS BIGINT) AS hits
+        FROM hits h JOIN vocab v ON h.k = translate(v.term, '{UP}', '{LO}')
+        GROUP BY h.doc_id, v.term"""
+    }

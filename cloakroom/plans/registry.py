@@ -11,7 +11,7 @@ from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
-from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
+from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, joined_gazetteer_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "detect_entropy": det.detect_entropy,
         "detect_floor": det.detect_floor,
         "detect_gazetteer": det.detect_gazetteer,
+        "detect_gazetteer_joined": det.detect_gazetteer_joined,
         "intern_session_vault": det.intern_session_vault,
         "anonymize_documents": det.anonymize_documents,
         "audit_by_kind": det.audit_by_kind,
@@ -74,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(chat_oracles())
     o.update(dialect_oracles())
     o.update(chat_field_oracles())
+    o.update(joined_gazetteer_oracles())
     return o
