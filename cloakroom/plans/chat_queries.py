@@ -200,3 +200,31 @@ def chat_requests_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("path", "text")).alias("fields"))
     j = req.withColumn("session", F.col("request_id").cast("string")).join(per, "session", "left")
     return j.select(F.col("request_id").alias("conv_id"), set_fields(F.col("body"), F.col("fields")).alias("body"))
+
+
+def discovered_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms a detector model reported per conversation, parsed from its replies.
+
+    The reply of a conversation names the first 7+ letter word of its first
+    turn, as a person (even conv_id) or a company (odd conv_id).
+    """
+    c = table(spark, sf, "conversations").where(F.col("turn") == 0)
+    label = F.when(F.col("conv_id") % 2 == 0, F.lit("person")).otherwise(F.lit("Company"))
+    reply = F.concat(
+        F.lit("Here you go:\n"),
+        F.to_json(F.struct(F.array(F.struct(F.regexp_extract("text", "[A-Za-z]{7,}", 0).alias("text"), label.alias("type"))).alias("entities"))),
+    )
+    r = c.select(F.col("conv_id").cast("string").alias("session"), F.explode(parse_model_entities(reply)).alias("e"))
+    return r.select("session", F.col("e.text").alias("term"), model_label_kind(F.col("e.label")).alias("label"), F.lit(0).alias("ins"))
+
+
+def anonymize_with_discovered(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations anonymized by the floor plus the model-discovered terms (priority 2)."""
+    from cloakroom.operators.detect import Email, Entropy, Profile, RegexSet
+    from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
+    from cloakroom.sources.tables import conversation_texts
+
+    t = attach_terms(conversation_texts(spark, sf), discovered_terms(spark, sf), by_session=True)
+    prof = Profile([Email(), RegexSet(), Entropy(), JoinedGazetteer(priority=2)])
+    a = anonymize(t, prof)
+    return a.sanitized.select(F.col("session").cast("bigint").alias("conv_id"), F.col("ord").alias("turn"), "text")

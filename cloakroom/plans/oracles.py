@@ -406,3 +406,28 @@ def joined_gazetteer_oracles() -> dict[str, str]:
         FROM hits h JOIN vocab v ON h.k = translate(v.term, '{UP}', '{LO}')
         GROUP BY h.doc_id, v.term"""
     }
+
+
+def discovered_oracles() -> dict[str, str]:
+    runs = "regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')"
+    return {
+        "anonymize_with_discovered": f"""
+        WITH w AS (SELECT conv_id, regexp_extract(text, '[A-Za-z]{{7,}}') AS term,
+                          CASE WHEN conv_id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS tag
+                   FROM conversations WHERE turn = 0),
+        w2 AS (SELECT * FROM w WHERE term <> ''),
+        runs AS (SELECT conv_id, turn, r, generate_subscripts(r, 1) AS i
+                 FROM (SELECT conv_id, turn, {runs} AS r FROM conversations)),
+        hit AS (SELECT u.conv_id, u.turn, u.i, u.r[u.i] AS orig, w2.tag FROM runs u JOIN w2 ON w2.conv_id = u.conv_id
+                AND translate(u.r[u.i], '{UP}', '{LO}') = translate(w2.term, '{UP}', '{LO}')),
+        firsts AS (SELECT conv_id, tag, orig, min(turn * 1000000 + i) AS f FROM hit GROUP BY conv_id, tag, orig),
+        num AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tag ORDER BY f) AS n FROM firsts),
+        out AS (SELECT u.conv_id, u.turn,
+                       string_agg(CASE WHEN h.orig IS NULL THEN u.r[u.i] ELSE '__' || h.tag || '_' || CAST(n.n AS VARCHAR) || '__' END, '' ORDER BY u.i) AS text
+                FROM runs u
+                LEFT JOIN hit h ON h.conv_id = u.conv_id AND h.turn = u.turn AND h.i = u.i
+                LEFT JOIN num n ON n.conv_id = h.conv_id AND n.tag = h.tag AND n.orig = h.orig
+                GROUP BY u.conv_id, u.turn)
+        SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CAST(c.turn AS BIGINT) AS turn, coalesce(o.text, c.text) AS text
+        FROM conversations c LEFT JOIN out o ON o.conv_id = c.conv_id AND o.turn = c.turn"""
+    }

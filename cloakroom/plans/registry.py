@@ -11,7 +11,7 @@ from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
-from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, joined_gazetteer_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
+from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,7 @@ def queries() -> dict[str, Query]:
         "stream_deltas": sq.stream_deltas,
         "rescue_tool_calls": cq.rescue_tool_calls,
         "llm_reply_terms": cq.llm_reply_terms,
+        "anonymize_with_discovered": cq.anonymize_with_discovered,
         "eval_outcomes": cq.eval_outcomes,
         "eval_report": cq.eval_report,
         "route_candidates": cq.route_candidates,
@@ -76,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(dialect_oracles())
     o.update(chat_field_oracles())
     o.update(joined_gazetteer_oracles())
+    o.update(discovered_oracles())
     return o
