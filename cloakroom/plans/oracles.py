@@ -431,3 +431,28 @@ def discovered_oracles() -> dict[str, str]:
         SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CAST(c.turn AS BIGINT) AS turn, coalesce(o.text, c.text) AS text
         FROM conversations c LEFT JOIN out o ON o.conv_id = c.conv_id AND o.turn = c.turn"""
     }
+
+
+def outbound_oracles() -> dict[str, str]:
+    runs = "regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')"
+    return {
+        "prepare_outbound_conversations": f"""{_fused_sql()},
+        blk AS (SELECT qid AS conv_id, -1 AS turn,
+                       'Relevant context about the user (use only if helpful):' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY rank) AS text
+                FROM sel GROUP BY qid),
+        msgs AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn, text FROM blk),
+        vocab AS (SELECT DISTINCT lower(w) AS term
+                  FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark) WHERE length(w) >= 12),
+        runs AS (SELECT conv_id, turn, r, generate_subscripts(r, 1) AS i FROM (SELECT conv_id, turn, {runs} AS r FROM msgs)),
+        hit AS (SELECT u.conv_id, u.turn, u.i, u.r[u.i] AS orig FROM runs u JOIN vocab v
+                ON translate(u.r[u.i], '{UP}', '{LO}') = translate(v.term, '{UP}', '{LO}')),
+        firsts AS (SELECT conv_id, orig, min((turn + 1) * 1000000 + i) AS f FROM hit GROUP BY conv_id, orig),
+        num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY f) AS n FROM firsts),
+        out AS (SELECT u.conv_id, u.turn,
+                       string_agg(CASE WHEN h.orig IS NULL THEN u.r[u.i] ELSE '__PRIVATE_' || CAST(n.n AS VARCHAR) || '__' END, '' ORDER BY u.i) AS text
+                FROM runs u LEFT JOIN hit h ON h.conv_id = u.conv_id AND h.turn = u.turn AND h.i = u.i
+                LEFT JOIN num n ON n.conv_id = h.conv_id AND n.orig = h.orig
+                GROUP BY u.conv_id, u.turn)
+        SELECT CAST(m.conv_id AS BIGINT) AS conv_id, CAST(m.turn AS BIGINT) AS turn, coalesce(o.text, m.text) AS text
+        FROM msgs m LEFT JOIN out o ON o.conv_id = m.conv_id AND o.turn = m.turn"""
+    }

@@ -11,7 +11,8 @@ from cloakroom.plans import memory_queries as mq
 from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
-from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
+from cloakroom.plans import outbound as ob
+from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, outbound_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +57,7 @@ def queries() -> dict[str, Query]:
         "rescue_tool_calls": cq.rescue_tool_calls,
         "llm_reply_terms": cq.llm_reply_terms,
         "anonymize_with_discovered": cq.anonymize_with_discovered,
+        "prepare_outbound_conversations": ob.prepare_outbound_conversations,
         "eval_outcomes": cq.eval_outcomes,
         "eval_report": cq.eval_report,
         "route_candidates": cq.route_candidates,
@@ -78,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(chat_field_oracles())
     o.update(joined_gazetteer_oracles())
     o.update(discovered_oracles())
+    o.update(outbound_oracles())
     return o
