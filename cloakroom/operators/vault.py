@@ -133,3 +133,12 @@ def durable_resolver(durable: DataFrame, key: str | None = None) -> DataFrame:
 def session_resolver(vault: DataFrame) -> DataFrame:
     """placeholder -> original per session; secrets are absent by design."""
     return vault.where(~F.col("is_secret")).select("session", "placeholder", "original")
+
+
+def degraded_placeholder(tag, original):
+    """Deterministic, unpersisted placeholder ``__TAG_h<hex>__`` for a failed intern.
+
+    It is never written to a vault, so it can never be resolved: failing
+    toward privacy when the durable store cannot be written.
+    """
+    return F.concat(F.lit("__"), tag, F.lit("_h"), F.lower(F.hex(F.xxhash64(tag, original))), F.lit("__"))

@@ -228,3 +228,45 @@ def anonymize_with_discovered(spark: SparkSession, sf: str) -> DataFrame:
     prof = Profile([Email(), RegexSet(), Entropy(), JoinedGazetteer(priority=2)])
     a = anonymize(t, prof)
     return a.sanitized.select(F.col("session").cast("bigint").alias("conv_id"), F.col("ord").alias("turn"), "text")
+
+
+def has_tools(body):
+    return F.try_variant_get(F.try_parse_json(body), "$.tools", "variant").isNotNull()
+
+
+def restore_replies(replies: DataFrame, resolver: DataFrame) -> DataFrame:
+    """Buffered replies (session, needs_tools, reply JSON): rescue text tool calls
+    when the request had tools, then restore placeholders in every string."""
+    from cloakroom.operators.rehydrate import rehydrate_json
+
+    content = F.try_variant_get(F.try_parse_json(F.col("reply")), "$.choices[0].message.content", "string")
+    calls = F.try_variant_get(F.try_parse_json(F.col("reply")), "$.choices[0].message.tool_calls", "array<variant>")
+    rescued = F.when(F.col("needs_tools") & (F.coalesce(F.size(calls), F.lit(0)) == 0), rescue_tool_call(content))
+    fixed = F.when(
+        rescued.isNotNull(),
+        F.to_json(F.struct(F.array(F.struct(
+            F.lit("tool_calls").alias("finish_reason"), F.lit(0).alias("index"),
+            F.struct(
+                F.lit(None).cast("string").alias("content"), F.lit("assistant").alias("role"),
+                F.array(F.struct(F.lit("call_rescue_0").alias("id"), F.lit("function").alias("type"),
+                                 F.struct(rescued["name"].alias("name"), rescued["arguments"].alias("arguments")).alias("function"))).alias("tool_calls"),
+            ).alias("message"),
+        )).alias("choices")), {"ignoreNullFields": "false"}),
+    ).otherwise(F.col("reply"))
+    docs = replies.select("session", F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("field_pos"), fixed.alias("text"))
+    return rehydrate_json(docs, resolver)
+
+
+def reply_restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Sanitized request bodies echoed back as replies restore to the original bodies."""
+    from cloakroom.operators.vault import session_resolver
+
+    req, a = _anonymized_requests(spark, sf)
+    from cloakroom.operators.chat_fields import set_fields
+
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("path", "text")).alias("fields"))
+    j = req.withColumn("session", F.col("request_id").cast("string")).join(per, "session", "left")
+    echoed = j.select("session", F.lit(False).alias("needs_tools"), set_fields(F.col("body"), F.col("fields")).alias("reply"), "body")
+    back = restore_replies(echoed, session_resolver(a.vault))
+    cmp = back.join(echoed.select("session", "body"), "session")
+    return cmp.select(F.col("session").cast("bigint").alias("conv_id"), (F.col("text") == F.col("body")).alias("restored"))

@@ -54,6 +54,7 @@ def queries() -> dict[str, Query]:
         "layered_rehydrate": vq.layered_rehydrate,
         "stream_rehydrate": sq.stream_rehydrate,
         "stream_deltas": sq.stream_deltas,
+        "stream_anonymize": sq.stream_anonymize,
         "rescue_tool_calls": cq.rescue_tool_calls,
         "llm_reply_terms": cq.llm_reply_terms,
         "anonymize_with_discovered": cq.anonymize_with_discovered,
@@ -64,6 +65,7 @@ def queries() -> dict[str, Query]:
         "normalize_transcripts": cq.normalize_transcripts,
         "chat_fields_anonymize": cq.chat_fields_anonymize,
         "chat_requests_sanitized": cq.chat_requests_sanitized,
+        "reply_restore_roundtrip": cq.reply_restore_roundtrip,
     }
     return q
 
@@ -75,10 +77,12 @@ def oracle_sql() -> dict[str, str]:
     o.update(vault_oracles())
     o["stream_rehydrate"] = o["rehydrate_roundtrip"]
     o["stream_deltas"] = o["rehydrate_roundtrip"]
+    o["stream_anonymize"] = o["anonymize_documents"]
     o.update(chat_oracles())
     o.update(dialect_oracles())
     o.update(chat_field_oracles())
     o.update(joined_gazetteer_oracles())
     o.update(discovered_oracles())
     o.update(outbound_oracles())
+    o["reply_restore_roundtrip"] = "SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, true AS restored FROM conversations"
     return o
