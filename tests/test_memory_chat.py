@@ -88,3 +88,46 @@ def test_candidates_and_report(spark):
     r = report(out).first()
     assert (r.baseline_rate, r.anon_rate, r.leaks) == (1.0, round(1 / 3, 6), 1)
     assert r.retention == round(1 / 3, 6)
+
+
+def _scan_first_balanced(s):
+    """Character-by-character statement of the rule (test oracle)."""
+    starts = [i for i, c in enumerate(s) if c in "{["]
+    if not starts:
+        return None
+    st = starts[0]
+    op = s[st]
+    cl = "}" if op == "{" else "]"
+    depth, ins, esc = 0, False, False
+    for i in range(st, len(s)):
+        c = s[i]
+        if ins:
+            if esc:
+                esc = False
+            elif c == "\\":
+                esc = True
+            elif c == '"':
+                ins = False
+        elif c == '"':
+            ins = True
+        elif c == op:
+            depth += 1
+        elif c == cl:
+            depth -= 1
+            if depth == 0:
+                return s[st : i + 1]
+    return None
+
+
+def test_first_balanced_matches_scan(spark):
+    import random
+
+    from cloakroom.operators.transcript import first_balanced
+
+    rnd = random.Random(11)
+    alphabet = ['{', '}', '[', ']', '"', '\\', 'a', ' ', ':', ',', 'é']
+    strings = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(strings)], "i int, t string")
+    got = {r.i: r.b for r in df.select("i", first_balanced(F.col("t")).alias("b")).collect()}
+    for i, t in enumerate(strings):
+        assert got[i] == _scan_first_balanced(t), t
