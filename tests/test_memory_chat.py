@@ -131,3 +131,16 @@ def test_first_balanced_matches_scan(spark):
     got = {r.i: r.b for r in df.select("i", first_balanced(F.col("t")).alias("b")).collect()}
     for i, t in enumerate(strings):
         assert got[i] == _scan_first_balanced(t), t
+
+
+def test_report_lines(spark):
+    from cloakroom.operators.evaluate import report_lines
+
+    out = spark.createDataFrame(
+        [("b", True, True, False, None), ("a", True, False, True, None), ("c", False, False, False, "timeout")],
+        "name string, baseline_pass boolean, anon_pass boolean, leaked boolean, error string",
+    )
+    lines = [r.line for r in report_lines(out).orderBy("line_no").collect()]
+    assert lines[2].startswith("a ") and "MISS" in lines[2] and lines[2].endswith("LEAK")
+    assert lines[4] == "c                      ERROR: timeout"
+    assert lines[-1] == "baseline 100%  ·  anonymised 50%  ·  quality retained 50%  ·  leaks 1"
