@@ -308,6 +308,7 @@ class Profile:
     """An ordered detector ensemble; the order fixes the tie-break ordinal."""
 
     detectors: list
+    harden: bool = False  # mask the uncovered rest of evicted secrets (Q6); off = parity
 
     def candidates_sql(self, t: str) -> str:
         parts: list[str] = []
@@ -322,7 +323,7 @@ class Profile:
 
     def detect(self, text: Column) -> Column:
         """Reconciled, non-overlapping, left-to-right entities of ``text``."""
-        return F.expr(reconcile_sql(self.candidates_sql(Q.name_of(text))))
+        return F.expr(reconcile_sql(self.candidates_sql(Q.name_of(text)), self.harden))
 
 
 def floor_profile(terms: list[tuple[str, str]] | None = None, discovered: list[tuple[str, str]] | None = None) -> Profile:

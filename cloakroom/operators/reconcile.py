@@ -13,7 +13,35 @@ from __future__ import annotations
 from cloakroom.functions import sqltext as Q
 
 
-def reconcile_sql(cands: str) -> str:
+def harden_sql(ranked: str, kept: str) -> str:
+    """Kept spans plus, for every dropped secret candidate, its stretches not
+    covered by a kept span, as new SECRET spans (off by default: parity keeps
+    the rest of an evicted secret in clear)."""
+    d, k, o, x, y, p = (Q.var(n) for n in ("d", "k", "o", "x", "y", "p"))
+    dropped = (
+        f"filter({ranked}, {d} -> {d}.secret AND NOT exists({kept}, {k} -> {k}.s = {d}.s AND {k}.e = {d}.e AND {k}.ins = {d}.ins))"
+    )
+    cover = (
+        f"array_sort(filter({kept}, {o} -> {o}.s < {d}.e AND {d}.s < {o}.e), "
+        f"({x}, {y}) -> CASE WHEN {x}.s < {y}.s THEN -1 WHEN {x}.s > {y}.s THEN 1 ELSE 0 END)"
+    )
+    starts = f"concat(array({d}.s), transform({cover}, {o} -> {o}.e))"
+    ends = f"concat(transform({cover}, {o} -> {o}.s), array({d}.e))"
+    gaps = (
+        f"filter(zip_with({starts}, {ends}, ({x}, {y}) -> named_struct('a', greatest({x}, {d}.s), 'b', least({y}, {d}.e))), "
+        f"{p} -> {p}.b > {p}.a)"
+    )
+    v = f"substring({d}.v, {p}.a - {d}.s + 1, {p}.b - {p}.a)"
+    piece = (
+        f"named_struct('s', CAST({p}.a AS INT), 'e', CAST({p}.b AS INT), 'v', {v}, "
+        f"'kind', {d}.kind, 'tag', {d}.tag, 'secret', true, 'custom', false, 'score', {d}.score, "
+        f"'detector', {d}.detector, 'pri', {d}.pri, 'ins', {d}.ins, 'blen', CAST(octet_length({v}) AS INT))"
+    )
+    rest = f"flatten(transform({dropped}, {d} -> transform({gaps}, {p} -> {piece})))"
+    return f"concat({kept}, {rest})"
+
+
+def reconcile_sql(cands: str, harden: bool = False) -> str:
     """Rank (priority, byte length, score desc; start, ordinal asc), keep greedily, sort by start."""
     l, r = Q.var("l"), Q.var("r")
     order = (
@@ -31,7 +59,10 @@ def reconcile_sql(cands: str) -> str:
             f"THEN {acc} ELSE concat({acc}, array({x})) END)"
         )
 
-    kept = Q.let({"r": f"array_sort({cands}, {order})"}, greedy)
+    if harden:
+        kept = Q.let({"r": f"array_sort({cands}, {order})"}, lambda b: harden_sql(f"{b}.r", greedy(b)))
+    else:
+        kept = Q.let({"r": f"array_sort({cands}, {order})"}, greedy)
     l2, r2 = Q.var("l"), Q.var("r")
     return f"array_sort({kept}, ({l2}, {r2}) -> CASE WHEN {l2}.s < {r2}.s THEN -1 WHEN {l2}.s > {r2}.s THEN 1 ELSE 0 END)"
 
