@@ -70,6 +70,12 @@ def queries() -> dict[str, Query]:
     return q
 
 
+def _mem_cte() -> str:
+    from cloakroom.plans.oracles import _memories_sql
+
+    return _memories_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     o = {}
     o.update(detection_oracles())
@@ -84,5 +90,9 @@ def oracle_sql() -> dict[str, str]:
     o.update(joined_gazetteer_oracles())
     o.update(discovered_oracles())
     o.update(outbound_oracles())
+    o["memory_json"] = (
+        "WITH " + _mem_cte() + " SELECT id, CAST(json_object('id', id, 'content', content, 'kind', kind, "
+        "'egress_policy', egress_policy, 'created_ms', created_ms) AS VARCHAR) AS json FROM mem"
+    )
     o["reply_restore_roundtrip"] = "SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, true AS restored FROM conversations"
     return o
