@@ -1,4 +1,5 @@
-"""Column-level text helpers built only from Spark SQL functions.
+"""Column-level text helpers built only from Spark SQL functions (see ``sqltext``
+for the SQL-text builders the detectors use).
 
 Offsets are **character** offsets (Spark ``substring``/``length`` count code
 points); byte lengths, where the semantics need them, come from
@@ -45,61 +46,6 @@ def let(bindings: dict[str, Column], body) -> Column:
     return F.element_at(F.transform(packed, body), 1)
 
 
-def _sum_lengths(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda acc, y: acc + F.length(y))
-
-
-def regex_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
-    """All leftmost non-overlapping matches of ``pattern`` with their offsets.
-
-    Returns ``array<struct<s:int, v:string, g1:string, ...>>`` where ``s`` is
-    the 0-based character start of the whole match, ``v`` the whole match and
-    ``g<k>`` the text of capture group ``groups[k-1]`` ('' when it did not take
-    part). Offsets come from the gaps that ``split`` leaves between matches:
-    start_i = len(gaps[0..i]) + len(matches[0..i-1]).
-    Cost is quadratic in the number of matches of one row (not in its length).
-    """
-    bindings = {
-        "m": F.regexp_extract_all(text, F.lit(pattern), 0),
-        "g": F.split(text, pattern, -1),
-    }
-    for k, grp in enumerate(groups, start=1):
-        bindings[f"k{k}"] = F.regexp_extract_all(text, F.lit(pattern), grp)
-
-    def body(b):
-        def one(x, i):
-            start = _sum_lengths(F.slice(b["g"], 1, i + 1)) + _sum_lengths(F.slice(b["m"], 1, i))
-            fields = [start.alias("s"), x.alias("v")]
-            fields += [F.element_at(b[f"k{k}"], i + 1).alias(f"g{k}") for k in range(1, len(groups) + 1)]
-            return F.struct(*fields)
-
-        return F.transform(b["m"], one)
-
-    return let(bindings, body)
-
-
-def shannon_entropy(w: Column) -> Column:
-    """Shannon entropy in bits per character of an ASCII token.
-
-    Summed over the distinct characters in ascending order, the same order a
-    byte-count table is walked in.
-    """
-    n = F.length(w).cast("double")
-    chars = F.array_sort(F.array_distinct(F.split(w, "")))
-    return F.aggregate(
-        chars,
-        F.lit(0.0).cast("double"),
-        lambda h, c: h
-        - ((n - F.length(F.replace(w, c, F.lit("")))) / n)
-        * F.log2((n - F.length(F.replace(w, c, F.lit("")))) / n),
-    )
-
-
-def alnum_tokens(text: Column) -> Column:
-    """Maximal runs of Unicode letters/digits, in order (empty runs dropped)."""
-    return F.filter(F.split(text, NON_ALNUM_RUN, -1), lambda t: F.length(t) > 0)
-
-
 def explode_rows(df, arr: Column, keep: list, pos: str = "pos", item: str = "item"):
     """One row per element of ``arr`` (rows with an empty array vanish).
 
