@@ -144,3 +144,10 @@ def test_report_lines(spark):
     assert lines[2].startswith("a ") and "MISS" in lines[2] and lines[2].endswith("LEAK")
     assert lines[4] == "c                      ERROR: timeout"
     assert lines[-1] == "baseline 100%  ·  anonymised 50%  ·  quality retained 50%  ·  leaks 1"
+
+
+def test_rescue_rejects_invalid_named_arguments(spark):
+    rows = ['[TOOL_CALLS]f{not json}', '[TOOL_CALLS]"g" {"a": [1, 2]}']
+    got = [r.c for r in spark.createDataFrame([(r,) for r in rows], "t string").select(rescue_tool_call(F.col("t")).alias("c")).collect()]
+    assert got[0] is None
+    assert (got[1].name, got[1].arguments) == ("g", '{"a":[1,2]}')
