@@ -28,16 +28,13 @@ def vocab_terms(spark: SparkSession, csv: str = "", files: list[str] | None = No
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
+    from cloakroom.operators.vault import number_by_first
+
     t = F.trim(F.col("term"))
-    return (
-        df.withColumn("term", t)
-        .where((F.length("term") > 0) & ~F.col("term").startswith("#"))
-        .select(
-            "term",
-            F.lit(kind).alias("kind"),
-            F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("src", "pos")).alias("ins"),
-        )
-    )
+    kept = df.withColumn("term", t).where((F.length("term") > 0) & ~F.col("term").startswith("#"))
+    keyed = kept.select("term", F.lit(0).alias("_g"), F.struct("src", "pos").alias("_o"))
+    numbered = number_by_first(keyed, ["_g"], "_o", out="ins")
+    return numbered.select("term", F.lit(kind).alias("kind"), F.col("ins").cast("int").alias("ins"))
 
 
 def bounded_terms(df: DataFrame, col: str = "term", limit: int = MAX_INLINE_TERMS) -> list[str]:
