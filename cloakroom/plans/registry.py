@@ -12,7 +12,7 @@ from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
 from cloakroom.plans import outbound as ob
-from cloakroom.plans.oracles import chat_field_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, outbound_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
+from cloakroom.plans.oracles import chat_field_oracles, sanitized_request_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, outbound_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,7 @@ def oracle_sql() -> dict[str, str]:
     o.update(chat_oracles())
     o.update(dialect_oracles())
     o.update(chat_field_oracles())
+    o.update(sanitized_request_oracles())
     o.update(joined_gazetteer_oracles())
     o.update(discovered_oracles())
     o.update(outbound_oracles())
