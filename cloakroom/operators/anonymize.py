@@ -22,8 +22,9 @@ from cloakroom.operators.vault import intern_durable, intern_session
 from cloakroom.session import materialize
 
 TEXT_KEYS = ["session", "ord", "field_pos"]
-# Broadcast the per-text placeholder lists only below this many entity rows.
-BROADCAST_ENTITY_ROWS = 2_000_000
+# Broadcast the per-text placeholder lists only below this many entity rows
+# (about 64 bytes each: a few tens of MB per executor at most).
+BROADCAST_ENTITY_ROWS = 250_000
 
 
 def detect_entities(texts: DataFrame, profile: Profile, text_col: str = "text") -> DataFrame:
