@@ -165,22 +165,35 @@ def leak_audit_documents(spark: SparkSession, sf: str) -> DataFrame:
     return leak_audit(a.sanitized, a.entities).select(F.col("ord").alias("doc_id"), "tag")
 
 
-def benchmark_vocab(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
-    """Private vocabulary derived from the benchmark table: words of 12+ chars."""
+def benchmark_long_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Private vocabulary derived from the benchmark table: words of 12+ chars
+    (term, label, ins), kept distributed."""
     b = table(spark, sf, "benchmark")
     words = b.select(F.explode(F.split(F.col("text"), r"[^\p{IsAlphabetic}\p{N}]+", -1)).alias("w"))
     terms = words.where(F.length("w") >= 12).select(F.lower("w").alias("term")).distinct()
-    return [(t, "private") for t in bounded_terms(terms, "term")]
+    return terms.select("term", F.lit("private").alias("label"), F.pmod(F.xxhash64("term"), F.lit(100_000_000)).cast("int").alias("ins"))
+
+
+def vocabulary_detectors(texts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, list]:
+    """Gazetteer for a table-derived vocabulary, chosen by its proven size.
+
+    Up to MAX_INLINE_TERMS terms are compiled into the plan (one literal scan
+    each); a larger vocabulary stays distributed and goes through the token
+    join (``_terms`` is attached to the texts). Both apply the same rule.
+    """
+    from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
+    from cloakroom.sources.vocab import MAX_INLINE_TERMS
+
+    if vocab.limit(MAX_INLINE_TERMS + 1).count() <= MAX_INLINE_TERMS:
+        return texts, [Gazetteer([(t, "private") for t in bounded_terms(vocab, "term")])]
+    return attach_terms(texts, vocab), [JoinedGazetteer()]
 
 
 def detect_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     """Hits per (document, term) of a vocabulary derived from benchmark."""
-    vocab = benchmark_vocab(spark, sf)
-    g = Gazetteer(vocab)
-    t = document_texts(spark, sf)
-    c = explode_rows(t, Profile([g]).candidates(F.col("text")), ["ord"], "_p", "c")
-    names = F.array(*[F.lit(term) for term, _ in vocab]) if vocab else F.array().cast("array<string>")
-    return c.groupBy(F.col("ord").alias("doc_id"), F.element_at(names, F.col("c.ins") + 1).alias("term")).agg(
+    t, dets = vocabulary_detectors(document_texts(spark, sf), benchmark_long_words(spark, sf))
+    c = explode_rows(t, Profile(dets).candidates(F.col("text")), ["ord"], "_p", "c")
+    return c.groupBy(F.col("ord").alias("doc_id"), F.lower(F.col("c.v")).alias("term")).agg(
         F.count(F.lit(1)).cast("bigint").alias("hits")
     )
 
