@@ -93,3 +93,19 @@ def test_delta_frames_restore_split_placeholders(spark):
         by_key.setdefault((r.choice, r.tool), []).append(r.text)
     assert by_key[(0, -1)][:2] == ["Hi ", "Alex!"]
     assert "".join(by_key[(0, 1)]) == '{"to":"Alex"}'
+
+
+def test_small_helpers(spark):
+    from cloakroom.operators.vault import degraded_placeholder
+    from cloakroom.plans.chat_queries import has_tools
+    from cloakroom.sources.store import memory_indexes
+
+    df = spark.createDataFrame([("PERSON", "Alex", '{"tools":[{"name":"f"}]}'), ("PERSON", "Alex", '{"messages":[]}')], "tag string, o string, body string")
+    rows = df.select(degraded_placeholder(F.col("tag"), F.col("o")).alias("p"), has_tools(F.col("body")).alias("t")).collect()
+    assert rows[0].p == rows[1].p and rows[0].p.startswith("__PERSON_h") and rows[0].p.endswith("__")
+    assert [r.t for r in rows] == [True, False]
+    mem = spark.createDataFrame([("m1", "Dark roast coffee, dark!")], "id string, content string")
+    post, emb = memory_indexes(mem)
+    assert {(r.term, r.tf) for r in post.collect()} == {("dark", 2), ("roast", 1), ("coffee", 1)}
+    v = emb.first().vector
+    assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9
