@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakroom.llm import fingerprints, language_id, packing, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
+from cloakroom.llm import fingerprints, language_id, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search
 from cloakroom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), vector_search.every(20), 20)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -37,12 +41,21 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: the session's ``spark.cloakroom.pii.key`` (set one in production)."""
+    return spark.conf.get("spark.cloakroom.pii.key", "example key")
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_pseudonyms.pseudonymize_documents(table(spark, sf_dir, "documents"), pii_key(spark))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
