@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakroom.llm import fingerprints, language_id, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search
+from cloakroom.llm import fingerprints, language_id, ngram_join, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search
 from cloakroom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +54,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
