@@ -56,7 +56,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def text_batches(texts, max_bytes: int = 1 << 21):
+def text_batches(texts, max_bytes: int = 1 << 18):
     """Index ranges of consecutive texts of about ``max_bytes`` characters (one text at least)."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
@@ -86,6 +86,11 @@ def pack_rest(df: DataFrame, keep: list[str], name: str = "_rest") -> tuple[Data
     return df.select(*keep, packed.alias(name)), schema
 
 
+def unpack_rest(df: DataFrame, schema, name: str = "_rest") -> DataFrame:
+    """Undo ``pack_rest``."""
+    return df.withColumn(name, F.from_json(F.col(name), schema)).select(*[c for c in df.columns if c != name], *[F.col(f"{name}.`{f.name}`").alias(f.name) for f in schema])
+
+
 def blocks_of(df: DataFrame, rows_each: int, least: int = 1) -> int:
     """How many blocks of about ``rows_each`` rows the table needs (a count, no data)."""
     return max(least, -(-df.count() // rows_each))

@@ -11,7 +11,7 @@ depends on the whole address (linked, but not restorable).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -174,6 +174,11 @@ def _replaced(text: str, key: str, back: bool) -> str:
     return f"if({text} rlike '[0-9]{{2}}|@', array_join(zip_with({rest}, transform({matches}, x -> {_Expressions(key, back).any()}), (a, b) -> concat(a, coalesce(b, ''))), ''), {text})"
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: the session's ``spark.cloakroom.pii.key`` (set one in production)."""
+    return spark.conf.get("spark.cloakroom.pii.key", "example key")
+
+
 def pseudonymize(text: str, key: str) -> Column:
     """The text column named ``text`` with personal values replaced; null stays null."""
     return F.expr(_replaced(f"`{text}`", key, False))

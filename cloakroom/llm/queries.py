@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-def pii_key(spark: SparkSession) -> str:
-    """The secret of the pseudonyms: the session's ``spark.cloakroom.pii.key`` (set one in production)."""
-    return spark.conf.get("spark.cloakroom.pii.key", "example key")
-
-
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_pseudonyms.pseudonymize_documents(table(spark, sf_dir, "documents"), pii_key(spark))
+    return pii_pseudonyms.pseudonymize_documents(table(spark, sf_dir, "documents"), pii_pseudonyms.session_key(spark))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup, op10_ngram_join)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
