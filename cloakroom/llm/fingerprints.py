@@ -146,7 +146,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranged = base.repartitionByRange(blocks_of(base, rows_each, 8), "id").sortWithinPartitions("id", "text")
 
     def run(batches):
-        place, held, empty = TaskContext.get().partitionId(), None, pd.DataFrame({c.split(" ")[0]: [] for c in _RESULT.split(", ")})
+        place, held = TaskContext.get().partitionId(), None
         for df in batches:
             texts, ids = df["text"].tolist(), [None if pd.isna(x) else int(x) for x in df["id"]]
             for lo, hi in text_batches(texts):
@@ -156,8 +156,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 else:
                     rows.insert(0, held)
                 held = rows[-1]
-                out = _compared(rows[:-1], rows[1:]) if len(rows) > 1 else empty
-                yield out.assign(place=place, edge="", text="")
+                if len(rows) > 1:
+                    yield _compared(rows[:-1], rows[1:]).assign(place=place, edge="", text="")
         if held is not None:
             yield _edge(place, "last", held)
 
