@@ -220,7 +220,8 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, most_lang
                 for t in texts:
                     n.update(words_of(t))
                 events = _events(n)
-                yield pd.DataFrame({"lang": lang, "gram": list(events), "n": list(events.values())})
+                if events:
+                    yield pd.DataFrame({"lang": lang, "gram": list(events), "n": list(events.values())})
 
     events = sample.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_lang: dict[str, dict[str, int]] = {r["lang"]: {} for r in counts}

@@ -35,7 +35,9 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏкмтвнɡαεορικντυ
 #: Digits and signs that stand for a letter inside a word.
 SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi"))
 _FOLDED: dict[str, str] = {}
-_INSIDE = re.compile(r"(?<=[a-z])[0134578](?=[a-z]|\b)|(?<![a-z0-9])[0134578](?=[a-z]{2})|(?<=[a-z])[@$!](?=[a-z])|(?<![a-z0-9@$!])[@$](?=[a-z]{2})")
+#: Strings of letters and substitutes that hold both side by side.
+_MIXED = re.compile(r"(?<![a-z0-9@$!])(?=[a-z0-9@$!]*?(?:[a-z][0-9@$!]|[0-9@$!][a-z]))[a-z0-9@$!]++")
+_READ = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,7 +55,13 @@ def fold(text: str) -> str:
     text = text.casefold()
     if not text.isascii():
         text = re.sub("[^\x00-\x7f]+", _latin, text)
-    return _INSIDE.sub(lambda m: SUBSTITUTES[m.group()], text)
+    return _MIXED.sub(_read, text)
+
+
+def _read(m: re.Match) -> str:
+    word = m.group()
+    core = word.rstrip("@$!")  # signs behind a word are no letters
+    return core.translate(_READ) + word[len(core) :]
 
 
 @dataclass
@@ -149,7 +157,8 @@ def _counted(sample: DataFrame, keys) -> DataFrame:
             for text, y in zip(df["text"], df["y"]):
                 n[int(y)].update(keys(fold(text)))
             both = list(n[0].keys() | n[1].keys())
-            yield pd.DataFrame({"key": both, "n0": [n[0][k] for k in both], "n1": [n[1][k] for k in both]})
+            if both:
+                yield pd.DataFrame({"key": both, "n0": [n[0][k] for k in both], "n1": [n[1][k] for k in both]})
 
     return sample.mapInPandas(run, "key string, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -180,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         return Model()
     chosen = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) < int(min(1.0, sample_rows / known) * (1 << 30))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & chosen)
-    sketch = F.pandas_udf(lambda s: s.map(lambda t: _sketch(fold(t))), "long")
+    sketch = F.pandas_udf(lambda s: pd.Series([_sketch(fold(t)) for t in s], dtype="int64"), "long")
     sample = texts.join(marks.where(chosen), "id").withColumn("sketch", sketch("text")).dropDuplicates(["sketch", "y"]).select("text", "y")
     sample = materialize(sample)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -237,7 +246,7 @@ def _feature_udf(model: Model):
     def features(s: pd.Series) -> pd.Series:
         nonlocal matcher
         matcher = matcher or Matcher(model)
-        return s.map(matcher.features)
+        return pd.Series([matcher.features(t) for t in s], dtype="object")
 
     return features
 
