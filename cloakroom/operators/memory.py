@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakroom.functions.text import NON_ALNUM_RUN, ascii_lower, let
+from cloakroom.functions.text import NON_ALNUM_RUN, ascii_lower
+from cloakroom.session import materialize
 
 # --- fixed values that must equal the reference's for right results --------
 RECALL_K = 8  # recall depth
 BUDGET_TOKENS = 400  # injection budget, cost = bytes/4 + 2 per memory
 PROMOTE_AT = 3  # recalls before a memory is promoted
-QUERY_TERM_CAP = 32  # distinct query words kept
 QUERY_MIN_BYTES = 3  # shorter query words are ignored
 EMBED_DIM = 64  # hash-embedding width
 EMBED_MIN_BYTES = 2  # shorter tokens are not embedded
@@ -75,32 +75,55 @@ def postings(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return post, lengths
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, qpos, term): first 32 distinct (ASCII-lowercased) words of >= 3 bytes, folded."""
+def query_terms(queries: DataFrame, cap: int | None = None) -> DataFrame:
+    """(qid, qpos, term): distinct (ASCII-lowercased) words of >= 3 bytes, folded; with ``cap`` the first so many."""
     w = F.filter(words(F.col("text")), lambda x: F.octet_length(x) >= QUERY_MIN_BYTES)
-    terms = F.slice(F.array_distinct(F.transform(w, ascii_lower)), 1, QUERY_TERM_CAP)
+    terms = F.array_distinct(F.transform(w, ascii_lower))
+    if cap is not None:
+        terms = F.slice(terms, 1, cap)
     return queries.select("qid", F.posexplode(terms).alias("qpos", "t")).select("qid", "qpos", fold(F.col("t")).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
+def bm25_scores(queries: DataFrame, memories: DataFrame, k: int | None = None, cap: int | None = None) -> DataFrame:
     """(qid, id, score): Okapi BM25 over memories sharing a term with the query.
 
-    Equi-joins on ``term`` only (no query x memory product); corpus statistics
-    are two global aggregates. A very common term fans out to every memory
-    holding it — inherent to an OR query; AQE's skew handling splits it.
+    Equi-joins on ``term`` only. Terms in half of all memories or more carry the
+    floor idf; joined as they are, they would pair nearly every query with every
+    memory. With ``k`` only pairs that can reach a query's top ``k`` are scored:
+    rare terms first, then the floor terms of those pairs whose score so far is
+    within reach of the k-th one. A query with fewer than ``k`` such pairs, or whose
+    k-th score the floor terms alone could still reach, joins its floor terms in full.
     """
     post, lengths = postings(memories)
     stats = lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("nhit"))
     idf_raw = F.log((F.col("N") - F.col("nhit") + 0.5) / (F.col("nhit") + 0.5))
+    # the one-row statistics join every term: no pairs come of it
     terms = df.crossJoin(F.broadcast(stats)).select(
-        "term", F.when(idf_raw <= 0, F.lit(BM25_IDF_FLOOR)).otherwise(idf_raw).alias("idf"), "avgdl"
+        "term", (idf_raw <= 0).alias("common"), F.when(idf_raw <= 0, F.lit(BM25_IDF_FLOOR)).otherwise(idf_raw).alias("idf"), "avgdl"
     )
-    q = query_terms(queries)
-    hits = q.join(post, "term").join(terms, "term").join(lengths, "id")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.col("avgdl")))
-    return hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    q = query_terms(queries, cap).join(terms, "term")
+
+    def parts(some: DataFrame, keys: list[str]) -> DataFrame:
+        return some.join(post, keys).join(lengths, "id").select("qid", "id", part.alias("part"))
+
+    if k is None:
+        return parts(q, ["term"]).groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    q = materialize(q)
+    rare, floor = q.where(~F.col("common")), q.where("common")
+    got = materialize(parts(rare, ["term"]).groupBy("qid", "id").agg(F.sum("part").alias("score")))
+    kth = top_k(got, k).where(F.col("rk") == k).select("qid", F.col("score").alias("kth"))
+    reach = floor.groupBy("qid").agg((F.count(F.lit(1)) * (BM25_IDF_FLOOR * (BM25_K1 + 1)) + 1e-8).alias("reach"))
+    state = q.select("qid").distinct().join(kth, "qid", "left").join(reach, "qid", "left").select(
+        "qid", "kth", F.coalesce("reach", F.lit(0.0)).alias("reach")
+    ).withColumn("closed", F.coalesce(F.col("kth") > F.col("reach"), F.lit(False)))
+    near = got.join(state.where("closed"), "qid").where(F.col("score") >= F.col("kth") - F.col("reach")).select("qid", "id", "score")
+    whole = got.join(state.where("not closed").select("qid"), "qid").select("qid", "id", "score")
+    added = parts(near.select("qid", "id").join(floor, "qid"), ["term", "id"]).unionByName(parts(floor.join(state.where("not closed").select("qid"), "qid"), ["term"]))
+    every = near.unionByName(whole).withColumnRenamed("score", "part").unionByName(added)
+    return every.groupBy("qid", "id").agg(F.sum("part").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, group: str = "qid", score: str = "score", tie: str = "id") -> DataFrame:
@@ -113,97 +136,73 @@ def top_k(scored: DataFrame, k: int, group: str = "qid", score: str = "score", t
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def recall(queries: DataFrame, memories: DataFrame, k: int = RECALL_K) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, k: int = RECALL_K, cap: int | None = None) -> DataFrame:
     """Keyword recall: (qid, id, rk) top ``k`` by BM25 (ties by id)."""
-    s = bm25_scores(queries, memories).withColumn("score", F.round("score", 9))
+    s = bm25_scores(queries, memories, k, cap).withColumn("score", F.round("score", 9))
     return top_k(s, k).select("qid", "id", "rk")
 
 
 # --- hash embedding -----------------------------------------------------------
 
 
-def hash_embed(text: Column, dim: int = EMBED_DIM) -> Column:
-    """Signed feature hashing of ASCII-lowercased tokens (>= 2 bytes), L2-normalised.
+def hash_embed(df: DataFrame, key: str, text: str, out: str = "vec", dim: int = EMBED_DIM) -> DataFrame:
+    """(key, out): signed feature hashing of ASCII-lowercased tokens (>= 2 bytes), L2-normalised.
 
-    bucket = first 32 bits of md5(token) mod dim; sign from the next hex digit.
+    bucket = first 32 bits of md5(token) mod dim; sign from the next hex digit. Tokens
+    are summed by (key, bucket) before the cells of a key come together; a text
+    without tokens gets the zero vector.
     """
-    toks = F.transform(
-        F.filter(words(text), lambda t: F.octet_length(t) >= EMBED_MIN_BYTES), lambda t: F.md5(ascii_lower(t))
+    toks = F.filter(words(F.col(text)), lambda t: F.octet_length(t) >= EMBED_MIN_BYTES)
+    h = df.select(F.col(key), F.explode_outer(toks).alias("t")).withColumn("h", F.md5(ascii_lower(F.col("t"))))
+    bucket = (F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    sign = F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    cells = h.groupBy(key, bucket.alias("b")).agg(F.sum(F.when(F.col("h").isNotNull(), sign)).alias("x"))
+    per = cells.groupBy(key).agg(
+        F.sqrt(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).alias("norm"),
+        F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "x")))).alias("m"),
     )
-    pairs = F.transform(
-        toks,
-        lambda h: F.struct(
-            (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("b"),
-            F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sg"),
-        ),
-    )
-
-    def dense(b):
-        raw = F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: F.aggregate(F.filter(b["p"], lambda p: p["b"] == d), F.lit(0.0), lambda a, p: a + p["sg"]),
-        )
-        return raw
-
-    def unit(b):
-        norm = F.sqrt(F.aggregate(b["raw"], F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(norm > 0, F.transform(b["raw"], lambda x: x / norm)).otherwise(b["raw"])
-
-    # Bind the hashed tokens once; the 64 bucket sums then only read them.
-    return let({"raw": let({"p": pairs}, dense)}, unit)
+    norm = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))
+    return per.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0)) / norm).alias(out))
 
 
 # --- vector top-k ---------------------------------------------------------------
 
-MAX_QUERY_VECTORS = 4096
-
 
-def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_score: float = 0.0) -> DataFrame:
+def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_score: float = 0.0, block: tuple[int, int] = (2048, 8192)) -> DataFrame:
     """Cosine top-``k`` items per query: (qid, id, score, rk), score > ``min_score``.
 
-    The query set is brought to the executors only after its size is proven
-    (<= MAX_QUERY_VECTORS); every item partition scores its rows against all
-    queries with one matrix product per Arrow batch and keeps only its own
-    top ``k`` per query, so at most partitions x queries x k rows are
-    shuffled into the final ranking — never all query x item pairs.
+    Queries and items are dealt into blocks of about ``block`` rows; a task multiplies
+    one block of queries with one of items and passes on each query's best ``k``, by
+    the rounded score that the final ranking uses (so ties don't depend on the blocks).
     """
-    qrows = queries.select("qid", "vec").limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(qrows) > MAX_QUERY_VECTORS:
-        raise ValueError("too many query vectors for one pass; split the query set")
-    qids = [r["qid"] for r in qrows]
-    qmat = np.array([np.asarray(r["vec"], dtype=np.float64) for r in qrows]) if qrows else np.zeros((0, 1))
-    qn = np.linalg.norm(qmat, axis=1, keepdims=True) if len(qrows) else qmat
-    qmat = np.divide(qmat, qn, out=np.zeros_like(qmat), where=qn > 0)
-    bq = items.sparkSession.sparkContext.broadcast((qids, qmat))
-
-    def part_top(batches):
-        ids, mat = bq.value
-        best: dict = {}
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-            mn = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, mn, out=np.zeros_like(m), where=mn > 0)
-            sc = mat @ m.T  # queries x batch
-            item_ids = pdf["id"].to_numpy()
-            for qi in range(len(ids)):
-                row = sc[qi]
-                keep = np.nonzero(row > min_score)[0]
-                if len(keep) == 0:
-                    continue
-                cand = list(zip(-row[keep], item_ids[keep]))
-                cand += best.get(qi, [])
-                cand.sort()
-                best[qi] = cand[:k]
-        out = [(ids[qi], iid, -neg) for qi, lst in best.items() for neg, iid in lst]
-        yield pd.DataFrame(out, columns=["qid", "id", "score"]) if out else pd.DataFrame(
-            {"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")}
-        )
-
     qtype = queries.schema["qid"].dataType.simpleString()
     itype = items.schema["id"].dataType.simpleString()
-    partial = items.select("id", "vec").mapInPandas(part_top, f"qid {qtype}, id {itype}, score double")
+    n_q, n_i = (max(1, -(-df.count() // rows)) for df, rows in zip((queries, items), block))
+    q = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)).cast("array<bigint>")))
+    i = items.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_i)).alias("ib")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
+
+    def unit(vectors) -> np.ndarray:
+        m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            ids, m, a = right["id"].to_numpy(), unit(right["vec"]).T, unit(left["vec"])
+            qids, few = left["qid"].to_numpy(), max(1, (1 << 22) // len(right))
+            for lo in range(0, len(a), few):
+                score = np.round(a[lo : lo + few] @ m, 9)
+                cut = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                qi, ii = np.nonzero((score >= cut[:, None]) & (score > min_score))
+                order = np.lexsort((ii, -score[qi, ii], qi))
+                qi, ii = qi[order], ii[order]
+                top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+                rows.append(pd.DataFrame({"qid": qids[lo + qi[top]], "id": ids[ii[top]], "score": score[qi[top], ii[top]]}))
+        return pd.concat(rows) if rows else pd.DataFrame({"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
+
+    partial = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, f"qid {qtype}, id {itype}, score double")
     return top_k(partial.withColumn("score", F.round("score", 9)), k)
 
 
@@ -242,21 +241,15 @@ def memory_block(selected: DataFrame) -> DataFrame:
 
 
 def nth_smallest(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """(key, value of the n-th smallest ``order``) with n partial aggregates.
+    """(key, value of the n-th smallest ``order``).
 
-    ``order`` must be unique per key. Each round is a map-side-combined min
-    over the rows above the previous round's value, so a key holding a third
-    of the rows is never gathered into one task.
+    ``row_number() <= n`` keeps only the first n rows of a key and partition before
+    the shuffle (WindowGroupLimit), so a key holding a third of all rows never meets
+    in one task.
     """
-    cur = events.groupBy(key).agg(F.min(order).alias("_m"))
-    for _ in range(n - 1):
-        cur = (
-            events.join(cur, key)
-            .where(F.col(order) > F.col("_m"))
-            .groupBy(key)
-            .agg(F.min(order).alias("_m"))
-        )
-    return cur.withColumnRenamed("_m", f"nth_{order}")
+    w = Window.partitionBy(key).orderBy(order)
+    first = events.select(key, order, F.row_number().over(w).alias("_r")).where(F.col("_r") <= n)
+    return first.where(F.col("_r") == n).select(key, F.col(order).alias(f"nth_{order}"))
 
 
 def record_recalls(memories: DataFrame, recalls: DataFrame) -> DataFrame:
@@ -278,6 +271,10 @@ def record_recalls(memories: DataFrame, recalls: DataFrame) -> DataFrame:
     )
 
 
+#: Second heading of the export, ours.
+EXPORT_NOTE = "One line per stored memory: text, kind, egress policy and how often it was recalled; * marks promoted ones."
+
+
 def export_lines(memories: DataFrame) -> DataFrame:
     """Markdown audit view as (line_no, line), promoted first, then most recalled, newest."""
     from cloakroom.operators.vault import number_by_first
@@ -290,12 +287,20 @@ def export_lines(memories: DataFrame) -> DataFrame:
     body = memories.select(order.alias("_o"), line.alias("line"), F.lit(0).alias("_g"))
     numbered = number_by_first(body, ["_g"], "_o", out="_n").select((F.col("_n") + 4).alias("line_no"), "line")
     head = memories.sparkSession.createDataFrame(
-        [(1, "# Memory"), (2, ""), (3, "Auditable view of what is remembered. `local_only` entries never leave the device."), (4, "")],
+        [(1, "# Memory"), (2, ""), (3, EXPORT_NOTE), (4, "")],
         "line_no bigint, line string",
     )
     return head.unionByName(numbered)
 
 
+def list_memories(memories: DataFrame) -> DataFrame:
+    """The memories with ``list_rank``: newest first, ties by id."""
+    from cloakroom.operators.vault import number_by_first
+
+    keyed = memories.withColumn("_g", F.lit(0)).withColumn("_o", F.struct((-F.col("created_ms")).alias("a"), F.col("id").alias("b")))
+    return number_by_first(keyed, ["_g"], "_o", out="list_rank").drop("_g", "_o")
+
+
 def delete_memories(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """Memories without the deleted ids (rewrite to a new version of the table)."""
     return memories.join(ids.select("id").distinct(), "id", "left_anti")

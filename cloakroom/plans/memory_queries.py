@@ -46,11 +46,29 @@ def chat_gather_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memory_recall_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword recall as a request does it: the first 32 distinct words of each conversation."""
+    return M.recall(recall_queries(spark, sf), memories(spark, sf), cap=32).select(
+        F.col("qid").alias("conv_id"), "id", F.col("rk").cast("bigint").alias("rk")
+    )
+
+
+def memory_recall_all_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword recall by every word of each conversation."""
     return M.recall(recall_queries(spark, sf), memories(spark, sf)).select(
         F.col("qid").alias("conv_id"), "id", F.col("rk").cast("bigint").alias("rk")
     )
 
 
+def memory_semantic_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash-embedding search with one query per order over all parts."""
+    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
+    mark = lambda c: F.concat(F.lit(" k"), (F.col(c) % 97).cast("string"))
+    q = o.select(F.col("o_orderkey").alias("qid"), F.concat("o_orderpriority", mark("o_orderkey")).alias("text"))
+    i = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" low medium high urgent"), mark("p_partkey")).alias("text"))
+    s = M.vector_top_k(M.hash_embed(q, "qid", "text"), M.hash_embed(i, "id", "text"))
+    return s.select(F.col("qid").alias("o_orderkey"), F.col("id").alias("p_partkey"), F.col("rk").cast("bigint").alias("rk"))
+
+
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     per_dim = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("a"))
@@ -67,15 +85,13 @@ def memory_semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hash_embed_memories(spark: SparkSession, sf: str) -> DataFrame:
-    m = memories(spark, sf).select("id", M.hash_embed(F.col("content")).alias("vec"))
+    m = M.hash_embed(memories(spark, sf), "id", "content")
     cells = m.select("id", F.posexplode("vec").alias("b", "x")).where(F.col("x") != 0)
     return cells.select("id", F.col("b").cast("bigint").alias("b"), F.round("x", 6).alias("x"))
 
 
 def _semantic_hash(spark: SparkSession, sf: str, mem: DataFrame) -> DataFrame:
-    q = recall_queries(spark, sf).select("qid", M.hash_embed(F.col("text")).alias("vec"))
-    items = mem.select("id", M.hash_embed(F.col("content")).alias("vec"))
-    return M.vector_top_k(q, items)
+    return M.vector_top_k(M.hash_embed(recall_queries(spark, sf), "qid", "text"), M.hash_embed(mem, "id", "content"))
 
 
 def memory_semantic_hash(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,12 +116,11 @@ def memory_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_events(spark: SparkSession, sf: str) -> DataFrame:
-    """'view' events of a user recall the memory of the benchmark item with that id."""
-    ev = table(spark, sf, "events").where(F.col("event_type") == "view")
-    mem = memories(spark, sf).select("id", "item_id")
-    return ev.join(mem, ev["user_id"] == mem["item_id"]).select(
-        "id", epoch_millis(F.col("ts")).alias("ts_ms"), F.col("event_id").alias("ev")
-    )
+    """Every event recalls a memory: the benchmark item of the user's id, modulo the number of items."""
+    items = memories(spark, sf).select("id", "item_id")
+    n = items.agg(F.count(F.lit(1)).alias("n_items"))  # one row
+    ev = table(spark, sf, "events").crossJoin(F.broadcast(n)).withColumn("item_id", F.pmod("user_id", F.greatest("n_items", F.lit(1))))
+    return ev.join(items, "item_id").select("id", epoch_millis(F.col("ts")).alias("ts_ms"), F.col("event_id").alias("ev"))
 
 
 def _promoted(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +136,7 @@ def memory_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memory_list(spark: SparkSession, sf: str) -> DataFrame:
-    return memories(spark, sf).select("id", "content", "kind", "egress_policy", "created_ms")
+    return M.list_memories(memories(spark, sf)).select("list_rank", "id", "content", "kind", "egress_policy", "created_ms")
 
 
 def memory_local_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -169,7 +169,8 @@ def _memories_sql() -> str:
     q AS (SELECT conv_id AS qid, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
 
 
-def _bm25_sql() -> str:
+def _bm25_sql(cap: int | None = None) -> str:
+    first = "" if cap is None else f"WHERE r <= {cap}"
     return f"""
     mw AS (SELECT id, unnest(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM mem),
     mt AS (SELECT id, strip_accents(lower(w)) AS term FROM mw WHERE length(w) > 0),
@@ -181,7 +182,7 @@ def _bm25_sql() -> str:
            FROM (SELECT qid, regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+') AS ws FROM q)),
     qa AS (SELECT qid, translate(w, '{UP}', '{LO}') AS aw, min(i) AS fi FROM qw WHERE strlen(w) >= 3 GROUP BY qid, aw),
     qt AS (SELECT qid, strip_accents(lower(aw)) AS term
-           FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fi) AS r FROM qa) WHERE r <= 32),
+           FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fi) AS r FROM qa) {first}),
     sc AS (SELECT qt.qid, post.id,
                   round(sum(CASE WHEN ln((stats.n - dfq.nhit + 0.5) / (dfq.nhit + 0.5)) <= 0 THEN 1e-6
                                  ELSE ln((stats.n - dfq.nhit + 0.5) / (dfq.nhit + 0.5)) END
@@ -230,7 +231,12 @@ def _fused_sql() -> str:
 def memory_oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["chat_gather_text"] = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
-    o["memory_recall_bm25"] = f"WITH {_memories_sql()}, {_bm25_sql()} SELECT qid AS conv_id, id, CAST(rk AS BIGINT) AS rk FROM kw"
+    for name, cap in (("memory_recall_bm25", 32), ("memory_recall_all_words", None)):
+        o[name] = f"WITH {_memories_sql()}, {_bm25_sql(cap)} SELECT qid AS conv_id, id, CAST(rk AS BIGINT) AS rk FROM kw"
+    o["memory_semantic_orders"] = f"""WITH
+        q AS (SELECT o_orderkey AS qid, o_orderpriority || ' k' || CAST(o_orderkey % 97 AS VARCHAR) AS text FROM orders),
+        mem AS (SELECT p_partkey AS id, p_name || ' ' || p_type || ' low medium high urgent k' || CAST(p_partkey % 97 AS VARCHAR) AS content FROM part),
+        {_semantic_hash_sql()} SELECT qid AS o_orderkey, id AS p_partkey, CAST(rk AS BIGINT) AS rk FROM sem"""
     o["memory_semantic_topk"] = """
         WITH u AS (SELECT label, i, avg(embedding[i]) AS a
                    FROM (SELECT label, embedding, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
@@ -248,8 +254,7 @@ def memory_oracles() -> dict[str, str]:
         "|| string_agg('- ' || content, chr(10) ORDER BY rank) AS block FROM sel GROUP BY qid"
     )
     promote = f"""WITH {_memories_sql()},
-        ev AS (SELECT m.id, CAST(epoch_us(e.ts) // 1000 AS BIGINT) AS ts_ms, e.event_id FROM events e JOIN mem m ON e.user_id = m.item_id
-               WHERE e.event_type = 'view'),
+        ev AS (SELECT m.id, CAST(epoch_us(e.ts) // 1000 AS BIGINT) AS ts_ms, e.event_id FROM events e JOIN mem m ON e.user_id % (SELECT count(*) FROM mem) = m.item_id),
         agg AS (SELECT id, count(*) AS n, max(ts_ms) AS last FROM ev GROUP BY id),
         third AS (SELECT id, ts_ms FROM (SELECT id, ts_ms, row_number() OVER (PARTITION BY id ORDER BY ts_ms, event_id) AS r FROM ev) WHERE r = 3),
         pm AS (SELECT m.id, m.content, m.kind, m.egress_policy, m.created_ms, CAST(coalesce(a.n, 0) AS BIGINT) AS recall_count,
@@ -259,13 +264,13 @@ def memory_oracles() -> dict[str, str]:
     o["memory_export"] = f"""{promote}
         SELECT CAST(line_no AS BIGINT) AS line_no, line FROM (
           SELECT 1 AS line_no, '# Memory' AS line UNION ALL SELECT 2, '' UNION ALL
-          SELECT 3, 'Auditable view of what is remembered. `local_only` entries never leave the device.' UNION ALL SELECT 4, ''
+          SELECT 3, 'One line per stored memory: text, kind, egress policy and how often it was recalled; * marks promoted ones.' UNION ALL SELECT 4, ''
           UNION ALL
           SELECT 4 + row_number() OVER (ORDER BY promoted DESC, recall_count DESC, created_ms DESC, id),
                  '- ' || CASE WHEN promoted THEN '* ' ELSE '' END || content || '  _(' || kind || ', ' || egress_policy
                  || ', recalled ' || CAST(recall_count AS VARCHAR) || 'x)_'
           FROM pm)"""
-    o["memory_list"] = f"WITH {_memories_sql()} SELECT id, content, kind, egress_policy, created_ms FROM mem"
+    o["memory_list"] = f"WITH {_memories_sql()} SELECT CAST(row_number() OVER (ORDER BY created_ms DESC, id) AS BIGINT) AS list_rank, id, content, kind, egress_policy, created_ms FROM mem"
     o["memory_local_terms"] = f"WITH {_memories_sql()} SELECT content FROM mem WHERE egress_policy = 'local_only'"
     o["memory_delete"] = f"""WITH {_memories_sql()}
         SELECT id, created_ms FROM mem WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""

@@ -38,8 +38,8 @@ def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame,
     queries = gather_text(messages, "session", "ord", "text").select(F.col("session").alias("qid"), "text")
     kw = M.recall(queries, memories)
     sem = M.vector_top_k(
-        queries.select("qid", M.hash_embed(F.col("text")).alias("vec")),
-        memories.select("id", M.hash_embed(F.col("content")).alias("vec")),
+        M.hash_embed(queries, "qid", "text"),
+        M.hash_embed(memories, "id", "content"),
     )
     selected = M.select_injectable(M.fuse(kw, sem), memories)
     block = M.memory_block(selected).select(

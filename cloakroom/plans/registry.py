@@ -36,6 +36,8 @@ def queries() -> dict[str, Query]:
         "leak_audit_documents": det.leak_audit_documents,
         "chat_gather_text": mq.chat_gather_text,
         "memory_recall_bm25": mq.memory_recall_bm25,
+        "memory_recall_all_words": mq.memory_recall_all_words,
+        "memory_semantic_orders": mq.memory_semantic_orders,
         "memory_semantic_topk": mq.memory_semantic_topk,
         "hash_embed_memories": mq.hash_embed_memories,
         "memory_semantic_hash": mq.memory_semantic_hash,

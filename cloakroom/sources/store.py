@@ -104,7 +104,7 @@ def memory_indexes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     from cloakroom.operators.memory import hash_embed, postings
 
     post, _ = postings(memories)
-    emb = memories.select(F.col("id").alias("memory_id"), hash_embed(F.col("content")).alias("vector"))
+    emb = hash_embed(memories, "id", "content", out="vector").withColumnRenamed("id", "memory_id")
     return post, emb
 
 

@@ -22,12 +22,36 @@ def test_keyword_recall(spark):
 
 
 def test_hash_embedding_shared_tokens_score_higher(spark):
-    df = spark.createDataFrame([("dark roast coffee beans",), ("dark roast coffee",), ("quarterly tax filing",)], "t string")
-    v = [r.v for r in df.select(M.hash_embed(F.col("t")).alias("v")).collect()]
+    df = spark.createDataFrame([(0, "dark roast coffee beans"), (1, "dark roast coffee"), (2, "quarterly tax filing"), (3, " . ")], "i int, t string")
+    v = [r.vec for r in M.hash_embed(df, "i", "t").orderBy("i").collect()]
+    assert v[3] == [0.0] * 64
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     assert abs(dot(v[0], v[0]) - 1) < 1e-9
     assert dot(v[0], v[1]) > dot(v[0], v[2])
-    assert v == [r.v for r in df.select(M.hash_embed(F.col("t")).alias("v")).collect()]  # deterministic
+    assert v == [r.vec for r in M.hash_embed(df, "i", "t").orderBy("i").collect()]  # deterministic
+
+
+def test_vector_top_k_is_the_same_for_any_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    vec = lambda: [float(rng.randint(-2, 2)) for _ in range(4)]
+    q = spark.createDataFrame([(i, vec()) for i in range(70)], "qid long, vec array<double>")
+    items = spark.createDataFrame([(f"i{i:03d}", vec()) for i in range(200)], "id string, vec array<double>")
+    runs = [sorted(map(tuple, M.vector_top_k(q, items, 5, block=b).collect())) for b in ((2048, 8192), (7, 30), (1, 200))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 300
+    assert M.vector_top_k(q.where("false"), items).count() == 0
+
+
+def test_pruned_recall_equals_the_full_one(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["common", "usual", "every"]) if rng.random() < 0.6 else f"rare{rng.randint(0, 40)}"
+    mem = mem_table(spark, [(f"m{i:03d}", " ".join(word() for _ in range(rng.randint(1, 12))), "anonymized", i) for i in range(120)])
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(1, 9)))) for i in range(60)], "qid int, text string")
+    full = M.top_k(M.bm25_scores(q, mem).withColumn("score", F.round("score", 9)), 8).select("qid", "id", "rk")
+    assert sorted(map(tuple, M.recall(q, mem).collect())) == sorted(map(tuple, full.collect()))
 
 
 def test_budget_drops_local_only_and_truncates(spark):
