@@ -181,18 +181,6 @@ def term_hits(t: str, term: str) -> str:
     return Q.let({"g": f"split({t}, {Q.lit('(?i)' + java_quote(term))}, -1)"}, body)
 
 
-def gazetteer_pattern(term: str) -> str:
-    """Term scan with a boundary flag (regex form of the gazetteer rule).
-
-    ASCII-case-insensitive (``(?i)`` without Unicode case), leftmost and
-    non-overlapping per term; group 1 takes part only when both neighbours
-    are not letters/digits. Used by callers that need a single pattern; the
-    detector itself uses the cheaper ``term_hits``.
-    """
-    q = java_quote(term)
-    return f"(?i)(?:((?<!{ALNUM_CLASS}){q}(?!{ALNUM_CLASS}))|{q})"
-
-
 @dataclass
 class Gazetteer:
     """Private-vocabulary terms: ``[(term, kind label)]`` (inline, small)."""

@@ -12,9 +12,7 @@ from cloakroom.operators.detect import (
     DEFAULT_PATTERNS,
     Email,
     Entropy,
-    Gazetteer,
     Profile,
-    RegexSet,
     floor_profile,
     guard_profile,
 )
@@ -22,7 +20,6 @@ from cloakroom.operators.guard import egress_guard, leak_audit
 from cloakroom.operators.rehydrate import rehydrate
 from cloakroom.operators.vault import session_resolver
 from cloakroom.sources.tables import document_texts, page_texts, spread, table
-from cloakroom.sources.vocab import bounded_terms
 
 PATTERN = {label: p for p, label in DEFAULT_PATTERNS[:2] + DEFAULT_PATTERNS[3:]}
 AMEX = DEFAULT_PATTERNS[2][0]
@@ -175,33 +172,29 @@ def benchmark_long_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocabulary_detectors(texts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, list]:
-    """Gazetteer for a table-derived vocabulary, chosen by its proven size.
-
-    Up to MAX_INLINE_TERMS terms are compiled into the plan (one literal scan
-    each); a larger vocabulary stays distributed and goes through the token
-    join (``_terms`` is attached to the texts). Both apply the same rule.
-    """
+    """Gazetteer of a vocabulary table (term, label, ins) of any size: terms attached to the texts, and the detector."""
     from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
-    from cloakroom.sources.vocab import MAX_INLINE_TERMS
 
-    if vocab.limit(MAX_INLINE_TERMS + 1).count() <= MAX_INLINE_TERMS:
-        return texts, [Gazetteer([(t, "private") for t in bounded_terms(vocab, "term")])]
     return attach_terms(texts, vocab), [JoinedGazetteer()]
 
 
+def benchmark_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct lower-cased word of benchmark as a private term."""
+    b = table(spark, sf, "benchmark")
+    words = b.select(F.explode(F.split(F.col("text"), r"[^\p{IsAlphabetic}\p{N}]+", -1)).alias("w"))
+    terms = words.where(F.length("w") > 0).select(F.lower("w").alias("term")).distinct()
+    return terms.select("term", F.lit("private").alias("label"), F.pmod(F.xxhash64("term"), F.lit(100_000_000)).cast("int").alias("ins"))
+
+
 def detect_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits per (document, term) of a vocabulary derived from benchmark."""
-    t, dets = vocabulary_detectors(document_texts(spark, sf), benchmark_long_words(spark, sf))
+    """Hits per (document, term) of all words of benchmark."""
+    t, dets = vocabulary_detectors(document_texts(spark, sf), benchmark_words(spark, sf))
     c = explode_rows(t, Profile(dets).candidates(F.col("text")), ["ord"], "_p", "c")
     return c.groupBy(F.col("ord").alias("doc_id"), F.lower(F.col("c.v")).alias("term")).agg(
         F.count(F.lit(1)).cast("bigint").alias("hits")
     )
 
 
-def structured_guard_profile() -> Profile:
-    return Profile([RegexSet()])
-
-
 def benchmark_vocab_table(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary derived from benchmark, kept distributed: lower-cased words of
     8+ chars and two-word phrases (distinct words of 6+ chars, one space apart)."""
@@ -227,3 +220,13 @@ def detect_gazetteer_joined(spark: SparkSession, sf: str) -> DataFrame:
     t = attach_terms(document_texts(spark, sf), benchmark_vocab_table(spark, sf))
     c = explode_rows(t, Profile([JoinedGazetteer()]).candidates(F.col("text")), ["ord"], "_p", "c")
     return c.groupBy(F.col("ord").alias("doc_id"), F.lower(F.col("c.v")).alias("term")).agg(F.count(F.lit(1)).cast("bigint").alias("hits"))
+
+
+def detect_customer_names(spark: SparkSession, sf: str) -> DataFrame:
+    """All customer names as a vocabulary of two labels, found in the texts made of customers."""
+    c = table(spark, sf, "customer")
+    label = F.when(F.col("c_custkey") % 2 == 0, F.lit("person")).otherwise(F.lit("org"))
+    vocab = c.select(F.col("c_name").alias("term"), label.alias("label"), F.col("c_custkey").cast("int").alias("ins"))
+    t, dets = vocabulary_detectors(derived_id_texts(spark, sf), vocab)
+    found = explode_rows(t, Profile(dets).detect(F.col("text")), ["ord"], "_p", "c")
+    return found.select(F.col("ord").alias("c_custkey"), F.col("c.tag").alias("tag"), F.col("c.v").alias("original"), F.col("c.s").cast("bigint").alias("start_pos"))

@@ -152,11 +152,15 @@ def detection_oracles() -> dict[str, str]:
     o["detect_gazetteer"] = f"""
         WITH vocab AS (SELECT DISTINCT lower(w) AS term
                        FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark)
-                       WHERE length(w) >= 12),
+                       WHERE length(w) > 0),
              tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents)
         SELECT CAST(doc_id AS BIGINT) AS doc_id, term, CAST(count(*) AS BIGINT) AS hits
         FROM tok JOIN vocab ON translate(w, '{UP}', '{LO}') = translate(term, '{UP}', '{LO}')
         GROUP BY doc_id, term"""
+    o["detect_customer_names"] = f"""
+        SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS tag, c_name AS original,
+               CAST(length(text) - length(c_name) AS BIGINT) AS start_pos
+        FROM {_derived_id_text()} JOIN customer USING (c_custkey)"""
     return o
 
 

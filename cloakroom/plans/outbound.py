@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from cloakroom.operators import memory as M
 from cloakroom.operators.anonymize import anonymize
-from cloakroom.operators.detect import Email, Entropy, Gazetteer, Profile, RegexSet
+from cloakroom.operators.detect import Email, Entropy, Profile, RegexSet
 from cloakroom.operators.guard import egress_guard
-from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms, unsupported_terms
-from cloakroom.sources.vocab import bounded_terms
+from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
 from cloakroom.operators.transcript import gather_text
+from cloakroom.session import materialize
 
 
 @dataclass
@@ -53,15 +53,13 @@ def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame,
         F.col("content").alias("term"), F.lit("private").alias("label"), F.lit(1_000_000).alias("ins")
     )
     terms = vocab.select("term", "label", "ins").unionByName(local_terms)
-    # Terms that do not start and end with a letter/digit (e.g. whole sentences
-    # stored as local-only memories) are scanned inline, after a size check.
-    odd = [(t, "private") for t in bounded_terms(unsupported_terms(terms), "term")]
-    with_terms = attach_terms(texts, terms)
-    inline = [Gazetteer(odd)] if odd else []
-    floor = Profile(inline + [JoinedGazetteer(), Email(), RegexSet(), Entropy()])
-    a = anonymize(with_terms, floor)
-    guard = Profile(inline + [JoinedGazetteer(), Email(), RegexSet()])
-    g = egress_guard(a.sanitized, guard)
+    # the injected block and the recall behind it are read by several jobs: once is enough
+    texts = materialize(texts)
+    floor = Profile([JoinedGazetteer(), Email(), RegexSet(), Entropy()])
+    a = anonymize(attach_terms(texts, terms), floor)
+    # the guard looks for the terms afresh: placeholders and splices are part of what it reads
+    sent = materialize(a.sanitized.drop("_terms"))
+    g = egress_guard(attach_terms(sent, terms), Profile([JoinedGazetteer(), Email(), RegexSet()]))
     keep = ["session", "ord", "field_pos", "text"]
     return Outbound(g.released.select(*keep), g.blocked.select(*keep), a.audit, a.vault, memories_after)
 

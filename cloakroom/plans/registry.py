@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "detect_entropy": det.detect_entropy,
         "detect_floor": det.detect_floor,
         "detect_gazetteer": det.detect_gazetteer,
+        "detect_customer_names": det.detect_customer_names,
         "detect_gazetteer_joined": det.detect_gazetteer_joined,
         "intern_session_vault": det.intern_session_vault,
         "anonymize_documents": det.anonymize_documents,

@@ -1,9 +1,7 @@
-"""Private vocabulary sources.
+"""Private vocabulary source: the loader job.
 
-``vocab_terms`` is the loader job: comma-separated terms plus term files
-(one per line), trimmed, blank lines and ``#`` comments dropped, in order.
-``bounded_terms`` brings a vocabulary to the driver only after proving it is
-small: the inline gazetteer compiles one scan per term into the plan.
+Comma-separated terms plus term files (one per line), trimmed, blank lines and ``#``
+comments dropped, in order. The result stays distributed.
 """
 
 from __future__ import annotations
@@ -11,20 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_INLINE_TERMS = 512
-
 
 def vocab_terms(spark: SparkSession, csv: str = "", files: list[str] | None = None, kind: str = "private") -> DataFrame:
     """(term, kind, ins): csv terms first, then file lines in file order."""
     csv_df = spark.createDataFrame([(csv or "",)], "line string").select(
         F.posexplode(F.split("line", ",", -1)).alias("pos", "term")
-    ).select(F.lit(0).alias("src"), F.col("pos").cast("bigint").alias("pos"), "term")
+    ).select(F.lit(0).alias("src"), F.lit("").alias("f"), F.lit(0).cast("bigint").alias("b"), F.col("pos").cast("bigint").alias("pos"), "term")
     parts = [csv_df]
     for i, path in enumerate(files or [], start=1):
-        lines = spark.read.text(path, wholetext=True).select(
-            F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n", -1)).alias("pos", "term")
-        )
-        parts.append(lines.select(F.lit(i).alias("src"), F.col("pos").cast("bigint").alias("pos"), "term"))
+        # a file may be read in many splits: lines keep the order of split start and place in the split
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("term"))
+        parts.append(lines.select(F.lit(i).alias("src"), "f", "b", F.col("m").alias("pos"), "term"))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
@@ -32,15 +27,7 @@ def vocab_terms(spark: SparkSession, csv: str = "", files: list[str] | None = No
 
     t = F.trim(F.col("term"))
     kept = df.withColumn("term", t).where((F.length("term") > 0) & ~F.col("term").startswith("#"))
-    keyed = kept.select("term", F.lit(0).alias("_g"), F.struct("src", "pos").alias("_o"))
+    keyed = kept.select("term", F.lit(0).alias("_g"), F.struct("src", "f", "b", "pos").alias("_o"))
     numbered = number_by_first(keyed, ["_g"], "_o", out="ins")
     return numbered.select("term", F.lit(kind).alias("kind"), F.col("ins").cast("int").alias("ins"))
 
-
-def bounded_terms(df: DataFrame, col: str = "term", limit: int = MAX_INLINE_TERMS) -> list[str]:
-    """Distinct terms, sorted, once their count is proven <= ``limit``."""
-    terms = df.select(col).distinct()
-    n = terms.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"vocabulary has more than {limit} terms; use the joined gazetteer for large vocabularies")
-    return sorted(r[0] for r in terms.collect())
