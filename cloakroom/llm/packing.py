@@ -2,11 +2,10 @@
 
 Only the histogram of piece lengths (at most ``capacity`` rows) reaches the
 driver. The covering program over patterns (multisets of lengths that fit one
-sequence) is solved by multiplicative weights: lengths that the patterns chosen
-so far cover least weigh most, and a knapsack dynamic program prices the best
-pattern at these weights, one for every length that it must hold. The average
-of the rounds is rounded down; what stays uncovered is packed best fit, length
-by length, over the histogram. The pieces are numbered within their length in
+sequence) is solved by multiplicative weights: a knapsack dynamic program prices
+the patterns at the lengths' weights, the best ones are taken, and lengths that
+they cover too little gain weight. The average of the rounds is rounded down;
+what stays uncovered is packed best fit, length by length, over the histogram. The pieces are numbered within their length in
 Spark and take the places of the patterns by that number.
 """
 
@@ -31,6 +30,7 @@ SALTS = 256
 _WORKER: dict[str, "WordIds"] = {}
 #: Texts of ASCII and Latin-1 letters alone are also cut behind their letters and lower-cased first.
 _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _WORD = re.compile("[^ \na-zß-öø-ÿ]*[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+")
 
 
@@ -52,6 +52,9 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([END_ID], dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -61,7 +64,19 @@ class WordIds:
         if len(self.cache) + len(need) > self.CACHE:
             self.cache.clear()
             need = set().union(*parts)
-        words = list(need)
+        # words of letters alone go through the tokenizer many at once: each ends with its one closing id
+        plain = [w for w in need if _LETTERS.fullmatch(w)]
+        for lo in range(0, len(plain), 5000):
+            some = plain[lo : lo + 5000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stop = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(stop) != len(some):
+                raise ValueError("the tokenizer doesn't close each word once")
+            data, at = ids.tobytes(), 0
+            for w, to in zip(some, stop.tolist()):
+                self.cache[w] = data[at:to]
+                at = to
+        words = [w for w in need if w not in self.cache]
         for lo in range(0, len(words), 2048):
             some = words[lo : lo + 2048]
             for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
@@ -123,37 +138,35 @@ def _pattern(first: int, last: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def _fractional(counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
-    """Multiplicative weights on the covering program; patterns with their amounts."""
+def _fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float = 0.3, near: float = 0.03) -> dict[tuple, float]:
+    """Multiplicative weights on the covering program; patterns with their average amounts.
+
+    Each round prices patterns at the weights and spends the weights' own bound on the
+    number of sequences on the patterns worth nearly as much as the best one; then the
+    weights of lengths covered too little rise and those of the others fall.
+    """
     lengths = np.flatnonzero(counts)
     demand = counts[lengths].astype(float)
-    cover = np.zeros(len(lengths))
-    at = {int(v): i for i, v in enumerate(lengths)}
+    weight = lengths / capacity  # full patterns are worth 1
     amounts: dict[tuple, float] = {}
-    size = lengths / capacity
-    for step in range(rounds):
-        # A length covered less than its share so far gains weight; a length's own size is its
-        # fair price, which keeps patterns full while the weights learn what is scarce.
-        lag = 1 - cover / demand / max(step, 1) if step else np.zeros(len(lengths))
-        weight = np.zeros(capacity + 1)
-        weight[lengths] = size * np.exp(np.clip(0.5 * lag, -4, 4))
-        _, last = _price(weight, capacity)
-        # each length still short of its share in this round heads a pattern, the long ones first
-        short = demand * (step + 1) - cover
-        for i in np.argsort(-lengths, kind="stable"):
-            if short[i] <= 1e-9:
-                continue
-            pattern = _pattern(int(lengths[i]), last, capacity)
-            times = short[i] / pattern[int(lengths[i])]
-            for v, n in pattern.items():
-                if v != lengths[i] and short[at[v]] > 0:
-                    times = min(times, max(short[at[v]] / n, short[i] / pattern[int(lengths[i])] / 8))
+    for step in range(1, rounds + 1):
+        prices = np.zeros(capacity + 1)
+        prices[lengths] = weight
+        value, last = _price(prices, capacity)
+        worth = (weight + value[capacity - lengths]) / value[capacity]  # of the best pattern with each length
+        heads = np.flatnonzero(worth >= 1 - near)
+        patterns = [_pattern(int(lengths[i]), last, capacity) for i in heads]
+        times = np.array([demand[i] / p[int(lengths[i])] for i, p in zip(heads, patterns)])
+        times *= (demand * weight).sum() / value[capacity] / times.sum()
+        cover = np.zeros(capacity + 1)
+        for pattern, n in zip(patterns, times):
             key = tuple(sorted(pattern.items(), reverse=True))
-            amounts[key] = amounts.get(key, 0.0) + times
-            for v, n in pattern.items():
-                cover[at[v]] += n * times
-                short[at[v]] -= n * times
-    return {k: v / rounds for k, v in amounts.items()}
+            amounts[key] = amounts.get(key, 0.0) + n / rounds
+            for v, k in pattern.items():
+                cover[v] += k * n
+        weight = weight * np.exp(rate / np.sqrt(step) * np.clip((demand - cover[lengths]) / demand, -1, 1))
+        weight /= weight.max()
+    return amounts
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -199,25 +212,27 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int
         out.append((pattern, times))
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 24) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> how many) with the number of sequences of each; places match the histogram exactly."""
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> how many) with the number of sequences of each; places match the histogram exactly.
+
+    The linear program's amounts are rounded down, fullest patterns first, and the rest
+    is packed best fit; where best fit alone needs fewer sequences, that is taken.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for v, n in histogram.items():
         left[v] = n
-    out: list[tuple[dict[int, int], int]] = []
     if not left.any():
-        return out
-    amounts = _fractional(left, capacity, rounds)
-    for key, amount in sorted(amounts.items(), key=lambda x: (capacity - sum(a * n for a, n in x[0]), -x[1], x[0])):
-        pattern = dict(key)
-        if sum(a * n for a, n in key) < capacity and key[0][0] * 2 <= capacity:
-            continue  # rounding leaves unfilled patterns of short lengths to best fit
-        times = min(int(amount), *(int(left[v]) // n for v, n in pattern.items()))
+        return []
+    alone = _best_fit(left, capacity)
+    out: list[tuple[dict[int, int], int]] = []
+    for key, amount in sorted(_fractional(left, capacity, rounds).items(), key=lambda x: (capacity - sum(a * n for a, n in x[0]), -x[1], x[0])):
+        times = min(int(amount), *(int(left[v]) // n for v, n in key))
         if times > 0:
-            for v, n in pattern.items():
+            for v, n in key:
                 left[v] -= n * times
-            out.append((pattern, times))
-    return out + _best_fit(left, capacity)
+            out.append((dict(key), times))
+    out += _best_fit(left, capacity)
+    return min(out, alone, key=lambda p: sum(t for _, t in p))
 
 
 def _places(patterns: list[tuple[dict[int, int], int]], capacity: int) -> pd.DataFrame:
@@ -239,7 +254,7 @@ def _places(patterns: list[tuple[dict[int, int], int]], capacity: int) -> pd.Dat
     return pd.DataFrame(rows, columns=["v", "first", "base", "offset"]).sort_values(["v", "first"], ignore_index=True)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 24) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 60) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces with a ``length`` of 1 to ``capacity``.
 
     Any other columns stay. Ties and repeated rows are different pieces; an
