@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed domain labels of the two sub-keys (must match stored vaults).
-ENC_DOMAIN = "pp-enc-v1"
-MAC_DOMAIN = "pp-mac-v1"
+# Domain labels of the two sub-keys (stored vaults depend on them).
+ENC_DOMAIN = "cloakroom seal 1:"
+MAC_DOMAIN = "cloakroom lookup 1:"
 
 
 def subkey(domain: str, passphrase: str) -> Column:

@@ -36,25 +36,40 @@ def let(bindings: dict[str, str], body) -> str:
     return f"element_at(transform(array(named_struct({fields})), {b} -> {body(b)}), 1)"
 
 
-def sum_lengths(arr: str) -> str:
-    a, y = var("a"), var("y")
-    return f"aggregate({arr}, 0, ({a}, {y}) -> {a} + length({y}))"
+def starts(gaps: str, width: str) -> str:
+    """Offsets of equally wide matches from the pieces between them (one running fold)."""
+    a, x = var("a"), var("x")
+    zero = "named_struct('p', 0, 'a', CAST(array() AS array<int>))"
+    step = f"named_struct('p', {a}.p + length({x}) + {width}, 'a', concat({a}.a, array({a}.p + length({x}))))"
+    return f"aggregate(slice({gaps}, 1, size({gaps}) - 1), {zero}, ({a}, {x}) -> {step}, {a} -> {a}.a)"
+
+
+# Noncharacters that mark a match, its groups and its end; a text's own are taken for U+FDD3.
+_MATCH, _GROUP, _END, _OWN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 
 def regex_spans(t: str, pattern: str, groups: tuple[int, ...] = ()) -> str:
-    """array<struct<s, v, g1..>> of leftmost non-overlapping matches with 0-based char offsets."""
-    p = lit(pattern)
-    bind = {"m": f"regexp_extract_all({t}, {p}, 0)", "g": f"split({t}, {p}, -1)"}
-    for k, grp in enumerate(groups, start=1):
-        bind[f"k{k}"] = f"regexp_extract_all({t}, {p}, {grp})"
+    """array<struct<s, v, g1..>> of leftmost non-overlapping, non-empty matches with 0-based char offsets.
 
-    def body(b):
-        x, i = var("x"), var("i")
-        start = f"{sum_lengths(f'slice({b}.g, 1, {i} + 1)')} + {sum_lengths(f'slice({b}.m, 1, {i})')}"
-        extra = "".join(f", 'g{k}', element_at({b}.k{k}, {i} + 1)" for k in range(1, len(groups) + 1))
-        return f"transform({b}.m, ({x}, {i}) -> named_struct('s', {start}, 'v', {x}{extra}))"
+    The pattern is scanned once: every match is marked in place, and a running fold
+    over the marked pieces gives the offsets (empty matches advance nothing).
+    """
+    shown = _MATCH + "$0" + "".join(f"{_GROUP}${g}" for g in groups) + _END
+    clean = f"CASE WHEN {t} RLIKE {lit(f'[{_MATCH}-{_END}]')} THEN translate({t}, {lit(_MATCH + _GROUP + _END)}, {lit(_OWN * 3)}) ELSE {t} END"
+    a, x, y = var("a"), var("x"), var("y")
 
-    return let(bind, body)
+    def body(b):
+        names = ["v", *[f"g{k}" for k in range(1, len(groups) + 1)]]
+        fields = ", ".join(f"{lit(n)}, {y}.f[{k}]" for k, n in enumerate(names))
+        found = f"named_struct('s', {a}.p, {fields})"
+        kind = "array<struct<s: int, " + ", ".join(f"{n}: string" for n in names) + ">>"
+        head = f"substring_index({x}, {lit(_END)}, 1)"
+        items = f"transform(slice({b}.m, 2, size({b}.m)), {x} -> named_struct('f', split({head}, {lit(_GROUP)}, -1), 'rest', length({x}) - length({head}) - 1))"
+        step = f"named_struct('p', {a}.p + length({y}.f[0]) + {y}.rest, 'a', CASE WHEN length({y}.f[0]) = 0 THEN {a}.a ELSE concat({a}.a, array({found})) END)"
+        zero = f"named_struct('p', length({b}.m[0]), 'a', CAST(array() AS {kind}))"
+        return f"aggregate({items}, {zero}, ({a}, {y}) -> {step}, {a} -> {a}.a)"
+
+    return let({"m": f"split(regexp_replace({clean}, {lit(pattern)}, {lit(shown)}), {lit(_MATCH)}, -1)"}, body)
 
 
 def entropy(w: str) -> str:

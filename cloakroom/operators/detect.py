@@ -167,13 +167,11 @@ def term_hits(t: str, term: str) -> str:
     alnum = Q.lit(f"^{ALNUM_CLASS}$")
 
     def body(b):
-        i, st, h = Q.var("i"), Q.var("st"), Q.var("h")
-        idx = f"CASE WHEN size({b}.g) > 1 THEN sequence(0, size({b}.g) - 2) ELSE CAST(array() AS array<int>) END"
-        start = f"{Q.sum_lengths(f'slice({b}.g, 1, {i} + 1)')} + {i} * {n}"
+        st, h = Q.var("st"), Q.var("h")
         left = f"({st} = 0 OR NOT coalesce(substring({t}, {st}, 1) RLIKE {alnum}, false))"
         right = f"NOT coalesce(substring({t}, {st} + {n + 1}, 1) RLIKE {alnum}, false)"
         hits = (
-            f"transform(transform({idx}, {i} -> {start}), {st} -> named_struct('s', {st}, "
+            f"transform({Q.starts(f'{b}.g', str(n))}, {st} -> named_struct('s', {st}, "
             f"'v', substring({t}, {st} + 1, {n}), 'ok', {left} AND {right}))"
         )
         return f"transform(filter({hits}, {h} -> {h}.ok), {h} -> named_struct('s', {h}.s, 'v', {h}.v))"

@@ -9,7 +9,7 @@ from cloakroom.operators import evaluate as EV
 from cloakroom.operators.anonymize import anonymize
 from cloakroom.operators.detect import floor_profile
 from cloakroom.operators.rehydrate import rehydrate
-from cloakroom.operators.routing import candidates, models_table
+from cloakroom.operators.routing import candidates
 from cloakroom.operators.transcript import model_label_kind, parse_model_entities, rescue_tool_call
 from cloakroom.operators.vault import session_resolver
 from cloakroom.sources.tables import document_texts, spread, table
@@ -50,23 +50,33 @@ def llm_reply_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document is a scenario run in echo mode: masked -> echoed -> restored."""
+    """Every document is a scenario: masked, answered, restored and checked.
+
+    The upstream is simulated by document id: every fifth answers with the first line
+    alone, the others echo; every seventh call fails; every eleventh message goes out
+    unmasked (a planted leak). Two checks in three ask for the first and last long word
+    of the text, the third that the last one is absent.
+    """
     texts = document_texts(spark, sf)
     a = anonymize(texts, floor_profile())
-    restored = rehydrate(a.sanitized, session_resolver(a.vault)).select("ord", F.col("text").alias("restored"))
+    sent = a.sanitized.select("session", "ord", "field_pos", F.col("text").alias("masked")).join(texts, ["session", "ord", "field_pos"])
+    sent = sent.withColumn("sent", F.when(F.col("ord") % 11 == 0, F.col("text")).otherwise(F.col("masked")))
+    answer = lambda c: F.when(F.col("ord") % 5 == 0, F.substring_index(c, "\n", 1)).otherwise(F.col(c))
+    restored = rehydrate(sent.withColumn("reply", answer("sent")), session_resolver(a.vault), text_col="reply")
     sensitive = a.entities.groupBy("ord").agg(F.collect_set("v").alias("sensitive"))
-    needles = F.array(F.regexp_extract(F.col("text"), "[A-Za-z]{4,}", 0))
-    j = (
-        texts.join(a.sanitized.select("ord", F.col("text").alias("sanitized")), "ord")
-        .join(restored, "ord")
-        .join(sensitive, "ord", "left")
-    )
+    first, last = F.regexp_extract("text", "[A-Za-z]{4,}", 0), F.regexp_extract("text", "([A-Za-z]{4,})[^A-Za-z]*$", 1)
+    absent = (F.col("ord") % 3 == 1) & (last != "")
+
+    def passed(reply):
+        return F.when(F.col("error").isNotNull(), F.lit(False)).when(absent, EV.check_not_contains(reply, F.array(last))).otherwise(EV.check_contains(reply, F.array(first, last)))
+
+    j = restored.withColumn("error", F.when(F.col("ord") % 7 == 0, F.lit("timeout"))).join(sensitive, "ord", "left")
     return j.select(
         F.col("ord").alias("doc_id"),
-        EV.check_contains(F.col("text"), needles).alias("baseline_pass"),
-        EV.check_contains(F.col("restored"), needles).alias("anon_pass"),
-        F.coalesce(EV.leaked(F.col("sanitized"), F.col("sensitive")), F.lit(False)).alias("leaked"),
-        F.lit(None).cast("string").alias("error"),
+        passed(answer("text")).alias("baseline_pass"),
+        passed(F.col("reply")).alias("anon_pass"),
+        F.coalesce(EV.leaked(F.col("sent"), F.col("sensitive")), F.lit(False)).alias("leaked"),
+        F.col("error"),
     )
 
 
@@ -74,11 +84,27 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     return EV.report(eval_outcomes(spark, sf))
 
 
+def eval_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    named = eval_outcomes(spark, sf).withColumn("name", F.concat(F.lit("document "), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    return EV.report_lines(named)
+
+
+def part_models(spark: SparkSession, sf: str) -> DataFrame:
+    """A model catalogue made of the parts of size 1: cheapest first, brands of even length can call tools."""
+    p = table(spark, sf, "part").where(F.col("p_size") == 1)
+    return p.select(
+        F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"), F.col("p_partkey")).alias("model_id"),
+        F.col("p_retailprice").alias("priority"),
+        (F.length("p_brand") % 2 == 0).alias("tools"),
+        F.col("p_partkey").alias("ins"),
+    )
+
+
 def route_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations with a system turn are treated as tool-using requests."""
     c = table(spark, sf, "conversations")
     req = c.groupBy(F.col("conv_id").alias("request_id")).agg(F.max(F.col("role") == "system").alias("needs_tools"))
-    return candidates(req, models_table(spark)).select(F.col("request_id").alias("conv_id"), "model_id", "pref")
+    return candidates(req, part_models(spark, sf)).select(F.col("request_id").alias("conv_id"), "model_id", "pref")
 
 
 def block_dialect_requests(spark: SparkSession, sf: str) -> DataFrame:

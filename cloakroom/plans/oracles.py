@@ -295,7 +295,7 @@ def vault_oracles() -> dict[str, str]:
     key = "correct horse battery staple"
     o: dict[str, str] = {}
     o["vault_lookup_keys"] = f"""
-        SELECT c_custkey, sha256(unhex(sha256('pp-mac-v1' || '{key}')) || encode('PERSON') || unhex('1f') || encode(c_name)) AS lookup
+        SELECT c_custkey, sha256(unhex(sha256('cloakroom lookup 1:' || '{key}')) || encode('PERSON') || unhex('1f') || encode(c_name)) AS lookup
         FROM customer"""
     o["vault_seal_roundtrip"] = "SELECT c_custkey, true AS restored, true AS wrong_key_null, CAST(12 + strlen(c_name) + 16 AS BIGINT) AS sealed_len FROM customer"
     durable = f"""WITH {_vocab_hits_sql()},
@@ -321,32 +321,42 @@ def chat_oracles() -> dict[str, str]:
         SELECT c_custkey, trim(c_name) AS term,
                CASE WHEN c_custkey % 3 = 0 THEN 'person' WHEN c_custkey % 3 = 1 THEN 'org' ELSE 'private' END AS kind
         FROM customer WHERE c_custkey % 5 <> 4"""
+    first, last = "regexp_extract(text, '[A-Za-z]{4,}')", "regexp_extract(text, '([A-Za-z]{4,})[^A-Za-z]*$', 1)"
+
+    def passed(reply: str) -> str:
+        there = f"contains(lower({reply}), lower({last}))"
+        return f"(doc_id % 7 <> 0 AND CASE WHEN doc_id % 3 = 1 AND {last} <> '' THEN NOT {there} ELSE contains(lower({reply}), lower({first})) AND {there} END)"
+
     o["eval_outcomes"] = f"""WITH {_floor_ctes()}, {_splice_ctes(only_secrets=True)}, restored AS ({_SPLICE_SELECT}),
-        sens AS (SELECT k.doc_id, list(DISTINCT k.v) AS sensitive FROM kept k GROUP BY k.doc_id)
-        SELECT CAST(d.doc_id AS BIGINT) AS doc_id,
-               contains(lower(d.text), lower(regexp_extract(d.text, '[A-Za-z]{{4,}}'))) AS baseline_pass,
-               contains(lower(r.text), lower(regexp_extract(d.text, '[A-Za-z]{{4,}}'))) AS anon_pass,
-               false AS leaked, CAST(NULL AS VARCHAR) AS error
-        FROM documents d JOIN restored r ON r.doc_id = d.doc_id"""
-    o["eval_report"] = f"""WITH outc AS ({o['eval_outcomes']})
-        SELECT CAST(count(*) AS BIGINT) AS scenarios, round(avg(baseline_pass::INT::DOUBLE), 6) AS baseline_rate,
-               round(avg(anon_pass::INT::DOUBLE), 6) AS anon_rate,
-               round(CASE WHEN avg(baseline_pass::INT::DOUBLE) = 0 THEN 1.0
-                          ELSE least(avg(anon_pass::INT::DOUBLE) / avg(baseline_pass::INT::DOUBLE), 1.0) END, 6) AS retention,
-               CAST(count(*) FILTER (WHERE leaked) AS BIGINT) AS leaks
-        FROM outc"""
-    models = [
-        ("nvidia/nemotron-3-ultra-550b-a55b:free", 1, True),
-        ("openai/gpt-oss-120b:free", 2, True),
-        ("qwen/qwen3-next-80b-a3b-instruct:free", 3, True),
-        ("meta-llama/llama-3.3-70b-instruct:free", 4, True),
-        ("google/gemma-4-31b-it:free", 5, False),
-    ]
-    vals = ", ".join(f"('{m}', {p}, {str(t).lower()})" for m, p, t in models)
-    o["route_candidates"] = f"""
-        WITH models(model_id, priority, tools) AS (VALUES {vals}),
+        sens AS (SELECT DISTINCT doc_id FROM kept),
+        answers AS (SELECT d.doc_id, d.text, CASE WHEN d.doc_id % 5 = 0 THEN string_split(d.text, chr(10))[1] ELSE d.text END AS plain,
+                           CASE WHEN d.doc_id % 5 = 0 THEN string_split(CASE WHEN d.doc_id % 11 = 0 THEN d.text ELSE r.text END, chr(10))[1]
+                                WHEN d.doc_id % 11 = 0 THEN d.text ELSE r.text END AS back
+                    FROM documents d JOIN restored r ON r.doc_id = d.doc_id)
+        SELECT CAST(doc_id AS BIGINT) AS doc_id, {passed("plain")} AS baseline_pass, {passed("back")} AS anon_pass,
+               doc_id % 11 = 0 AND doc_id IN (SELECT doc_id FROM sens) AS leaked,
+               CASE WHEN doc_id % 7 = 0 THEN 'timeout' END AS error
+        FROM answers"""
+    o["eval_report"] = f"""WITH outc AS ({o['eval_outcomes']}),
+        rates AS (SELECT count(*) AS n, coalesce(avg(baseline_pass::INT::DOUBLE) FILTER (WHERE error IS NULL), 0) AS b,
+                         coalesce(avg(anon_pass::INT::DOUBLE) FILTER (WHERE error IS NULL), 0) AS a, count(*) FILTER (WHERE leaked) AS l FROM outc)
+        SELECT CAST(n AS BIGINT) AS scenarios, round(b, 6) AS baseline_rate, round(a, 6) AS anon_rate,
+               round(CASE WHEN b = 0 THEN 1.0 ELSE least(a / b, 1.0) END, 6) AS retention, CAST(l AS BIGINT) AS leaks
+        FROM rates"""
+    o["eval_report_lines"] = f"""WITH outc2 AS ({o['eval_outcomes']}), rep AS ({o['eval_report']})
+        SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS line_no,
+               'scenario=document ' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || ' baseline=' || CASE WHEN baseline_pass THEN 'pass' ELSE 'fail' END
+               || ' anonymized=' || CASE WHEN anon_pass THEN 'pass' ELSE 'fail' END || ' leak=' || CASE WHEN leaked THEN 'yes' ELSE 'no' END
+               || coalesce(' error=' || error, '') AS line
+        FROM outc2
+        UNION ALL
+        SELECT scenarios + 1, 'total scenarios=' || CAST(scenarios AS VARCHAR) || ' baseline=' || printf('%.4f', baseline_rate) || ' anonymized='
+               || printf('%.4f', anon_rate) || ' retention=' || printf('%.4f', retention) || ' leaks=' || CAST(leaks AS VARCHAR) FROM rep"""
+    o["route_candidates"] = """
+        WITH models AS (SELECT lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS model_id,
+                               p_retailprice AS priority, p_partkey AS ins, length(p_brand) % 2 = 0 AS tools FROM part WHERE p_size = 1),
              req AS (SELECT conv_id, bool_or(role = 'system') AS needs_tools FROM conversations GROUP BY conv_id)
-        SELECT conv_id, model_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY priority) AS BIGINT) AS pref
+        SELECT conv_id, model_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY priority, ins) AS BIGINT) AS pref
         FROM req JOIN models ON (NOT needs_tools) OR tools"""
     return o
 

@@ -64,6 +64,7 @@ def queries() -> dict[str, Query]:
         "prepare_outbound_conversations": ob.prepare_outbound_conversations,
         "eval_outcomes": cq.eval_outcomes,
         "eval_report": cq.eval_report,
+        "eval_report_lines": cq.eval_report_lines,
         "route_candidates": cq.route_candidates,
         "normalize_transcripts": cq.normalize_transcripts,
         "chat_fields_anonymize": cq.chat_fields_anonymize,
