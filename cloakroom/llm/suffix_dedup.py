@@ -34,7 +34,7 @@ from cloakroom.sources.tables import spread
 
 ANCHOR = 64
 CROWD = 2000
-_SEGMENT = 1 << 21  # window starts handled at once
+_SEGMENT = 1 << 19  # window starts handled at once
 _PLACE_BITS = 24
 
 # what a bucket says about a run
@@ -126,7 +126,8 @@ class _Bytes:
         last = stop[np.searchsorted(stop, first, "right")] - 1
         where = place[first]
         content = sums.slices(first, last + n) ^ mix64((where - first).astype(np.uint64) + np.uint64(1))
-        return [first + lo, last + lo, hashes[where], content]
+        # anchors are small hashes by their choice; mixed again they spread over the buckets' ranges
+        return [first + lo, last + lo, mix64(hashes[where] + np.uint64(1)), content]
 
     def contexts(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of one run of each entry, joined, and the window starts in them."""
@@ -222,7 +223,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc
     if length <= ANCHOR:
         raise ValueError(f"length must exceed {ANCHOR}")
     plan = chunked(spread(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
-    nb = buckets_for(plan.text_bytes // 60 + 1, 17)
+    nb = buckets_for(plan.text_bytes // 60 + 1, 17, 4 << 20)
     nb2 = buckets_for(plan.text_bytes, 1, 2 << 20)
 
     def send(df: pd.DataFrame) -> pd.DataFrame:
