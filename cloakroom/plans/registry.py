@@ -86,7 +86,10 @@ def oracle_sql() -> dict[str, str]:
     o.update(memory_oracles())
     o.update(vault_oracles())
     o["stream_rehydrate"] = o["rehydrate_roundtrip"]
-    o["stream_deltas"] = o["rehydrate_roundtrip"]
+    o["stream_deltas"] = (
+        "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 3 AS VARCHAR) ELSE '0:' || CAST(doc_id % 5 AS VARCHAR) END AS slot, "
+        f"CAST(CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 2 END AS BIGINT) AS others, text FROM ({o['rehydrate_roundtrip']})"
+    )
     o["stream_anonymize"] = o["anonymize_documents"]
     o.update(chat_oracles())
     o.update(dialect_oracles())

@@ -7,7 +7,7 @@ from cloakroom.operators.anonymize import anonymize
 from cloakroom.operators.detect import Email, Gazetteer, Profile
 from cloakroom.operators.dialect import to_block_response, to_canonical_messages
 from cloakroom.sources.store import MEMORY_SCHEMA, commit, insert_memories, migrate, open_table
-from cloakroom.streaming.rehydrate_stream import delta_fragments, rehydrate_stream
+from cloakroom.streaming.rehydrate_stream import rehydrate_frames
 
 
 def test_versioned_table_and_idempotent_insert(spark, tmp_path):
@@ -77,22 +77,34 @@ def test_dialect_round_trip(spark):
     assert out["usage"] == {"input_tokens": 0, "output_tokens": 0} and out["stop_sequence"] is None
 
 
-def test_delta_frames_restore_split_placeholders(spark):
+def test_frames_are_restored_and_passed_on(spark):
+    chunk = lambda *choices: json.dumps({"id": "x1", "choices": list(choices)}, separators=(",", ":"))
+    text = lambda i, t: {"index": i, "delta": {"content": t}}
     frames = [
-        ("s1", "sess", 0, json.dumps({"choices": [{"delta": {"content": "Hi __PER"}}]})),
-        ("s1", "sess", 1, ": keep-alive"),
-        ("s1", "sess", 2, json.dumps({"choices": [{"delta": {"content": "SON_1__!", "tool_calls": [{"index": 1, "function": {"arguments": "{\"to\":\"__PERSON"}}]}}]})),
-        ("s1", "sess", 3, json.dumps({"choices": [{"delta": {"tool_calls": [{"index": 1, "function": {"arguments": "_1__\"}"}}]}}]})),
-        ("s1", "sess", 4, "[DONE]"),
+        ("s1", "one", 0, chunk(text(0, "for __ORG"), text(1, "plain _"))),
+        ("s1", "one", 1, "event: ping"),
+        ("s1", "one", 2, chunk(text(1, "_ORG_7__."), {"index": 0, "delta": {"content": "_7__ only", "tool_calls": [{"index": 2, "function": {"arguments": '{"of":"__ORG_'}}]}})),
+        ("s1", "one", 3, chunk({"index": 0, "delta": {"tool_calls": [{"index": 2, "function": {"arguments": '7__"}__'}}]}})),
+        ("s1", "one", 4, " [DONE]"),
+        ("s2", "two", 0, chunk(text(0, "no such __ORG_7__ here"))),
+        ("s2", "two", 1, "[1, 2]"),
     ]
     df = spark.createDataFrame(frames, "stream_id string, session string, seq long, frame string")
-    res = spark.createDataFrame([("sess", "__PERSON_1__", "Alex")], "session string, placeholder string, original string")
-    out = rehydrate_stream(delta_fragments(df), res).collect()
-    by_key = {}
-    for r in sorted(out, key=lambda r: r.seq):
-        by_key.setdefault((r.choice, r.tool), []).append(r.text)
-    assert by_key[(0, -1)][:2] == ["Hi ", "Alex!"]
-    assert "".join(by_key[(0, 1)]) == '{"to":"Alex"}'
+    res = spark.createDataFrame([("one", "__ORG_7__", "Quill & Son")], "session string, placeholder string, original string")
+    out = sorted(tuple(r) for r in rehydrate_frames(df, res).collect())
+    one = [f for s, _, _, f in out if s == "s1"]
+    assert one[1] == "event: ping" and one[-1] == " [DONE]" and [f for s, _, _, f in out if s == "s2"][1] == "[1, 2]"
+    got = {}
+    for f in one:
+        for c in json.loads(f)["choices"] if f.startswith("{") else []:
+            d = c["delta"]
+            got[c["index"]] = got.get(c["index"], "") + d.get("content", "")
+            for t in d.get("tool_calls", []):
+                got["tool", t["index"]] = got.get(("tool", t["index"]), "") + t["function"]["arguments"]
+    assert got == {0: "for Quill & Son only", 1: "plain Quill & Son.", ("tool", 2): '{"of":"Quill & Son"}__'}
+    assert json.loads(one[0])["id"] == "x1" and json.loads(one[0])["choices"][0]["delta"]["content"] == "for "
+    two = [json.loads(f)["choices"][0]["delta"]["content"] for s, _, _, f in out if s == "s2" and f.startswith("{")]
+    assert two == ["no such __ORG_7", "__ here"]
 
 
 def test_small_helpers(spark):
