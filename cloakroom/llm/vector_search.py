@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLANES = 6  # bits of a quantised query component
+PLANES = 4  # bits of a quantised query component
 #: Rows from which the centroid is taken, at most about so many (chosen by a hash of the id).
 SAMPLE_ROWS = 20_000
 
@@ -55,20 +55,39 @@ class Code:
         low = turned.min(axis=1, keepdims=True)
         step = np.maximum((turned.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-30)
         level = np.rint((turned - low) / step).astype(np.uint8)
-        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.float32)
-        dot = np.zeros((len(q), len(bits)), dtype=np.float32)
+        dot = np.zeros((len(q), len(bits)), dtype=np.uint32 if wide > 2048 else np.uint16)
         for p in range(PLANES):
             plane = np.packbits(level >> p & 1, axis=1, bitorder="little").view("<u8")
             for w in range(bits.shape[1]):
-                dot += np.bitwise_count(plane[:, w, None] & bits[None, :, w]).astype(np.float32) * np.float32(1 << p)
+                dot += np.left_shift(np.bitwise_count(plane[:, w, None] & bits[:, w]), p, dtype=dot.dtype)
         # sum over +-1 signs = 2 * sum over ones - sum over all, for the quantised query
-        level_sum = level.sum(axis=1, dtype=np.float64)[:, None]
-        signed = 2 * (step * dot + low * ones) - (step * level_sum + low * wide)
-        estimate = (q @ self.centroid)[:, None] + signed / np.sqrt(wide) * (norm / fit)
+        ones = np.bitwise_count(bits).sum(axis=1).astype(np.float32)
+        scale = (norm / fit / np.sqrt(wide)).astype(np.float32)
+        estimate = dot * (2 * step).astype(np.float32)
+        estimate += (2 * low).astype(np.float32) * ones - (step * level.sum(axis=1, dtype=np.float64)[:, None] + low * wide).astype(np.float32)
+        estimate *= scale
+        estimate += (q @ self.centroid).astype(np.float32)[:, None]
+        spread = norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(wide - 1, 1))
         length = np.linalg.norm(q, axis=1)[:, None]
-        spread = np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(wide - 1, 1))
-        slack = step / np.sqrt(12) * (norm / fit)  # rounding of the query's components
-        return estimate, self.errors * (length * norm * spread + slack) + 1e-9
+        # spread of the code, and rounding of the query's components
+        error = (self.errors * length).astype(np.float32) * spread.astype(np.float32)
+        error += (self.errors * step / np.sqrt(12)).astype(np.float32) * (norm / fit).astype(np.float32)
+        return estimate, error
+
+
+def _sure(estimate: np.ndarray, q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """A score that ``k`` candidates of each query reach: the ``k``-th best exact one of a few with large estimates."""
+    rows, n = estimate.shape
+    if n <= 4 * k:
+        return np.full(rows, np.finfo(np.float32).min)
+    group = max(1, n // (8 * k))
+    best = estimate[:, : n // group * group].reshape(rows, -1, group)
+    at = best.argmax(axis=2) + np.arange(best.shape[1]) * group
+    few = np.argpartition(np.take_along_axis(estimate, at, axis=1), -2 * k, axis=1)[:, -2 * k :]
+    at = np.take_along_axis(at, few, axis=1)
+    score = np.einsum("ij,ikj->ik", q, x[at])
+    score[~np.isfinite(np.take_along_axis(estimate, at, axis=1))] = -np.inf  # the query itself
+    return np.maximum(np.partition(score, -k, axis=1)[:, -k] - 1e-9, np.finfo(np.float32).min)
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -83,7 +102,7 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return whole.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", errors: float = 3.0) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", errors: float = 1.9) -> DataFrame:
     """Each query's ``k`` rows of largest inner product: ``query_id, rank, vec_id, score``.
 
     ``is_query`` maps the id column to a condition. Candidates are all rows but the
@@ -136,24 +155,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         norm, fit = c["norm"].to_numpy(), c["fit"].to_numpy()
         q_ids, q_vec = q["id"].to_numpy(), np.array(q["vec"].tolist(), dtype=np.float64)
         out = []
-        few = max(1, (1 << 22) // len(c))  # queries whose bounds are in memory at once
+        few = max(1, (1 << 18) // len(c))  # queries whose bounds are in the cache at once
+        place = {v: i for i, v in enumerate(ids.tolist())}
+        own = np.array([place.get(v, -1) for v in q_ids.tolist()])
         for lo in range(0, len(q), few):
             part, mine = q_vec[lo : lo + few], q_ids[lo : lo + few]
             estimate, error = code.bounds(part, bits, norm, fit)
-            estimate[mine[:, None] == ids[None, :]] = -np.inf
-            if len(c) > k:
-                floor = np.partition(estimate - error, len(c) - k, axis=1)[:, len(c) - k]
-                qi, ci = np.nonzero(estimate + error >= floor[:, None])
-            else:
-                qi, ci = np.nonzero(np.isfinite(estimate))
-            own = np.isfinite(estimate[qi, ci])
-            qi, ci = qi[own], ci[own]
-            score = np.concatenate([(part[qi[a : a + 65_536]] * x[ci[a : a + 65_536]]).sum(axis=1) for a in range(0, len(qi), 65_536)]) if len(qi) else np.zeros(0)
-            order = np.lexsort((ids[ci], -score, qi))
-            qi, ci, score = qi[order], ci[order], score[order]
-            top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-            out.append(pd.DataFrame({"query_id": mine[qi[top]], "vec_id": ids[ci[top]], "score": score[top]}))
-        return pd.concat(out)
+            self_at = np.flatnonzero(own[lo : lo + few] >= 0)
+            estimate[self_at, own[lo : lo + few][self_at]] = -np.inf
+            floor = _sure(estimate, part, x, k)
+            estimate += error
+            for i, v in enumerate(part):
+                ci = np.flatnonzero(estimate[i] >= floor[i])
+                score = x[ci] @ v
+                if len(ci) > k:
+                    ci = ci[score >= np.partition(score, -k)[-k] - 1e-9 * max(1.0, np.abs(score).max())]
+                score = (x[ci] * v).sum(axis=1)  # one way to add for all, so that equal vectors tie
+                order = np.lexsort((ids[ci], -score))[:k]
+                out.append((np.full(len(order), mine[i]), ids[ci[order]], score[order]))
+        return pd.DataFrame(dict(zip(columns, (np.concatenate(z) for z in zip(*out)))))
 
     found = queries.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(block, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
