@@ -4,8 +4,7 @@ Texts use the canonical layout ``session, ord, field_pos, text`` (one row per
 text field; ``ord`` orders the texts of a session, ``field_pos`` the fields of
 one text). Detection is map-side; the only shuffles are the distinct-original
 aggregation and numbering (on entity rows, not text) and the join of the
-per-text placeholder lists back to the texts — broadcast when the list table
-is provably small, else a shuffle join on the text key.
+per-text placeholder lists back to the texts (AQE broadcasts small lists).
 """
 
 from __future__ import annotations
@@ -15,16 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakroom.functions.crypto import lookup_key
+from cloakroom.functions.crypto import unseal
 from cloakroom.functions.text import explode_rows
 from cloakroom.operators.detect import Profile
-from cloakroom.operators.vault import intern_durable, intern_session
+from cloakroom.operators.vault import intern_durable, intern_session, protected
 from cloakroom.session import materialize
 
 TEXT_KEYS = ["session", "ord", "field_pos"]
-# Broadcast the per-text placeholder lists only below this many entity rows
-# (about 64 bytes each: a few tens of MB per executor at most).
-BROADCAST_ENTITY_ROWS = 250_000
 
 
 def detect_entities(texts: DataFrame, profile: Profile, text_col: str = "text") -> DataFrame:
@@ -51,57 +47,51 @@ def splice(text: Column, spans: Column) -> Column:
 class Anonymized:
     sanitized: DataFrame  # same rows as the input texts, text replaced
     audit: DataFrame  # one row per redaction, never the original
-    vault: DataFrame  # session layer: session, tag, original, n, placeholder, is_secret
-    entities: DataFrame  # E with placeholders (contains originals: keep local)
+    vault: DataFrame  # session layer: SESSION_VAULT and ``original`` (unsealed when read)
+    entities: DataFrame  # E with placeholders and ``v`` (unsealed when read: keep local)
     durable: DataFrame | None = None  # durable layer after this run
+    durable_new: DataFrame | None = None  # its new rows, to be appended
 
 
-def _size_ok_for_broadcast(df: DataFrame, limit: int) -> bool:
-    return df.limit(limit + 1).count() <= limit
+def replace_spans(texts: DataFrame, with_ph: DataFrame) -> DataFrame:
+    """``texts`` with the spans (text keys, s, e, placeholder) spliced in."""
+    spans = with_ph.groupBy(*TEXT_KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("s", "e", F.col("placeholder").alias("ph")))).alias("_spans")
+    )
+    joined = texts.join(spans, TEXT_KEYS, "left")
+    return joined.withColumn(
+        "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("_spans")))
+    ).drop("_spans")
+
+
+def audit_rows(with_ph: DataFrame) -> DataFrame:
+    return with_ph.select(*TEXT_KEYS, "pos", "kind", "tag", "detector", "score")
 
 
-def anonymize(
-    texts: DataFrame,
-    profile: Profile,
-    durable: DataFrame | None = None,
-    key: str | None = None,
-    broadcast_rows: int = BROADCAST_ENTITY_ROWS,
-) -> Anonymized:
+def anonymize(texts: DataFrame, profile: Profile, durable: DataFrame | None = None, key: str | None = None) -> Anonymized:
     """Anonymize every text; one vault per session (plus an optional durable layer).
 
     With ``durable`` (a durable vault table, possibly empty) custom kinds are
     interned there and keep their placeholders across runs; everything else
-    (e-mails, secrets, ...) is numbered per session.
+    (e-mails, secrets, ...) is numbered per session. With ``key`` all that is
+    written on the way holds keyed lookups and sealed originals alone.
     """
-    ents = materialize(detect_entities(texts, profile))
-    if durable is None:
-        session_ents, custom_ents = ents, None
-    else:
-        session_ents, custom_ents = ents.where(~F.col("custom")), ents.where("custom")
-
-    vault = intern_session(session_ents)
-    with_ph = session_ents.join(
-        vault.select("session", "tag", F.col("original").alias("v"), "placeholder"), ["session", "tag", "v"], "inner"
-    )
-    durable_after = None
-    if custom_ents is not None:
-        durable_after, _ = intern_durable(custom_ents, durable, key)
-        durable_after = materialize(durable_after)
-        with_ph = with_ph.unionByName(
-            custom_ents.withColumn("lookup", lookup_key(F.col("tag"), F.col("v"), key))
-            .join(durable_after.select("tag", "lookup", "placeholder"), ["tag", "lookup"], "inner")
-            .drop("lookup")
-        )
+    ents = materialize(protected(detect_entities(texts, profile), key))
+    session_ents = ents if durable is None else ents.where(~F.col("custom"))
+    vault = materialize(intern_session(session_ents))
+    with_ph = session_ents.join(vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"])
+    new = after = None
+    if durable is not None:
+        custom = ents.where("custom")
+        new = materialize(intern_durable(custom, durable))
+        after = durable.unionByName(new)
+        with_ph = with_ph.unionByName(custom.join(after.select("tag", "lookup", "placeholder"), ["tag", "lookup"]))
     with_ph = materialize(with_ph)
-
-    spans = with_ph.groupBy(*TEXT_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("s", "e", F.col("placeholder").alias("ph")))).alias("_spans")
+    return Anonymized(
+        sanitized=replace_spans(texts, with_ph),
+        audit=audit_rows(with_ph),
+        vault=vault.withColumn("original", unseal(F.col("sealed"), key)),
+        entities=with_ph.withColumn("v", unseal(F.col("sealed"), key)),
+        durable=after,
+        durable_new=new,
     )
-    if _size_ok_for_broadcast(with_ph, broadcast_rows):
-        spans = F.broadcast(spans)
-    joined = texts.join(spans, TEXT_KEYS, "left")
-    sanitized = joined.withColumn(
-        "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("_spans")))
-    ).drop("_spans")
-    audit = with_ph.select(*TEXT_KEYS, "pos", "kind", "tag", "detector", "score")
-    return Anonymized(sanitized=sanitized, audit=audit, vault=vault, entities=with_ph, durable=durable_after)

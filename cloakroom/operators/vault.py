@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakroom.functions.crypto import lookup_key, seal
+from cloakroom.functions.crypto import lookup_key, seal, unseal
 from cloakroom.session import materialize
 
 # Placeholder layout (fixed): two underscores, tag, underscore, number, two underscores.
@@ -59,6 +59,15 @@ def number_by_first(df: DataFrame, keys: list[str], order: str, parts: int | Non
     )
 
 
+def protected(entities: DataFrame, key: str | None) -> DataFrame:
+    """Entity rows with ``lookup`` and ``sealed`` in place of the original ``v``.
+
+    Everything behind this (checkpoints, shuffles, vault files) holds the keyed lookup
+    and the sealed original alone; without a key both are the plain original.
+    """
+    return entities.withColumn("lookup", lookup_key(F.col("tag"), F.col("v"), key)).withColumn("sealed", seal(F.col("v"), key)).drop("v")
+
+
 def distinct_originals(entities: DataFrame, session_scoped: bool = True) -> DataFrame:
     """One row per (session, tag, original) with its first occurrence.
 
@@ -66,73 +75,65 @@ def distinct_originals(entities: DataFrame, session_scoped: bool = True) -> Data
     (even one third of all rows) collapses before the shuffle.
     """
     first = F.struct(*[F.col(c) for c in (ORIGIN_KEYS if not session_scoped else ORIGIN_KEYS[1:])])
-    keys = ["session", "tag", "v"] if session_scoped else ["tag", "v"]
+    keys = ["session", "tag", "lookup"] if session_scoped else ["tag", "lookup"]
     return entities.groupBy(*keys).agg(
         F.min(first).alias("first"),
         F.first("secret").alias("secret"),
         F.first("kind").alias("kind"),
+        F.first("sealed").alias("sealed"),
     )
 
 
-def intern_session(entities: DataFrame) -> DataFrame:
-    """Ephemeral session vault: session, tag, original, n, placeholder, is_secret."""
+SESSION_VAULT = "session string, tag string, lookup string, sealed binary, n bigint, placeholder string, is_secret boolean"
+DURABLE_VAULT = "tag string, lookup string, sealed binary, n bigint, placeholder string"
+
+
+def intern_session(entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """New rows of the ephemeral session vault (``SESSION_VAULT``) for protected entities.
+
+    With ``existing`` rows only unseen originals are numbered, after the persisted
+    maximum of their (session, tag).
+    """
     v = distinct_originals(entities, session_scoped=True)
-    numbered = number_by_first(v, ["session", "tag"], "first")
-    return numbered.select(
-        "session",
-        "tag",
-        F.col("v").alias("original"),
-        "n",
-        placeholder(F.col("tag"), F.col("n")).alias("placeholder"),
-        F.col("secret").alias("is_secret"),
-        "first",
-    )
+    if existing is not None:
+        v = v.join(existing.select("session", "tag", "lookup"), ["session", "tag", "lookup"], "left_anti")
+    numbered = number_by_first(v, ["session", "tag"], "first", out="_k")
+    start = F.lit(0)
+    if existing is not None:
+        numbered = numbered.join(existing.groupBy("session", "tag").agg(F.max("n").alias("_max")), ["session", "tag"], "left")
+        start = F.coalesce(F.col("_max"), F.lit(0))
+    numbered = numbered.withColumn("n", (start + F.col("_k")).cast("bigint"))
+    return numbered.select("session", "tag", "lookup", "sealed", "n", placeholder(F.col("tag"), F.col("n")).alias("placeholder"), F.col("secret").alias("is_secret"))
 
 
 def empty_durable(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [], "tag string, lookup string, sealed binary, n bigint, placeholder string"
-    )
+    return spark.createDataFrame([], DURABLE_VAULT)
 
 
-def intern_durable(entities: DataFrame, existing: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Durable layer for custom kinds: stable placeholders across runs.
+def intern_durable(entities: DataFrame, existing: DataFrame) -> DataFrame:
+    """New rows of the durable layer (``DURABLE_VAULT``) for protected entities of custom kinds.
 
-    Returns ``(vault_after, new_rows)``. Existing (tag, lookup) rows keep their
-    placeholder; unseen originals are numbered after the persisted maximum of
-    their tag, by first occurrence (session, ord, field_pos, start). With a
-    ``key`` the lookup column is a keyed hash and the original is sealed with
-    AES-GCM; without, both hold the plaintext.
+    Existing (tag, lookup) rows keep their placeholder; unseen originals are numbered
+    after the persisted maximum of their tag, by first occurrence (session, ord,
+    field_pos, start). Only the new rows are returned, to be appended.
     """
     v = distinct_originals(entities.where("custom"), session_scoped=False)
-    v = v.withColumn("lookup", lookup_key(F.col("tag"), F.col("v"), key))
     unseen = v.join(existing.select("tag", "lookup"), ["tag", "lookup"], "left_anti")
     numbered = number_by_first(unseen, ["tag"], "first", out="_k")
     max_n = existing.groupBy("tag").agg(F.max("n").alias("_max"))
-    new_rows = (
-        numbered.join(max_n, "tag", "left")
-        .withColumn("n", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_k")).cast("bigint"))
-        .select(
-            "tag",
-            "lookup",
-            seal(F.col("v"), key).alias("sealed"),
-            "n",
-            placeholder(F.col("tag"), F.col("n")).alias("placeholder"),
-        )
-    )
-    return existing.unionByName(new_rows), new_rows
+    joined = numbered.join(max_n, "tag", "left").withColumn("n", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_k")).cast("bigint"))
+    return joined.select("tag", "lookup", "sealed", "n", placeholder(F.col("tag"), F.col("n")).alias("placeholder"))
 
 
 def durable_resolver(durable: DataFrame, key: str | None = None) -> DataFrame:
     """placeholder -> original for a durable vault (decrypting with ``key``)."""
-    from cloakroom.functions.crypto import unseal
-
     return durable.select("placeholder", unseal(F.col("sealed"), key).alias("original"))
 
 
-def session_resolver(vault: DataFrame) -> DataFrame:
+def session_resolver(vault: DataFrame, key: str | None = None) -> DataFrame:
     """placeholder -> original per session; secrets are absent by design."""
-    return vault.where(~F.col("is_secret")).select("session", "placeholder", "original")
+    original = F.col("original") if "original" in vault.columns else unseal(F.col("sealed"), key)
+    return vault.where(~F.col("is_secret")).select("session", "placeholder", original.alias("original"))
 
 
 def degraded_placeholder(tag, original):

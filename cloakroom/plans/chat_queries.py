@@ -29,10 +29,11 @@ def tool_call_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rescue_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    t = tool_call_texts(spark, sf).select("o_orderkey", rescue_tool_call(F.col("content")).alias("c"))
-    return t.where(F.col("c").isNotNull()).select(
-        "o_orderkey", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.order").alias("order_arg")
-    )
+    """Tool calls written as text: name and whole arguments."""
+    t = tool_call_texts(spark, sf).where(F.col("content").rlike(r"[\[{]"))
+    # a 0/1-element array: filtering on its position keeps the call from being worked out twice
+    calls = t.select("o_orderkey", F.posexplode_outer(F.array(rescue_tool_call(F.col("content")))).alias("p", "c"))
+    return calls.where(F.col("p").isNotNull() & F.col("c").isNotNull()).select("o_orderkey", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
 
 
 def model_replies(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +224,7 @@ def chat_requests_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     from cloakroom.operators.chat_fields import set_fields
 
     req, a = _anonymized_requests(spark, sf)
-    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("path", "text")).alias("fields"))
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("steps", "text")).alias("fields"))
     j = req.withColumn("session", F.col("request_id").cast("string")).join(per, "session", "left")
     return j.select(F.col("request_id").alias("conv_id"), set_fields(F.col("body"), F.col("fields")).alias("body"))
 
@@ -260,26 +261,44 @@ def has_tools(body):
     return F.try_variant_get(F.try_parse_json(body), "$.tools", "variant").isNotNull()
 
 
+def rescue_replies(replies: DataFrame) -> DataFrame:
+    """(session, needs_tools, reply JSON): calls written as text become tool calls, choice by choice.
+
+    Only where the request had tools, and only choices without calls of their own whose
+    content is text; everything else in the reply stays as it is.
+    """
+    from cloakroom.operators.chat_fields import _step, set_values
+
+    v = F.try_parse_json(F.col("reply"))
+    choices = F.coalesce(F.try_variant_get(v, "$.choices", "array<variant>"), F.array().cast("array<variant>"))
+    c = replies.where("needs_tools").select("session", F.posexplode(choices).alias("i", "c"))
+    calls = F.try_variant_get(F.col("c"), "$.message.tool_calls", "array<variant>")
+    content = F.try_variant_get(F.col("c"), "$.message.content", "variant")
+    open_ = c.where((F.coalesce(F.size(calls), F.lit(0)) <= 0) & F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False)))
+    found = open_.select("session", "i", F.posexplode_outer(F.array(rescue_tool_call(F.try_variant_get(content, "$", "string")))).alias("p", "call"))
+    found = found.where(F.col("p").isNotNull() & F.col("call").isNotNull())
+    at = lambda *names: F.array(_step(F.lit("choices")), _step(i=F.col("i")), *[_step(F.lit(n)) for n in names]).alias("steps")
+    made = F.to_json(F.array(F.struct(
+        F.concat(F.lit("call_rescue_"), F.col("i").cast("string")).alias("id"), F.lit("function").alias("type"),
+        F.struct(F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments")).alias("function"),
+    )))
+    edits = F.array(
+        F.struct(at("message", "tool_calls"), made.alias("text")),
+        F.struct(at("message", "content"), F.lit("null").alias("text")),
+        F.struct(at("finish_reason"), F.lit('"tool_calls"').alias("text")),
+    )
+    per = found.select("session", F.explode(edits).alias("e")).groupBy("session").agg(F.collect_list("e").alias("edits"))
+    j = replies.join(per, "session", "left")
+    return j.withColumn("reply", F.when(F.col("edits").isNull(), F.col("reply")).otherwise(set_values("reply", "edits"))).drop("edits")
+
+
 def restore_replies(replies: DataFrame, resolver: DataFrame) -> DataFrame:
     """Buffered replies (session, needs_tools, reply JSON): rescue text tool calls
-    when the request had tools, then restore placeholders in every string."""
+    when the request had tools, then restore placeholders in every string value."""
     from cloakroom.operators.rehydrate import rehydrate_json
 
-    content = F.try_variant_get(F.try_parse_json(F.col("reply")), "$.choices[0].message.content", "string")
-    calls = F.try_variant_get(F.try_parse_json(F.col("reply")), "$.choices[0].message.tool_calls", "array<variant>")
-    rescued = F.when(F.col("needs_tools") & (F.coalesce(F.size(calls), F.lit(0)) == 0), rescue_tool_call(content))
-    fixed = F.when(
-        rescued.isNotNull(),
-        F.to_json(F.struct(F.array(F.struct(
-            F.lit("tool_calls").alias("finish_reason"), F.lit(0).alias("index"),
-            F.struct(
-                F.lit(None).cast("string").alias("content"), F.lit("assistant").alias("role"),
-                F.array(F.struct(F.lit("call_rescue_0").alias("id"), F.lit("function").alias("type"),
-                                 F.struct(rescued["name"].alias("name"), rescued["arguments"].alias("arguments")).alias("function"))).alias("tool_calls"),
-            ).alias("message"),
-        )).alias("choices")), {"ignoreNullFields": "false"}),
-    ).otherwise(F.col("reply"))
-    docs = replies.select("session", F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("field_pos"), fixed.alias("text"))
+    fixed = rescue_replies(replies)
+    docs = fixed.select("session", F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("field_pos"), F.col("reply").alias("text"))
     return rehydrate_json(docs, resolver)
 
 
@@ -290,9 +309,80 @@ def reply_restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     req, a = _anonymized_requests(spark, sf)
     from cloakroom.operators.chat_fields import set_fields
 
-    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("path", "text")).alias("fields"))
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("steps", "text")).alias("fields"))
     j = req.withColumn("session", F.col("request_id").cast("string")).join(per, "session", "left")
     echoed = j.select("session", F.lit(False).alias("needs_tools"), set_fields(F.col("body"), F.col("fields")).alias("reply"), "body")
     back = restore_replies(echoed, session_resolver(a.vault))
     cmp = back.join(echoed.select("session", "body"), "session")
     return cmp.select(F.col("session").cast("bigint").alias("conv_id"), (F.col("text") == F.col("body")).alias("restored"))
+
+
+def guard_chat_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Sanitized requests with leaks planted where nothing is rewritten, guarded as a whole.
+
+    By conversation: an address as the ``user``, a card in ``functions``, a customer's
+    name as a message's ``name``, or a body cut off; the others are clean.
+    """
+    from cloakroom.operators.detect import Email, Profile, RegexSet
+    from cloakroom.operators.gazetteer_join import JoinedGazetteer
+    from cloakroom.operators.guard import guard_requests
+
+    body, k = F.col("body"), F.col("request_id")
+    first = lambda extra: F.concat(F.lit("{"), extra, F.lit(","), F.substring(body, 2, 1 << 30))
+    name = F.concat(F.lit("Customer#"), F.lpad((k % 1000).cast("string"), 9, "0"))
+    planted = (
+        F.when(k % 7 == 1, first(F.concat(F.lit('"user":"u'), k.cast("string"), F.lit('@leak.example.net"'))))
+        .when(k % 7 == 2, first(F.lit('"functions":[{"name":"pay","description":"use 4111 1111 1111 1111"}]')))
+        .when(k % 7 == 3, F.concat(F.substring(body, 1, F.length(body) - 1), F.lit(',"name":"'), name, F.lit('"}')))
+        .when(k % 7 == 4, F.substring(body, 1, F.length(body) - 1))
+        .otherwise(body)
+    )
+    sent = chat_requests_sanitized(spark, sf).withColumnRenamed("conv_id", "request_id").withColumn("body", planted)
+    vocab = table(spark, sf, "customer").select(F.col("c_name").alias("term"), F.lit("person").alias("label"), F.col("c_custkey").cast("int").alias("ins"))
+    g = guard_requests(sent, Profile([JoinedGazetteer(), Email(), RegexSet()]), vocab)
+    verdict = lambda df, word: df.select(F.col("request_id").alias("conv_id"), F.lit(word).alias("verdict"))
+    return verdict(g.blocked, "blocked").unionByName(verdict(g.released, "released"))
+
+
+def deep_tool_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions at the bottom of tool schemas some 80 levels deep, one request per supplier, anonymized in place.
+
+    Member names hold dots and brackets; one request in ten is cut off and stays as it is.
+    """
+    from cloakroom.operators.chat_fields import request_fields, set_fields
+    from cloakroom.operators.detect import Email, Profile
+
+    s = table(spark, sf, "supplier")
+    key = F.col("s_suppkey")
+    mail = F.concat(F.lit('{"description":"ask s'), key.cast("string"), F.lit('@supply.example.org"}'))
+    body = F.concat(F.lit('{"tools":[{"a.b[0]":'), F.repeat(F.lit('{"p":['), 40), mail, F.repeat(F.lit("]}"), 40), F.lit("}]}"))
+    req = s.select(key.alias("request_id"), F.when(key % 10 == 9, F.substring(body, 1, F.length(body) - 3)).otherwise(body).alias("body"))
+    a = anonymize(request_fields(req), Profile([Email()]))
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("steps", "text")).alias("fields"))
+    j = req.withColumn("session", F.col("request_id").cast("string")).join(per, "session", "left")
+    return j.select(F.col("request_id").alias("s_suppkey"), set_fields(F.col("body"), F.col("fields")).alias("body"))
+
+
+def rescue_multi_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies with two choices and fields of their own, rescued and restored; one line per choice."""
+    calls = tool_call_texts(spark, sf).withColumn("session", F.col("o_orderkey").cast("string"))
+    text = lambda c: F.to_json(F.array(c))
+    inner = lambda c: F.substring(text(c), 2, F.length(text(c)) - 2)
+    k = F.col("o_orderkey")
+    other = F.when(k % 3 == 0, F.lit('{"name":null,"arguments":{"order":1}}')).when(k % 3 == 1, F.lit('{"name":"mail","arguments":{"z":1,"to":"__EMAIL_1__","a":null}}')).otherwise(F.lit("plain __EMAIL_1__"))
+    reply = F.concat(
+        F.lit('{"id":"r'), k.cast("string"), F.lit('","choices":[{"index":0,"message":{"role":"assistant","content":'), inner(F.col("content")),
+        F.lit('}},{"index":1,"message":{"role":"assistant","content":'), inner(other), F.lit('},"logprobs":null}],"usage":{"__EMAIL_1__":3}}'),
+    )
+    replies = calls.select("session", (k % 2 == 0).alias("needs_tools"), reply.alias("reply"))
+    mails = calls.select("session", F.lit("__EMAIL_1__").alias("placeholder"), F.concat(F.lit("o"), k.cast("string"), F.lit("@shop.example")).alias("original"))
+    v = F.try_parse_json(F.col("text"))
+    back = restore_replies(replies, mails).select("session", v.alias("v"))
+    rows = back.select("session", "v", F.posexplode(F.try_variant_get("v", "$.choices", "array<variant>")).alias("i", "c"))
+    at = lambda p: F.try_variant_get(F.col("c"), p, "string")
+    return rows.select(
+        F.col("session").cast("bigint").alias("o_orderkey"), F.col("i").cast("bigint").alias("choice"),
+        at("$.message.content").alias("content"), at("$.message.tool_calls[0].function.name").alias("name"),
+        at("$.message.tool_calls[0].function.arguments").alias("arguments"), at("$.finish_reason").alias("finish_reason"),
+        F.try_variant_get("v", "$.usage.__EMAIL_1__", "int").cast("bigint").alias("usage"), F.try_variant_get("v", "$.id", "string").alias("reply_id"),
+    )

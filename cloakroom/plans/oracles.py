@@ -315,8 +315,31 @@ def vault_oracles() -> dict[str, str]:
 
 def chat_oracles() -> dict[str, str]:
     o: dict[str, str] = {}
-    o["rescue_tool_calls"] = """
-        SELECT o_orderkey, 'lookup_order' AS name, CAST(o_orderkey AS VARCHAR) AS order_arg FROM orders WHERE o_orderkey % 4 <> 3"""
+    call = """CASE o_orderkey % 4 WHEN 0 THEN '{"note":"a}b","order":' || CAST(o_orderkey AS VARCHAR) || '}'
+                    ELSE '{"order":' || CAST(o_orderkey AS VARCHAR) || '}' END"""
+    o["rescue_tool_calls"] = f"""
+        SELECT o_orderkey, 'lookup_order' AS name, {call} AS arguments FROM orders WHERE o_orderkey % 4 <> 3"""
+    o["guard_chat_requests"] = """
+        SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, CASE WHEN conv_id % 7 IN (1, 2, 3, 4) THEN 'blocked' ELSE 'released' END AS verdict FROM conversations"""
+    o["deep_tool_descriptions"] = """
+        WITH b AS (SELECT s_suppkey, '{"tools":[{"a.b[0]":' || repeat('{"p":[', 40) || '{"description":"ask '
+                          || CASE WHEN s_suppkey % 10 = 9 THEN 's' || CAST(s_suppkey AS VARCHAR) || '@supply.example.org' ELSE '__EMAIL_1__' END
+                          || '"}' || repeat(']}', 40) || '}]}' AS body FROM supplier)
+        SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN substr(body, 1, length(body) - 3) ELSE body END AS body FROM b"""
+    o["rescue_multi_choice"] = f"""
+        WITH t AS (SELECT *, o_orderkey % 2 = 0 AS tools, 'o' || CAST(o_orderkey AS VARCHAR) || '@shop.example' AS mail, CAST(o_orderkey AS VARCHAR) AS k FROM orders),
+        c0 AS (SELECT o_orderkey, 0 AS choice, tools AND o_orderkey % 4 <> 3 AS hit, {call} AS args, 'lookup_order' AS name,
+                      CASE o_orderkey % 4 WHEN 0 THEN '[TOOL_CALLS]lookup_order{{"order": ' || k || ', "note": "a}}b"}}'
+                           WHEN 1 THEN '<tool_call>{{"name": "lookup_order", "arguments": {{"order": ' || k || '}}}}</tool_call>'
+                           WHEN 2 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{{"name":"lookup_order","parameters":{{"order":' || k || '}}}}' || chr(10) || '```'
+                           ELSE 'Order ' || k || ' ships soon [1].' END AS content FROM t),
+        c1 AS (SELECT o_orderkey, 1, tools AND o_orderkey % 3 = 1, '{{"a":null,"to":"' || mail || '","z":1}}', 'mail',
+                      CASE o_orderkey % 3 WHEN 0 THEN '{{"name":null,"arguments":{{"order":1}}}}'
+                           WHEN 1 THEN '{{"name":"mail","arguments":{{"z":1,"to":"' || mail || '","a":null}}}}' ELSE 'plain ' || mail END FROM t)
+        SELECT o_orderkey, CAST(choice AS BIGINT) AS choice, CASE WHEN NOT hit THEN content END AS content, CASE WHEN hit THEN name END AS name,
+               CASE WHEN hit THEN args END AS arguments, CASE WHEN hit THEN 'tool_calls' END AS finish_reason, CAST(3 AS BIGINT) AS usage,
+               'r' || CAST(o_orderkey AS VARCHAR) AS reply_id
+        FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1)"""
     o["llm_reply_terms"] = """
         SELECT c_custkey, trim(c_name) AS term,
                CASE WHEN c_custkey % 3 = 0 THEN 'person' WHEN c_custkey % 3 = 1 THEN 'org' ELSE 'private' END AS kind

@@ -58,6 +58,7 @@ def queries() -> dict[str, Query]:
         "stream_rehydrate": sq.stream_rehydrate,
         "stream_deltas": sq.stream_deltas,
         "stream_anonymize": sq.stream_anonymize,
+        "stream_anonymize_restore": sq.stream_anonymize_restore,
         "rescue_tool_calls": cq.rescue_tool_calls,
         "llm_reply_terms": cq.llm_reply_terms,
         "anonymize_with_discovered": cq.anonymize_with_discovered,
@@ -70,6 +71,9 @@ def queries() -> dict[str, Query]:
         "chat_fields_anonymize": cq.chat_fields_anonymize,
         "chat_requests_sanitized": cq.chat_requests_sanitized,
         "reply_restore_roundtrip": cq.reply_restore_roundtrip,
+        "guard_chat_requests": cq.guard_chat_requests,
+        "deep_tool_descriptions": cq.deep_tool_descriptions,
+        "rescue_multi_choice": cq.rescue_multi_choice,
     }
     return q
 
@@ -91,6 +95,10 @@ def oracle_sql() -> dict[str, str]:
         f"CAST(CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 2 END AS BIGINT) AS others, text FROM ({o['rehydrate_roundtrip']})"
     )
     o["stream_anonymize"] = o["anonymize_documents"]
+    o["stream_anonymize_restore"] = (
+        f"SELECT r.doc_id, r.text, coalesce(f.n, 0) AS redactions FROM ({o['rehydrate_roundtrip']}) r "
+        f"LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({o['detect_floor']}) GROUP BY doc_id) f ON f.doc_id = r.doc_id"
+    )
     o.update(chat_oracles())
     o.update(dialect_oracles())
     o.update(chat_field_oracles())

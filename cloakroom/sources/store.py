@@ -1,11 +1,10 @@
-"""Parquet-backed stores: versioned tables, memory insert, sinks.
-
-A table lives in ``<base>/v<NNNNNNNN>/`` directories; a version counts once its
-``_SUCCESS`` marker exists, and readers take the newest complete one. Writers
-build the next version from the current one (read, transform, write new
-directory), so a failed or retried job never leaves a half-written table in
-place — the same guarantee a transaction gave, without a storage engine.
-One writer per table is assumed (the job that owns it).
+"""Parquet-backed stores: append-only tables, memory insert, sinks.
+
+A table is a folder of Parquet files. Writers append the rows that are new (Spark's
+commit makes a job's files appear at once or not at all); readers take all files.
+Inserts and vault increments compute their new rows against what is there, so a
+repeated job adds nothing. Changes of existing rows (recalls, deletions) are a rewrite
+to another folder by the job that owns the table.
 """
 
 from __future__ import annotations
@@ -13,48 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VAULT_SCHEMA = "tag string, lookup string, sealed binary, n bigint, placeholder string"
+from cloakroom.operators.vault import DURABLE_VAULT as VAULT_SCHEMA  # noqa: F401
+
 MEMORY_SCHEMA = (
     "id string, content string, kind string, egress_policy string, created_ms bigint, "
     "recall_count bigint, accessed_ms bigint, promoted boolean"
 )
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
-
-
-def versions(spark: SparkSession, base: str) -> list[str]:
-    fs, p, jvm = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(name)
-    return sorted(out)
-
-
 def open_table(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """Newest complete version, or an empty table with ``schema`` (create-if-absent)."""
-    vs = versions(spark, base)
-    if not vs:
+    """The rows of the table at ``base``, or an empty one (create-if-absent); older files get the missing columns."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    df = spark.read.option("mergeSchema", "true").parquet(f"{base.rstrip('/')}/{vs[-1]}")
-    return migrate(df, schema)
+    return migrate(spark.read.option("mergeSchema", "true").parquet(base), schema)
 
 
-def commit(df: DataFrame, base: str) -> str:
-    """Write ``df`` as the next version of the table at ``base``; returns its path."""
-    spark = df.sparkSession
-    vs = versions(spark, base)
-    nxt = int(vs[-1][1:]) + 1 if vs else 1
-    path = f"{base.rstrip('/')}/v{nxt:08d}"
-    df.write.mode("error").parquet(path)
-    return path
+def append(rows: DataFrame, base: str) -> None:
+    """Add new rows to the table at ``base``."""
+    rows.write.mode("append").parquet(base)
 
 
 def migrate(df: DataFrame, schema: str) -> DataFrame:
@@ -75,7 +51,7 @@ def migrate(df: DataFrame, schema: str) -> DataFrame:
 
 
 def insert_memories(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Memories after inserting ``new`` (content, kind, egress_policy, created_ms).
+    """The rows to append for inserting ``new`` (content, kind, egress_policy, created_ms).
 
     Content is trimmed and must be non-empty; kind defaults to ``fact``; the
     policy is normalised; ids are content hashes, so a retried insert is a
@@ -95,8 +71,7 @@ def insert_memories(current: DataFrame, new: DataFrame) -> DataFrame:
         F.col("created_ms").cast("bigint").alias("accessed_ms"),
         F.lit(False).alias("promoted"),
     )
-    fresh = rows.join(current.select("id"), "id", "left_anti")
-    return current.unionByName(fresh)
+    return rows.dropDuplicates(["id"]).join(current.select("id"), "id", "left_anti")
 
 
 def memory_indexes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,5 +89,5 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 
 def export_markdown(lines: DataFrame, path: str) -> None:
-    """One ordered text file (the export is a human-sized view of the store)."""
-    lines.repartition(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+    """Ordered text files: reading them by name gives the lines in order."""
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)

@@ -1,68 +1,57 @@
-"""Streaming anonymization with a session vault kept in keyed state.
-
-Detection and reconciliation stay a streaming projection (the same SQL
-expressions as batch). Per session, a keyed state holds the vault
-``(tag, original) -> n`` and the last number per tag, so placeholders stay
-stable across micro-batches; within a micro-batch a session's texts are
-applied in (ord, field_pos) order. The state of one session is bounded by the
-distinct originals of that session (one conversation or request stream).
+"""Streaming anonymization with an append-only session vault.
+
+Each micro-batch runs the batch operators: detect, drop what the vault already has,
+number the rest after the vault's maximum, append the new vault rows, splice. Nothing
+is kept in operator state, so a session holding a third of all texts is split like in
+batch. A micro-batch writes its vault rows, audit and texts under its own number and
+reads only earlier numbers, so a repeated micro-batch writes the same again.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from cloakroom.operators.anonymize import audit_rows, detect_entities, replace_spans
 from cloakroom.operators.detect import Profile
+from cloakroom.operators.vault import SESSION_VAULT, intern_session, protected
+from cloakroom.session import materialize
+
+PART = "batch bigint"
+
+
+def _part(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
+    """All that the micro-batches have written under ``name`` (with their number)."""
+    return spark.read.schema(f"{schema}, {PART}").parquet(f"{base}/{name}")
+
+
+def _write(df: DataFrame, base: str, name: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+
+
+def read_vault(spark: SparkSession, base: str) -> DataFrame:
+    return _part(spark, base, "vault", SESSION_VAULT)
+
+
+def anonymize_stream(texts: DataFrame, profile: Profile, base: str, key: str | None = None) -> StreamingQuery:
+    """Start the query over streaming ``texts`` (session, ord, field_pos, text); availableNow.
+
+    Below ``base``: ``vault``, ``audit`` and ``out`` (sanitized texts), and ``state``, the
+    stream's own checkpoint. With ``key`` the vault holds keyed lookups and sealed originals.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        ents = materialize(protected(detect_entities(batch, profile), key))
+        earlier = None
+        if number:
+            earlier = _part(spark, base, "vault", SESSION_VAULT).where(F.col("batch") < number).drop("batch")
+        new = materialize(intern_session(ents, earlier))
+        _write(new, base, "vault", number)
+        vault = new if earlier is None else earlier.unionByName(new)
+        with_ph = materialize(ents.join(vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"]))
+        _write(audit_rows(with_ph), base, "audit", number)
+        _write(replace_spans(batch, with_ph), base, "out", number)
 
-OUT_SCHEMA = "session string, ord long, field_pos int, text string, n_redactions int"
-STATE_SCHEMA = "vault string, counters string"
-
-
-def _splice(text: str, ents, vault: dict, counters: dict) -> tuple[str, int]:
-    out, cur = [], 0
-    for e in sorted(ents, key=lambda e: e["s"]):
-        key = f'{e["tag"]}\x1f{e["v"]}'
-        ph = vault.get(key)
-        if ph is None:
-            n = counters.get(e["tag"], 0) + 1
-            counters[e["tag"]] = n
-            ph = f'__{e["tag"]}_{n}__'
-            vault[key] = ph
-        out.append(text[cur : e["s"]])
-        out.append(ph)
-        cur = e["e"]
-    out.append(text[cur:])
-    return "".join(out), len(ents)
-
-
-def _fn(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    (session,) = key
-    if state.exists:
-        v_json, c_json = state.get
-        vault, counters = json.loads(v_json), json.loads(c_json)
-    else:
-        vault, counters = {}, {}
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["ord", "field_pos"])
-    rows = []
-    for ord_, fpos, text, ents in pdf[["ord", "field_pos", "text", "ents"]].itertuples(index=False):
-        ents = list(ents) if ents is not None else []
-        out, n = _splice(text or "", ents, vault, counters)
-        rows.append((session, int(ord_), int(fpos), out, n))
-    state.update((json.dumps(vault), json.dumps(counters)))
-    yield pd.DataFrame(rows, columns=["session", "ord", "field_pos", "text", "n_redactions"])
-
-
-def anonymize_stream(texts: DataFrame, profile: Profile) -> DataFrame:
-    """Streaming texts (session, ord, field_pos, text) -> sanitized texts, numbering kept in state."""
-    ents = F.transform(profile.detect(F.col("text")), lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["tag"].alias("tag"), e["v"].alias("v")))
-    d = texts.select("session", F.col("ord").cast("long"), F.col("field_pos").cast("int"), "text", ents.alias("ents"))
-    return d.groupBy("session").applyInPandasWithState(_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return texts.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

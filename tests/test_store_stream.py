@@ -6,7 +6,7 @@ from cloakroom.operators.chat_fields import request_fields, set_fields
 from cloakroom.operators.anonymize import anonymize
 from cloakroom.operators.detect import Email, Gazetteer, Profile
 from cloakroom.operators.dialect import to_block_response, to_canonical_messages
-from cloakroom.sources.store import MEMORY_SCHEMA, commit, insert_memories, migrate, open_table
+from cloakroom.sources.store import MEMORY_SCHEMA, append, insert_memories, migrate, open_table
 from cloakroom.streaming.rehydrate_stream import rehydrate_frames
 
 
@@ -15,12 +15,10 @@ def test_versioned_table_and_idempotent_insert(spark, tmp_path):
     cur = open_table(spark, base, MEMORY_SCHEMA)
     assert cur.count() == 0
     new = spark.createDataFrame([("  likes tea ", None, "Local", 5), ("", "x", None, 6)], "content string, kind string, egress_policy string, created_ms long")
-    commit(insert_memories(cur, new), base)
-    again = insert_memories(open_table(spark, base, MEMORY_SCHEMA), new)
-    rows = again.collect()
+    append(insert_memories(cur, new), base)
+    append(insert_memories(open_table(spark, base, MEMORY_SCHEMA), new), base)
+    rows = open_table(spark, base, MEMORY_SCHEMA).collect()
     assert len(rows) == 1 and rows[0].content == "likes tea" and rows[0].kind == "fact" and rows[0].egress_policy == "local_only"
-    commit(again, base)
-    assert open_table(spark, base, MEMORY_SCHEMA).count() == 1
 
 
 def test_additive_migration(spark):
@@ -51,7 +49,7 @@ def test_request_fields_order_and_write_back(spark):
         "tools[0].function.parameters.properties.z.description",
     ]
     a = anonymize(f, Profile([Gazetteer([("Falcon", "project")]), Email()]))
-    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("path", "text")).alias("fields"))
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("steps", "text")).alias("fields"))
     out = json.loads(req.join(per, req.request_id == per.session).select(set_fields("body", "fields").alias("b")).first().b)
     assert out["messages"][0]["content"][0]["text"] == "hi __EMAIL_1__"
     assert out["messages"][0]["content"][1]["image_url"]["url"] == "x"
@@ -121,3 +119,45 @@ def test_small_helpers(spark):
     assert {(r.term, r.tf) for r in post.collect()} == {("dark", 2), ("roast", 1), ("coffee", 1)}
     v = emb.first().vector
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_odd_paths_and_broken_bodies(spark):
+    body = json.dumps({"tools": [{"a.b": {"x[1]": {"description": "to q@r.example"}}, "list": [[{"description": "and s@t.example"}]]}]})
+    req = spark.createDataFrame([("ok", body), ("bad", body[:-2]), ("none", None)], "request_id string, body string")
+    a = anonymize(request_fields(req), Profile([Email()]))
+    per = a.sanitized.groupBy("session").agg(F.collect_list(F.struct("steps", "text")).alias("fields"))
+    out = {r.request_id: r.b for r in req.join(per, req.request_id == per.session, "left").select("request_id", set_fields("body", "fields").alias("b")).collect()}
+    assert out["bad"] == body[:-2] and out["none"] is None
+    tool = json.loads(out["ok"])["tools"][0]
+    assert tool["a.b"]["x[1]"]["description"] == "to __EMAIL_1__" and tool["list"][0][0]["description"] == "and __EMAIL_2__"
+
+
+def test_whole_requests_are_guarded(spark):
+    from cloakroom.operators.detect import RegexSet
+    from cloakroom.operators.gazetteer_join import JoinedGazetteer
+    from cloakroom.operators.guard import guard_requests
+
+    bodies = {
+        "clean": '{"messages":[{"content":"hi __EMAIL_1__"}]}',
+        "name": '{"messages":[{"name":"m\\u0061x@corp.example"}]}',
+        "key": '{"10.20.30.40":1}',
+        "term": '{"x":"call Falcon now"}',
+        "cut": '{"x":"y"',
+        "null": None,
+    }
+    req = spark.createDataFrame(list(bodies.items()), "request_id string, body string")
+    vocab = spark.createDataFrame([("falcon", "project", 0)], "term string, label string, ins int")
+    g = guard_requests(req, Profile([JoinedGazetteer(), Email(), RegexSet()]), vocab)
+    assert {r.request_id for r in g.released.collect()} == {"clean"}
+    assert {r.request_id for r in g.blocked.collect()} == set(bodies) - {"clean"}
+    assert "v" not in g.leaks.columns
+
+
+def test_names_of_members_are_not_restored(spark):
+    from cloakroom.operators.rehydrate import rehydrate_json
+
+    doc = '{"__ORG_1__":"__ORG_1__ and \\"__ORG_1__\\": x","n": [ "__ORG_1__" ]}'
+    df = spark.createDataFrame([("s", 0, 0, doc)], "session string, ord long, field_pos int, text string")
+    res = spark.createDataFrame([("s", "__ORG_1__", 'A "B"')], "session string, placeholder string, original string")
+    got = json.loads(rehydrate_json(df, res).first().text)
+    assert got == {"__ORG_1__": 'A "B" and "A "B"": x', "n": ['A "B"']}
