@@ -25,10 +25,16 @@ PATTERN = {label: p for p, label in DEFAULT_PATTERNS[:2] + DEFAULT_PATTERNS[3:]}
 AMEX = DEFAULT_PATTERNS[2][0]
 
 
-def _spans_query(texts: DataFrame, pattern: str) -> DataFrame:
-    m = explode_rows(texts, F.expr(Q.regex_spans("`text`", pattern)), ["ord"], "_p", "m")
+def _all_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and raw pages, told apart by ``src``."""
+    return document_texts(spark, sf).withColumn("src", F.lit("doc")).unionByName(page_texts(spark, sf).withColumn("src", F.lit("page")))
+
+
+def _spans_query(texts: DataFrame, pattern: str, keys: list[str]) -> DataFrame:
+    m = explode_rows(texts, F.expr(Q.regex_spans("`text`", pattern)), keys, "_p", "m")
     return m.select(
-        F.col("ord").alias("doc_id"),
+        *[k for k in keys if k != "ord"],
+        F.col("ord").alias("id"),
         F.col("m.s").cast("bigint").alias("start_pos"),
         F.col("m.v").alias("value"),
     )
@@ -36,9 +42,7 @@ def _spans_query(texts: DataFrame, pattern: str) -> DataFrame:
 
 def detect_email(spark: SparkSession, sf: str) -> DataFrame:
     """E-mail spans in documents and raw pages."""
-    texts = document_texts(spark, sf).withColumn("src", F.lit("doc")).unionByName(
-        page_texts(spark, sf).withColumn("src", F.lit("page"))
-    )
+    texts = _all_texts(spark, sf)
     e = explode_rows(texts, Email().candidates(F.col("text"), 0)[0], ["src", "ord"], "_p", "c")
     return e.select(
         "src",
@@ -51,7 +55,7 @@ def detect_email(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pattern_query(label: str):
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return _spans_query(document_texts(spark, sf), "(?U)" + PATTERN[label])
+        return _spans_query(_all_texts(spark, sf), "(?U)" + PATTERN[label], ["src", "ord"])
 
     q.__name__ = f"detect_{label}"
     return q
@@ -90,19 +94,19 @@ def detect_ids(spark: SparkSession, sf: str) -> DataFrame:
     t = derived_id_texts(spark, sf)
     parts = []
     for label, p in (("ssn", PATTERN["ssn"]), ("iban", PATTERN["iban"]), ("amex", AMEX)):
-        parts.append(_spans_query(t, "(?U)" + p).withColumn("kind", F.lit(label)))
+        parts.append(_spans_query(t, "(?U)" + p, ["ord"]).withColumn("kind", F.lit(label)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumnRenamed("doc_id", "c_custkey")
+    return out.withColumnRenamed("id", "c_custkey")
 
 
 def detect_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """High-entropy tokens (secrets) with their entropy."""
-    t = document_texts(spark, sf)
-    e = explode_rows(t, Entropy().candidates(F.col("text"), 0)[0], ["ord"], "_p", "c")
+    e = explode_rows(_all_texts(spark, sf), Entropy().candidates(F.col("text"), 0)[0], ["src", "ord"], "_p", "c")
     return e.select(
-        F.col("ord").alias("doc_id"),
+        "src",
+        F.col("ord").alias("id"),
         F.col("c.s").cast("bigint").alias("start_pos"),
         F.col("c.v").alias("token"),
     )
@@ -125,6 +129,12 @@ def detect_floor(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def detect_floor_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Reconciled floor entities of raw pages."""
+    e = detect_entities(page_texts(spark, sf), floor_profile())
+    return e.select(F.col("ord").alias("page_id"), F.col("s").cast("bigint").alias("start_pos"), F.col("e").cast("bigint").alias("end_pos"), "tag", "detector", F.col("v").alias("original"))
+
+
 def _anonymized_documents(spark: SparkSession, sf: str):
     return anonymize(document_texts(spark, sf), floor_profile())
 
@@ -158,8 +168,11 @@ def egress_guard_blocked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leak_audit_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks planted by sending every eleventh document as it was."""
     a = _anonymized_documents(spark, sf)
-    return leak_audit(a.sanitized, a.entities).select(F.col("ord").alias("doc_id"), "tag")
+    raw = document_texts(spark, sf).select("session", "ord", "field_pos", F.col("text").alias("raw"))
+    sent = a.sanitized.join(raw, ["session", "ord", "field_pos"]).withColumn("text", F.when(F.col("ord") % 11 == 0, F.col("raw")).otherwise(F.col("text")))
+    return leak_audit(sent, a.entities).select(F.col("ord").alias("doc_id"), "tag")
 
 
 def benchmark_long_words(spark: SparkSession, sf: str) -> DataFrame:

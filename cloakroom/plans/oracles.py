@@ -9,6 +9,7 @@ from __future__ import annotations
 from cloakroom.operators.detect import DEFAULT_PATTERNS
 
 SSN, CARD, AMEX, IP, IBAN, PHONE = (p for p, _ in DEFAULT_PATTERNS)
+TEXTS = (("doc", ("documents", "doc_id", "text")), ("page", ("pages", "page_id", "html")))
 TOKEN = "[A-Za-z0-9_+/=-]{20,}"
 UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LO = "abcdefghijklmnopqrstuvwxyz"
@@ -50,17 +51,17 @@ def _entropy_tokens(src: str, key: str, text: str) -> str:
     return f"(SELECT id, start_pos, value FROM {p} WHERE {bits} >= 3.5)"
 
 
-def _floor_ctes() -> str:
-    """CTEs: cand (all floor candidates of documents), conflicts, kept."""
+def _kept_ctes(src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTEs: cand (all floor candidates of the texts, ids as doc_id), conflicts, kept."""
     parts = [
-        f"SELECT id, start_pos AS s, end_pos AS e, value AS v, 'EMAIL' AS tag, 'email' AS detector, 3 AS pri, 0.95 AS score, 0 AS ins FROM {_emails('documents', 'doc_id', 'text')}"
+        f"SELECT id, start_pos AS s, end_pos AS e, value AS v, 'EMAIL' AS tag, 'email' AS detector, 3 AS pri, 0.95 AS score, 0 AS ins FROM {_emails(src, key, text)}"
     ]
     for j, (p, tag) in enumerate(zip((SSN, CARD, AMEX, IP, IBAN, PHONE), ("SSN", "CARD", "CARD", "IP", "IBAN", "PHONE"))):
         parts.append(
-            f"SELECT id, start_pos, start_pos + length(value), value, '{tag}', 'regex', 3, 0.9, {100000000 + j} FROM {_positions('documents', 'doc_id', 'text', p)}"
+            f"SELECT id, start_pos, start_pos + length(value), value, '{tag}', 'regex', 3, 0.9, {100000000 + j} FROM {_positions(src, key, text, p)}"
         )
     parts.append(
-        f"SELECT id, start_pos, start_pos + length(value), value, 'SECRET', 'entropy', 1, 0.6, 200000000 FROM {_entropy_tokens('documents', 'doc_id', 'text')}"
+        f"SELECT id, start_pos, start_pos + length(value), value, 'SECRET', 'entropy', 1, 0.6, 200000000 FROM {_entropy_tokens(src, key, text)}"
     )
     union = "\n UNION ALL ".join(parts)
     above = (
@@ -80,7 +81,12 @@ def _floor_ctes() -> str:
     conf AS (SELECT c.cid, h.cid AS hid FROM cand c JOIN cand h
              ON c.doc_id = h.doc_id AND h.cid <> c.cid AND h.s < c.e AND c.s < h.e AND {above}),
     {", ".join(levels)},
-    kept AS (SELECT * FROM k5),
+    kept AS (SELECT * FROM k5)"""
+
+
+def _floor_ctes() -> str:
+    """The kept entities of documents, and the vault of their originals."""
+    return f"""{_kept_ctes()},
     vault AS (SELECT session, tag, original, n, '__' || tag || '_' || CAST(n AS VARCHAR) || '__' AS placeholder, tag = 'SECRET' AS is_secret
               FROM (SELECT session, tag, original,
                            row_number() OVER (PARTITION BY session, tag ORDER BY first_doc, first_s) AS n
@@ -129,14 +135,20 @@ def detection_oracles() -> dict[str, str]:
         UNION ALL
         SELECT 'page', CAST(id AS BIGINT), start_pos, end_pos, value FROM {_emails('pages', 'page_id', 'html')}"""
     for label, p in (("credit_card", CARD), ("ip_address", IP), ("phone", PHONE)):
-        o[f"detect_{label}"] = f"SELECT CAST(id AS BIGINT) AS doc_id, start_pos, value FROM {_positions('documents', 'doc_id', 'text', p)}"
+        o[f"detect_{label}"] = " UNION ALL ".join(
+            f"SELECT '{src}' AS src, CAST(id AS BIGINT) AS id, start_pos, value FROM {_positions(*table, p)}" for src, table in TEXTS
+        )
     ids = []
     for label, p in (("ssn", SSN), ("iban", IBAN), ("amex", AMEX)):
         ids.append(
             f"SELECT CAST(id AS BIGINT) AS c_custkey, start_pos, value, '{label}' AS kind FROM {_positions(_derived_id_text(), 'c_custkey', 'text', p)}"
         )
     o["detect_ids"] = "\nUNION ALL\n".join(ids)
-    o["detect_entropy"] = f"SELECT CAST(id AS BIGINT) AS doc_id, start_pos, value AS token FROM {_entropy_tokens('documents', 'doc_id', 'text')}"
+    o["detect_entropy"] = " UNION ALL ".join(
+        f"SELECT '{src}' AS src, CAST(id AS BIGINT) AS id, start_pos, value AS token FROM {_entropy_tokens(*table)}" for src, table in TEXTS
+    )
+    o["detect_floor_pages"] = f"""WITH {_kept_ctes('pages', 'page_id', 'html')}
+        SELECT CAST(doc_id AS BIGINT) AS page_id, CAST(s AS BIGINT) AS start_pos, CAST(e AS BIGINT) AS end_pos, tag, detector, v AS original FROM kept"""
     ctes = _floor_ctes()
     o["detect_floor"] = f"""WITH {ctes}
         SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s AS BIGINT) AS start_pos, CAST(e AS BIGINT) AS end_pos,
@@ -148,7 +160,7 @@ def detection_oracles() -> dict[str, str]:
     o["egress_guard_blocked"] = f"""WITH {ctes}
         SELECT d.source AS session, CAST(count(*) AS BIGINT) AS n_leaks FROM kept k JOIN documents d ON d.doc_id = k.doc_id
         WHERE k.detector = 'regex' GROUP BY d.source"""
-    o["leak_audit_documents"] = "SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS tag WHERE false"
+    o["leak_audit_documents"] = f"WITH {ctes} SELECT CAST(doc_id AS BIGINT) AS doc_id, tag FROM (SELECT DISTINCT doc_id, tag, v FROM kept WHERE doc_id % 11 = 0)"
     o["detect_gazetteer"] = f"""
         WITH vocab AS (SELECT DISTINCT lower(w) AS term
                        FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark)
@@ -520,3 +532,36 @@ def sanitized_request_oracles() -> dict[str, str]:
                '{{"model":"m","messages":[' || string_agg(msg, ',' ORDER BY turn) || '],"tools":{tools}}}' AS body
         FROM m GROUP BY conv_id"""
     }
+
+
+def store_oracles() -> dict[str, str]:
+    insert = f"""WITH {_memories_sql()},
+        new AS (SELECT DISTINCT trim(text, ' ') AS content, 'note' AS kind, CASE WHEN turn % 2 = 1 THEN 'local_only' ELSE 'anonymized' END AS egress_policy,
+                       CAST(1700000000000 + conv_id * 1000 + turn AS BIGINT) AS created_ms
+                FROM conversations WHERE role = 'user' AND length(trim(text, ' ')) > 0)
+        SELECT id, content, kind, egress_policy, created_ms, CAST(0 AS BIGINT) AS recall_count, CAST(0 AS BIGINT) AS accessed_ms FROM mem
+        UNION ALL
+        SELECT substr(sha256(content || ':' || kind || ':' || CAST(created_ms AS VARCHAR)), 1, 16), content, kind, egress_policy, created_ms, 0, created_ms FROM new"""
+    return {
+        "memory_insert": insert,
+        "vocabulary_files": """
+        SELECT CAST(r AS BIGINT) AS ins, term FROM (
+          SELECT 1 AS r, 'first term' AS term UNION ALL SELECT 2, 'second'
+          UNION ALL SELECT 2 + row_number() OVER (ORDER BY c_custkey), c_name FROM customer WHERE c_custkey % 10 < 8)""",
+        "outbound_recalls": f"{_fused_sql()} SELECT id, CAST(count(*) AS BIGINT) AS recall_count, count(*) >= 3 AS promoted FROM sel GROUP BY id",
+        "canonical_requests": """
+        WITH m AS (SELECT conv_id, count(*) AS n FROM (
+            SELECT DISTINCT conv_id, -1 AS turn, 0 AS sub FROM conversations WHERE role = 'system' AND text <> ''
+            UNION ALL SELECT conv_id, turn, 0 FROM conversations WHERE role IN ('user', 'assistant')
+            UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE role = 'user' AND turn % 4 = 2 AND text <> '') GROUP BY conv_id)
+        SELECT c.conv_id, 'm' AS model, CAST(coalesce(m.n, 0) AS BIGINT) AS n_messages, CAST(c.conv_id % 100 AS BIGINT) AS max_tokens, '["x"]' AS stop,
+               'lookup' AS tool, '{"type":"object"}' AS parameters
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id = c.conv_id""",
+        "block_responses": """
+        SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'end_turn' WHEN 1 THEN 'tool_use' ELSE 'max_tokens' END AS stop_reason,
+               CASE WHEN o_orderkey % 3 = 1 THEN 'tool_use' ELSE 'text' END AS kind,
+               CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE 'order ' || CAST(o_orderkey AS VARCHAR) END AS text,
+               CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS VARCHAR) END AS order_arg,
+               CAST(o_orderkey % 50 AS BIGINT) AS output_tokens
+        FROM orders""",
+    }

@@ -64,7 +64,7 @@ def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame,
     return Outbound(g.released.select(*keep), g.blocked.select(*keep), a.audit, a.vault, memories_after)
 
 
-def prepare_outbound_conversations(spark: SparkSession, sf: str) -> DataFrame:
+def outbound_of_conversations(spark: SparkSession, sf: str) -> Outbound:
     """Every conversation as one request, memories from benchmark, vocabulary: benchmark words of 12+ chars."""
     from cloakroom.plans.memory_queries import memories as mem_table
     from cloakroom.sources.tables import table
@@ -78,5 +78,9 @@ def prepare_outbound_conversations(spark: SparkSession, sf: str) -> DataFrame:
     vocab = words.where(F.length("w") >= 12).select(F.lower("w").alias("term")).distinct().select(
         "term", F.lit("private").alias("label"), F.lit(0).alias("ins")
     )
-    out = prepare_outbound(msgs, mem, vocab, now_ms=1_800_000_000_000)
+    return prepare_outbound(msgs, mem, vocab, now_ms=1_800_000_000_000)
+
+
+def prepare_outbound_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    out = outbound_of_conversations(spark, sf)
     return out.released.select(F.col("session").cast("bigint").alias("conv_id"), F.col("ord").alias("turn"), "text")

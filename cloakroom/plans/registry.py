@@ -12,7 +12,8 @@ from cloakroom.plans import vault_queries as vq
 from cloakroom.plans import stream_queries as sq
 from cloakroom.plans import chat_queries as cq
 from cloakroom.plans import outbound as ob
-from cloakroom.plans.oracles import chat_field_oracles, sanitized_request_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, outbound_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
+from cloakroom.plans import store_queries as st
+from cloakroom.plans.oracles import chat_field_oracles, sanitized_request_oracles, chat_oracles, discovered_oracles, joined_gazetteer_oracles, outbound_oracles, store_oracles, detection_oracles, dialect_oracles, memory_oracles, vault_oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "detect_ids": det.detect_ids,
         "detect_entropy": det.detect_entropy,
         "detect_floor": det.detect_floor,
+        "detect_floor_pages": det.detect_floor_pages,
         "detect_gazetteer": det.detect_gazetteer,
         "detect_customer_names": det.detect_customer_names,
         "detect_gazetteer_joined": det.detect_gazetteer_joined,
@@ -71,6 +73,11 @@ def queries() -> dict[str, Query]:
         "chat_fields_anonymize": cq.chat_fields_anonymize,
         "chat_requests_sanitized": cq.chat_requests_sanitized,
         "reply_restore_roundtrip": cq.reply_restore_roundtrip,
+        "memory_insert": st.memory_insert,
+        "vocabulary_files": st.vocabulary_files,
+        "outbound_recalls": st.outbound_recalls,
+        "canonical_requests": st.canonical_requests,
+        "block_responses": st.block_responses,
         "guard_chat_requests": cq.guard_chat_requests,
         "deep_tool_descriptions": cq.deep_tool_descriptions,
         "rescue_multi_choice": cq.rescue_multi_choice,
@@ -106,6 +113,7 @@ def oracle_sql() -> dict[str, str]:
     o.update(joined_gazetteer_oracles())
     o.update(discovered_oracles())
     o.update(outbound_oracles())
+    o.update(store_oracles())
     o["memory_json"] = (
         "WITH " + _mem_cte() + " SELECT id, CAST(json_object('id', id, 'content', content, 'kind', kind, "
         "'egress_policy', egress_policy, 'created_ms', created_ms) AS VARCHAR) AS json FROM mem"

@@ -40,13 +40,10 @@ def migrate(df: DataFrame, schema: str) -> DataFrame:
     want = _parse_datatype_string(schema)
     cols = []
     for f in want.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            default = F.lit(0) if f.dataType.typeName() in ("long", "integer") else (
-                F.lit(False) if f.dataType.typeName() == "boolean" else F.lit(None)
-            )
-            cols.append(default.cast(f.dataType).alias(f.name))
+        default = F.lit(0) if f.dataType.typeName() in ("long", "integer") else F.lit(False) if f.dataType.typeName() == "boolean" else F.lit(None)
+        # files older than a column give nulls for it once a newer file has it
+        there = [F.col(f.name)] if f.name in df.columns else []
+        cols.append(F.coalesce(*there, default).cast(f.dataType).alias(f.name))
     return df.select(*cols)
 
 
