@@ -34,7 +34,9 @@ _PLACE = np.random.default_rng(7).integers(1, 1 << 63, ORDER, dtype=np.uint64) |
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-cased runs of letters (fractions and the like may stand in them, but don't make a word)."""
+    words = _WORD.findall(text.lower())
+    return words if any(map(str.isalpha, words)) else [w for w in words if any(map(str.isalpha, w))]
 
 
 def _tail_hashes(chars: np.ndarray, size: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakroom.llm import fingerprints, language_id, ngram_join, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search
+from cloakroom.llm import fingerprints, language_id, ngram_join, oracles, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search
 from cloakroom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
