@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from cloakroom.operators.detect import (
 from cloakroom.operators.guard import egress_guard, leak_audit
 from cloakroom.operators.rehydrate import rehydrate
 from cloakroom.operators.vault import session_resolver
+from cloakroom.session import checkpoint_dir
+from cloakroom.sources.store import write_audit
 from cloakroom.sources.tables import document_texts, page_texts, spread, table
 
 PATTERN = {label: p for p, label in DEFAULT_PATTERNS[:2] + DEFAULT_PATTERNS[3:]}
@@ -150,8 +154,11 @@ def anonymize_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit trail, written by its sink and read again."""
     a = _anonymized_documents(spark, sf)
-    return a.audit.groupBy("tag", "detector").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    write_audit(a.audit, path)
+    return spark.read.parquet(path).groupBy("tag", "detector").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def rehydrate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

@@ -161,3 +161,14 @@ def test_names_of_members_are_not_restored(spark):
     res = spark.createDataFrame([("s", "__ORG_1__", 'A "B"')], "session string, placeholder string, original string")
     got = json.loads(rehydrate_json(df, res).first().text)
     assert got == {"__ORG_1__": 'A "B" and "A "B"": x', "n": ['A "B"']}
+
+
+def test_export_files_read_in_order(spark, tmp_path):
+    import glob
+
+    from cloakroom.sources.store import export_markdown
+
+    lines = spark.createDataFrame([(i, f"line {i}") for i in range(500, 0, -1)], "line_no long, line string").repartition(7)
+    export_markdown(lines, str(tmp_path / "out"))
+    got = "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "out" / "part-*"))))
+    assert got.splitlines() == [f"line {i}" for i in range(1, 501)]
