@@ -33,13 +33,13 @@ class Outbound:
     memories: DataFrame
 
 
-def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame, now_ms: int) -> Outbound:
+def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame, now_ms: int, embed=M.hash_embed) -> Outbound:
     """messages: session, ord, text. vocab: term, label, ins (applies to every session)."""
     queries = gather_text(messages, "session", "ord", "text").select(F.col("session").alias("qid"), "text")
     kw = M.recall(queries, memories)
     sem = M.vector_top_k(
-        M.hash_embed(queries, "qid", "text"),
-        M.hash_embed(memories, "id", "content"),
+        embed(queries, "qid", "text"),
+        embed(memories, "id", "content"),
     )
     selected = M.select_injectable(M.fuse(kw, sem), memories)
     block = M.memory_block(selected).select(
