@@ -63,7 +63,7 @@ def test_values_move_within_their_format_and_back(moved):
 
 
 def test_invalid_and_plain_values_stay(moved):
-    texts = ["4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 31", "2021-02-30", "31.13.1999", "000-12-3456", "666-12-3456", "256.1.1.1", "1.2.3.4.5", "version 4.0", "no 12345", "", None]
+    texts = ["4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 31", "2021-02-30", "31.13.1999", "000-12-3456", "666-12-3456", "256.1.1.1", "1.2.3.4.5", "version 4.0", "no 12345", "key 9f4111111111111111ab", "", None]
     assert [new for _, new, _ in moved(texts)] == texts
 
 
