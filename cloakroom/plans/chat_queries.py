@@ -91,13 +91,11 @@ def eval_report_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_models(spark: SparkSession, sf: str) -> DataFrame:
-    """A model catalogue made of the parts of size 1: cheapest first, brands of even length can call tools."""
-    p = table(spark, sf, "part").where(F.col("p_size") == 1)
-    return p.select(
-        F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"), F.col("p_partkey")).alias("model_id"),
-        F.col("p_retailprice").alias("priority"),
-        (F.length("p_brand") % 2 == 0).alias("tools"),
-        F.col("p_partkey").alias("ins"),
+    """A model catalogue made of all parts: one model per brand and size class, cheapest first; odd classes can call tools."""
+    p = table(spark, sf, "part").withColumn("class", F.floor(F.col("p_size") / 10).cast("int"))
+    return p.groupBy("p_brand", "class").agg(F.min("p_retailprice").alias("priority"), F.min("p_partkey").alias("ins")).select(
+        F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit("/class-"), F.col("class").cast("string")).alias("model_id"),
+        "priority", (F.col("class") % 2 == 1).alias("tools"), "ins",
     )
 
 

@@ -388,8 +388,9 @@ def chat_oracles() -> dict[str, str]:
         SELECT scenarios + 1, 'total scenarios=' || CAST(scenarios AS VARCHAR) || ' baseline=' || printf('%.4f', baseline_rate) || ' anonymized='
                || printf('%.4f', anon_rate) || ' retention=' || printf('%.4f', retention) || ' leaks=' || CAST(leaks AS VARCHAR) FROM rep"""
     o["route_candidates"] = """
-        WITH models AS (SELECT lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS model_id,
-                               p_retailprice AS priority, p_partkey AS ins, length(p_brand) % 2 = 0 AS tools FROM part WHERE p_size = 1),
+        WITH models AS (SELECT lower(replace(p_brand, '#', '-')) || '/class-' || CAST(class AS VARCHAR) AS model_id,
+                               min(p_retailprice) AS priority, min(p_partkey) AS ins, class % 2 = 1 AS tools
+                        FROM (SELECT *, CAST(floor(p_size / 10) AS INTEGER) AS class FROM part) GROUP BY p_brand, class),
              req AS (SELECT conv_id, bool_or(role = 'system') AS needs_tools FROM conversations GROUP BY conv_id)
         SELECT conv_id, model_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY priority, ins) AS BIGINT) AS pref
         FROM req JOIN models ON (NOT needs_tools) OR tools"""
