@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cloakroom.functions.crypto import unseal
 from cloakroom.functions.text import explode_rows
 from cloakroom.operators.detect import Profile
-from cloakroom.operators.vault import intern_durable, intern_session, protected
+from cloakroom.operators.vault import degraded_placeholder, intern_durable, intern_session, protected
 from cloakroom.session import materialize
 
 TEXT_KEYS = ["session", "ord", "field_pos"]
@@ -68,20 +68,24 @@ def audit_rows(with_ph: DataFrame) -> DataFrame:
     return with_ph.select(*TEXT_KEYS, "pos", "kind", "tag", "detector", "score")
 
 
-def anonymize(texts: DataFrame, profile: Profile, durable: DataFrame | None = None, key: str | None = None) -> Anonymized:
+def anonymize(texts: DataFrame, profile: Profile, durable: DataFrame | None = None, key: str | None = None, degraded: bool = False) -> Anonymized:
     """Anonymize every text; one vault per session (plus an optional durable layer).
 
     With ``durable`` (a durable vault table, possibly empty) custom kinds are
     interned there and keep their placeholders across runs; everything else
     (e-mails, secrets, ...) is numbered per session. With ``key`` all that is
-    written on the way holds keyed lookups and sealed originals alone.
+    written on the way holds keyed lookups and sealed originals alone. ``degraded``
+    is for a run whose durable store can't be written: custom kinds get placeholders
+    that nothing resolves.
     """
     ents = materialize(protected(detect_entities(texts, profile), key))
-    session_ents = ents if durable is None else ents.where(~F.col("custom"))
+    session_ents = ents if durable is None and not degraded else ents.where(~F.col("custom"))
     vault = materialize(intern_session(session_ents))
     with_ph = session_ents.join(vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"])
     new = after = None
-    if durable is not None:
+    if degraded:
+        with_ph = with_ph.unionByName(ents.where("custom").withColumn("placeholder", degraded_placeholder(F.col("tag"), F.col("lookup"))))
+    elif durable is not None:
         custom = ents.where("custom")
         new = materialize(intern_durable(custom, durable))
         after = durable.unionByName(new)

@@ -136,10 +136,12 @@ def session_resolver(vault: DataFrame, key: str | None = None) -> DataFrame:
     return vault.where(~F.col("is_secret")).select("session", "placeholder", original.alias("original"))
 
 
-def degraded_placeholder(tag, original):
+def degraded_placeholder(tag, lookup):
     """Deterministic, unpersisted placeholder ``__TAG_h<hex>__`` for a failed intern.
 
     It is never written to a vault, so it can never be resolved: failing
-    toward privacy when the durable store cannot be written.
+    toward privacy when the durable store cannot be written. It is made of the
+    lookup, so with a key the original can't be guessed from it.
     """
-    return F.concat(F.lit("__"), tag, F.lit("_h"), F.lower(F.hex(F.xxhash64(tag, original))), F.lit("__"))
+    digest = F.substring(F.sha2(F.concat(F.encode(tag, "UTF-8"), F.unhex(F.lit("1f")), F.encode(lookup, "UTF-8")), 256), 1, 16)
+    return F.concat(F.lit("__"), tag, F.lit("_h"), digest, F.lit("__"))

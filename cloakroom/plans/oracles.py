@@ -321,6 +321,10 @@ def vault_oracles() -> dict[str, str]:
         FROM firsts"""
     o["durable_vault_increment"] = durable
     o["durable_vault_keyed"] = durable
+    o["anonymize_degraded"] = f"""
+        SELECT c_custkey, substr(text, 1, length(text) - length(c_name)) || '__PROJECT_h'
+               || substr(sha256(encode('PROJECT') || unhex('1f') || encode(c_name)), 1, 16) || '__' AS text
+        FROM {_derived_id_text()} JOIN customer USING (c_custkey)"""
     o["layered_rehydrate"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents"
     return o
 

@@ -56,6 +56,7 @@ def queries() -> dict[str, Query]:
         "vault_seal_roundtrip": vq.vault_seal_roundtrip,
         "durable_vault_increment": vq.durable_vault_increment,
         "durable_vault_keyed": vq.durable_vault_keyed,
+        "anonymize_degraded": vq.anonymize_degraded,
         "layered_rehydrate": vq.layered_rehydrate,
         "stream_rehydrate": sq.stream_rehydrate,
         "stream_deltas": sq.stream_deltas,
