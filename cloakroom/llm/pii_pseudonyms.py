@@ -171,7 +171,7 @@ _KINDS = [
 def _replaced(text: str, key: str, back: bool) -> str:
     matches = f"regexp_extract_all({text}, {_q(ANY)}, 0)"
     rest = f"split({text}, {_q(ANY)}, -1)"
-    return f"if({text} rlike '[0-9]{{2}}|@', array_join(zip_with({rest}, transform({matches}, x -> {_Expressions(key, back).any()}), (a, b) -> concat(a, coalesce(b, ''))), ''), {text})"
+    return f"if({text} rlike '[0-9@]', array_join(zip_with({rest}, transform({matches}, x -> {_Expressions(key, back).any()}), (a, b) -> concat(a, coalesce(b, ''))), ''), {text})"
 
 
 def session_key(spark: SparkSession) -> str:
@@ -191,7 +191,7 @@ def restore(text: str, key: str) -> Column:
 
 def count_values(text: str) -> Column:
     """How many values of the handled formats the text holds (valid or not)."""
-    return F.expr(f"if(`{text}` rlike '[0-9]{{2}}|@', regexp_count(`{text}`, {_q(ANY)}), 0)")
+    return F.expr(f"if(`{text}` rlike '[0-9@]', regexp_count(`{text}`, {_q(ANY)}), 0)")
 
 
 def pseudonymize_documents(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

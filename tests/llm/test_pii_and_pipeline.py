@@ -62,6 +62,15 @@ def test_values_move_within_their_format_and_back(moved):
             assert _mod97(new) == 1
 
 
+def test_addresses_of_single_digits_move(spark, moved):
+    texts = ["8.8.8.8", "dns is 8.8.8.8", "dns is 8.8.8.8 on port 53", "use 1.1.1.1"]
+    got = moved(texts)
+    assert all(new != old and back == old for old, new, back in got)
+    assert got[1][1] == f"dns is {got[0][1]}" and got[2][1] == f"dns is {got[0][1]} on port 53"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["n_values"] for r in pii_pseudonyms.pseudonymize_documents(df, KEY).collect()} == {1}
+
+
 def test_invalid_and_plain_values_stay(moved):
     texts = ["4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 31", "2021-02-30", "31.13.1999", "000-12-3456", "666-12-3456", "256.1.1.1", "1.2.3.4.5", "version 4.0", "no 12345", "key 9f4111111111111111ab", "", None]
     assert [new for _, new, _ in moved(texts)] == texts
