@@ -4,7 +4,9 @@ Valid card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
 numbers, IPv4 addresses and calendar dates are permuted within their format by a keyed
 Feistel network over two residue rings, so equal values stay linked across documents
 and ``restore`` gives the originals back. Check digits are made anew; separators,
-lengths, a card's first digit and a number's country stay. E-mail addresses keep their
+lengths, a card's first digit and a number's country stay. Slash dates with a day above
+12 in the second place are read as mm/dd/yyyy and stay such dates of their century; all
+other slash dates are read as dd/mm/yyyy. E-mail addresses keep their
 domain and have each letter and digit of the local part shifted by a keyed amount that
 depends on the whole address (linked, but not restorable).
 """
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days of a date's span, counted from 1900-01-01; the product of the two rings.
 SPAN = (250, 146)
+#: Month-first dates of a century are those with a day above 12: 221 a year (months begin
+#: at ``US_MONTHS``) and each 29 February, 22,124 or 22,125; the rings have 22,126 places.
+US_MONTHS = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
+US_SPAN = (74, 299)
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
@@ -114,7 +120,23 @@ class _Expressions:
         new = _let("h", moved, f"date_add(date'1900-01-01', cast({days} - pmod({days}, {span}) + h.l * {b} + h.r as int))")
         mark = f"substr(x, if({iso}, 5, 3), 1)"
         shown = f"translate(if({iso}, date_format(g, 'yyyy-MM-dd'), date_format(g, 'dd.MM.yyyy')), '-.', concat({mark}, {mark}))"
-        return _let("t", f"try_to_date({text}, 'yyyy-MM-dd')", f"if(t is null or {us} or year(t) not between 1600 and 2399, x, {_let('g', new, shown)})")
+        return _let("t", f"try_to_date({text}, 'yyyy-MM-dd')", f"if(t is null or year(t) not between 1600 and 2399, x, if({us}, {self.us_date()}, {_let('g', new, shown)}))")
+
+    def us_date(self) -> str:
+        """The date ``t`` as mm/dd/yyyy with a day above 12, permuted among those of its century.
+
+        A place that is no date is permuted again. There are two at most, so three turns do.
+        """
+        a, b = US_SPAN
+        months = f"array({', '.join(map(str, US_MONTHS))})"
+        since = "if(year(t) div 100 % 4 = 0, 0, 1)"  # the century's first leap year, divided by 4
+        place = f"if(month(t) = 2 and day(t) = 29, 22100 + year(t) % 100 div 4 - {since}, year(t) % 100 * 221 + {months}[month(t) - 1] + day(t) - 13)"
+        turn = _let("h", self.feistel("us date", f"w div {b}", f"w % {b}", str(a), str(b)), f"h.l * {b} + h.r")
+        walked = f"aggregate(sequence(1, 3), cast({place} as bigint), (w, k) -> if(k = 1 or w >= 22125 - {since}, {turn}, w))"
+        leap = f"concat('02/29/', lpad(year(t) div 100 * 100 + (p - 22100 + {since}) * 4, 4, '0'))"
+        month = f"size(filter({months}, v -> v <= p % 221))"
+        common = _let("m", month, f"concat_ws('/', lpad(m, 2, '0'), lpad(p % 221 - {months}[m - 1] + 13, 2, '0'), lpad(year(t) div 100 * 100 + p div 221, 4, '0'))")
+        return _let("p", walked, f"if(p >= 22100, {leap}, {common})")
 
     def ssn(self) -> str:
         area = "(cast(substr(x, 1, 3) as int) - if(cast(substr(x, 1, 3) as int) > 666, 2, 1))"

@@ -1,5 +1,6 @@
 """Pseudonyms, and the stages of the pipeline one by one."""
 
+import datetime
 import random
 import re
 
@@ -71,6 +72,20 @@ def test_addresses_of_single_digits_move(spark, moved):
     assert {r["n_values"] for r in pii_pseudonyms.pseudonymize_documents(df, KEY).collect()} == {1}
 
 
+def test_month_first_dates_move_among_themselves(moved):
+    for first in (1900, 2000):
+        days = [d for d in (datetime.date(first, 1, 1) + datetime.timedelta(n) for n in range(36525)) if d.day > 12 and d.year < first + 100]
+        texts = [d.strftime("%m/%d/%Y") for d in days]
+        got = moved(texts)
+        assert {new for _, new, _ in got} == set(texts) and all(back == old for old, _, back in got)
+        assert sum(new == old for old, new, _ in got) < 10
+    texts = ["born 12/25/1985.", "02/29/1600", "02/30/1990", "12/32/1985", "02/29/1900"]
+    (_, new, back), (_, leap, again), *others = moved(texts)
+    assert re.fullmatch(r"born \d\d/\d\d/19\d\d\.", new) and new != texts[0] and back == texts[0]
+    assert re.fullmatch(r"\d\d/\d\d/16\d\d", leap) and again == texts[1]
+    assert [n for _, n, _ in others] == texts[2:]
+
+
 def test_invalid_and_plain_values_stay(moved):
     texts = ["4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 31", "2021-02-30", "31.13.1999", "000-12-3456", "666-12-3456", "256.1.1.1", "1.2.3.4.5", "version 4.0", "no 12345", "key 9f4111111111111111ab", "", None]
     assert [new for _, new, _ in moved(texts)] == texts
