@@ -24,16 +24,39 @@ SPAN = (250, 146)
 US_MONTHS = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
 US_SPAN = (74, 299)
 
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TD TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_KNOWN = " ".join(IBAN_LENGTHS.values()).replace(" ", "|")
+#: Other countries' IBANs are taken at any length, as far as no known one begins.
+_IBANS = "|".join([*(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()), rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!(?<= )(?:{_KNOWN})[0-9]{{2}})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"])
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
+_SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+_IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+_CARD = r"(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "intl": r"(?<![0-9])\+(?!1[^0-9]|1[0-9]{10}(?![0-9]))[1-9][0-9]{0,2}(?:[ .-]?[0-9]{1,4}){2,7}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS})(?![A-Za-z0-9])",
+    "date": rf"(?<![0-9]){_DATE}",
+    "ssn": rf"(?<![0-9-]){_SSN}",
+    "ip": rf"(?<![0-9.]){_IP}",
+    # behind +1, ten digits with separators anywhere; else by the usual separators
+    "phone": r"(?<![0-9])(?:\+1[ .-]?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9](?:[ .-]?[0-9]){9})|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    # up to 15 digits, as far as no other value begins behind a space
+    "intl": rf"(?<![0-9])\+(?!1[^0-9]|1[0-9]{{10}}(?![0-9]))[1-9](?:(?: (?!{_DATE}|{_SSN}|{_IP}|{_CARD})|[.-])?[0-9]){{7,14}}(?![0-9])",
+    "card": rf"(?<![0-9A-Za-z]){_CARD}",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -105,7 +128,11 @@ class _Expressions:
         bban = _let("p", moved, self.refill("substr(w, 5)", "p"))
         check = f"lpad(cast(98 - {self.mod97("concat(y, substr(w, 1, 2), '00')")} as string), 2, '0')"
         new = _let("y", bban, f"concat({check}, y)")
-        return _let("w", bare, f"if(length(w) between 15 and 34 and {self.mod97('concat(substr(w, 5), substr(w, 1, 4))')} = 1, {_let('m', new, self.refill('x', self.digits('m')))}, x)")
+        valid = f"(length(w) between 15 and 34 and {self.mod97('concat(substr(w, 5), substr(w, 1, 4))')} = 1)"
+        # what is no IBAN may hold a card; its replacement must not make an IBAN, else it is replaced again
+        turn = _let("w", "replace(v, ' ', '')", f"if(k = 1 or {valid}, {_replaced_matches('v', PATTERNS['card'], _let('x', 'y', self.card()))}, v)")
+        cards = f"aggregate(sequence(1, 6), x, (v, k) -> {turn})"
+        return _let("w", bare, f"if({valid}, {_let('m', new, self.refill('x', self.digits('m')))}, {cards})")
 
     def date(self) -> str:
         iso = "substr(x, 5, 1) in ('-', '/')"
@@ -190,10 +217,15 @@ _KINDS = [
 ]
 
 
+def _replaced_matches(text: str, pattern: str, new: str) -> str:
+    """``text`` with each match ``y`` of the pattern replaced by ``new``."""
+    matches = f"regexp_extract_all({text}, {_q(pattern)}, 0)"
+    rest = f"split({text}, {_q(pattern)}, -1)"
+    return f"array_join(zip_with({rest}, transform({matches}, y -> {new}), (a, b) -> concat(a, coalesce(b, ''))), '')"
+
+
 def _replaced(text: str, key: str, back: bool) -> str:
-    matches = f"regexp_extract_all({text}, {_q(ANY)}, 0)"
-    rest = f"split({text}, {_q(ANY)}, -1)"
-    return f"if({text} rlike '[0-9@]', array_join(zip_with({rest}, transform({matches}, x -> {_Expressions(key, back).any()}), (a, b) -> concat(a, coalesce(b, ''))), ''), {text})"
+    return f"if({text} rlike '[0-9@]', {_replaced_matches(text, ANY, _let('x', 'y', _Expressions(key, back).any()))}, {text})"
 
 
 def session_key(spark: SparkSession) -> str:

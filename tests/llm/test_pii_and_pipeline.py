@@ -86,6 +86,37 @@ def test_month_first_dates_move_among_themselves(moved):
     assert [n for _, n, _ in others] == texts[2:]
 
 
+def test_numbers_beside_others_move(moved):
+    def iban(country, bban):
+        return f"{country}{98 - _mod97(country + '00' + bban):02}{bban}"
+
+    shapes = {
+        "call +14155550132 now": r"call \+1\d{10} now",
+        "+1 4155550132": r"\+1 \d{10}",
+        "+1 415 5550132": r"\+1 \d{3} \d{7}",
+        "+1 41 5555 0132": r"\+1 \d\d \d{4} \d{4}",
+        "+1(415)5550132": r"\+1\(\d{3}\)\d{7}",
+        "IBAN ES9121000418450200051332 EUR 500": r"IBAN ES\d{22} EUR 500",
+        "SE45 5000 0000 0583 9825 7466 BIC ABCDEFGH": r"SE\d\d( \d{4}){5} BIC ABCDEFGH",
+        "SE45 5000 0000 0583 9825 7466 2024 0501": r"SE\d\d( \d{4}){5} 2024 0501",
+        "ID12 4111 1111 1111 1111": r"ID12 4\d{3}( \d{4}){3}",
+        "+44 20 7946 0123 2024-05-01": r"\+44 \d\d \d{4} \d{4} \d{4}-\d\d-\d\d",
+        "+44 7946 0123 31.12.1999": r"\+44 \d{4} \d{4} \d\d\.\d\d\.\d{4}",
+        "+44 7946 0123 10.0.0.1": r"\+44 \d{4} \d{4} \d+\.\d+\.\d+\.\d+",
+    }
+    for (old, new, back), shape in zip(moved(shapes), shapes.values()):
+        assert re.fullmatch(shape, new) and back == old, (old, new, back)
+        for a, b in zip(re.findall(r"\+[\d ()]{8,20}\d|[A-Z]{2}\d\d[\d ]{12,}\d|\d{4}-\d\d-\d\d|\d+\.\d+\.\d+", old), re.findall(r"\+[\d ()]{8,20}\d|[A-Z]{2}\d\d[\d ]{12,}\d|\d{4}-\d\d-\d\d|\d+\.\d+\.\d+", new)):
+            assert a != b
+    found = moved(["+14155550132", "415-555-0132"])
+    assert re.sub(r"\D", "", found[0][1])[1:] == re.sub(r"\D", "", found[1][1])
+    every = [iban(c, "".join(str((7 * i + n) % 10) for i in range(n - 4))) for n, cs in pii_pseudonyms.IBAN_LENGTHS.items() for c in cs.split()]
+    texts = [f"{' '.join(re.findall('.{1,4}', v))} EUR 500" for v in every] + [f"{v} 2024" for v in every]
+    for old, new, back in moved(texts):
+        assert new != old and new.split()[-1] == old.split()[-1] and back == old
+        assert _mod97(re.sub(r" EUR 500| 2024$", "", new)) == 1
+
+
 def test_invalid_and_plain_values_stay(moved):
     texts = ["4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 31", "2021-02-30", "31.13.1999", "000-12-3456", "666-12-3456", "256.1.1.1", "1.2.3.4.5", "version 4.0", "no 12345", "key 9f4111111111111111ab", "", None]
     assert [new for _, new, _ in moved(texts)] == texts
