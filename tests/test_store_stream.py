@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cloakroom.operators.chat_fields import request_fields, set_fields
@@ -7,7 +8,7 @@ from cloakroom.operators.anonymize import anonymize
 from cloakroom.operators.detect import Email, Gazetteer, Profile
 from cloakroom.operators.dialect import to_block_response, to_canonical_messages
 from cloakroom.sources.store import MEMORY_SCHEMA, append, insert_memories, migrate, open_table
-from cloakroom.streaming.rehydrate_stream import rehydrate_frames
+from cloakroom.streaming.rehydrate_stream import _fragments_fn, _frames_fn, rehydrate_frames
 
 
 def test_versioned_table_and_idempotent_insert(spark, tmp_path):
@@ -105,6 +106,71 @@ def test_frames_are_restored_and_passed_on(spark):
     assert two == ["no such __ORG_7", "__ here"]
 
 
+class _Kept:
+    """A keyed state between calls."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timer = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timer = ms
+
+
+def _calls(fn, key, calls):
+    """Rows of each call; a call without rows is the timer's."""
+    state, out = _Kept(), []
+    for rows in calls:
+        state.hasTimedOut = rows is None
+        df = pd.DataFrame(rows or [], columns=["seq", "text", "eos", "frame", "vault"])
+        out.append([tuple(r) for r in next(fn(key, iter([df]), state)).itertuples(index=False)])
+    return out, state
+
+
+VAULT = json.dumps({"__ORG_1__": "Quill"})
+
+
+def test_timer_emits_rows_behind_gaps_and_the_stream_goes_on():
+    def row(seq, text, eos=False):
+        return (seq, text, eos, None, VAULT if seq == 0 else None)
+
+    calls = [[row(0, "a __ORG"), row(2, "of __OR"), row(3, "G_1__;")], None, [row(1, "_1__ late __ORG_1__ ")], [row(4, " on __ORG_1__", True)], [row(5, "behind")], None]
+    out, _ = _calls(_fragments_fn(5), ("s", 0, -1), calls)
+    assert out[0] == [("s", 0, -1, 0, 0, "a ")]
+    assert out[1] == [("s", 0, -1, 1, 0, "__ORG"), ("s", 0, -1, 2, 0, "of "), ("s", 0, -1, 3, 0, "Quill;")]
+    assert [r[3:] for r in out[2]] == [(1, 1, "_1__ late Quill ")]
+    assert [r[3:] for r in out[3]] == [(4, 0, " on Quill")]
+    assert out[4:] == [[], []]
+    once, state = _calls(_fragments_fn(None), ("s", 0, -1), [[row(0, "x", True)]])
+    assert [r[3:] for r in once[0]] == [(0, 0, "x")] and state.value is None
+
+
+def test_timer_emits_frames_behind_gaps_and_the_stream_goes_on(spark):
+    def frame(text):
+        return json.dumps({"choices": [{"index": 0, "delta": {"content": text}}]})
+
+    def row(seq, f):
+        return (seq, None, None, f, VAULT if seq == 0 else None)
+
+    def said(rows):
+        return [(seq, part, json.loads(f)["choices"][0]["delta"]["content"] if f.startswith("{") else f) for _, seq, part, f in rows]
+
+    calls = [[row(0, frame("a __ORG")), row(2, frame("of __ORG_1__"))], None, [row(3, frame("on __ORG_1__"))], [row(1, frame("late __ORG_1__"))], [row(4, "[DONE]")], [row(5, frame("behind"))], None]
+    out, _ = _calls(_frames_fn(5), ("s",), calls)
+    assert [said(o) for o in out] == [[(0, 0, "a ")], [(1, 0, "__ORG"), (2, 0, "of Quill")], [(3, 0, "on Quill")], [(1, 1, "late Quill")], [(4, 0, "[DONE]")], [], []]
+    df = spark.createDataFrame([("s", "x", 0, frame("a")), ("s", "x", 2, frame("b __ORG_1__")), ("s", "x", 3, "[DONE]")], "stream_id string, session string, seq long, frame string")
+    res = spark.createDataFrame([("x", "__ORG_1__", "Quill")], "session string, placeholder string, original string")
+    assert said(sorted(tuple(r) for r in rehydrate_frames(df, res).collect())) == [(0, 0, "a"), (2, 0, "b Quill"), (3, 0, "[DONE]")]
+
+
 def test_small_helpers(spark):
     from cloakroom.operators.vault import degraded_placeholder
     from cloakroom.plans.chat_queries import has_tools
