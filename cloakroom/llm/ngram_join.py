@@ -273,8 +273,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row ``doc_id, class_id, n_links, group_id`` (and ``row_key``, a hash of id and text).
+def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", with_group: bool = False) -> DataFrame:
+    """Per input row ``doc_id, class_id, n_links, group_id`` (and ``row_key``, a hash of id and text;
+    with ``with_group`` also ``group_key``, which tells groups apart where ids repeat or are null).
 
     ``class_id``: least id among the documents with the same n-gram set (equal texts
     always share it). ``n_links``: how many other classes reach the threshold with this
@@ -318,6 +319,6 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
     groups = connected(links.select(F.col("cid").alias("a"), F.col("other").alias("b")))
     grouped = classes.select("cid", "class_id").join(groups.withColumnRenamed("node", "cid"), "cid")
     names = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    info = classes.select("cid", "class_id").join(counted, "cid", "left").join(grouped.join(names, "root").select("cid", "group_id"), "cid", "left")
+    info = classes.select("cid", "class_id").join(counted, "cid", "left").join(grouped.join(names, "root").select("cid", "group_id", "root"), "cid", "left")
     out = signed.select("id", "row_key", "cid").join(info, "cid")
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "row_key")
+    return out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "row_key", *([F.coalesce("root", "cid").alias("group_key")] if with_group else []))

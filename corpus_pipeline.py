@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cloakroom.llm import ngram_join, packing, pii_pseudonyms, substring_dedup, toxicity
 from cloakroom.llm.common import pack_rest, unpack_rest
-from cloakroom.session import checkpoint_dir, ship_package
+from cloakroom.session import checkpoint_dir, materialize, ship_package
 from cloakroom.sources.tables import table
 
 #: Score from which a document is rejected as toxic.
@@ -32,17 +32,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of linked documents.
+    """Keep one row of each group of linked documents.
 
-    Null and empty texts are no duplicates and stay, as does what has no id to compare;
-    rows that agree in id and text stay or go together.
+    It is the one of least id (null ids last), then of least hash of id and text, then,
+    among rows that agree in both, of least hash of all columns but maps. Null and empty
+    texts are no duplicates and stay.
     """
     ship_package(spark)
-    found = ngram_join.similar_documents(docs)
-    gone = found.where(F.col("doc_id") != F.col("group_id")).select("row_key").distinct()
+    found = ngram_join.similar_documents(docs, with_group=True)
+    rows = materialize(found.groupBy("group_key", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "n"))
+    kept = materialize(rows.groupBy("group_key").agg(first.alias("m")).select("m.row_key", "m.n"))
+    repeated = kept.where("n > 1").select("row_key")
+    gone = rows.select("row_key").join(kept, "row_key", "left_anti").unionByName(repeated).distinct()
     keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return keyed.join(gone, (F.col("_row_key") == F.col("row_key")) & words, "left_anti").drop("_row_key")
+    once = keyed.join(gone, (F.col("_row_key") == F.col("row_key")) & words, "left_anti").drop("_row_key")
+    if repeated.isEmpty():
+        return once
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    equal = keyed.where(words).join(repeated, F.col("_row_key") == F.col("row_key"), "left_semi")
+    return once.unionByName(equal.groupBy("_row_key").agg(F.min_by(whole, order).alias("r")).select("r.*"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,6 +181,27 @@ def test_near_duplicate_stage(staged):
     assert {r["doc_id"] for r in kept.collect()} == {min(g) for g in groups.values()}
 
 
+def test_near_duplicate_stage_keeps_one_row_of_repeated_and_null_ids(spark):
+    fox = "the quick brown fox jumps over the lazy dog near the river bank today " * 4
+    tea = "a cup of green tea is better than a cup of black coffee at night " * 4
+    sea = "ships go down to the sea and come home again with fish and salt " * 4
+    rows = [
+        (1, fox, "b"), (1, fox, "a"), (1, fox, "a"), (1, fox + "now", "c"), (2, fox, "d"), (None, fox, "e"),
+        (None, tea, "f"), (None, tea, "g"), (None, tea + "now", "h"),
+        (1, sea, "i"), (3, sea, "j"),
+        (4, "", "k"), (4, "", "k"), (None, None, "l"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.dtypes == docs.dtypes
+    for word, ids in (("fox", {1}), ("tea", {None}), ("ships", {1})):
+        assert [r[0] for r in got if r[1] and word in r[1]] == list(ids)
+    assert len(got) == 6 and sorted(r[2] for r in got if not r[1]) == ["k", "k", "l"]
+    again = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(7, "source"), SF).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, got))
+
+
 def test_substring_stage_against_sql(staged):
     docs, kept = staged[2][1].toPandas(), staged[3][1].toPandas()
     con = duckdb.connect()
