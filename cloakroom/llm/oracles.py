@@ -57,5 +57,50 @@ NGRAM_JOIN = f"""
     FROM keyed k JOIN class c USING (key) JOIN grp ON grp.class_id = c.class_id LEFT JOIN deg ON deg.class_id = c.class_id"""
 
 
+def _said(columns: list[str]) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+def _tree(name: str, leaves: str, depth: int) -> str:
+    """Levels of a tree over ``leaves`` (g, i from 0, h): name_0, ... A group's last node is carried on unchanged."""
+    out = [f"{name}_0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for d in range(depth):
+        up = f"SELECT g, i // 3 AS i, CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}_{d} GROUP BY g, i // 3"
+        out.append(f"{name}_{d + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM ({up}))")
+    return ",\n    ".join(out)
+
+
+def _folded(name: str, start: str, carried: str, depth: int) -> str:
+    """Fold ``start`` (g, i, h, proof and ``carried``) up the tree with its original siblings: name_up_0, ..."""
+    out = [f"{name}_up_0 AS ({start})"]
+    for d in range(depth):
+        beside = f"(SELECT g, i // 3 AS r, list(h ORDER BY i) AS hs, max(n) AS n FROM {name}_{d} GROUP BY g, i // 3)"
+        before, after = "array_to_string(hs[1 : u.i % 3], '')", "array_to_string(hs[u.i % 3 + 2 : 3], '')"
+        out.append(f"""{name}_up_{d + 1} AS (SELECT u.g, u.i // 3 AS i, CASE WHEN b.n = 1 THEN h ELSE sha256({before} || h || {after}) END AS h,
+            CASE WHEN b.n = 1 THEN proof ELSE proof || {before} || {after} END AS proof, {carried}
+            FROM {name}_up_{d} u JOIN {beside} b ON b.g = u.g AND b.r = u.i // 3)""")
+    return ",\n    ".join(out)
+
+
+def _merkle(depth: int = 9) -> str:
+    """For up to ``3**depth`` documents a source, and as many sources."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> k) & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+    return f"""
+    WITH named AS (SELECT *, dense_rank() OVER (ORDER BY CASE WHEN source IS NULL THEN 0 ELSE 1 END, encode(source)) AS g, {crc} % 2 = 0 AS hit FROM documents),
+    hashed AS (SELECT g, doc_id, sha256({_said(columns)}) AS leaf,
+                      sha256({_said(columns[:4])} || coalesce(CASE WHEN hit THEN strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') ELSE strlen(text) || ':' || text END, '-')) AS other
+               FROM named),
+    leaf AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, other, doc_id FROM hashed),
+    {_tree("low", "leaf", depth)},
+    sub AS (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS source_g FROM low_{depth}),
+    {_tree("top", "sub", depth)},
+    {_folded("low", "SELECT g, i, other AS h, '' AS proof, doc_id, h AS leaf FROM leaf", "doc_id, leaf", depth)},
+    {_folded("top", f"SELECT 0 AS g, s.i, u.h, u.proof, u.doc_id, u.leaf, s.h AS subroot FROM low_up_{depth} u JOIN sub s ON s.source_g = u.g", "doc_id, leaf, subroot", depth)}
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+    FROM top_up_{depth} u, (SELECT h FROM top_{depth}) r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": SUFFIX_DEDUP, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_ngram_join": NGRAM_JOIN}
+    return {"op7_suffix_dedup": SUFFIX_DEDUP, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_ngram_join": NGRAM_JOIN, "op11_merkle_manifest": _merkle()}
