@@ -57,6 +57,23 @@ NGRAM_JOIN = f"""
     FROM keyed k JOIN class c USING (key) JOIN grp ON grp.class_id = c.class_id LEFT JOIN deg ON deg.class_id = c.class_id"""
 
 
+CIRCULANT_MINHASH = rf"""
+    WITH RECURSIVE words AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, word
+              FROM (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word
+                    FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents))),
+    {_runs(4, "four")},
+    gram AS (SELECT DISTINCT doc_id, s FROM four
+             UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY k) FROM words GROUP BY doc_id HAVING count(*) < 4),
+    size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+    link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM gram a JOIN gram b ON a.s = b.s AND a.doc_id <> b.doc_id
+             JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+             GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+    comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(component_id AS BIGINT) AS component_id, doc_id = component_id AS kept
+    FROM documents LEFT JOIN size USING (doc_id) JOIN comp USING (doc_id)"""
+
+
 def _said(columns: list[str]) -> str:
     return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
 
@@ -103,4 +120,4 @@ def _merkle(depth: int = 9) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": SUFFIX_DEDUP, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_ngram_join": NGRAM_JOIN, "op11_merkle_manifest": _merkle()}
+    return {"op7_suffix_dedup": SUFFIX_DEDUP, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_ngram_join": NGRAM_JOIN, "op11_merkle_manifest": _merkle(), "op13_circulant_minhash": CIRCULANT_MINHASH}
