@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,21 +11,31 @@ from cloakroom.session import materialize
 def connected(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b; any orderable type, any direction) -> ``node, root``: the least node of its component.
 
-    Only nodes with an edge appear. Every round is two aggregations with partial sums
-    and two joins over the edges; the edges of each round are written to the checkpoint
-    folder and the rounds grow with the logarithm of the component's length.
+    Only nodes with an edge appear. In each round every node points to its least
+    neighbour (or to itself, if it is less), pointers are followed to their ends by
+    doubling, and the edges between different ends make the next, smaller graph: it has
+    at most half the nodes. A node of very many edges is met by partial sums and by plain
+    joins of written tables, which Spark splits where they are skewed.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    now = materialize(edges.where("a <> b").select("a", "b").distinct())
+    rounds = []
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        now = materialize(small.distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if mark == before:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root")))
+        while True:
+            beyond = to.toDF("via", "end")
+            hop = to.join(beyond, F.col("root") == F.col("via")).select("node", "end", (F.col("end") != F.col("root")).alias("moved"))
+            hop = materialize(hop.withColumnRenamed("end", "root"))
+            still = hop.where("moved").isEmpty()
+            to = hop.drop("moved")
+            if still:
+                break
+        rounds.append(to)
+        ends = now.join(to.toDF("from_a", "u"), F.col("a") == F.col("from_a")).join(to.toDF("from_b", "v"), F.col("b") == F.col("from_b"))
+        now = materialize(ends.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+        if now.isEmpty():
             break
-        before = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.join(later.toDF("via", "end"), F.col("root") == F.col("via"), "left").select("node", F.coalesce("end", "root").alias("root"))
+    return out
