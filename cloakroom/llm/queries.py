@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakroom.llm import circulant_minhash, fingerprints, language_id, merkle, ngram_join, oracles, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search
+from cloakroom.llm import circulant_minhash, fingerprints, language_id, merkle, ngram_join, oracles, packing, pii_pseudonyms, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, vector_search, whitening
 from cloakroom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove_documents(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], merkle.without_newlines())
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup, op10_ngram_join, op11_merkle_manifest, op13_circulant_minhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_best_fit_packing, op2_vector_search, op3_language_id, op4_sentencepiece, op5_fingerprints, op6_toxicity, op7_suffix_dedup, op8_pii_pseudonyms, op9_substring_dedup, op10_ngram_join, op11_merkle_manifest, op12_whitening, op13_circulant_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
