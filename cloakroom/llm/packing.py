@@ -4,13 +4,15 @@ Only the histogram of piece lengths (at most ``capacity`` rows) reaches the
 driver. The covering program over patterns (multisets of lengths that fit one
 sequence) is solved by multiplicative weights: a knapsack dynamic program prices
 the patterns at the lengths' weights, the best ones are taken, and lengths that
-they cover too little gain weight. The average of the rounds is rounded down;
-what stays uncovered is packed best fit, length by length, over the histogram. The pieces are numbered within their length in
+they cover too little gain weight. The average of the rounds is rounded, the program is
+solved again for what stays uncovered, and the last few pieces are packed best fit,
+length by length, over the histogram. The pieces are numbered within their length in
 Spark and take the places of the patterns by that number.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -20,69 +22,165 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakroom.llm.common import id_and_text, text_batches
+from cloakroom.llm.common import PrefixHash, id_and_text, text_batches
 from cloakroom.session import materialize
 
 #: Token ids of the end marker that follows each document.
 END_ID = 0
+#: How often the linear program is solved: for all pieces, then for those that rounding left.
+SOLVES = 4
 #: Salts that split the numbering of one length (a length may hold a third of all pieces).
 SALTS = 256
 _WORKER: dict[str, "WordIds"] = {}
-#: Texts of ASCII and Latin-1 letters alone are also cut behind their letters and lower-cased first.
+#: Texts of ASCII and Latin-1 letters alone are cut byte by byte.
 _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_WORD = re.compile("[^ \na-zß-öø-ÿ]*[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+")
+#: The pre-tokenizer whose rules allow those cuts (fixed values of the tokenizer's file).
+_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BLANK, _LETTER, _DIGIT, _MARK = range(4)
+_KIND = np.full(256, _MARK, dtype=np.uint8)
+_KIND[[0x20, 0x0A]] = _BLANK
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = _LETTER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*range(ord("A"), ord("Z") + 1), *range(0x80, 0x9F)]] += 32  # the second byte of Latin-1 capitals, too
+#: Masks of a string's first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class WordIds:
-    """Ids of whole texts, with the ids of each blank-separated string cached.
+    """Ids of whole texts, with the ids of their strings cached.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its strings one after the other. It also lower-cases
-    and never joins a letter with what isn't a letter behind it; that makes the
-    strings of plain Latin texts shorter still. Texts that hold ``<|`` may hold a
-    special token and aren't cut so.
+    text's ids are those of its strings one after the other. It also lower-cases,
+    takes digits one by one and never joins letters with what isn't a letter, but
+    for what follows an apostrophe; that makes the strings of plain Latin texts
+    shorter still. Texts that hold ``<|`` may hold a special token and are cut at
+    blanks alone, as are those with other characters. Many texts are cut at once, by
+    their bytes, and a string that occurs often in them is looked up once: in a table
+    of its hash (64 bits, its length mixed in) and its first eight bytes.
     """
 
-    CACHE = 800_000
+    CACHE = 1_200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([END_ID], dtype="<u4").tobytes()
+        spec = json.loads(self.tok.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = bool(steps) and steps[0].get("pattern", {}).get("Regex") == _RULES
+        if self.plain:  # the same model for words of small letters, which need no normalizing and no rules
+            spec["normalizer"], steps[0] = None, {"type": "WhitespaceSplit"}
+            self.letters = Tokenizer.from_str(json.dumps(spec))
+        self._forget()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id included."""
-        parts = [_WORD.findall(t.lower()) if "<|" not in t and not _OTHER.search(t) else t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*parts).difference(self.cache)
-        if len(self.cache) + len(need) > self.CACHE:
-            self.cache.clear()
-            need = set().union(*parts)
+        easy = [self.plain and (t.isascii() or not _OTHER.search(t)) and "<|" not in t for t in texts]
+        fine = iter(self._encode([t.encode() for t, e in zip(texts, easy) if e], True))
+        coarse = iter(self._encode([t.encode() for t, e in zip(texts, easy) if not e], False))
+        return [next(fine if e else coarse) + self.end for e in easy]
+
+    def _encode(self, raw: list[bytes], fine: bool) -> list[bytes]:
+        if not raw:
+            return []
+        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        if fine:
+            data = _LOWER[data]
+            kind = _KIND[data]
+        else:
+            kind = np.where(_KIND[data] == _BLANK, np.uint8(_BLANK), np.uint8(_LETTER))
+        apart = kind != np.concatenate(([np.uint8(_BLANK)], kind[:-1]))
+        if fine:
+            apart |= kind == _DIGIT
+            apart[1:] &= (kind[1:] != _LETTER) | (data[:-1] != ord("'"))
+        edge = np.flatnonzero(apart)  # ends with the last newline
+        word = np.flatnonzero(kind[edge] != _BLANK)
+        stops = np.searchsorted(edge[word], np.cumsum([len(r) + 1 for r in raw]))
+        if not len(word):
+            return [b""] * len(raw)
+        start, end = edge[word], edge[word + 1]
+        keys, first, which = np.unique(PrefixHash(data).slices(start, end), return_index=True, return_inverse=True)
+        rows = self._rows(data, start[first], end[first], keys)[which]
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.at[rows] - ends + sizes, sizes) + np.arange(ends[-1])]
+        cut = np.concatenate(([0], ends))[stops].tolist()
+        return [flat[a:b].tobytes() for a, b in zip([0, *cut[:-1]], cut)]
+
+    def _forget(self, least: int = 0) -> None:
+        """Empty the cache: slots of (hash, first bytes, row), and the rows' places and sizes in one array of ids.
+
+        It holds ``least`` strings, if one text has that many, and ``CACHE`` otherwise.
+        """
+        room = max(self.CACHE, least)
+        self.slots = 1 << (room * 3 // 2).bit_length()
+        self.n, self.used = 0, 0
+        self.slot_key, self.slot_head = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.uint64)
+        self.slot_row = np.full(self.slots, -1, dtype=np.int64)
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.at, self.size = np.zeros(room, dtype=np.int64), np.zeros(room, dtype=np.int64)
+
+    def _find(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Cached rows, -1 where there is none."""
+        rows = np.full(len(keys), -1, dtype=np.int64)
+        slot, left = (keys % np.uint64(self.slots)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            there = self.slot_row[slot]
+            hit = (there >= 0) & (self.slot_key[slot] == keys[left]) & (self.slot_head[slot] == heads[left])
+            rows[left[hit]] = there[hit]
+            on = (there >= 0) & ~hit
+            left, slot = left[on], (slot[on] + 1) % self.slots
+        return rows
+
+    def _store(self, keys: np.ndarray, heads: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        rows = np.arange(self.n, self.n + len(keys))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[rows], self.size[rows] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
+        slot, left = (keys % np.uint64(self.slots)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = self.slot_row[slot] < 0
+            self.slot_row[slot[free]] = rows[left[free]]
+            own = self.slot_row[slot] == rows[left]  # of several for one slot the last has it
+            self.slot_key[slot[own]], self.slot_head[slot[own]] = keys[left[own]], heads[left[own]]
+            left, slot = left[~own], (slot[~own] + 1) % self.slots
+
+    def _rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The cached rows of different strings; those that aren't there yet are encoded."""
+        eights = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, dtype=np.uint8)), 8)
+        heads = np.ascontiguousarray(eights[start]).view("<u8").ravel() & _FIRST[np.minimum(end - start, 8)]
+        rows = self._find(keys, heads)
+        new = np.flatnonzero(rows < 0)
+        if not len(new):
+            return rows
+        if self.n + len(new) > self.CACHE:
+            self._forget(len(keys))
+            new = np.arange(len(keys))
+        whole = data.tobytes()
+        words = [whole[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())]
+        letters = np.array([bool(self.plain and _LETTERS.fullmatch(w)) for w in words])
         # words of letters alone go through the tokenizer many at once: each ends with its one closing id
-        plain = [w for w in need if _LETTERS.fullmatch(w)]
-        for lo in range(0, len(plain), 5000):
+        for lo in range(0, len(plain := np.flatnonzero(letters)), 5000):
             some = plain[lo : lo + 5000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stop = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            ids = np.array(self.letters.encode_batch_fast([" ".join([words[i] for i in some.tolist()])], add_special_tokens=False)[0].ids, dtype="<u4")
+            stop = np.flatnonzero(self.closes[ids]) + 1
             if len(stop) != len(some):
                 raise ValueError("the tokenizer doesn't close each word once")
-            data, at = ids.tobytes(), 0
-            for w, to in zip(some, stop.tolist()):
-                self.cache[w] = data[at:to]
-                at = to
-        words = [w for w in need if w not in self.cache]
-        for lo in range(0, len(words), 2048):
-            some = words[lo : lo + 2048]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+            self._store(keys[new[some]], heads[new[some]], ids, np.diff(stop, prepend=0))
+        for lo in range(0, len(others := np.flatnonzero(~letters)), 2048):
+            some = others[lo : lo + 2048]
+            found = [e.ids for e in self.tok.encode_batch_fast([words[i] for i in some.tolist()], add_special_tokens=False)]
+            self._store(keys[new[some]], heads[new[some]], np.array([i for x in found for i in x], dtype="<u4"), np.array([len(x) for x in found]))
+        return self._find(keys, heads)
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -95,7 +193,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col
         width = 4 * capacity
         for df in batches:
             texts, ids = df["text"].tolist(), df["id"].tolist()
-            for lo, hi in text_batches(texts):
+            for lo, hi in text_batches(texts, 1 << 19):
                 rows = []
                 for doc_id, data in zip(ids[lo:hi], words.encode(texts[lo:hi])):
                     for k, at in enumerate(range(0, len(data), width)):
@@ -215,31 +313,43 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int
 def plan(histogram: dict[int, int], capacity: int, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> how many) with the number of sequences of each; places match the histogram exactly.
 
-    The linear program's amounts are rounded down, fullest patterns first, and the rest
-    is packed best fit; where best fit alone needs fewer sequences, that is taken.
+    The linear program's amounts are rounded, fullest patterns first, as far as there are
+    lengths left; the program is solved again for what is left, up to ``SOLVES`` times; the
+    rest is packed best fit. Rounding up leaves less, rounding down wastes less where most
+    lengths occur only a few times. Of the plans so made the one with the fewest sequences is
+    taken, of equal ones that with the most from the program.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    whole = np.zeros(capacity + 1, dtype=np.int64)
     for v, n in histogram.items():
-        left[v] = n
-    if not left.any():
+        whole[v] = n
+    if not whole.any():
         return []
-    alone = _best_fit(left, capacity)
-    out: list[tuple[dict[int, int], int]] = []
-    for key, amount in sorted(_fractional(left, capacity, rounds).items(), key=lambda x: (capacity - sum(a * n for a, n in x[0]), -x[1], x[0])):
-        times = min(int(amount), *(int(left[v]) // n for v, n in key))
-        if times > 0:
-            for v, n in key:
-                left[v] -= n * times
-            out.append((dict(key), times))
-    out += _best_fit(left, capacity)
-    return min(out, alone, key=lambda p: sum(t for _, t in p))
+    first, best = _fractional(whole, capacity, rounds), None
+    for nearest, solves in ((np.ceil, SOLVES), (np.floor, 1)):
+        left, out, placed = whole.copy(), [], 0
+        for k in range(solves):
+            amounts = first if k == 0 else _fractional(left, capacity, rounds)
+            for key, amount in sorted(amounts.items(), key=lambda x: (capacity - sum(a * n for a, n in x[0]), -x[1], x[0])):
+                times = min(int(nearest(amount)), *(int(left[v]) // n for v, n in key))
+                if times > 0:
+                    for v, n in key:
+                        left[v] -= n * times
+                    out.append((dict(key), times))
+                    placed += times
+            rest = _best_fit(left, capacity)
+            total = placed + sum(t for _, t in rest)
+            if best is None or (total, -placed) < best[:2]:
+                best = (total, -placed, out + rest)
+            if not left.any():
+                break
+    return best[2]
 
 
 def _places(patterns: list[tuple[dict[int, int], int]], capacity: int) -> pd.DataFrame:
     """Per pattern and slot: the piece numbers (within the length) that take it.
 
     Bounded by the rounds and the capacity, not by the data: at most
-    ``(rounds + 1) * capacity`` patterns of few slots each.
+    ``(SOLVES * rounds + 1) * capacity`` patterns of few slots each.
     """
     seen = np.zeros(capacity + 1, dtype=np.int64)
     rows, base = [], 0

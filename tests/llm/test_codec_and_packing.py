@@ -73,6 +73,28 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == words.tok.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_word_cache_grows_for_one_text_and_starts_anew():
+    words = packing.WordIds(WORDS)
+    words.CACHE = 64
+    words._forget()
+    texts = [" ".join(f"{a}{b}word {i}, 'tis" for i, (a, b) in enumerate((x, y) for x in "abcdefgh" for y in letters)) for letters in ("ijklmnop", "qrstuvwx", "ij")]
+    for t in texts * 2:
+        assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == words.tok.encode(t, add_special_tokens=False).ids + [0]
+
+
+def test_most_sequences_come_from_the_program(monkeypatch):
+    rng = np.random.default_rng(8)
+    counts = np.bincount(np.minimum(2048, rng.lognormal(5.5, 1.2, 200_000).astype(int) + 1), minlength=2049)
+    histogram = {int(v): int(n) for v, n in enumerate(counts) if n}
+    bound = -(-sum(v * n for v, n in histogram.items()) // 2048)
+    rest, best_fit = [], packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda left, capacity: rest.append(best_fit(left, capacity)) or rest[-1])
+    plan = packing.plan(histogram, 2048)
+    made = sum(t for _, t in plan)
+    by_rest = min(sum(t for _, t in r) for r in rest if plan[len(plan) - len(r) :] == r)
+    assert made <= 1.002 * bound and made - by_rest > made // 3
+
+
 def _check_plan(histogram, capacity):
     plan = packing.plan(histogram, capacity)
     used = Counter()
