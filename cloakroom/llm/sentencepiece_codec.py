@@ -31,7 +31,7 @@ class Codec:
     """A model's pieces with cached segment encodings."""
 
     #: Entries of the segment cache; a full cache is emptied (results don't depend on it).
-    CACHE = 500_000
+    CACHE = 700_000
 
     def __init__(self, model_path: str):
         import ahocorasick
@@ -91,9 +91,7 @@ class Codec:
     def longest(self, text: str) -> str:
         """The longest piece that starts ``text`` (its first character is one)."""
         head = text[: self.matches.longest_prefix(text)]
-        while head not in self.ids:
-            head = head[:-1]
-        return head
+        return head if head in self.ids else self.prefix.get(head) or self.shorter(head)
 
     def shorter(self, piece: str) -> str:
         """The next shorter piece that starts ``piece``, or an empty string."""
@@ -109,44 +107,47 @@ class Codec:
         """The one cover of ``text`` by pieces whose neighbours are all compatible."""
         n, at, out = len(text), 0, []
         failed = 0  # bit i: no valid cover goes on from a piece boundary at i
-        piece = self.longest(text)
+        known, ids, shorter, width, reach = self.pair_ok, self.ids, self.prefix, self.width, self.matches.longest_prefix
+        prev, piece = "", self.longest(text)
         while True:
-            prev = out[-1] if out else ""
-            while piece and (failed >> (at + len(piece)) & 1 or not self.compatible(prev, piece)):
-                piece = self.shorter(piece)
+            while piece:
+                if not (failed and failed >> (at + len(piece)) & 1):
+                    ok = known.get((prev, piece))
+                    if ok or (ok is None and self.compatible(prev, piece)):
+                        break
+                piece = shorter.get(piece) or self.shorter(piece)
             if piece:
                 out.append(piece)
                 at += len(piece)
                 if at == n:
                     return out
-                piece = self.longest(text[at : at + self.width])
+                prev = piece
+                ahead = text[at : at + width]
+                head = ahead[: reach(ahead)]
+                piece = head if head in ids else shorter.get(head) or self.shorter(head)
             else:
                 failed |= 1 << at
                 last = out.pop()
                 at -= len(last)
-                piece = self.shorter(last)
+                prev = out[-1] if out else ""
+                piece = shorter.get(last) or self.shorter(last)
 
     def encode_segments(self, segments: list[str]) -> None:
-        """Put segments into the cache: (number of ids, " id id", decoded characters or bytes)."""
+        """Put segments into the cache: (number of ids, " id id", what the ids decode to, marks kept)."""
         for seg in segments:
             ids: list[int] = []
-            shown = bytearray()
             at, n = 0, len(seg)
             while at < n:
                 if seg[at] not in self.ids:  # a character of no piece: its bytes
-                    raw = seg[at].encode()
-                    ids += [self.byte_id.get(b, self.unk) for b in raw]
-                    shown += raw
+                    ids += [self.byte_id.get(b, self.unk) for b in seg[at].encode()]
                     at += 1
                     continue
                 end = at + 1
                 while end < n and seg[end] in self.ids:
                     end += 1
-                part = seg[at:end]
-                ids += [self.ids[p] for p in self.cover(part)]
-                shown += part.encode()
+                ids += [self.ids[p] for p in self.cover(seg[at:end])]
                 at = end
-            self.cache[seg] = (len(ids), "".join([f" {i}" for i in ids]), shown.decode())
+            self.cache[seg] = (len(ids), "".join([f" {i}" for i in ids]), self._shown(ids))
 
     def encode_texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids (the end id counted), ids joined by spaces, decoded text."""
@@ -166,10 +167,9 @@ class Codec:
             out.append((sum([g[0] for g in got]) + 1, ("".join([g[1] for g in got]) + f" {self.eos}")[1:], text.replace(MARK, " ")))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of any id sequence: runs of byte ids as UTF-8 with U+FFFD for each bad byte."""
+    def _shown(self, ids: list[int]) -> str:
+        """The pieces of ids with their marks; runs of byte ids as UTF-8 with U+FFFD for each bad byte."""
         out, run = [], bytearray()
-        first = True
 
         def flush() -> None:
             at = 0
@@ -189,19 +189,19 @@ class Codec:
         for i in ids:
             if i in self.bytes_at:
                 run.append(self.bytes_at[i])
-                first = False
-                continue
-            flush()
-            if i in self.control:
                 continue
-            p = " ⁇ " if i == self.unk else self.pieces[i]
-            if first and p.startswith(MARK):
-                p = p[1:]
-            first = False
-            out.append(p.replace(MARK, " "))
+            if run:
+                flush()
+            if i not in self.control:
+                out.append(" ⁇ " if i == self.unk else self.pieces[i])
         flush()
         return "".join(out)
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of any id sequence; the mark that starts it is none of it."""
+        text = self._shown(ids)
+        return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
+
 
 def codec(model_path: str) -> Codec:
     if model_path not in _WORKER:
