@@ -2,7 +2,8 @@
 
 Texts use the canonical layout ``session, ord, field_pos, text`` (one row per
 text field; ``ord`` orders the texts of a session, ``field_pos`` the fields of
-one text). Detection is map-side; the only shuffles are the distinct-original
+one text). Null sessions and places are keys like any other, and rows that share
+a key are told apart by their text. Detection is map-side; the only shuffles are the distinct-original
 aggregation and numbering (on entity rows, not text) and the join of the
 per-text placeholder lists back to the texts (AQE broadcasts small lists).
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakroom.functions.crypto import unseal
+from cloakroom.functions.joins import null_safe_join, row_key
 from cloakroom.functions.text import explode_rows
 from cloakroom.operators.detect import Profile
 from cloakroom.operators.vault import degraded_placeholder, intern_durable, intern_session, protected
@@ -23,10 +25,14 @@ from cloakroom.session import materialize
 TEXT_KEYS = ["session", "ord", "field_pos"]
 
 
-def detect_entities(texts: DataFrame, profile: Profile, text_col: str = "text") -> DataFrame:
-    """Entity table E: one row per kept span (text keys, pos, candidate fields)."""
-    rows = explode_rows(texts, profile.detect(F.col(text_col)), TEXT_KEYS, "pos", "_e")
-    return rows.select(*TEXT_KEYS, "pos", "_e.*")
+ROW_KEYS = [*TEXT_KEYS, "row"]
+
+
+def detect_entities(texts: DataFrame, profile: Profile, text_col: str = "text", key: str | None = None) -> DataFrame:
+    """Entity table E: one row per kept span (text keys, the row's own key, pos, candidate fields)."""
+    keyed = texts.withColumn("row", row_key(F.col(text_col), key))
+    rows = explode_rows(keyed, profile.detect(F.col(text_col)), ROW_KEYS, "pos", "_e")
+    return rows.select(*ROW_KEYS, "pos", "_e.*")
 
 
 def splice(text: Column, spans: Column) -> Column:
@@ -53,15 +59,16 @@ class Anonymized:
     durable_new: DataFrame | None = None  # its new rows, to be appended
 
 
-def replace_spans(texts: DataFrame, with_ph: DataFrame) -> DataFrame:
-    """``texts`` with the spans (text keys, s, e, placeholder) spliced in."""
-    spans = with_ph.groupBy(*TEXT_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("s", "e", F.col("placeholder").alias("ph")))).alias("_spans")
+def replace_spans(texts: DataFrame, with_ph: DataFrame, key: str | None = None) -> DataFrame:
+    """``texts`` with the spans (row keys, s, e, placeholder) spliced in."""
+    # a set: equal rows have found the same spans each
+    spans = with_ph.groupBy(*ROW_KEYS).agg(
+        F.array_sort(F.collect_set(F.struct("s", "e", F.col("placeholder").alias("ph")))).alias("_spans")
     )
-    joined = texts.join(spans, TEXT_KEYS, "left")
+    joined = null_safe_join(texts.withColumn("row", row_key(F.col("text"), key)), spans, ROW_KEYS, "left")
     return joined.withColumn(
         "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("_spans")))
-    ).drop("_spans")
+    ).drop("_spans", "row")
 
 
 def audit_rows(with_ph: DataFrame) -> DataFrame:
@@ -78,10 +85,10 @@ def anonymize(texts: DataFrame, profile: Profile, durable: DataFrame | None = No
     is for a run whose durable store can't be written: custom kinds get placeholders
     that nothing resolves.
     """
-    ents = materialize(protected(detect_entities(texts, profile), key))
+    ents = materialize(protected(detect_entities(texts, profile, key=key), key))
     session_ents = ents if durable is None and not degraded else ents.where(~F.col("custom"))
     vault = materialize(intern_session(session_ents))
-    with_ph = session_ents.join(vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"])
+    with_ph = null_safe_join(session_ents, vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"])
     new = after = None
     if degraded:
         with_ph = with_ph.unionByName(ents.where("custom").withColumn("placeholder", degraded_placeholder(F.col("tag"), F.col("lookup"))))
@@ -92,7 +99,7 @@ def anonymize(texts: DataFrame, profile: Profile, durable: DataFrame | None = No
         with_ph = with_ph.unionByName(custom.join(after.select("tag", "lookup", "placeholder"), ["tag", "lookup"]))
     with_ph = materialize(with_ph)
     return Anonymized(
-        sanitized=replace_spans(texts, with_ph),
+        sanitized=replace_spans(texts, with_ph, key),
         audit=audit_rows(with_ph),
         vault=vault.withColumn("original", unseal(F.col("sealed"), key)),
         entities=with_ph.withColumn("v", unseal(F.col("sealed"), key)),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakroom.functions.crypto import lookup_key, seal, unseal
+from cloakroom.functions.joins import null_safe_join
 from cloakroom.session import materialize
 
 # Placeholder layout (fixed): two underscores, tag, underscore, number, two underscores.
@@ -32,28 +33,29 @@ def placeholder(tag, n):
     return F.format_string(PLACEHOLDER_FORMAT, tag, n)
 
 
-def number_by_first(df: DataFrame, keys: list[str], order: str, parts: int | None = None, out: str = "n") -> DataFrame:
-    """Add ``out`` = 1..k to the rows of every ``keys`` group, by ascending ``order``.
+def number_by_first(df: DataFrame, keys: list[str], order: str | list[str], parts: int | None = None, out: str = "n") -> DataFrame:
+    """Add ``out`` = 1..k to the rows of every ``keys`` group (null keys make groups, too), by ascending ``order``.
 
     ``order`` must be distinct inside a group. Two-phase rank: range
     partitions, local row_number, then offsets from the earlier partitions.
     """
     spark = df.sparkSession
+    order = [order] if isinstance(order, str) else order
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Materialized once: the counts below and the local numbering must see the
     # very same range partitions, and two planned copies of the range exchange
     # (pruned differently) can sample different bounds.
     ranged = materialize(
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(order)).withColumn("_pid", F.spark_partition_id())
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
     )
     local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(order))
+        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order))
     )
     counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     return (
-        local.join(offsets, ["_pid", *keys], "inner")
+        null_safe_join(local, offsets, ["_pid", *keys])
         .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
         .drop("_pid", "_local", "_off")
     )
@@ -69,7 +71,8 @@ def protected(entities: DataFrame, key: str | None) -> DataFrame:
 
 
 def distinct_originals(entities: DataFrame, session_scoped: bool = True) -> DataFrame:
-    """One row per (session, tag, original) with its first occurrence.
+    """One row per (session, tag, original) with its first occurrence (null places come first;
+    originals that share a place, in rows of equal keys, are told apart by their lookup).
 
     A hash aggregate with map-side partial aggregation, so a repeated original
     (even one third of all rows) collapses before the shuffle.
@@ -96,11 +99,11 @@ def intern_session(entities: DataFrame, existing: DataFrame | None = None) -> Da
     """
     v = distinct_originals(entities, session_scoped=True)
     if existing is not None:
-        v = v.join(existing.select("session", "tag", "lookup"), ["session", "tag", "lookup"], "left_anti")
-    numbered = number_by_first(v, ["session", "tag"], "first", out="_k")
+        v = null_safe_join(v, existing.select("session", "tag", "lookup"), ["session", "tag", "lookup"], "left_anti")
+    numbered = number_by_first(v, ["session", "tag"], ["first", "lookup"], out="_k")
     start = F.lit(0)
     if existing is not None:
-        numbered = numbered.join(existing.groupBy("session", "tag").agg(F.max("n").alias("_max")), ["session", "tag"], "left")
+        numbered = null_safe_join(numbered, existing.groupBy("session", "tag").agg(F.max("n").alias("_max")), ["session", "tag"], "left")
         start = F.coalesce(F.col("_max"), F.lit(0))
     numbered = numbered.withColumn("n", (start + F.col("_k")).cast("bigint"))
     return numbered.select("session", "tag", "lookup", "sealed", "n", placeholder(F.col("tag"), F.col("n")).alias("placeholder"), F.col("secret").alias("is_secret"))
@@ -119,7 +122,7 @@ def intern_durable(entities: DataFrame, existing: DataFrame) -> DataFrame:
     """
     v = distinct_originals(entities.where("custom"), session_scoped=False)
     unseen = v.join(existing.select("tag", "lookup"), ["tag", "lookup"], "left_anti")
-    numbered = number_by_first(unseen, ["tag"], "first", out="_k")
+    numbered = number_by_first(unseen, ["tag"], ["first", "lookup"], out="_k")
     max_n = existing.groupBy("tag").agg(F.max("n").alias("_max"))
     joined = numbered.join(max_n, "tag", "left").withColumn("n", (F.coalesce(F.col("_max"), F.lit(0)) + F.col("_k")).cast("bigint"))
     return joined.select("tag", "lookup", "sealed", "n", placeholder(F.col("tag"), F.col("n")).alias("placeholder"))

@@ -18,10 +18,10 @@ from cloakroom.operators.detect import (
     floor_profile,
     guard_profile,
 )
-from cloakroom.operators.guard import egress_guard, leak_audit
+from cloakroom.operators.guard import egress_guard, leak_audit, vault_leaks
 from cloakroom.operators.rehydrate import rehydrate
 from cloakroom.operators.vault import session_resolver
-from cloakroom.session import checkpoint_dir
+from cloakroom.session import checkpoint_dir, materialize
 from cloakroom.sources.store import write_audit
 from cloakroom.sources.tables import document_texts, page_texts, spread, table
 
@@ -182,6 +182,50 @@ def leak_audit_documents(spark: SparkSession, sf: str) -> DataFrame:
     return leak_audit(sent, a.entities).select(F.col("ord").alias("doc_id"), "tag")
 
 
+def _keyless_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """documents with null sessions, null places, and pairs of documents at one place."""
+    d = spread(table(spark, sf, "documents"))
+    session = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
+    place = F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("doc_id") / 40)).cast("long")
+    return d.select("doc_id", session.alias("session"), place.alias("ord"), F.lit(0).alias("field_pos"), "text")
+
+
+def anonymize_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without sessions or places and with repeated keys: masked, restored, and guarded.
+
+    For the guard, what has no session and what is of src1 is sent as it was.
+    """
+    texts = _keyless_documents(spark, sf)
+    a = anonymize(texts, floor_profile())
+    masked = materialize(a.sanitized)
+    back = rehydrate(masked, session_resolver(a.vault)).select("doc_id", F.col("text").alias("restored"))
+    raw = F.col("session").isNull() | (F.col("session") == "src1")
+    sent = masked.join(texts.select("doc_id", F.col("text").alias("raw")), "doc_id").withColumn("text", F.when(raw, F.col("raw")).otherwise(F.col("text")))
+    g = egress_guard(sent, guard_profile())
+    verdict = g.blocked.select("doc_id", F.lit("blocked").alias("verdict")).unionByName(g.released.select("doc_id", F.lit("released").alias("verdict")))
+    return masked.select("doc_id", F.col("text").alias("masked")).join(back, "doc_id").join(verdict, "doc_id")
+
+
+def vault_leaks_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Originals of a session, and customers' names of a durable layer, found in any text of it.
+
+    Every 7th sanitized document of a source has one of the source's e-mail addresses glued between
+    letters, where no detector sees it; every 13th document has a customer's name.
+    """
+    a = _anonymized_documents(spark, sf)
+    masked = materialize(a.sanitized)
+    mails = a.vault.where("tag = 'EMAIL'").select(F.col("session").alias("source"), F.col("n").alias("nth"), F.col("original").alias("mail"))
+    nth = F.when(F.col("ord") % 7 == 0, F.col("ord") % 3 + 1)
+    c = table(spark, sf, "customer")
+    names = c.select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("name"))
+    planted = masked.withColumn("nth", nth).withColumn("cust", F.when(F.col("ord") % 13 == 0, F.col("ord")))
+    planted = planted.join(mails, (F.col("session") == F.col("source")) & planted["nth"].eqNullSafe(mails["nth"]), "left").join(names, "cust", "left")
+    glued = F.concat("text", F.coalesce(F.concat(F.lit(" zq"), "mail", F.lit("zq")), F.lit("")), F.coalesce(F.concat(F.lit(" zq"), "name", F.lit("zq")), F.lit("")))
+    durable = c.select(F.lit("PERSON").alias("tag"), F.format_string("__PERSON_%d__", "c_custkey").alias("placeholder"), F.col("c_name").alias("original"))
+    found = vault_leaks(planted.select("session", "ord", "field_pos", glued.alias("text")), a.vault, durable)
+    return found.select(F.col("ord").alias("doc_id"), "tag", "placeholder")
+
+
 def benchmark_long_words(spark: SparkSession, sf: str) -> DataFrame:
     """Private vocabulary derived from the benchmark table: words of 12+ chars
     (term, label, ins), kept distributed."""

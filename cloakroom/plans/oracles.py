@@ -161,6 +161,31 @@ def detection_oracles() -> dict[str, str]:
         SELECT d.source AS session, CAST(count(*) AS BIGINT) AS n_leaks FROM kept k JOIN documents d ON d.doc_id = k.doc_id
         WHERE k.detector = 'regex' GROUP BY d.source"""
     o["leak_audit_documents"] = f"WITH {ctes} SELECT CAST(doc_id AS BIGINT) AS doc_id, tag FROM (SELECT DISTINCT doc_id, tag, v FROM kept WHERE doc_id % 11 = 0)"
+    keyless = f"""{_kept_ctes()},
+        src AS (SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN source END AS session, CASE WHEN doc_id % 5 <> 0 THEN doc_id // 40 END AS ord FROM documents),
+        occ AS (SELECT k.doc_id, k.s, k.e, k.v, k.tag, k.detector, x.session, x.ord FROM kept k JOIN src x USING (doc_id)),
+        firsts AS (SELECT session, tag, v, min(coalesce(ord, -1) * 1000000000 + s) AS f FROM occ GROUP BY session, tag, v),
+        names AS (SELECT session, tag, v, '__' || tag || '_' || CAST(row_number() OVER (PARTITION BY session, tag ORDER BY f, v) AS VARCHAR) || '__' AS placeholder FROM firsts),
+        marked AS (SELECT o.doc_id, o.s, o.e, o.tag, n.placeholder FROM occ o JOIN names n ON n.session IS NOT DISTINCT FROM o.session AND n.tag = o.tag AND n.v = o.v),
+        bad AS (SELECT DISTINCT session FROM occ WHERE detector <> 'entropy' AND (session IS NULL OR session = 'src1'))"""
+    masked = [
+        f"""(SELECT p.doc_id, string_agg(substring(d.text, p.prev + 1, p.s - p.prev) || p.placeholder, '' ORDER BY p.s) || substring(any_value(d.text), max(p.e) + 1) AS text
+             FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM marked {only}) p JOIN documents d USING (doc_id) GROUP BY p.doc_id)"""
+        for only in ("", "WHERE tag = 'SECRET'")
+    ]
+    o["anonymize_null_keys"] = f"""WITH {keyless}
+        SELECT CAST(x.doc_id AS BIGINT) AS doc_id, coalesce(m.text, x.text) AS masked, coalesce(r.text, x.text) AS restored,
+               CASE WHEN EXISTS (SELECT 1 FROM bad b WHERE b.session IS NOT DISTINCT FROM x.session) THEN 'blocked' ELSE 'released' END AS verdict
+        FROM src x LEFT JOIN {masked[0]} m USING (doc_id) LEFT JOIN {masked[1]} r USING (doc_id)"""
+    o["vault_leaks_documents"] = f"""WITH {ctes}, {_splice_ctes()},
+        clean AS ({_SPLICE_SELECT}),
+        sent AS (SELECT d.doc_id, d.source, c.text || coalesce(' zq' || v.original || 'zq', '') || coalesce(' zq' || cu.c_name || 'zq', '') AS text
+                 FROM clean c JOIN documents d USING (doc_id)
+                 LEFT JOIN vault v ON v.session = d.source AND v.tag = 'EMAIL' AND v.n = d.doc_id % 3 + 1 AND d.doc_id % 7 = 0
+                 LEFT JOIN customer cu ON cu.c_custkey = d.doc_id AND d.doc_id % 13 = 0)
+        SELECT CAST(s.doc_id AS BIGINT) AS doc_id, v.tag, v.placeholder FROM sent s JOIN vault v ON v.session = s.source AND contains(s.text, v.original)
+        UNION ALL
+        SELECT CAST(s.doc_id AS BIGINT), 'PERSON', '__PERSON_' || CAST(c_custkey AS VARCHAR) || '__' FROM sent s JOIN customer ON contains(s.text, c_name)"""
     o["detect_gazetteer"] = f"""
         WITH vocab AS (SELECT DISTINCT lower(w) AS term
                        FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark)

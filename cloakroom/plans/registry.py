@@ -37,6 +37,8 @@ def queries() -> dict[str, Query]:
         "rehydrate_roundtrip": det.rehydrate_roundtrip,
         "egress_guard_blocked": det.egress_guard_blocked,
         "leak_audit_documents": det.leak_audit_documents,
+        "anonymize_null_keys": det.anonymize_null_keys,
+        "vault_leaks_documents": det.vault_leaks_documents,
         "chat_gather_text": mq.chat_gather_text,
         "memory_recall_bm25": mq.memory_recall_bm25,
         "memory_recall_all_words": mq.memory_recall_all_words,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cloakroom.functions.joins import null_safe_join
 from cloakroom.operators.anonymize import audit_rows, detect_entities, replace_spans
 from cloakroom.operators.detect import Profile
 from cloakroom.operators.vault import SESSION_VAULT, intern_session, protected
@@ -43,15 +44,15 @@ def anonymize_stream(texts: DataFrame, profile: Profile, base: str, key: str | N
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        ents = materialize(protected(detect_entities(batch, profile), key))
+        ents = materialize(protected(detect_entities(batch, profile, key=key), key))
         earlier = None
         if number:
             earlier = _part(spark, base, "vault", SESSION_VAULT).where(F.col("batch") < number).drop("batch")
         new = materialize(intern_session(ents, earlier))
         _write(new, base, "vault", number)
         vault = new if earlier is None else earlier.unionByName(new)
-        with_ph = materialize(ents.join(vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"]))
+        with_ph = materialize(null_safe_join(ents, vault.select("session", "tag", "lookup", "placeholder"), ["session", "tag", "lookup"]))
         _write(audit_rows(with_ph), base, "audit", number)
-        _write(replace_spans(batch, with_ph), base, "out", number)
+        _write(replace_spans(batch, with_ph, key), base, "out", number)
 
     return texts.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
