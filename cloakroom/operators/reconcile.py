@@ -3,9 +3,11 @@
 Rank candidates by priority (high first), byte length (long first), score
 (high first), start (early first) and finally the insertion ordinal; walk the
 ranking and keep every candidate that overlaps nothing kept so far; return the
-kept spans left to right. Runs as ``array_sort`` + ``aggregate`` on the
-candidate array of the row, so it needs no shuffle. The sorted array is bound
-once (``let``) so the candidate expression is not evaluated per reference.
+kept spans left to right. One sweep by start with the largest end so far cuts the
+candidates into components that overlap nothing of each other; the ranking is
+walked inside each, so a text with very many spans costs little more than sorting
+them. It all runs on the candidate array of the row and needs no shuffle. Arrays
+are bound once (``let``) so the candidate expression is not evaluated per reference.
 """
 
 from __future__ import annotations
@@ -52,18 +54,37 @@ def reconcile_sql(cands: str, harden: bool = False) -> str:
         f"WHEN {l}.ins < {r}.ins THEN -1 WHEN {l}.ins > {r}.ins THEN 1 ELSE 0 END"
     )
 
-    def greedy(b):
+    def settled(part):
+        """The spans kept of one component, left to right."""
         acc, x, k = Q.var("acc"), Q.var("x"), Q.var("k")
-        return (
-            f"aggregate({b}.r, slice({b}.r, 1, 0), ({acc}, {x}) -> CASE WHEN exists({acc}, {k} -> {x}.s < {k}.e AND {k}.s < {x}.e) "
-            f"THEN {acc} ELSE concat({acc}, array({x})) END)"
-        )
 
-    if harden:
-        kept = Q.let({"r": f"array_sort({cands}, {order})"}, lambda b: harden_sql(f"{b}.r", greedy(b)))
-    else:
-        kept = Q.let({"r": f"array_sort({cands}, {order})"}, greedy)
-    l2, r2 = Q.var("l"), Q.var("r")
-    return f"array_sort({kept}, ({l2}, {r2}) -> CASE WHEN {l2}.s < {r2}.s THEN -1 WHEN {l2}.s > {r2}.s THEN 1 ELSE 0 END)"
+        def greedy(b):
+            return (
+                f"aggregate({b}.r, slice({b}.r, 1, 0), ({acc}, {x}) -> CASE WHEN exists({acc}, {k} -> {x}.s < {k}.e AND {k}.s < {x}.e) "
+                f"THEN {acc} ELSE concat({acc}, array({x})) END)"
+            )
 
+        kept = Q.let({"r": f"array_sort({part}, {order})"}, (lambda b: harden_sql(f"{b}.r", greedy(b))) if harden else greedy)
+        return f"CASE WHEN size({part}) = 1 THEN {part} ELSE array_sort({kept}, {_by_start()}) END"
 
+    acc, x, at, j = Q.var("acc"), Q.var("x"), Q.var("at"), Q.var("j")
+    # where components begin: at a span that starts behind all ends so far
+    zero = "named_struct('end', -1, 'i', 1, 'cuts', CAST(array() AS array<int>))"
+    step = (
+        f"named_struct('end', greatest({acc}.end, {x}.e), 'i', {acc}.i + 1, "
+        f"'cuts', CASE WHEN {x}.s >= {acc}.end THEN concat({acc}.cuts, array({acc}.i)) ELSE {acc}.cuts END)"
+    )
+
+    def components(b):
+        def parts(c):
+            size = f"coalesce(try_element_at({c}.cuts, {j} + 2), size({b}.spans) + 1) - {at}"
+            return f"flatten(transform({c}.cuts, ({at}, {j}) -> {Q.let({'part': f'slice({b}.spans, {at}, {size})'}, lambda d: settled(f'{d}.part'))}))"
+
+        return Q.let({"cuts": f"aggregate({b}.spans, {zero}, ({acc}, {x}) -> {step}, {acc} -> {acc}.cuts)"}, parts)
+
+    return Q.let({"spans": f"array_sort({cands}, {_by_start()})"}, components)
+
+
+def _by_start() -> str:
+    l, r = Q.var("l"), Q.var("r")
+    return f"({l}, {r}) -> CASE WHEN {l}.s < {r}.s THEN -1 WHEN {l}.s > {r}.s THEN 1 ELSE 0 END"
