@@ -44,6 +44,28 @@ def starts(gaps: str, width: str) -> str:
     return f"aggregate(slice({gaps}, 1, size({gaps}) - 1), {zero}, ({a}, {x}) -> {step}, {a} -> {a}.a)"
 
 
+#: Numbers that one fold of ``running`` sums (a fold copies its array at each step).
+_FOLD = 256
+
+
+def running(xs: str) -> str:
+    """Running sums of an int array: folds over blocks, moved on by the sums of the blocks before."""
+    k, a, x, q, z, v = var("k"), var("a"), var("x"), var("q"), var("z"), var("v")
+    none = "CAST(array() AS array<int>)"
+
+    def blocks(b):
+        cut = f"transform(sequence(0, greatest(size({b}.xs) - 1, 0) div {_FOLD}), {k} -> slice({b}.xs, CAST({k} * {_FOLD} + 1 AS INT), {_FOLD}))"
+        inner = f"named_struct('p', {a}.p + {x}, 'a', concat({a}.a, array({a}.p + {x})))"
+        return f"transform({cut}, {q} -> aggregate({q}, named_struct('p', 0, 'a', {none}), ({a}, {x}) -> {inner}))"
+
+    def moved(b):
+        step = f"named_struct('p', {a}.p + {x}.p, 'a', concat({a}.a, array({a}.p)))"
+        starts_ = f"aggregate({b}.q, named_struct('p', 0, 'a', {none}), ({a}, {x}) -> {step}, {a} -> {a}.a)"
+        return f"flatten(zip_with({b}.q, {starts_}, ({x}, {z}) -> transform({x}.a, {v} -> {v} + {z})))"
+
+    return let({"xs": xs}, lambda b: let({"q": blocks(b)}, moved))
+
+
 # Noncharacters that mark a match, its groups and its end; a text's own are taken for U+FDD3.
 _MATCH, _GROUP, _END, _OWN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakroom.functions.text import ALNUM_CLASS, ascii_lower
 from cloakroom.operators import evaluate as EV
 from cloakroom.operators.anonymize import anonymize
 from cloakroom.operators.detect import floor_profile
@@ -230,17 +231,17 @@ def chat_requests_sanitized(spark: SparkSession, sf: str) -> DataFrame:
 def discovered_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms a detector model reported per conversation, parsed from its replies.
 
-    The reply of a conversation names the first 7+ letter word of its first
-    turn, as a person (even conv_id) or a company (odd conv_id).
+    The reply about a turn names every word of it, as persons (even conv_id) or
+    companies (odd conv_id); what is named in one turn is a term in all of its conversation.
     """
-    c = table(spark, sf, "conversations").where(F.col("turn") == 0)
+    c = table(spark, sf, "conversations")
     label = F.when(F.col("conv_id") % 2 == 0, F.lit("person")).otherwise(F.lit("Company"))
-    reply = F.concat(
-        F.lit("Here you go:\n"),
-        F.to_json(F.struct(F.array(F.struct(F.regexp_extract("text", "[A-Za-z]{7,}", 0).alias("text"), label.alias("type"))).alias("entities"))),
-    )
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(f"{ALNUM_CLASS}+"), 0))
+    named = F.transform(words, lambda w: F.struct(w.alias("text"), label.alias("type")))
+    reply = F.concat(F.lit("Here you go:\n"), F.to_json(F.struct(named.alias("entities"))))
     r = c.select(F.col("conv_id").cast("string").alias("session"), F.explode(parse_model_entities(reply)).alias("e"))
-    return r.select("session", F.col("e.text").alias("term"), model_label_kind(F.col("e.label")).alias("label"), F.lit(0).alias("ins"))
+    terms = r.select("session", ascii_lower(F.col("e.text")).alias("term"), model_label_kind(F.col("e.label")).alias("label")).distinct()
+    return terms.withColumn("ins", F.lit(0))
 
 
 def anonymize_with_discovered(spark: SparkSession, sf: str) -> DataFrame:

@@ -226,15 +226,6 @@ def vault_leaks_documents(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("ord").alias("doc_id"), "tag", "placeholder")
 
 
-def benchmark_long_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Private vocabulary derived from the benchmark table: words of 12+ chars
-    (term, label, ins), kept distributed."""
-    b = table(spark, sf, "benchmark")
-    words = b.select(F.explode(F.split(F.col("text"), r"[^\p{IsAlphabetic}\p{N}]+", -1)).alias("w"))
-    terms = words.where(F.length("w") >= 12).select(F.lower("w").alias("term")).distinct()
-    return terms.select("term", F.lit("private").alias("label"), F.pmod(F.xxhash64("term"), F.lit(100_000_000)).cast("int").alias("ins"))
-
-
 def vocabulary_detectors(texts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, list]:
     """Gazetteer of a vocabulary table (term, label, ins) of any size: terms attached to the texts, and the detector."""
     from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
@@ -259,30 +250,22 @@ def detect_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def benchmark_vocab_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Vocabulary derived from benchmark, kept distributed: lower-cased words of
-    8+ chars and two-word phrases (distinct words of 6+ chars, one space apart)."""
+def benchmark_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct lower-cased word of benchmark and every pair of different words one space apart."""
     b = table(spark, sf, "benchmark")
     runs = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+"), 0)
     r = b.select(F.posexplode(runs).alias("i", "w"), runs.alias("r"))
-    word = r["w"]
-    is_tok = word.rlike(r"^[\p{IsAlphabetic}\p{N}]")
-    nxt = F.try_element_at(F.col("r"), F.col("i") + 2)
-    nxt2 = F.try_element_at(F.col("r"), F.col("i") + 3)
-    single = r.where(is_tok & (F.length(word) >= 8)).select(F.lower(word).alias("term"))
-    pair = r.where(
-        is_tok & (nxt == " ") & (F.length(word) >= 6) & (F.length(nxt2) >= 6) & (F.lower(word) != F.lower(nxt2))
-    ).select(F.lower(F.concat(word, F.lit(" "), nxt2)).alias("term"))
-    v = single.unionByName(pair).distinct()
+    word, gap, after = F.col("w"), F.try_element_at("r", F.col("i") + 2), F.try_element_at("r", F.col("i") + 3)
+    words = r.where(word.rlike(r"^[\p{IsAlphabetic}\p{N}]"))
+    pairs = words.where((gap == " ") & (F.lower(word) != F.lower(after))).select(F.lower(F.concat(word, F.lit(" "), after)).alias("term"))
+    v = words.select(F.lower(word).alias("term")).unionByName(pairs).distinct()
     return v.select("term", F.lit("private").alias("label"), F.pmod(F.xxhash64("term"), F.lit(100_000_000)).cast("int").alias("ins"))
 
 
 def detect_gazetteer_joined(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits per (document, term) for a table-sized vocabulary (token equi-join path)."""
-    from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
-
-    t = attach_terms(document_texts(spark, sf), benchmark_vocab_table(spark, sf))
-    c = explode_rows(t, Profile([JoinedGazetteer()]).candidates(F.col("text")), ["ord"], "_p", "c")
+    """Hits per (document, term) of all words of benchmark and all its pairs of words."""
+    t, dets = vocabulary_detectors(document_texts(spark, sf), benchmark_phrases(spark, sf))
+    c = explode_rows(t, Profile(dets).candidates(F.col("text")), ["ord"], "_p", "c")
     return c.groupBy(F.col("ord").alias("doc_id"), F.lower(F.col("c.v")).alias("term")).agg(F.count(F.lit(1)).cast("bigint").alias("hits"))
 
 

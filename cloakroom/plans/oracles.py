@@ -322,7 +322,7 @@ def _vocab_hits_sql() -> str:
     return f"""
     vocab AS (SELECT DISTINCT lower(w) AS term
               FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark)
-              WHERE length(w) >= 12),
+              WHERE length(w) > 0),
     tok AS (SELECT doc_id, source, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
             FROM (SELECT doc_id, source, regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+') AS ws FROM documents)),
     hits AS (SELECT t.* FROM tok t JOIN vocab v ON translate(t.w, '{UP}', '{LO}') = translate(v.term, '{UP}', '{LO}'))"""
@@ -336,21 +336,23 @@ def vault_oracles() -> dict[str, str]:
         FROM customer"""
     o["vault_seal_roundtrip"] = "SELECT c_custkey, true AS restored, true AS wrong_key_null, CAST(12 + strlen(c_name) + 16 AS BIGINT) AS sealed_len FROM customer"
     durable = f"""WITH {_vocab_hits_sql()},
-        firsts AS (SELECT w AS original, arg_min(run, k) AS run, min(k) AS k
-                   FROM (SELECT w, CASE WHEN doc_id < 500 THEN 1 ELSE 2 END AS run,
-                                (CASE WHEN doc_id < 500 THEN '1' ELSE '2' END) || '|' || source || '|' || lpad(CAST(doc_id AS VARCHAR), 12, '0')
-                                || '|' || lpad(CAST(i AS VARCHAR), 9, '0') AS k FROM hits)
-                   GROUP BY w)
-        SELECT 'PRIVATE' AS tag, original, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS n,
-               '__PRIVATE_' || CAST(row_number() OVER (ORDER BY k) AS VARCHAR) || '__' AS placeholder
-        FROM firsts"""
+        ranked AS (SELECT w AS original, run, source, doc_id, i, row_number() OVER (PARTITION BY w ORDER BY run, source, doc_id, i) AS r
+                   FROM (SELECT *, CASE WHEN doc_id < 500 THEN 1 ELSE 2 END AS run FROM hits)),
+        numbered AS (SELECT original, row_number() OVER (ORDER BY run, source, doc_id, i) AS n FROM ranked WHERE r = 1)
+        SELECT 'PRIVATE' AS tag, original, CAST(n AS BIGINT) AS n, '__PRIVATE_' || CAST(n AS VARCHAR) || '__' AS placeholder FROM numbered"""
     o["durable_vault_increment"] = durable
     o["durable_vault_keyed"] = durable
     o["anonymize_degraded"] = f"""
         SELECT c_custkey, substr(text, 1, length(text) - length(c_name)) || '__PROJECT_h'
                || substr(sha256(encode('PROJECT') || unhex('1f') || encode(c_name)), 1, 16) || '__' AS text
         FROM {_derived_id_text()} JOIN customer USING (c_custkey)"""
-    o["layered_rehydrate"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents"
+    # an address is longer than its words, which are masked with it
+    o["layered_rehydrate"] = f"""WITH {_vocab_hits_sql()},
+        durable AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id),
+        mail AS (SELECT id, unnest(regexp_split_to_array(value, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {_emails('documents', 'doc_id', 'text')}),
+        inside AS (SELECT id, count(v.term) AS n FROM mail LEFT JOIN vocab v ON translate(mail.w, '{UP}', '{LO}') = translate(v.term, '{UP}', '{LO}') GROUP BY id)
+        SELECT CAST(d.doc_id AS BIGINT) AS doc_id, text, CAST(coalesce(durable.n, 0) - coalesce(inside.n, 0) AS BIGINT) AS durable, inside.id IS NOT NULL AS mail
+        FROM documents d LEFT JOIN durable USING (doc_id) LEFT JOIN inside ON inside.id = d.doc_id"""
     return o
 
 
@@ -475,11 +477,10 @@ def joined_gazetteer_oracles() -> dict[str, str]:
         WITH br AS (SELECT {runs} AS r FROM benchmark),
         bi AS (SELECT r, generate_subscripts(r, 1) AS i FROM br),
         vocab AS (
-          SELECT DISTINCT lower(r[i]) AS term FROM bi WHERE length(r[i]) >= 8 AND regexp_matches(r[i], '^[\\p{{L}}\\p{{N}}]')
+          SELECT DISTINCT lower(r[i]) AS term FROM bi WHERE regexp_matches(r[i], '^[\\p{{L}}\\p{{N}}]')
           UNION
           SELECT DISTINCT lower(r[i] || ' ' || r[i + 2]) FROM bi
-          WHERE i + 2 <= len(r) AND r[i + 1] = ' ' AND length(r[i]) >= 6 AND length(r[i + 2]) >= 6
-            AND regexp_matches(r[i], '^[\\p{{L}}\\p{{N}}]') AND lower(r[i]) <> lower(r[i + 2])),
+          WHERE i + 2 <= len(r) AND r[i + 1] = ' ' AND regexp_matches(r[i], '^[\\p{{L}}\\p{{N}}]') AND lower(r[i]) <> lower(r[i + 2])),
         dr AS (SELECT doc_id, {runs} AS r FROM documents),
         di AS (SELECT doc_id, r, generate_subscripts(r, 1) AS i FROM dr),
         hits AS (
@@ -496,14 +497,12 @@ def discovered_oracles() -> dict[str, str]:
     runs = "regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')"
     return {
         "anonymize_with_discovered": f"""
-        WITH w AS (SELECT conv_id, regexp_extract(text, '[A-Za-z]{{7,}}') AS term,
-                          CASE WHEN conv_id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS tag
-                   FROM conversations WHERE turn = 0),
-        w2 AS (SELECT * FROM w WHERE term <> ''),
+        WITH w2 AS (SELECT DISTINCT conv_id, translate(w, '{UP}', '{LO}') AS term, CASE WHEN conv_id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS tag
+                    FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS w FROM conversations)),
         runs AS (SELECT conv_id, turn, r, generate_subscripts(r, 1) AS i
                  FROM (SELECT conv_id, turn, {runs} AS r FROM conversations)),
         hit AS (SELECT u.conv_id, u.turn, u.i, u.r[u.i] AS orig, w2.tag FROM runs u JOIN w2 ON w2.conv_id = u.conv_id
-                AND translate(u.r[u.i], '{UP}', '{LO}') = translate(w2.term, '{UP}', '{LO}')),
+                AND translate(u.r[u.i], '{UP}', '{LO}') = w2.term),
         firsts AS (SELECT conv_id, tag, orig, min(turn * 1000000 + i) AS f FROM hit GROUP BY conv_id, tag, orig),
         num AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tag ORDER BY f) AS n FROM firsts),
         out AS (SELECT u.conv_id, u.turn,
@@ -526,7 +525,7 @@ def outbound_oracles() -> dict[str, str]:
                 FROM sel GROUP BY qid),
         msgs AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn, text FROM blk),
         vocab AS (SELECT DISTINCT lower(w) AS term
-                  FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark) WHERE length(w) >= 12),
+                  FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark) WHERE length(w) > 0),
         runs AS (SELECT conv_id, turn, r, generate_subscripts(r, 1) AS i FROM (SELECT conv_id, turn, {runs} AS r FROM msgs)),
         hit AS (SELECT u.conv_id, u.turn, u.i, u.r[u.i] AS orig FROM runs u JOIN vocab v
                 ON translate(u.r[u.i], '{UP}', '{LO}') = translate(v.term, '{UP}', '{LO}')),

@@ -33,21 +33,27 @@ class Outbound:
     memories: DataFrame
 
 
-def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame, now_ms: int, embed=M.hash_embed) -> Outbound:
-    """messages: session, ord, text. vocab: term, label, ins (applies to every session)."""
+def select_memories(messages: DataFrame, memories: DataFrame, embed=M.hash_embed) -> DataFrame:
+    """The memories injected into each session's request: recalled by keyword and vector, fused, within the budget."""
     queries = gather_text(messages, "session", "ord", "text").select(F.col("session").alias("qid"), "text")
     kw = M.recall(queries, memories)
-    sem = M.vector_top_k(
-        embed(queries, "qid", "text"),
-        embed(memories, "id", "content"),
-    )
-    selected = M.select_injectable(M.fuse(kw, sem), memories)
+    sem = M.vector_top_k(embed(queries, "qid", "text"), embed(memories, "id", "content"))
+    return M.select_injectable(M.fuse(kw, sem), memories)
+
+
+def recalled(memories: DataFrame, selected: DataFrame, now_ms: int) -> DataFrame:
+    """``memories`` with the recalls of ``selected`` counted."""
+    return M.record_recalls(memories, selected.select("id", F.lit(now_ms).cast("bigint").alias("ts_ms"), F.xxhash64("qid", "id").alias("ev")))
+
+
+def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame, now_ms: int, embed=M.hash_embed) -> Outbound:
+    """messages: session, ord, text. vocab: term, label, ins (applies to every session)."""
+    selected = select_memories(messages, memories, embed)
     block = M.memory_block(selected).select(
         F.col("qid").alias("session"), F.lit(-1).cast("bigint").alias("ord"), F.col("block").alias("text")
     )
     texts = block.unionByName(messages.select("session", F.col("ord").cast("bigint"), "text")).withColumn("field_pos", F.lit(0))
-    recalls = selected.select("id", F.lit(now_ms).cast("bigint").alias("ts_ms"), F.xxhash64("qid", "id").alias("ev"))
-    memories_after = M.record_recalls(memories, recalls)
+    memories_after = recalled(memories, selected, now_ms)
 
     local_terms = memories.where(F.col("egress_policy") == "local_only").select(
         F.col("content").alias("term"), F.lit("private").alias("label"), F.lit(1_000_000).alias("ins")
@@ -64,23 +70,28 @@ def prepare_outbound(messages: DataFrame, memories: DataFrame, vocab: DataFrame,
     return Outbound(g.released.select(*keep), g.blocked.select(*keep), a.audit, a.vault, memories_after)
 
 
-def outbound_of_conversations(spark: SparkSession, sf: str) -> Outbound:
-    """Every conversation as one request, memories from benchmark, vocabulary: benchmark words of 12+ chars."""
+NOW_MS = 1_800_000_000_000
+
+
+def _requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every conversation as one request, and the memories made of benchmark."""
     from cloakroom.plans.memory_queries import memories as mem_table
     from cloakroom.sources.tables import table
 
-    msgs = table(spark, sf, "conversations").select(
-        F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("ord"), "text"
-    )
-    mem = mem_table(spark, sf).drop("item_id")
-    b = table(spark, sf, "benchmark")
-    words = b.select(F.explode(F.split(F.col("text"), r"[^\p{IsAlphabetic}\p{N}]+", -1)).alias("w"))
-    vocab = words.where(F.length("w") >= 12).select(F.lower("w").alias("term")).distinct().select(
-        "term", F.lit("private").alias("label"), F.lit(0).alias("ins")
-    )
-    return prepare_outbound(msgs, mem, vocab, now_ms=1_800_000_000_000)
+    msgs = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("ord"), "text")
+    return msgs, mem_table(spark, sf).drop("item_id")
+
+
+def recalls_of_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """The memories after the conversations' requests have recalled from them."""
+    msgs, mem = _requests(spark, sf)
+    return recalled(mem, select_memories(msgs, mem), NOW_MS)
 
 
 def prepare_outbound_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    out = outbound_of_conversations(spark, sf)
+    """Conversations as requests; the vocabulary is every word of benchmark."""
+    from cloakroom.plans.detection import benchmark_words
+
+    msgs, mem = _requests(spark, sf)
+    out = prepare_outbound(msgs, mem, benchmark_words(spark, sf).withColumn("ins", F.lit(0)), now_ms=NOW_MS)
     return out.released.select(F.col("session").cast("bigint").alias("conv_id"), F.col("ord").alias("turn"), "text")

@@ -47,9 +47,9 @@ def vocabulary_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def outbound_recalls(spark: SparkSession, sf: str) -> DataFrame:
     """The memories that the outbound job recalled, with their new counts."""
-    from cloakroom.plans.outbound import outbound_of_conversations
+    from cloakroom.plans.outbound import recalls_of_conversations
 
-    m = outbound_of_conversations(spark, sf).memories
+    m = recalls_of_conversations(spark, sf)
     return m.where("recall_count > 0").select("id", "recall_count", "promoted")
 
 
