@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakroom.sources.tables import spread
 
@@ -78,17 +79,62 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def pack_rest(df: DataFrame, keep: list[str], name: str = "_rest") -> tuple[DataFrame, "object"]:
-    """Fold every column outside ``keep`` into one JSON string column, and give its schema."""
-    rest = [c for c in df.columns if c not in keep]
-    schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema
-    packed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])) if rest else F.lit("{}")
-    return df.select(*keep, packed.alias(name)), schema
+#: Times to the microsecond, as JSON has them between ``pack_rest`` and ``unpack_rest``.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def unpack_rest(df: DataFrame, schema, name: str = "_rest") -> DataFrame:
+def _plain(kind: T.DataType) -> T.DataType:
+    """``kind`` with lists of entries for maps, whose keys JSON would have as strings."""
+    if isinstance(kind, T.MapType):
+        return T.ArrayType(T.StructType([T.StructField("key", _plain(kind.keyType)), T.StructField("value", _plain(kind.valueType))]))
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_plain(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f"f{i}", _plain(f.dataType)) for i, f in enumerate(kind.fields)])
+    return kind
+
+
+def _to_plain(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.MapType):
+        return F.transform(F.map_entries(c), lambda e: F.struct(_to_plain(e["key"], kind.keyType).alias("key"), _to_plain(e["value"], kind.valueType).alias("value")))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _to_plain(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        parts = [_to_plain(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]
+        return F.when(c.isNotNull(), F.struct(*parts)) if parts else c
+    return c
+
+
+def _from_plain(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(c, lambda e: F.struct(_from_plain(e["key"], kind.keyType), _from_plain(e["value"], kind.valueType))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _from_plain(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        parts = [_from_plain(c.getField(f"f{i}"), f.dataType).alias(f.name) for i, f in enumerate(kind.fields)]
+        return F.when(c.isNotNull(), F.struct(*parts)) if parts else c
+    return c
+
+
+def pack_rest(df: DataFrame, keep: list[str], name: str = "_rest") -> tuple[DataFrame, T.StructType]:
+    """Fold every column outside ``keep`` into one JSON string column, and give their schema.
+
+    Columns go by their number, so names can't clash; times keep their microseconds, maps
+    become lists of entries.
+    """
+    rest = [f for f in df.schema if f.name not in keep]
+    cells = [_to_plain(F.col(f"`{f.name}`"), f.dataType).alias(f"f{i}") for i, f in enumerate(rest)]
+    packed = F.to_json(F.struct(*cells), _TIMES) if cells else F.lit("{}")
+    return df.select(*[F.col(f"`{c}`") for c in keep], packed.alias(name)), T.StructType(rest)
+
+
+def unpack_rest(df: DataFrame, schema: T.StructType, name: str = "_rest") -> DataFrame:
     """Undo ``pack_rest``."""
-    return df.withColumn(name, F.from_json(F.col(name), schema)).select(*[c for c in df.columns if c != name], *[F.col(f"{name}.`{f.name}`").alias(f.name) for f in schema])
+    others = [F.col(f"`{c}`") for c in df.columns if c != name]
+    cells = F.from_json(F.col(f"`{name}`"), _plain(schema), _TIMES)
+    opened = df.select(*others, cells.alias(name)) if schema.fields else df
+    back = [_from_plain(F.col(f"`{name}`").getField(f"f{i}"), f.dataType).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    return opened.select(*others, *back)
 
 
 def blocks_of(df: DataFrame, rows_each: int, least: int = 1) -> int:

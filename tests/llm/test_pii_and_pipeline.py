@@ -260,3 +260,34 @@ def test_stages_take_odd_documents(spark, odd_documents, tmp_path):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+
+
+def test_extra_columns_survive_the_stages(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import Row
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = {
+        "_null": "cast(null as string)", "_row_key": "'a'", "row_key": "cast(doc_id as string)", "id": "doc_id * 2", "_rest": "'r'", "row": "1", "key": "2", "words": "false",
+        "at": "timestamp_micros(1700000000123456 + doc_id)", "day": "date '2020-02-29'", "ntz": "timestamp_ntz '2021-01-01 00:00:00.000007'",
+        "by": "map(cast(doc_id as int), 'x', -1, null)", "bytes": "cast(source as binary)", "a.b": "named_struct('p', array(1, null), 'q', map(1.5D, named_struct('z', doc_id)))",
+        "amount": "cast(doc_id / 7 as decimal(20, 6))", "ratio": "cast('NaN' as double)",
+    }
+    docs = base.selectExpr("*", *[f"{v} AS `{k}`" for k, v in odd.items()]).unionByName(
+        base.limit(3).selectExpr("*", *[f"{v} AS `{k}`" for k, v in odd.items()])
+    )
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    seen = {r["row_key"]: r for r in docs.collect()}
+    base.sparkSession.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns and [t for _, t in now.dtypes] == [t for _, t in docs.dtypes], name
+        for r in now.collect():
+            for c in odd:
+                a, b = r[c], seen[r["row_key"]][c]
+                assert a == b or (a != a and b != b), (name, c, a, b)
+    assert now.count() > 10
