@@ -174,12 +174,17 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_sc
     Queries and items are dealt into blocks of about ``block`` rows; a task multiplies
     one block of queries with one of items and passes on each query's best ``k``, by
     the rounded score that the final ranking uses (so ties don't depend on the blocks).
+    Vectors meet only those of as many entries; null and empty ones, and those with null
+    or non-finite entries, take no part.
     """
+    entry = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    usable = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", entry)
+    queries, items = (df.withColumn("vec", F.col("vec").cast("array<double>")).where(usable).withColumn("d", F.size("vec")) for df in (queries, items))
     qtype = queries.schema["qid"].dataType.simpleString()
     itype = items.schema["id"].dataType.simpleString()
     n_q, n_i = (max(1, -(-df.count() // rows)) for df, rows in zip((queries, items), block))
-    q = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)).cast("array<bigint>")))
-    i = items.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_i)).alias("ib")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
+    q = queries.select("qid", "vec", "d", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)).cast("array<bigint>")))
+    i = items.select("id", "vec", "d", F.pmod(F.xxhash64("id"), F.lit(n_i)).alias("ib")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
 
     def unit(vectors) -> np.ndarray:
         m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -202,7 +207,7 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_sc
                 rows.append(pd.DataFrame({"qid": qids[lo + qi[top]], "id": ids[ii[top]], "score": score[qi[top], ii[top]]}))
         return pd.concat(rows) if rows else pd.DataFrame({"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
 
-    partial = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, f"qid {qtype}, id {itype}, score double")
+    partial = q.groupBy("qb", "ib", "d").cogroup(i.groupBy("qb", "ib", "d")).applyInPandas(best, f"qid {qtype}, id {itype}, score double")
     return top_k(partial.withColumn("score", F.round("score", 9)), k)
 
 

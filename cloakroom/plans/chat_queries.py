@@ -256,6 +256,19 @@ def anonymize_with_discovered(spark: SparkSession, sf: str) -> DataFrame:
     return a.sanitized.select(F.col("session").cast("bigint").alias("conv_id"), F.col("ord").alias("turn"), "text")
 
 
+def eval_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a prompt's request, and the text read from a reply to it.
+
+    A fifth of the replies each: the text, null, no choice, a number, no JSON.
+    """
+    d = spread(table(spark, sf, "documents"))
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    others = ['{"choices":[{"message":{"content":null}}]}', '{"choices":[]}', '{"choices":[{"message":{"content":7}}]}', "<html>busy</html>"]
+    reply = F.element_at(F.array(said, *map(F.lit, others)), (F.col("doc_id") % 5 + 1).cast("int"))
+    replies = d.select("doc_id", "text", reply.alias("reply"))
+    return replies.select("doc_id", EV.eval_request(F.col("text")).alias("request"), EV.reply_content(F.col("reply")).alias("content"))
+
+
 def has_tools(body):
     return F.try_variant_get(F.try_parse_json(body), "$.tools", "variant").isNotNull()
 

@@ -362,6 +362,9 @@ def chat_oracles() -> dict[str, str]:
                     ELSE '{"order":' || CAST(o_orderkey AS VARCHAR) || '}' END"""
     o["rescue_tool_calls"] = f"""
         SELECT o_orderkey, 'lookup_order' AS name, {call} AS arguments FROM orders WHERE o_orderkey % 4 <> 3"""
+    o["eval_requests"] = """
+        SELECT CAST(doc_id AS BIGINT) AS doc_id, '{"model":"auto","messages":[{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '}]}' AS request,
+               CASE WHEN doc_id % 5 = 0 THEN text ELSE '' END AS content FROM documents"""
     o["guard_chat_requests"] = """
         SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, CASE WHEN conv_id % 7 IN (1, 2, 3, 4) THEN 'blocked' ELSE 'released' END AS verdict FROM conversations"""
     o["deep_tool_descriptions"] = """

@@ -71,6 +71,7 @@ def queries() -> dict[str, Query]:
         "eval_outcomes": cq.eval_outcomes,
         "eval_report": cq.eval_report,
         "eval_report_lines": cq.eval_report_lines,
+        "eval_requests": cq.eval_requests,
         "route_candidates": cq.route_candidates,
         "normalize_transcripts": cq.normalize_transcripts,
         "chat_fields_anonymize": cq.chat_fields_anonymize,

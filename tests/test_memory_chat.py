@@ -163,3 +163,22 @@ def test_rescue_rejects_invalid_named_arguments(spark):
     got = [r.c for r in spark.createDataFrame([(r,) for r in rows], "t string").select(rescue_tool_call(F.col("t")).alias("c")).collect()]
     assert got[0] is None
     assert (got[1].name, got[1].arguments) == ("g", '{"a":[1,2]}')
+
+
+def test_vectors_that_cannot_be_compared_take_no_part(spark):
+    from cloakroom.operators import memory as M
+
+    vectors = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [1.0, 2.0, 3.0]), (6, [float("nan"), 1.0]), (7, [1.0, 1.0])]
+    items = spark.createDataFrame(vectors, "id int, vec array<double>")
+    got = M.vector_top_k(items.withColumnRenamed("id", "qid"), items, 3).collect()
+    assert {(r["qid"], r["id"]) for r in got} == {(1, 1), (1, 7), (7, 7), (7, 1), (5, 5)}
+
+
+def test_reply_content_of_odd_replies(spark):
+    from cloakroom.operators.evaluate import eval_request, reply_content
+
+    replies = [None, "", "x", "[]", '{"choices":[{"message":{}}]}', '{"choices":[{"message":{"content":["a"]}}]}', '{"choices":[{"message":{"content":"a \\"b\\""}},{"message":{"content":"c"}}]}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
+    assert [x[0] for x in df.orderBy("i").select(reply_content(F.col("r"))).collect()] == [""] * 6 + ['a "b"']
+    asked = df.where("i < 3").orderBy("i").select(eval_request(F.col("r"))).collect()
+    assert asked[0][0] == '{"model":"auto","messages":[{"role":"user","content":""}]}'
