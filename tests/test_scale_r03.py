@@ -34,3 +34,85 @@ def test_large_vocabulary_is_not_broadcast(spark, texts, monkeypatch, tmp_path):
     many = attach_terms(t, vocab)
     assert "BroadcastExchange" not in executed(many)
     assert found(many) == want
+
+
+def test_stored_rows_are_columns_in_the_checkpoint_folder(spark):
+    from cloakroom.session import checkpoint_dir, stored
+
+    df = spark.createDataFrame([("a", 1, b"x"), (None, None, None), ("a", 1, b"x")], "k string, n bigint, b binary")
+    got = stored(df)
+    assert got.schema == df.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert all(checkpoint_dir(spark).split(":")[-1] in f for f in got.inputFiles())
+
+
+def test_sanitized_texts_leave_the_attached_terms_behind(spark, texts):
+    from cloakroom.operators.anonymize import anonymize
+    from cloakroom.operators.detect import Profile
+    from cloakroom.operators.gazetteer_join import JoinedGazetteer, attach_terms
+    from cloakroom.operators.rehydrate import rehydrate
+    from cloakroom.operators.vault import durable_resolver, empty_durable, session_resolver
+
+    t = texts([("s", 1, 0, "falcon and heron"), (None, None, 0, "heron, heron"), ("s", 1, 0, "none")])
+    vocab = spark.createDataFrame([("falcon", "project", 1), ("heron", "project", 2)], "term string, label string, ins int")
+    for key in (None, "k"):
+        a = anonymize(t, Profile([JoinedGazetteer()]), durable=empty_durable(spark), key=key, attached=attach_terms(t, vocab))
+        assert a.sanitized.columns == t.columns
+        assert not [c for c in ("pri", "ins", "blen") if c in a.entities.columns]
+        assert sorted(r.text for r in a.sanitized.collect()) == ["__PROJECT_1__, __PROJECT_1__", "__PROJECT_2__ and __PROJECT_1__", "none"]
+        back = rehydrate(a.sanitized, session_resolver(a.vault), durable_resolver(a.durable, key))
+        assert sorted(r.text for r in back.collect()) == ["falcon and heron", "heron, heron", "none"]
+
+
+
+def test_report_lines_run_the_scenarios_once(spark):
+    from cloakroom.operators.evaluate import report_lines
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        runs.add(1)
+        return name
+
+    rows = spark.createDataFrame([(f"d{i}", True, i % 2 == 0, False, None) for i in range(6)], "name string, baseline_pass boolean, anon_pass boolean, leaked boolean, error string")
+    slow = rows.withColumn("name", F.udf(seen, "string")("name"))
+    assert report_lines(slow).count() == 7
+    assert runs.value == 6
+
+
+def test_guard_makes_the_requests_once(spark):
+    from cloakroom.operators.detect import Email, Profile
+    from cloakroom.operators.guard import guard_requests
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(body):
+        runs.add(1)
+        return body
+
+    rows = spark.createDataFrame([(1, '{"a":"x@y.com"}'), (2, '{"a":"fine"}'), (3, '{"a"')], "request_id bigint, body string")
+    g = guard_requests(rows.withColumn("body", F.udf(seen, "string")("body")), Profile([Email()]))
+    assert sorted(r.request_id for r in g.blocked.collect()) == [1, 3]
+    assert [r.request_id for r in g.released.collect()] == [2]
+    assert runs.value == 3
+
+
+def test_replies_are_rescued_once(spark):
+    from cloakroom.plans.chat_queries import restore_replies
+
+    replies = spark.createDataFrame([("1", True, '{"choices":[{"message":{"content":"[TOOL_CALLS]f{\\"to\\": \\"__EMAIL_1__\\"}"}}]}')], "session string, needs_tools boolean, reply string")
+    mails = spark.createDataFrame([("1", "__EMAIL_1__", "a@b.c")], "session string, placeholder string, original string")
+    back = restore_replies(replies, mails)
+    assert "ArrowEvalPython" not in executed(back)
+    assert "a@b.c" in back.first().text
+
+
+def test_steps_reach_python_as_text(spark):
+    from cloakroom.operators.chat_fields import set_fields
+
+    df = spark.sql("""SELECT '{"a":[{"b":"x"}],"c":"y"}' AS body, array(named_struct('steps', array(named_struct('k', 'a', 'i', CAST(null AS int)),
+        named_struct('k', CAST(null AS string), 'i', 0), named_struct('k', 'b', 'i', CAST(null AS int))), 'text', 'new "\\u00e9"')) AS fields
+        UNION ALL SELECT '{"c":1}', null""").repartition(1)
+    out = df.select(set_fields("body", "fields").alias("b"))
+    assert "to_json" in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(r.b for r in out.collect()) == ['{"a":[{"b":"new \\"\u00e9\\""}],"c":"y"}', '{"c":1}']
