@@ -116,3 +116,64 @@ def test_steps_reach_python_as_text(spark):
     out = df.select(set_fields("body", "fields").alias("b"))
     assert "to_json" in out._jdf.queryExecution().analyzed().toString()
     assert sorted(r.b for r in out.collect()) == ['{"a":[{"b":"new \\"\u00e9\\""}],"c":"y"}', '{"c":1}']
+
+
+def test_streams_hold_their_own_placeholders_alone(spark):
+    import json
+    import random
+
+    import pandas as pd
+
+    from cloakroom.streaming import rehydrate_stream as R
+
+    rng = random.Random(5)
+    vault = {f"__ORG_{n}__": f"Quill {n}" for n in range(3)} | {"___A__": "under", "__B_1__": "b__ORG_1__"}
+    longest = max(map(len, vault))
+    texts, ends = (lambda text, eos: [("", text)] if text else []), (lambda text, eos: bool(eos))
+    for _ in range(150):
+        text = "".join(rng.choice(["__ORG_1__", "___A__", "__B_1__", "_", "__", " and ", "x" * 40, "ORG_2", "G_0__"]) for _ in range(rng.randint(1, 9)))
+        size = rng.randint(1, 9)
+        cut = [text[i : i + size] for i in range(0, len(text), size)]
+        rows = [(s, "one", t, s == len(cut) - 1) for s, t in enumerate(cut)]
+        rng.shuffle(rows)
+        seen, state, out, held = R._seen_fn(["k"], ["text", "eos"], longest, None, texts, ends), _Held(), [], set()
+        back, kept = R._opened(R._fragments_fn(None), ["text", "eos"]), _Held()
+        while rows:
+            part, rows = rows[:3], rows[3:]
+            found = next(seen(("k",), iter([pd.DataFrame(part, columns=["seq", "session", "text", "eos"])]), state))
+            held |= set(found["placeholder"].dropna())
+            found["vault"] = [json.dumps({p: vault[p]}) if p in vault else None for p in found["placeholder"]]
+            out += [tuple(r) for r in next(back(("k", 0, -1), iter([found]), kept)).itertuples(index=False)]
+        assert "".join(r[-1] for r in sorted(out, key=lambda r: r[3:5])) == R.rehydrate_text(text, vault.get), (text, size)
+        assert state.value is None and kept.value is None
+        assert all(p.strip("_") in text for p in held)
+
+
+class _Held:
+    value, hasTimedOut = None, False
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+
+def test_no_stream_gets_the_vault_of_its_session(spark, tmp_path):
+    from cloakroom.streaming.rehydrate_stream import FRAGMENT_SCHEMA, rehydrate_stream, through_files
+
+    text, n = "to __ORG_7__ and __ORG_4999__.", 40
+    rows = [(f"s{d}", "one", 0, None, s, c, s == len(text) - 1) for d in range(n) for s, c in enumerate(text)]
+    spark.createDataFrame(rows, FRAGMENT_SCHEMA).repartition(3).write.parquet(f"{tmp_path}/in")
+    vault = spark.range(5000).selectExpr("'one' AS session", "concat('__ORG_', id, '__') AS placeholder", "concat('Quill & Son no. ', id) AS original")
+    src = spark.readStream.schema(FRAGMENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = rehydrate_stream(src, vault, hop=through_files(f"{tmp_path}/seen")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: (r.stream_id, r.seq, r.part)):
+        got[r.stream_id] = got.get(r.stream_id, "") + r.text
+    assert got == {f"s{d}": "to Quill & Son no. 7 and Quill & Son no. 4999." for d in range(n)}
+    state = sum(f.stat().st_size for folder in ("state/state", "seen/state/state") for f in tmp_path.joinpath(folder).rglob("*.delta"))
+    assert state < 400_000  # the vault alone is 200 KB, forty of them were here before
