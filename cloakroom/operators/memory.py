@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakroom.functions.joins import sized
 from cloakroom.functions.text import NON_ALNUM_RUN, ascii_lower
-from cloakroom.session import materialize
+from cloakroom.session import materialize, stored
 
 # --- fixed values that must equal the reference's for right results --------
 RECALL_K = 8  # recall depth
@@ -171,8 +172,9 @@ def hash_embed(df: DataFrame, key: str, text: str, out: str = "vec", dim: int =
 def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_score: float = 0.0, block: tuple[int, int] = (2048, 8192)) -> DataFrame:
     """Cosine top-``k`` items per query: (qid, id, score, rk), score > ``min_score``.
 
-    Queries and items are dealt into blocks of about ``block`` rows; a task multiplies
-    one block of queries with one of items and passes on each query's best ``k``, by
+    Equal query vectors are compared once: their best ``k`` go to every query that has them.
+    These vectors and the items are dealt into blocks of about ``block`` rows; a task multiplies
+    one block of vectors with one of items and passes on each vector's best ``k``, by
     the rounded score that the final ranking uses (so ties don't depend on the blocks).
     Vectors meet only those of as many entries; null and empty ones, and those with null
     or non-finite entries, take no part.
@@ -180,10 +182,13 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_sc
     entry = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", entry)
     queries, items = (df.withColumn("vec", F.col("vec").cast("array<double>")).where(usable).withColumn("d", F.size("vec")) for df in (queries, items))
-    qtype = queries.schema["qid"].dataType.simpleString()
     itype = items.schema["id"].dataType.simpleString()
-    n_q, n_i = (max(1, -(-df.count() // rows)) for df, rows in zip((queries, items), block))
-    q = queries.select("qid", "vec", "d", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("qb")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)).cast("array<bigint>")))
+    # no -0.0, which is equal to 0.0 but has other bits
+    asked = stored(queries.select("qid", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")))
+    key = F.concat(F.xxhash64("vec"), F.lit("-"), F.xxhash64(F.lit(7), "vec")).alias("key")
+    distinct = stored(asked.select("vec").distinct().select(key, "vec", F.size("vec").alias("d")))
+    n_q, n_i = (max(1, -(-df.count() // rows)) for df, rows in zip((distinct, items), block))
+    q = distinct.select("key", "vec", "d", F.pmod(F.xxhash64("key"), F.lit(n_q)).alias("qb")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)).cast("array<bigint>")))
     i = items.select("id", "vec", "d", F.pmod(F.xxhash64("id"), F.lit(n_i)).alias("ib")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
 
     def unit(vectors) -> np.ndarray:
@@ -196,7 +201,7 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_sc
         if len(left) and len(right):
             right = right.sort_values("id")
             ids, m, a = right["id"].to_numpy(), unit(right["vec"]).T, unit(left["vec"])
-            qids, few = left["qid"].to_numpy(), max(1, (1 << 22) // len(right))
+            keys, few = left["key"].to_numpy(), max(1, (1 << 22) // len(right))
             for lo in range(0, len(a), few):
                 score = np.round(a[lo : lo + few] @ m, 9)
                 cut = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
@@ -204,11 +209,22 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int = RECALL_K, min_sc
                 order = np.lexsort((ii, -score[qi, ii], qi))
                 qi, ii = qi[order], ii[order]
                 top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-                rows.append(pd.DataFrame({"qid": qids[lo + qi[top]], "id": ids[ii[top]], "score": score[qi[top], ii[top]]}))
-        return pd.concat(rows) if rows else pd.DataFrame({"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-
-    partial = q.groupBy("qb", "ib", "d").cogroup(i.groupBy("qb", "ib", "d")).applyInPandas(best, f"qid {qtype}, id {itype}, score double")
-    return top_k(partial.withColumn("score", F.round("score", 9)), k)
+                rows.append(pd.DataFrame({"key": keys[lo + qi[top]], "id": ids[ii[top]], "score": score[qi[top], ii[top]]}))
+        return pd.concat(rows) if rows else pd.DataFrame({"key": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
+
+    partial = q.groupBy("qb", "ib", "d").cogroup(i.groupBy("qb", "ib", "d")).applyInPandas(best, f"key string, id {itype}, score double")
+    ranked = top_k(partial.withColumn("score", F.round("score", 9)), k, "key")
+    hits = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rk", "id", "score"))).alias("hits"))
+    hits = sized(hits, n_q * block[0])
+    # a qid with one vector has its hits as they are, one with several the best of all of them
+    per = stored(asked.select("qid", key).groupBy("qid").agg(F.collect_list("key").alias("keys")))
+    one, several = F.size("keys") == 1, F.size("keys") > 1
+    found = lambda df: df.join(hits, "key").select("qid", F.explode("hits").alias("h")).select("qid", "h.id", "h.score", "h.rk")
+    single = found(per.where(one).select("qid", F.col("keys")[0].alias("key")))
+    rest = per.where(several)
+    if rest.isEmpty():
+        return single
+    return single.unionByName(top_k(found(rest.select("qid", F.explode("keys").alias("key"))).drop("rk"), k))
 
 
 # --- fusion, budget, lifecycle -----------------------------------------------------

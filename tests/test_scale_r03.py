@@ -177,3 +177,25 @@ def test_no_stream_gets_the_vault_of_its_session(spark, tmp_path):
     assert got == {f"s{d}": "to Quill & Son no. 7 and Quill & Son no. 4999." for d in range(n)}
     state = sum(f.stat().st_size for folder in ("state/state", "seen/state/state") for f in tmp_path.joinpath(folder).rglob("*.delta"))
     assert state < 400_000  # the vault alone is 200 KB, forty of them were here before
+
+
+def test_equal_query_vectors_are_compared_once(spark):
+    from cloakroom.operators import memory as M
+
+    q = spark.range(3000).selectExpr("id AS qid", "array(CAST(id % 3 AS double), IF(id % 2 = 0, 1.0D, 1.0D), IF(id % 2 = 0, 0.0D, -0.0D)) AS vec")
+    again = q.where("qid < 2").union(spark.sql("SELECT 0L AS qid, array(9.0D, 0.0D, 0.0D) AS vec"))
+    items = spark.sql("SELECT CAST(id AS string) AS id, array(CAST(id AS double), 1.0D, 0.5D) AS vec FROM range(40)")
+    got = M.vector_top_k(q, items, 4, block=(10, 15))
+    plan = executed(got)
+    assert "qid" not in plan[plan.index("FlatMapCoGroupsInPandas") :].split("SortAggregate")[0]
+    best = {r.qid: [] for r in q.select("qid").collect()}
+    for r in got.orderBy("qid", "rk").collect():
+        best[r.qid].append((r.id, r.rk))
+    assert len({str(best[i]) for i in range(0, 3000, 3)}) == 1 and all(len(b) == 4 for b in best.values())
+    slow = {(r.qid, r.id) for r in q.where("qid < 6").crossJoin(items.withColumnRenamed("vec", "v")).selectExpr(
+        "qid", "id", "row_number() OVER (PARTITION BY qid ORDER BY round(aggregate(zip_with(vec, v, (a, b) -> a * b), 0D, (s, x) -> s + x) / sqrt(aggregate(vec, 0D, (s, x) -> s + x * x)) / sqrt(aggregate(v, 0D, (s, x) -> s + x * x)), 9) DESC, id) AS rk").where("rk <= 4").collect()}
+    assert {(i, x) for i in range(6) for x, _ in best[i]} == slow
+    # a qid with several rows: the best of all of them, as often as they are there
+    both = M.vector_top_k(q.unionByName(again), items, 4).where("qid < 3").collect()
+    assert sorted(r.rk for r in both if r.qid == 0) == [1, 2, 3, 4]
+    assert [r.id for r in sorted(both, key=lambda r: r.rk) if r.qid == 1] == [best[1][0][0]] * 2 + [best[1][1][0]] * 2
