@@ -199,3 +199,15 @@ def test_equal_query_vectors_are_compared_once(spark):
     both = M.vector_top_k(q.unionByName(again), items, 4).where("qid < 3").collect()
     assert sorted(r.rk for r in both if r.qid == 0) == [1, 2, 3, 4]
     assert [r.id for r in sorted(both, key=lambda r: r.rk) if r.qid == 1] == [best[1][0][0]] * 2 + [best[1][1][0]] * 2
+
+
+def test_numbered_names_meet_only_the_texts_they_are_in(spark, texts):
+    from cloakroom.operators import guard
+
+    n = 400
+    names = [f"Customer#{i:09d}" for i in range(n)]
+    sent = texts([("s", i, 0, f"to zq{names[i * 7 % n]}zq or 000{i:03d} \U0001f600{names[i]}" if i % 2 else f"ref 00000{i:04d}, no name") for i in range(200)])
+    durable = spark.createDataFrame([("PERSON", f"__PERSON_{i}__", x) for i, x in enumerate(names)] + [("X", "__X_1__", "0000"), ("X", "__X_2__", "q")], "tag string, placeholder string, original string")
+    want = {(i, p) for i, t in ((r.ord, r.text) for r in sent.collect()) for p, x in ((r.placeholder, r.original) for r in durable.collect()) if x in t}
+    assert {(r.ord, r.placeholder) for r in guard.vault_leaks(sent, durable.selectExpr("'other' AS session", "*").where("false"), durable).collect()} == want
+    assert sorted(guard._cut("aaa-aab", [("aa", 0, 3), ("aa", 1, 3), ("b", 2, 9)])) == ["-aa", "aa-", "aaa", "aab"]
