@@ -1,4 +1,4 @@
-"""Format-preserving pseudonyms for personal numbers and dates, in SQL expressions alone.
+"""Format-preserving pseudonyms for personal numbers and dates, in Spark's expressions alone.
 
 Valid card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
 numbers, IPv4 addresses and calendar dates are permuted within their format by a keyed
@@ -13,6 +13,9 @@ depends on the whole address (linked, but not restorable).
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,171 +64,249 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _if(test: Column, yes: Column, no: Column) -> Column:
+    return F.when(test, yes).otherwise(no)
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
 
+def _part(x: Column, at: Column | int, n: Column | int | None = None) -> Column:
+    """The characters of ``x`` from place ``at`` (the first is 1), ``n`` of them at most."""
+    return F.substr(x, F.lit(at)) if n is None else F.substr(x, F.lit(at), F.lit(n))
 
-def _let(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value`` (worked out once)."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+
+def _pair(left: Column, right: Column) -> Column:
+    return F.struct(left.alias("l"), right.alias("r"))
 
 
 class _Expressions:
-    """SQL text of the transformations of one matched string ``x``."""
+    """The transformations of one matched string ``x``, as columns.
+
+    They are put together here, not written as SQL text: what Spark's parser keeps of one long
+    text of nested lambdas stays in the driver's memory as long as the driver lives.
+    """
 
     def __init__(self, key: str, back: bool):
         self.key, self.back = key, back
 
-    def feistel(self, tag: str, left: str, right: str, a: str, b: str) -> str:
+    def feistel(self, tag: str, left: Column, right: Column, a: Column | int, b: Column | int) -> Column:
         """struct(l, r) after all rounds: l in Z_a, r in Z_b."""
-        sign = "-" if self.back else "+"
-        rounds = f"sequence({ROUNDS - 1}, 0, -1)" if self.back else f"sequence(0, {ROUNDS - 1})"
+        a, b = F.lit(a), F.lit(b)
+        rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if self.back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+
+        def digest(i: Column, half: Column) -> Column:
+            text = F.concat_ws("|", F.lit(self.key), F.lit(tag), a, b, i, half)
+            return F.conv(_part(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+
+        def turned(half: Column, by: Column, size: Column) -> Column:
+            return F.pmod(half - by if self.back else half + by, size)
 
-        def digest(half: str) -> str:
-            return f"cast(conv(substr(sha2(concat_ws('|', {_q(self.key)}, {_q(tag)}, {a}, {b}, i, {half}), 256), 1, 15), 16, 10) as bigint)"
+        def step(s: Column, i: Column) -> Column:
+            left, right = s["l"], s["r"]
+            return _if(i % 2 == 0, _pair(turned(left, digest(i, right), a), right), _pair(left, turned(right, digest(i, left), b)))
 
-        return (
-            f"aggregate({rounds}, named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint)), (s, i) -> if(i % 2 = 0, "
-            f"named_struct('l', pmod(s.l {sign} {digest('s.r')}, {a}), 'r', s.r), named_struct('l', s.l, 'r', pmod(s.r {sign} {digest('s.l')}, {b}))))"
-        )
+        return F.aggregate(rounds, _pair(left.cast("bigint"), right.cast("bigint")), step)
 
-    def permuted_digits(self, tag: str, digits: str) -> str:
+    def permuted_digits(self, tag: str, digits: Column) -> Column:
         """A string of digits permuted among those of its length (up to 36 digits)."""
-        ten = "cast(rpad('1', {} + 1, '0') as bigint)"
-        n = f"length({digits})"
-        u, v = f"cast({n} div 2 as int)", f"cast({n} - {n} div 2 as int)"
-        return _let("h", self.feistel(tag, f"substr({digits}, 1, {u})", f"substr({digits}, {u} + 1)", ten.format(u), ten.format(v)), f"if({n} < 2, {digits}, concat(lpad(cast(h.l as string), {u}, '0'), lpad(cast(h.r as string), {v}, '0')))")
+        n = F.length(digits)
+        u, v = _div(n, 2).cast("int"), (n - _div(n, 2)).cast("int")
+        ten = [F.rpad(F.lit("1"), k + 1, "0").cast("bigint") for k in (u, v)]
+        moved = self.feistel(tag, _part(digits, 1, u), _part(digits, u + 1), *ten)
+        return _let(moved, lambda h: _if(n < 2, digits, F.concat(F.lpad(h["l"].cast("string"), u, "0"), F.lpad(h["r"].cast("string"), v, "0"))))
 
     @staticmethod
-    def digits(x: str) -> str:
-        return f"regexp_replace({x}, '[^0-9]', '')"
+    def digits(x: Column) -> Column:
+        return F.regexp_replace(x, "[^0-9]", "")
 
     @staticmethod
-    def refill(x: str, new: str) -> str:
+    def refill(x: Column, new: Column) -> Column:
         """``x`` with its digits replaced, in turn, by those of ``new``."""
-        return f"aggregate(split({x}, ''), named_struct('o', '', 'k', 1), (s, c) -> if(c between '0' and '9', named_struct('o', concat(s.o, substr({new}, s.k, 1)), 'k', s.k + 1), named_struct('o', concat(s.o, c), 'k', s.k)), s -> s.o)"
+
+        def state(o: Column, k: Column) -> Column:
+            return F.struct(o.alias("o"), k.alias("k"))
+
+        def step(s: Column, c: Column) -> Column:
+            return _if(c.between("0", "9"), state(F.concat(s["o"], _part(new, s["k"], 1)), s["k"] + 1), state(F.concat(s["o"], c), s["k"]))
+
+        return F.aggregate(F.split(x, ""), state(F.lit(""), F.lit(1)), step, lambda s: s["o"])
 
     @staticmethod
-    def luhn(digits: str) -> str:
+    def luhn(digits: Column) -> Column:
         """Luhn sum of a digit string, its last digit not doubled."""
-        d = f"cast(substr({digits}, j, 1) as int)"
-        return f"aggregate(sequence(1, length({digits})), 0, (t, j) -> t + if((length({digits}) - j) % 2 = 1, 2 * {d} - if({d} > 4, 9, 0), {d}))"
+
+        def step(t: Column, j: Column) -> Column:
+            d = _part(digits, j, 1).cast("int")
+            return t + _if((F.length(digits) - j) % 2 == 1, 2 * d - _if(d > 4, F.lit(9), F.lit(0)), d)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step)
 
     @staticmethod
-    def mod97(text: str) -> str:
+    def mod97(text: Column) -> Column:
         """ISO 7064 remainder of letters and digits."""
-        return f"aggregate(split({text}, ''), 0, (t, c) -> if(c between '0' and '9', (t * 10 + cast(c as int)) % 97, if(c = '', t, (t * 100 + ascii(c) - 55) % 97)))"
-
-    def card(self) -> str:
-        # all but the first and the check digit are permuted
-        body = f"concat(substr(d, 1, 1), {self.permuted_digits('card', 'substr(d, 2, length(d) - 2)')})"
-        full = _let("e", body, f"concat(e, cast(pmod(-{self.luhn('concat(e, 0)')}, 10) as string))")
-        return _let("d", self.digits("x"), f"if({self.luhn('d')} % 10 = 0 and d rlike '[1-9]', {_let('n', full, self.refill('x', 'n'))}, x)")
-
-    def iban(self) -> str:
-        bare = "replace(x, ' ', '')"
-        moved = _let("z", self.digits("substr(w, 5)"), self.permuted_digits("iban", "z"))
-        bban = _let("p", moved, self.refill("substr(w, 5)", "p"))
-        check = f"lpad(cast(98 - {self.mod97("concat(y, substr(w, 1, 2), '00')")} as string), 2, '0')"
-        new = _let("y", bban, f"concat({check}, y)")
-        valid = f"(length(w) between 15 and 34 and {self.mod97('concat(substr(w, 5), substr(w, 1, 4))')} = 1)"
+
+        def step(t: Column, c: Column) -> Column:
+            return _if(c.between("0", "9"), (t * 10 + c.cast("int")) % 97, _if(c == "", t, (t * 100 + F.ascii(c) - 55) % 97))
+
+        return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+    def card(self, x: Column) -> Column:
+        def moved(d: Column) -> Column:
+            # all but the first and the check digit are permuted
+            body = F.concat(_part(d, 1, 1), self.permuted_digits("card", _part(d, 2, F.length(d) - 2)))
+            full = _let(body, lambda e: F.concat(e, F.pmod(-self.luhn(F.concat(e, F.lit("0"))), F.lit(10)).cast("string")))
+            return _if((self.luhn(d) % 10 == 0) & d.rlike("[1-9]"), _let(full, lambda n: self.refill(x, n)), x)
+
+        return _let(self.digits(x), moved)
+
+    def iban(self, x: Column) -> Column:
+        def bare(v: Column) -> Column:
+            return F.replace(v, F.lit(" "), F.lit(""))
+
+        def valid(w: Column) -> Column:
+            return F.length(w).between(15, 34) & (self.mod97(F.concat(_part(w, 5), _part(w, 1, 4))) == 1)
+
+        def moved(w: Column) -> Column:
+            digits = _let(self.digits(_part(w, 5)), lambda z: self.permuted_digits("iban", z))
+            bban = _let(digits, lambda p: self.refill(_part(w, 5), p))
+            new = _let(bban, lambda y: F.concat(F.lpad((98 - self.mod97(F.concat(y, _part(w, 1, 2), F.lit("00")))).cast("string"), 2, "0"), y))
+            return _let(new, lambda m: self.refill(x, self.digits(m)))
+
         # what is no IBAN may hold a card; its replacement must not make an IBAN, else it is replaced again
-        turn = _let("w", "replace(v, ' ', '')", f"if(k = 1 or {valid}, {_replaced_matches('v', PATTERNS['card'], _let('x', 'y', self.card()))}, v)")
-        cards = f"aggregate(sequence(1, 6), x, (v, k) -> {turn})"
-        return _let("w", bare, f"if({valid}, {_let('m', new, self.refill('x', self.digits('m')))}, {cards})")
-
-    def date(self) -> str:
-        iso = "substr(x, 5, 1) in ('-', '/')"
-        year = f"cast(if({iso}, substr(x, 1, 4), substr(x, 7, 4)) as int)"
-        one, two = f"cast(if({iso}, substr(x, 6, 2), substr(x, 4, 2)) as int)", f"cast(if({iso}, substr(x, 9, 2), substr(x, 1, 2)) as int)"
-        us = f"(substr(x, 3, 1) = '/' and {one} > 12)"
-        text = f"concat_ws('-', lpad({year}, 4, '0'), lpad(if({us}, {two}, {one}), 2, '0'), lpad(if({us}, {one}, {two}), 2, '0'))"
+        def turn(v: Column, k: Column) -> Column:
+            return _let(bare(v), lambda w: _if((k == 1) | valid(w), _replaced_matches(v, PATTERNS["card"], self.card), v))
+
+        cards = F.aggregate(F.sequence(F.lit(1), F.lit(6)), x, turn)
+        return _let(bare(x), lambda w: _if(valid(w), moved(w), cards))
+
+    def date(self, x: Column) -> Column:
+        iso = _part(x, 5, 1).isin("-", "/")
+        year = _if(iso, _part(x, 1, 4), _part(x, 7, 4)).cast("int")
+        one, two = _if(iso, _part(x, 6, 2), _part(x, 4, 2)).cast("int"), _if(iso, _part(x, 9, 2), _part(x, 1, 2)).cast("int")
+        us = (_part(x, 3, 1) == "/") & (one > 12)
+        text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(_if(us, two, one), 2, "0"), F.lpad(_if(us, one, two), 2, "0"))
         a, b = SPAN
-        span = a * b
-        days = "datediff(t, date'1900-01-01')"
-        moved = self.feistel("date", f"pmod({days}, {span}) div {b}", f"pmod({days}, {span}) % {b}", str(a), str(b))
-        new = _let("h", moved, f"date_add(date'1900-01-01', cast({days} - pmod({days}, {span}) + h.l * {b} + h.r as int))")
-        mark = f"substr(x, if({iso}, 5, 3), 1)"
-        shown = f"translate(if({iso}, date_format(g, 'yyyy-MM-dd'), date_format(g, 'dd.MM.yyyy')), '-.', concat({mark}, {mark}))"
-        return _let("t", f"try_to_date({text}, 'yyyy-MM-dd')", f"if(t is null or year(t) not between 1600 and 2399, x, if({us}, {self.us_date()}, {_let('g', new, shown)}))")
-
-    def us_date(self) -> str:
+        first, span = F.lit(datetime.date(1900, 1, 1)), F.lit(a * b)
+        mark = _part(x, _if(iso, F.lit(5), F.lit(3)), 1)
+
+        def shown(g: Column) -> Column:
+            text = _if(iso, F.date_format(g, "yyyy-MM-dd"), F.date_format(g, "dd.MM.yyyy"))
+            return F.call_function("translate", text, F.lit("-."), F.concat(mark, mark))
+
+        def moved(t: Column) -> Column:
+            days = F.datediff(t, first)
+            place = F.pmod(days, span)
+            new = _let(self.feistel("date", _div(place, b), place % b, a, b), lambda h: F.date_add(first, (days - place + h["l"] * b + h["r"]).cast("int")))
+            return _if(t.isNull() | ~F.year(t).between(1600, 2399), x, _if(us, self.us_date(t), _let(new, shown)))
+
+        return _let(F.call_function("try_to_date", text, F.lit("yyyy-MM-dd")), moved)
+
+    def us_date(self, t: Column) -> Column:
         """The date ``t`` as mm/dd/yyyy with a day above 12, permuted among those of its century.
 
         A place that is no date is permuted again. There are two at most, so three turns do.
         """
         a, b = US_SPAN
-        months = f"array({', '.join(map(str, US_MONTHS))})"
-        since = "if(year(t) div 100 % 4 = 0, 0, 1)"  # the century's first leap year, divided by 4
-        place = f"if(month(t) = 2 and day(t) = 29, 22100 + year(t) % 100 div 4 - {since}, year(t) % 100 * 221 + {months}[month(t) - 1] + day(t) - 13)"
-        turn = _let("h", self.feistel("us date", f"w div {b}", f"w % {b}", str(a), str(b)), f"h.l * {b} + h.r")
-        walked = f"aggregate(sequence(1, 3), cast({place} as bigint), (w, k) -> if(k = 1 or w >= 22125 - {since}, {turn}, w))"
-        leap = f"concat('02/29/', lpad(year(t) div 100 * 100 + (p - 22100 + {since}) * 4, 4, '0'))"
-        month = f"size(filter({months}, v -> v <= p % 221))"
-        common = _let("m", month, f"concat_ws('/', lpad(m, 2, '0'), lpad(p % 221 - {months}[m - 1] + 13, 2, '0'), lpad(year(t) div 100 * 100 + p div 221, 4, '0'))")
-        return _let("p", walked, f"if(p >= 22100, {leap}, {common})")
-
-    def ssn(self) -> str:
-        area = "(cast(substr(x, 1, 3) as int) - if(cast(substr(x, 1, 3) as int) > 666, 2, 1))"
-        moved = self.feistel("ssn", f"{area} * 99 + cast(substr(x, 5, 2) as int) - 1", "cast(substr(x, 8, 4) as int) - 1", "88902", "9999")
-        number = "cast(h.l div 99 + if(h.l div 99 >= 665, 2, 1) as string)"
-        return _let("h", moved, f"concat_ws('-', lpad({number}, 3, '0'), lpad(cast(h.l % 99 + 1 as string), 2, '0'), lpad(cast(h.r + 1 as string), 4, '0'))")
-
-    def ip(self) -> str:
-        o = [f"cast(split(x, '[.]')[{i}] as bigint)" for i in range(4)]
-        moved = self.feistel("ip", f"{o[0]} * 256 + {o[1]}", f"{o[2]} * 256 + {o[3]}", "65536", "65536")
-        return _let("h", moved, "concat_ws('.', h.l div 256, h.l % 256, h.r div 256, h.r % 256)")
-
-    def phone(self) -> str:
+        months = F.array(*[F.lit(m) for m in US_MONTHS])
+        year, month, day = F.year(t), F.month(t), F.day(t)
+        since = _if(_div(year, 100) % 4 == 0, F.lit(0), F.lit(1))  # the century's first leap year, divided by 4
+        place = _if((month == 2) & (day == 29), 22100 + _div(year % 100, 4) - since, year % 100 * 221 + months[month - 1] + day - 13)
+
+        def turn(w: Column) -> Column:
+            return _let(self.feistel("us date", _div(w, b), w % b, a, b), lambda h: h["l"] * b + h["r"])
+
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(3)), place.cast("bigint"), lambda w, k: _if((k == 1) | (w >= 22125 - since), turn(w), w))
+
+        def shown(p: Column) -> Column:
+            leap = F.concat(F.lit("02/29/"), F.lpad(_div(year, 100) * 100 + (p - 22100 + since) * 4, 4, "0"))
+            which = F.size(F.filter(months, lambda v: v <= p % 221))
+            common = _let(which, lambda m: F.concat_ws("/", F.lpad(m, 2, "0"), F.lpad(p % 221 - months[m - 1] + 13, 2, "0"), F.lpad(_div(year, 100) * 100 + _div(p, 221), 4, "0")))
+            return _if(p >= 22100, leap, common)
+
+        return _let(walked, shown)
+
+    def ssn(self, x: Column) -> Column:
+        area = _part(x, 1, 3).cast("int")
+        place = (area - _if(area > 666, F.lit(2), F.lit(1))) * 99 + _part(x, 5, 2).cast("int") - 1
+        moved = self.feistel("ssn", place, _part(x, 8, 4).cast("int") - 1, 88902, 9999)
+
+        def shown(h: Column) -> Column:
+            number = _div(h["l"], 99) + _if(_div(h["l"], 99) >= 665, F.lit(2), F.lit(1))
+            return F.concat_ws("-", *[F.lpad(c.cast("string"), n, "0") for c, n in ((number, 3), (h["l"] % 99 + 1, 2), (h["r"] + 1, 4))])
+
+        return _let(moved, shown)
+
+    def ip(self, x: Column) -> Column:
+        o = [F.split(x, "[.]")[i].cast("bigint") for i in range(4)]
+        moved = self.feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return _let(moved, lambda h: F.concat_ws(".", _div(h["l"], 256), h["l"] % 256, _div(h["r"], 256), h["r"] % 256))
+
+    def phone(self, x: Column) -> Column:
         """North American numbers by their shape: the ten digits behind the country code."""
-        new = self.permuted_digits("phone", "d")
-        return _let("d", f"right({self.digits('x')}, 10)", _let("m", new, self.refill("x", f"concat(if(length({self.digits('x')}) > 10, '1', ''), m)")))
+        code = _if(F.length(self.digits(x)) > 10, F.lit("1"), F.lit(""))
+        return _let(F.right(self.digits(x), F.lit(10)), lambda d: _let(self.permuted_digits("phone", d), lambda m: self.refill(x, F.concat(code, m))))
 
-    def intl(self) -> str:
-        body = f"concat(substr(d, 1, 3), {self.permuted_digits('intl', 'substr(d, 4)')})"
-        return _let("d", self.digits("x"), f"if(length(d) between 8 and 15, {_let('n', body, self.refill('x', 'n'))}, x)")
+    def intl(self, x: Column) -> Column:
+        def moved(d: Column) -> Column:
+            body = F.concat(_part(d, 1, 3), self.permuted_digits("intl", _part(d, 4)))
+            return _if(F.length(d).between(8, 15), _let(body, lambda n: self.refill(x, n)), x)
 
-    def email(self) -> str:
+        return _let(self.digits(x), moved)
+
+    def email(self, x: Column) -> Column:
         if self.back:
-            return "x"
-        shift = "cast(conv(substr(g, 1 + (2 * j) % 62, 2), 16, 10) as int)"
-        c = "substr(x, j + 1, 1)"
-        moved = (
-            f"case when {c} between 'a' and 'z' then char(97 + (ascii({c}) - 97 + 1 + {shift} % 25) % 26) "
-            f"when {c} between 'A' and 'Z' then char(65 + (ascii({c}) - 65 + 1 + {shift} % 25) % 26) "
-            f"when {c} between '0' and '9' then char(48 + (ascii({c}) - 48 + 1 + {shift} % 9) % 10) else {c} end"
-        )
-        at = "instr(x, '@')"
-        return _let("g", f"sha2(concat_ws('|', {_q(self.key)}, 'email', x), 256)", f"concat(array_join(transform(sequence(0, {at} - 2), j -> {moved}), ''), substr(x, {at}))")
-
-    def any(self) -> str:
+            return x
+        at = F.instr(x, "@")
+
+        def shifted(g: Column) -> Column:
+            def moved(j: Column) -> Column:
+                shift = F.conv(_part(g, 1 + (2 * j) % 62, 2), 16, 10).cast("int")
+                c = _part(x, j + 1, 1)
+                out = F.when(c.between("a", "z"), F.char(97 + (F.ascii(c) - 97 + 1 + shift % 25) % 26))
+                out = out.when(c.between("A", "Z"), F.char(65 + (F.ascii(c) - 65 + 1 + shift % 25) % 26))
+                return out.when(c.between("0", "9"), F.char(48 + (F.ascii(c) - 48 + 1 + shift % 9) % 10)).otherwise(c)
+
+            return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), at - 2), moved), ""), _part(x, at))
+
+        return _let(F.sha2(F.concat_ws("|", F.lit(self.key), F.lit("email"), x), 256), shifted)
+
+    def any(self, x: Column) -> Column:
         """The replacement of a match: the first kind whose whole pattern it is."""
-        cases = " ".join(f"when {test} then {getattr(self, kind)()}" for kind, test in _KINDS)
-        return f"case {cases} else x end"
+        cases = F
+        for kind, test in _KINDS:
+            cases = cases.when(test(x), getattr(self, kind)(x))
+        return cases.otherwise(x)
 
 
 #: How a match is told apart (the alternatives of ``ANY`` exclude each other on whole matches).
 _KINDS = [
-    ("email", "contains(x, '@')"),
-    ("iban", "x between 'A' and '['"),
-    ("date", "x rlike '^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$'"),
-    ("ssn", "x rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'"),
-    ("ip", "x rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$'"),
-    ("phone", f"x rlike {_q('^(?:' + PATTERNS['phone'] + ')$')}"),
-    ("intl", "startswith(x, '+')"),
-    ("card", "true"),
+    ("email", lambda x: x.contains("@")),
+    ("iban", lambda x: x.between("A", "[")),
+    ("date", lambda x: x.rlike("^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$")),
+    ("ssn", lambda x: x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
+    ("ip", lambda x: x.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$")),
+    ("phone", lambda x: x.rlike("^(?:" + PATTERNS["phone"] + ")$")),
+    ("intl", lambda x: x.startswith("+")),
+    ("card", lambda x: F.lit(True)),
 ]
 
 
-def _replaced_matches(text: str, pattern: str, new: str) -> str:
-    """``text`` with each match ``y`` of the pattern replaced by ``new``."""
-    matches = f"regexp_extract_all({text}, {_q(pattern)}, 0)"
-    rest = f"split({text}, {_q(pattern)}, -1)"
-    return f"array_join(zip_with({rest}, transform({matches}, y -> {new}), (a, b) -> concat(a, coalesce(b, ''))), '')"
+def _replaced_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """``text`` with each match of the pattern replaced by ``new`` of it."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(rest, F.transform(matches, new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def _replaced(text: str, key: str, back: bool) -> str:
-    return f"if({text} rlike '[0-9@]', {_replaced_matches(text, ANY, _let('x', 'y', _Expressions(key, back).any()))}, {text})"
+def _replaced(text: Column, key: str, back: bool) -> Column:
+    return _if(text.rlike("[0-9@]"), _replaced_matches(text, ANY, _Expressions(key, back).any), text)
 
 
 def session_key(spark: SparkSession) -> str:
@@ -235,17 +316,18 @@ def session_key(spark: SparkSession) -> str:
 
 def pseudonymize(text: str, key: str) -> Column:
     """The text column named ``text`` with personal values replaced; null stays null."""
-    return F.expr(_replaced(f"`{text}`", key, False))
+    return _replaced(F.col(f"`{text}`"), key, False)
 
 
 def restore(text: str, key: str) -> Column:
     """Undo ``pseudonymize`` for all kinds but e-mail addresses."""
-    return F.expr(_replaced(f"`{text}`", key, True))
+    return _replaced(F.col(f"`{text}`"), key, True)
 
 
 def count_values(text: str) -> Column:
     """How many values of the handled formats the text holds (valid or not)."""
-    return F.expr(f"if(`{text}` rlike '[0-9@]', regexp_count(`{text}`, {_q(ANY)}), 0)")
+    whole = F.col(f"`{text}`")
+    return _if(whole.rlike("[0-9@]"), F.regexp_count(whole, F.lit(ANY)), F.lit(0))
 
 
 def pseudonymize_documents(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,6 +37,16 @@ def moved(spark):
     return run
 
 
+def test_the_parser_gets_no_long_text(spark, monkeypatch):
+    # what it keeps of one stays in the driver's memory
+    parsed, expr = [], F.expr
+    monkeypatch.setattr(F, "expr", lambda text: parsed.append(len(text)) or expr(text))
+    df = spark.createDataFrame([(1, "call 415-555-0132")], "doc_id long, text string")
+    new = df.withColumn("text", pii_pseudonyms.pseudonymize("text", KEY)).withColumn("back", pii_pseudonyms.restore("text", KEY)).withColumn("n", pii_pseudonyms.count_values("text"))
+    assert new.first()["back"] == "call 415-555-0132" and new.first()["n"] == 1
+    assert max(parsed, default=0) < 1000
+
+
 CASES = {
     "4111 1111 1111 1111": r"4\d{3} \d{4} \d{4} \d{4}",
     "4111-1111-1111-1111": r"4\d{3}-\d{4}-\d{4}-\d{4}",
