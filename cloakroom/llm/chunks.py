@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakroom.llm.common import lean
+
 
 @dataclass
 class Chunks:
@@ -74,7 +76,7 @@ def shared_by_chunks(sent: DataFrame, width: int) -> DataFrame:
         ends = np.cumsum(sizes)
         return pd.DataFrame({"chunk": df["chunk"], "bucket": df["bucket"], "answer": [np.packbits(hit[e - n : e]).tobytes() for n, e in zip(sizes, ends)]})
 
-    return sent.groupBy("bucket").applyInPandas(judge, "chunk long, bucket int, answer binary")
+    return sent.groupBy("bucket").applyInPandas(lean(judge), "chunk long, bucket int, answer binary")
 
 
 def answer_bits(answers: pd.DataFrame, cut: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakroom.llm.chunks import answer_bits, buckets_for, cuts, shared_by_chunks, shorten
-from cloakroom.llm.common import PrefixHash, id_and_text, mix64, text_batches, word_spans
+from cloakroom.llm.common import PrefixHash, id_and_text, lean, mix64, text_batches, word_spans
 from cloakroom.llm.components import connected
 from cloakroom.session import materialize
 
@@ -148,7 +148,7 @@ def _families(classes: DataFrame, need: tuple[int, ...]) -> DataFrame:
         rows = [(b, df["chunk"].iloc[0], shorten(unique[cut[b] : cut[b + 1]], width, skip)) for b in range(nb) if cut[b + 1] > cut[b]]
         return pd.DataFrame(rows, columns=["bucket", "chunk", "block"])
 
-    shared = shared_by_chunks(dealt.groupBy("chunk").applyInPandas(send, "bucket int, chunk long, block binary"), width)
+    shared = shared_by_chunks(dealt.groupBy("chunk").applyInPandas(lean(send), "bucket int, chunk long, block binary"), width)
 
     def keep(df: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
@@ -160,7 +160,7 @@ def _families(classes: DataFrame, need: tuple[int, ...]) -> DataFrame:
         row = at // BANDS
         return pd.DataFrame({"band": unique[which[at]].view(np.int64), "cid": df["cid"].to_numpy()[row], "sketch": df["sketch"].to_numpy()[row]})
 
-    rows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(keep, "band long, cid binary, sketch binary")
+    rows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lean(keep), "band long, cid binary, sketch binary")
     rows = materialize(rows)
     large = rows.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > BUCKET)
     split = rows.join(large, "band", "left").withColumn("nb", F.coalesce(F.ceil(F.col("m") / BUCKET), F.lit(1)).cast("long")).withColumn("at", F.pmod(F.xxhash64("cid", F.lit(5)), "nb"))
@@ -199,7 +199,7 @@ def _families(classes: DataFrame, need: tuple[int, ...]) -> DataFrame:
         return pd.DataFrame(list(pairs), columns=["a", "b"])
 
     ordered = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return connected(ordered.mapInPandas(connect, "a binary, b binary").distinct()).select(F.col("node").alias("cid"), F.col("root").alias("family"))
+    return connected(ordered.mapInPandas(lean(connect), "a binary, b binary").distinct()).select(F.col("node").alias("cid"), F.col("root").alias("family"))
 
 
 def _verified(members: DataFrame, threshold: float, need: tuple[int, ...]) -> DataFrame:
@@ -232,7 +232,7 @@ def _verified(members: DataFrame, threshold: float, need: tuple[int, ...]) -> Da
                 rows.append((cid[x], int(links[x]), cid[root[x]]))
         return pd.DataFrame(rows, columns=["cid", "links", "other"])
 
-    return keyed.groupBy("call").applyInPandas(run, "cid binary, links long, other binary")
+    return keyed.groupBy("call").applyInPandas(lean(run), "cid binary, links long, other binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +301,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
             part["id"] = part["id"].astype("Int64") if part["id"].notna().all() else pd.array([None if pd.isna(x) else int(x) for x in part["id"]], dtype="Int64")
             yield part
 
-    signed = materialize(base.mapInPandas(sign, "id long, row_key long, cid binary, n long, bands binary, sketch binary"))
+    signed = materialize(base.mapInPandas(lean(sign), "id long, row_key long, cid binary, n long, bands binary, sketch binary"))
     classes = signed.groupBy("cid").agg(F.min("id").alias("class_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes)
     families = materialize(_families(classes, need))
@@ -313,7 +313,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
             yield df[["family", "cid", "sketch", "grams"]]
 
     texts = base.select("row_key", "text").join(chosen, "row_key").select("family", "cid", "sketch", "text")
-    members = texts.mapInPandas(grams, "family binary, cid binary, sketch binary, grams binary").dropDuplicates(["cid"])
+    members = texts.mapInPandas(lean(grams), "family binary, cid binary, sketch binary, grams binary").dropDuplicates(["cid"])
     links = materialize(_verified(materialize(members), threshold, need))
     counted = links.groupBy("cid").agg(F.sum("links").alias("n_links"))
     groups = connected(links.select(F.col("cid").alias("a"), F.col("other").alias("b")))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakroom.llm.common import PrefixHash, id_and_text, text_batches
+from cloakroom.llm.common import PrefixHash, give_back, id_and_text, lean, text_batches
 from cloakroom.session import materialize
 
 #: Token ids of the end marker that follows each document.
@@ -31,7 +31,6 @@ END_ID = 0
 SOLVES = 4
 #: Salts that split the numbering of one length (a length may hold a third of all pieces).
 SALTS = 256
-_WORKER: dict[str, "WordIds"] = {}
 #: Texts of ASCII and Latin-1 letters alone are cut byte by byte.
 _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -58,7 +57,8 @@ class WordIds:
     shorter still. Texts that hold ``<|`` may hold a special token and are cut at
     blanks alone, as are those with other characters. Many texts are cut at once, by
     their bytes, and a string that occurs often in them is looked up once: in a table
-    of its hash (64 bits, its length mixed in) and its first eight bytes.
+    of its hash (64 bits, its length mixed in) and its first eight bytes. The table grows
+    with the strings it holds.
     """
 
     CACHE = 1_200_000
@@ -120,13 +120,16 @@ class WordIds:
         It holds ``least`` strings, if one text has that many, and ``CACHE`` otherwise.
         """
         room = max(self.CACHE, least)
-        self.slots = 1 << (room * 3 // 2).bit_length()
         self.n, self.used = 0, 0
-        self.slot_key, self.slot_head = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.uint64)
-        self.slot_row = np.full(self.slots, -1, dtype=np.int64)
+        self._open(min(1 << 16, 1 << (room * 3 // 2).bit_length()))
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.at, self.size = np.zeros(room, dtype=np.int64), np.zeros(room, dtype=np.int64)
 
+    def _open(self, slots: int) -> None:
+        self.slots = slots
+        self.slot_key, self.slot_head = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.uint64)
+        self.slot_row = np.full(slots, -1, dtype=np.int64)
+
     def _find(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Cached rows, -1 where there is none."""
         rows = np.full(len(keys), -1, dtype=np.int64)
@@ -146,6 +149,14 @@ class WordIds:
         self.ids[self.used : self.used + len(ids)] = ids
         self.at[rows], self.size[rows] = self.used + np.cumsum(sizes) - sizes, sizes
         self.n, self.used = self.n + len(keys), self.used + len(ids)
+        if self.n * 3 > self.slots * 2:  # two thirds full at most
+            taken = np.flatnonzero(self.slot_row >= 0)
+            old = self.slot_key[taken], self.slot_head[taken], self.slot_row[taken]
+            self._open(1 << (self.n * 3 // 2).bit_length())
+            self._place(*old)
+        self._place(keys, heads, rows)
+
+    def _place(self, keys: np.ndarray, heads: np.ndarray, rows: np.ndarray) -> None:
         slot, left = (keys % np.uint64(self.slots)).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = self.slot_row[slot] < 0
@@ -187,9 +198,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` as little-endian bytes) per piece."""
 
     def run(batches):
-        if tokenizer_path not in _WORKER:
-            _WORKER[tokenizer_path] = WordIds(tokenizer_path)
-        words = _WORKER[tokenizer_path]
+        words = WordIds(tokenizer_path)
+        give_back()  # what reading the tokenizer took
         width = 4 * capacity
         for df in batches:
             texts, ids = df["text"].tolist(), df["id"].tolist()
@@ -204,7 +214,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col
                 yield out
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInPandas(lean(run), schema)
 
 
 def _price(weight: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

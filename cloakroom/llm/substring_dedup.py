@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakroom.llm.chunks import answer_bits, buckets_for, chunked, cuts, shared_by_chunks, shorten
-from cloakroom.llm.common import PrefixHash, _powers, mix64, text_batches, word_spans
+from cloakroom.llm.common import PrefixHash, _powers, lean, mix64, text_batches, word_spans
 from cloakroom.sources.tables import spread
 
 _NO_ID = np.iinfo(np.int64).max  # a null id comes last
@@ -87,7 +87,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
         return pd.DataFrame(rows, columns=["bucket", "chunk", "block"])
 
     slim = plan.docs.select("id", "text", "chunk") if not carry else plan.docs
-    shared = shared_by_chunks(slim.groupBy("chunk").applyInPandas(send, sent_type), width)
+    shared = shared_by_chunks(slim.groupBy("chunk").applyInPandas(lean(send), sent_type), width)
 
     def ask(df: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
@@ -102,7 +102,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
         rows.append((-1 - int(df["chunk"].iloc[0]) % 2**31, df["chunk"].iloc[0], number, b""))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "block", "least"])
 
-    asked = slim.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(ask, "bucket int, chunk long, block binary, least binary")
+    asked = slim.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lean(ask), "bucket int, chunk long, block binary, least binary")
 
     def judge(df: pd.DataFrame) -> pd.DataFrame:
         if df["bucket"].iloc[0] < 0:
@@ -119,7 +119,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
         ends = np.cumsum([len(p) for p in parts])
         return pd.DataFrame({"chunk": df["chunk"], "bucket": df["bucket"], "answer": [np.packbits(earlier[e - len(p) : e]).tobytes() for p, e in zip(parts, ends)]})
 
-    answers = asked.groupBy("bucket").applyInPandas(judge, "chunk long, bucket int, answer binary")
+    answers = asked.groupBy("bucket").applyInPandas(lean(judge), "chunk long, bucket int, answer binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + (f", {carry} string" if carry else "")
 
     def cut_out(df: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +154,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    return slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut_out, schema)
+    return slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lean(cut_out), schema)
 
 
 def _without(raw: bytes, keep: np.ndarray) -> str:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakroom.llm.common import held_out
+from cloakroom.llm.common import give_back, held_out, lean
 from cloakroom.session import materialize
 
 #: Labelled rows to learn from, at most about so many (chosen by a hash of their id).
@@ -160,7 +160,7 @@ def _counted(sample: DataFrame, keys) -> DataFrame:
             if both:
                 yield pd.DataFrame({"key": both, "n0": [n[0][k] for k in both], "n1": [n[1][k] for k in both]})
 
-    return sample.mapInPandas(run, "key string, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return sample.mapInPandas(lean(run), "key string, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -261,6 +261,7 @@ def score(text: Column, model: Model) -> Column:
         nonlocal matcher
         matcher = matcher or Matcher(model)
         z = np.array([matcher.features(t) for t in s]).reshape(-1, len(model.weights)) @ np.array(model.weights)
+        give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return F.pandas_udf(run, "double")(F.coalesce(text, F.lit("")))

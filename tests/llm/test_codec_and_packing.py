@@ -82,6 +82,19 @@ def test_word_cache_grows_for_one_text_and_starts_anew():
         assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == words.tok.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_word_cache_is_as_large_as_its_strings():
+    words = packing.WordIds(WORDS)
+    words.encode(["a few words"])
+    assert 24 * words.slots < 4 << 20  # 50 MB before
+    texts = [" ".join(a + b + c + "z" * k for a in letters for b in letters for c in letters for k in range(5)) for letters in ("abcdefghijklmnopqrstu", "klmnopqrstuvwxyz")]
+    first = words.encode(texts)
+    held = words.n
+    assert 50_000 < held and 3 * held <= 2 * words.slots
+    assert words.encode(texts) == first and words.n == held
+    for t, got in zip(texts, first):
+        assert np.frombuffer(got, "<u4").tolist() == words.tok.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_most_sequences_come_from_the_program(monkeypatch):
     rng = np.random.default_rng(8)
     counts = np.bincount(np.minimum(2048, rng.lognormal(5.5, 1.2, 200_000).astype(int) + 1), minlength=2049)
